@@ -140,7 +140,9 @@ def rule_label(antecedent_str, consequent_str, width: int = 60) -> Column:
 
 
 def round_half_even(c, digits: int) -> Column:
-    return F.bround(_c(c), digits)
+    """Half-even rounding of the value's decimal form (via decimal(38,12), so last-bit noise of a
+    double does not move a tie)."""
+    return F.bround(_c(c).cast("decimal(38,12)"), digits).cast("double")
 
 
 def slug(c) -> Column:

@@ -35,7 +35,8 @@ def register(name: str, sql: str | None = None):
 
 def r6(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (the oracle does the same)."""
-    cols = [F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+    cols = [F.round(F.col(f.name).cast("decimal(38,12)"), digits).cast("double").alias(f.name)
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f.name) for f in df.schema.fields]
     return df.select(*cols)
 
@@ -65,18 +66,18 @@ D = Q.chain_d()
 # ---- A1 / W1-W3 / W4-W8 / F1-F6 ---------------------------------------------------------------
 
 @register("hourly_mean", Q.with_ctes([Q.READINGS_H],
-          "SELECT city, datetime, round(pm25, 6) AS pm25 FROM readings_h"))
+          f"SELECT city, datetime, {Q.r6('pm25')} AS pm25 FROM readings_h"))
 def hourly_mean(spark, sf):
     return r6(hourly(spark, sf))
 
 
 @register("gap_fill", Q.with_ctes([Q.READINGS_H, Q.gaps("readings_h", "readings_hg"), Q.filled("readings_hg")],
-          "SELECT city, datetime, round(pm25, 6) AS pm25 FROM filled"))
+          f"SELECT city, datetime, {Q.r6('pm25')} AS pm25 FROM filled"))
 def gap_fill(spark, sf):
     return r6(filled_readings(hourly_gappy(spark, sf), chunk_rows=CHUNK_ROWS).select("city", "datetime", "pm25"))
 
 
-_PROC_COLS = ", ".join(f"round({c}, 6) AS {c}" if c in ("pm25", "pm25_lag_1h", "pm25_lag_24h",
+_PROC_COLS = ", ".join(f"{Q.r6(c)} AS {c}" if c in ("pm25", "pm25_lag_1h", "pm25_lag_24h",
                                                         "pm25_rolling_mean_24h", "pm25_rolling_std_24h")
                        else c for c in [
     "datetime", "city", "pm25", "is_extreme", "hour", "day_of_week", "month", "day_of_year",
@@ -96,14 +97,14 @@ def processed_daily(spark, sf):
 
 # ---- A2 ----------------------------------------------------------------------------------------
 
-_SUMMARY_SQL = """SELECT city,
+_SUMMARY_SQL = f"""SELECT city,
   CAST(count(pm25) AS BIGINT) AS pm25_count,
-  round_even(avg(pm25), 2) AS pm25_mean, round_even(stddev_samp(pm25), 2) AS pm25_std,
-  round_even(min(pm25), 2) AS pm25_min, round_even(max(pm25), 2) AS pm25_max,
-  round_even(median(pm25), 2) AS pm25_median,
-  round_even(avg(is_unhealthy), 2) AS is_unhealthy_mean,
+  {Q.re2('avg(pm25)')} AS pm25_mean, {Q.re2('stddev_samp(pm25)')} AS pm25_std,
+  {Q.re2('min(pm25)')} AS pm25_min, {Q.re2('max(pm25)')} AS pm25_max,
+  {Q.re2('median(pm25)')} AS pm25_median,
+  {Q.re2('avg(is_unhealthy)')} AS is_unhealthy_mean,
   min(datetime) AS datetime_min, max(datetime) AS datetime_max,
-  round_even(round_even(avg(is_unhealthy), 2) * 100, 1) AS unhealthy_pct
+  {Q.re2(Q.re2('avg(is_unhealthy)') + ' * 100', 1)} AS unhealthy_pct
 FROM processed GROUP BY city"""
 
 

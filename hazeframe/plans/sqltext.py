@@ -104,5 +104,15 @@ def chain_d() -> list[str]:
     return [READINGS_D, filled("readings_d"), processed("filled")]
 
 
+def r6(x: str, digits: int = 6) -> str:
+    """Round half-up on the decimal value (what Spark's ``round`` of a decimal does)."""
+    return f"CAST(round(CAST({x} AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
+
+
+def re2(x: str, digits: int = 2) -> str:
+    """Round half-even on the decimal value (Spark ``bround``)."""
+    return f"CAST(round_even(CAST({x} AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
+
+
 def with_ctes(ctes: list[str], select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
