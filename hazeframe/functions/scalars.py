@@ -145,6 +145,12 @@ def round_half_even(c, digits: int) -> Column:
     return F.bround(_c(c).cast("decimal(38,12)"), digits).cast("double")
 
 
+def capitalize(c) -> Column:
+    """First character upper case, the rest lower case."""
+    c = _c(c)
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, (1 << 31) - 1)))
+
+
 def slug(c) -> Column:
     return F.regexp_replace(F.lower(_c(c)), " ", "_")
 

@@ -114,6 +114,181 @@ def city_summary(spark, sf):
     return r6(op(processed_h(spark, sf)))
 
 
+# ---- A5-A22, T2 (descriptive tables) ------------------------------------------------------------
+
+from hazeframe.functions import scalars as S  # noqa: E402
+from hazeframe.operators import summaries as SM  # noqa: E402
+
+HAZ = S.HAZARD_LABELS
+CORR_COLS = ["pm25", "hour", "day_of_week", "month", "is_weekend", "pm25_lag_1h", "pm25_lag_24h",
+             "pm25_rolling_mean_24h"]
+
+
+@register("extreme_rate", Q.with_ctes(D, f"""SELECT CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(sum(is_extreme) AS BIGINT) AS extreme_count, {Q.r6('sum(is_extreme) * 100.0 / count(*)')} AS extreme_pct
+FROM processed"""))
+def extreme_rate(spark, sf):
+    return r6(SM.extreme_rate(processed_d(spark, sf)))
+
+
+@register("daily_mean", Q.with_ctes(H, f"""SELECT city, CAST(datetime AS DATE) AS date, {Q.r6('avg(pm25)')} AS pm25_mean
+FROM processed GROUP BY 1, 2"""))
+def daily_mean(spark, sf):
+    return r6(SM.daily_mean(processed_h(spark, sf)))
+
+
+@register("monthly_mean", Q.with_ctes(D, f"""SELECT city, month, {Q.r6('avg(pm25)')} AS pm25_mean
+FROM processed GROUP BY 1, 2"""))
+def monthly_mean(spark, sf):
+    return r6(SM.group_mean(processed_d(spark, sf), ["city", "month"]))
+
+
+@register("hour_profile", Q.with_ctes(H, f"""SELECT city, hour, {Q.r6('avg(pm25)')} AS pm25_mean
+FROM processed GROUP BY 1, 2"""))
+def hour_profile(spark, sf):
+    return r6(SM.group_mean(processed_h(spark, sf), ["city", "hour"]))
+
+
+@register("weekday_profile", Q.with_ctes(D, f"""SELECT city, day_of_week, {Q.r6('avg(pm25)')} AS pm25_mean
+FROM processed GROUP BY 1, 2"""))
+def weekday_profile(spark, sf):
+    return r6(SM.group_mean(processed_d(spark, sf), ["city", "day_of_week"]))
+
+
+def _mix_sql(key: str) -> list[str]:
+    cs = ", ".join(f"sum(CASE WHEN hazard_level = '{lv}' THEN 1 ELSE 0 END) AS c{i}" for i, lv in enumerate(HAZ))
+    ps = ", ".join(f"sum(c{i}) AS p{i}" for i in range(len(HAZ)))
+    return [f"mix_m AS (SELECT {key}, count(*) AS t, {cs} FROM processed GROUP BY {key})",
+            f"mix_p AS (SELECT {ps} FROM mix_m)",
+            "mix AS (SELECT {k}, {cols} FROM mix_m, mix_p)".format(
+                k=key, cols=", ".join(f"CASE WHEN p{i} > 0 THEN {Q.r6(f'c{i} * 100.0 / t')} END AS {lv}"
+                                      for i, lv in enumerate(HAZ)))]
+
+
+@register("hazard_mix_by_city", Q.with_ctes(D + _mix_sql("city"), "SELECT * FROM mix"))
+def hazard_mix_by_city(spark, sf):
+    return r6(SM.level_mix(processed_d(spark, sf), "city", "hazard_level", HAZ))
+
+
+@register("hazard_mix_by_season", Q.with_ctes(D + _mix_sql("season"), """SELECT s.season, CAST(s.ord AS INTEGER) AS ord,
+  good, moderate, unhealthy_sensitive, unhealthy, hazardous
+FROM (VALUES ('dry', 0), ('transition', 1), ('wet', 2)) s(season, ord) LEFT JOIN mix USING (season)"""))
+def hazard_mix_by_season(spark, sf):
+    return r6(SM.level_mix(processed_d(spark, sf), "season", "hazard_level", HAZ, row_order=S.SEASONS))
+
+
+@register("hazard_share_long", Q.with_ctes(D, f"""SELECT city, hazard_level,
+  {Q.re2('count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY city)', 1)} AS share_pct
+FROM processed GROUP BY city, hazard_level"""))
+def hazard_share_long(spark, sf):
+    return r6(SM.level_share_long(processed_d(spark, sf), "city", "hazard_level"))
+
+
+def _corr_sql(cols: list[str]) -> str:
+    parts = [f"stddev_pop({c}) AS s{i}" for i, c in enumerate(cols)]
+    parts += [f"CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN corr({a}, {b}) END AS v{i}_{j}"
+              for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    sels = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            v = f"CASE WHEN s{i} > 0 THEN 1.0 END" if i == j else f"v{min(i, j)}_{max(i, j)}"
+            sels.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {Q.r6(v)} AS corr FROM cs")
+    return Q.with_ctes(D + [f"cs AS (SELECT {', '.join(parts)} FROM processed)"], "\nUNION ALL ".join(sels))
+
+
+@register("correlation_matrix", _corr_sql(CORR_COLS))
+def correlation_matrix(spark, sf):
+    return r6(SM.correlation_long(processed_d(spark, sf), CORR_COLS))
+
+
+@register("city_compare", Q.with_ctes(D, f"""SELECT city, {Q.r6('avg(pm25)')} AS pm25_mean,
+  {Q.r6('stddev_samp(pm25)')} AS pm25_std, {Q.r6('median(pm25)')} AS pm25_median,
+  CAST(row_number() OVER (ORDER BY avg(pm25), city) AS INTEGER) AS mean_rank
+FROM processed GROUP BY city"""))
+def city_compare(spark, sf):
+    return r6(SM.city_compare(processed_d(spark, sf)))
+
+
+@register("unhealthy_pct", Q.with_ctes(D, f"""SELECT city, {Q.r6('avg(is_unhealthy) * 100')} AS unhealthy_pct,
+  CAST(row_number() OVER (ORDER BY avg(is_unhealthy) * 100, city) AS INTEGER) AS pct_rank
+FROM processed GROUP BY city"""))
+def unhealthy_pct(spark, sf):
+    return r6(SM.rate_by(processed_d(spark, sf), "city"))
+
+
+@register("season_pivot", Q.with_ctes(D, f"""SELECT city,
+  {Q.r6("avg(CASE WHEN season = 'dry' THEN pm25 END)")} AS dry,
+  {Q.r6("avg(CASE WHEN season = 'transition' THEN pm25 END)")} AS transition,
+  {Q.r6("avg(CASE WHEN season = 'wet' THEN pm25 END)")} AS wet
+FROM processed GROUP BY city"""))
+def season_pivot(spark, sf):
+    return r6(SM.mean_pivot(processed_d(spark, sf), "city", "season", S.SEASONS))
+
+
+@register("season_mean", Q.with_ctes(D, f"""SELECT season, upper(substr(season, 1, 1)) || lower(substr(season, 2)) AS season_label,
+  {Q.r6('avg(pm25)')} AS pm25_mean FROM processed GROUP BY season"""))
+def season_mean(spark, sf):
+    d = SM.group_mean(processed_d(spark, sf), ["season"])
+    return r6(d.withColumn("season_label", S.capitalize("season")))
+
+
+@register("argmax_groups", Q.with_ctes(D + ["k AS (SELECT city, avg(pm25) AS m FROM processed GROUP BY city)",
+                                            "s AS (SELECT season, avg(pm25) AS m FROM processed GROUP BY season)"],
+          f"""SELECT (SELECT city FROM k ORDER BY m DESC, city LIMIT 1) AS most_polluted,
+  (SELECT city FROM k ORDER BY m, city LIMIT 1) AS cleanest,
+  (SELECT season FROM s ORDER BY m DESC, season LIMIT 1) AS worst_season,
+  (SELECT {Q.r6('avg(is_unhealthy) * 100')} FROM processed) AS overall_unhealthy_pct"""))
+def argmax_groups(spark, sf):
+    return r6(SM.argmax_groups(processed_d(spark, sf)))
+
+
+@register("overview", Q.with_ctes(H, """SELECT CAST(count(*) AS BIGINT) AS n_rows, min(datetime) AS datetime_min,
+  max(datetime) AS datetime_max, CAST(count(DISTINCT city) AS BIGINT) AS n_cities,
+  array_to_string(list_sort(list_distinct(list(city))), ', ') AS cities, CAST(18 AS INTEGER) AS n_columns
+FROM processed"""))
+def overview(spark, sf):
+    return SM.overview(processed_h(spark, sf))
+
+
+@register("top_hours", Q.with_ctes(H, f"""SELECT * FROM (SELECT hour, {Q.r6('avg(pm25)')} AS pm25_mean,
+  CAST(row_number() OVER (ORDER BY avg(pm25) DESC, hour) AS INTEGER) AS rank
+FROM processed GROUP BY hour) t WHERE rank <= 3"""))
+def top_hours(spark, sf):
+    return r6(SM.top_groups(processed_h(spark, sf), "hour", n=3))
+
+
+def _hist_sql(bins: int) -> str:
+    w = f"((mx - mn) / {bins})"
+    return Q.with_ctes(H + [
+        "r AS (SELECT city, min(pm25) AS mn, max(pm25) AS mx, count(pm25) AS n FROM processed GROUP BY city)",
+        f"""b AS (SELECT p.city, CASE WHEN mx = mn THEN 0
+             ELSE CAST(least(floor((pm25 - mn) * {bins} / (mx - mn)), {bins - 1}) AS INTEGER) END AS bin
+           FROM processed p JOIN r USING (city) WHERE pm25 IS NOT NULL)""",
+        "c AS (SELECT city, bin, count(*) AS c FROM b GROUP BY 1, 2)",
+        f"sp AS (SELECT city, mn, mx, n, unnest(range(0, {bins})) AS bin FROM r)"],
+        f"""SELECT sp.city, CAST(sp.bin AS INTEGER) AS bin, {Q.r6(f'mn + sp.bin * {w}')} AS bin_lo,
+  {Q.r6(f'mn + (sp.bin + 1) * {w}')} AS bin_hi, CAST(coalesce(c.c, 0) AS BIGINT) AS count,
+  CASE WHEN {w} > 0 THEN {Q.r6(f'coalesce(c.c, 0) / (n * {w})')} END AS density
+FROM sp LEFT JOIN c ON sp.city = c.city AND sp.bin = c.bin""")
+
+
+@register("histogram_50", _hist_sql(50))
+def histogram_50(spark, sf):
+    return r6(SM.histogram(processed_h(spark, sf), "city", "pm25", 50))
+
+
+@register("boxplot_stats", Q.with_ctes(H + ["""q AS (SELECT city, quantile_cont(pm25, 0.25) AS q1,
+  quantile_cont(pm25, 0.5) AS med, quantile_cont(pm25, 0.75) AS q3 FROM processed GROUP BY city)"""],
+          f"""SELECT q.city, {Q.r6('q1')} AS q1, {Q.r6('med')} AS median, {Q.r6('q3')} AS q3, {Q.r6('q3 - q1')} AS iqr,
+  {Q.r6('min(CASE WHEN pm25 >= q1 - 1.5 * (q3 - q1) THEN pm25 END)')} AS whisker_lo,
+  {Q.r6('max(CASE WHEN pm25 <= q3 + 1.5 * (q3 - q1) THEN pm25 END)')} AS whisker_hi,
+  CAST(sum(CASE WHEN pm25 < q1 - 1.5 * (q3 - q1) OR pm25 > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers,
+  CAST(row_number() OVER (ORDER BY med DESC, q.city) AS INTEGER) AS median_rank
+FROM processed p JOIN q USING (city) GROUP BY q.city, q1, med, q3"""))
+def boxplot_stats(spark, sf):
+    return r6(SM.boxplot_stats(processed_h(spark, sf)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
