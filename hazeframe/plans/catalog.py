@@ -289,6 +289,122 @@ def boxplot_stats(spark, sf):
     return r6(SM.boxplot_stats(processed_h(spark, sf)))
 
 
+# ---- M28-M30, A35, P10-P11, T5-T7 (association) --------------------------------------------------
+
+from hazeframe.operators import association as AS  # noqa: E402
+
+_TX = """tx AS (
+  SELECT 'city=' || coalesce(CAST(city AS VARCHAR), 'nan') AS i1,
+         'season=' || coalesce(season, 'nan') AS i2,
+         'time_period=' || coalesce(CASE WHEN hour <= -1 OR hour > 24 THEN NULL WHEN hour <= 6 THEN 'night'
+              WHEN hour <= 12 THEN 'morning' WHEN hour <= 18 THEN 'afternoon' ELSE 'evening' END, 'nan') AS i3,
+         'day_type=' || coalesce(CASE WHEN is_weekend = 0 THEN 'weekday' WHEN is_weekend = 1 THEN 'weekend' END, 'nan') AS i4,
+         'pm25_level=' || coalesce(CASE WHEN pm25 IS NULL OR pm25 <= 0 OR pm25 > 500 THEN NULL
+              WHEN pm25 <= 12 THEN 'good' WHEN pm25 <= 35.4 THEN 'moderate' WHEN pm25 <= 55.4 THEN 'usg'
+              WHEN pm25 <= 150.4 THEN 'unhealthy' ELSE 'hazardous' END, 'nan') AS i5
+  FROM processed)"""
+
+_ITEMSETS = [_TX, """cells AS (
+  SELECT list_sort(list_filter([CASE WHEN grouping(i1) = 0 THEN i1 END, CASE WHEN grouping(i2) = 0 THEN i2 END,
+           CASE WHEN grouping(i3) = 0 THEN i3 END, CASE WHEN grouping(i4) = 0 THEN i4 END,
+           CASE WHEN grouping(i5) = 0 THEN i5 END], lambda x: x IS NOT NULL)) AS items,
+         count(*) AS freq
+  FROM tx GROUP BY CUBE (i1, i2, i3, i4, i5))""",
+  """fi AS (
+  SELECT items, array_to_string(items, ', ') AS itemset, CAST(freq AS BIGINT) AS freq,
+         freq / (SELECT count(*) FROM tx) AS support, CAST(len(items) AS INTEGER) AS length
+  FROM cells WHERE len(items) > 0 AND freq / (SELECT count(*) FROM tx) >= 0.03)"""]
+
+_RULES = _ITEMSETS + ["""rs AS (
+  SELECT array_to_string(list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 1), ', ') AS a,
+         array_to_string(list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 0), ', ') AS c, support
+  FROM fi, range(1, 31) t(m) WHERE length >= 2 AND m <= (1 << length) - 2)""",
+  """rules AS (
+  SELECT rs.a AS antecedents_str, rs.c AS consequents_str, fa.support AS antecedent_support,
+         fc.support AS consequent_support, rs.support AS support,
+         rs.support / fa.support AS confidence, rs.support / fa.support / fc.support AS lift
+  FROM rs JOIN fi fa ON fa.itemset = rs.a JOIN fi fc ON fc.itemset = rs.c
+  WHERE rs.support / fa.support >= 0.4 AND rs.support / fa.support / fc.support >= 1.1)"""]
+
+_RULE_COLS = ("antecedents_str, consequents_str, " + ", ".join(
+    f"{Q.r6(c)} AS {c}" for c in ["antecedent_support", "consequent_support", "support", "confidence", "lift"]))
+
+
+def _rules(spark, sf, min_lift=AS.MIN_LIFT):
+    tx = AS.transactions(processed_d(spark, sf))
+    return AS.association_rules(AS.frequent_itemsets(tx), AS.MIN_CONFIDENCE, min_lift)
+
+
+# No rule of the synthetic tables reaches lift 1.1, so the rule post-processing queries below run
+# on the confidence-only rule set (the rule table before the lift filter) to check real rows.
+_RULES_CONF = _RULES[:-1] + [_RULES[-1].replace(" AND rs.support / fa.support / fc.support >= 1.1", "")]
+
+
+def _itemsets(spark, sf):
+    return AS.frequent_itemsets(AS.transactions(processed_d(spark, sf)))
+
+
+@register("transactions", Q.with_ctes(D + [_TX], """SELECT i1 || ', ' || i2 || ', ' || i3 || ', ' || i4 || ', ' || i5 AS basket,
+  CAST(count(*) AS BIGINT) AS n FROM tx GROUP BY 1"""))
+def transactions_q(spark, sf):
+    tx = AS.transactions(processed_d(spark, sf))
+    return tx.groupBy(F.array_join("items", ", ").alias("basket")).agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("frequent_itemsets", Q.with_ctes(D + _ITEMSETS, f"SELECT itemset, freq, {Q.r6('support')} AS support, length FROM fi"))
+def frequent_itemsets_q(spark, sf):
+    return r6(_itemsets(spark, sf).select("itemset", "freq", "support", "length"))
+
+
+@register("itemset_lengths", Q.with_ctes(D + _ITEMSETS, "SELECT length, CAST(count(*) AS BIGINT) AS n_itemsets FROM fi GROUP BY length"))
+def itemset_lengths_q(spark, sf):
+    return AS.itemset_lengths(_itemsets(spark, sf))
+
+
+@register("top_items", Q.with_ctes(D + _ITEMSETS, f"""SELECT * FROM (SELECT items[1] AS item, {Q.r6('support')} AS support,
+  CAST(row_number() OVER (ORDER BY support DESC, items[1]) AS INTEGER) AS support_rank FROM fi WHERE length = 1) t
+WHERE support_rank <= 20"""))
+def top_items_q(spark, sf):
+    return r6(AS.top_single_items(_itemsets(spark, sf), 20))
+
+
+@register("assoc_rules", Q.with_ctes(D + _RULES, f"""SELECT {_RULE_COLS},
+  CAST(row_number() OVER (ORDER BY lift DESC, antecedents_str, consequents_str) AS INTEGER) AS lift_rank FROM rules"""))
+def assoc_rules_q(spark, sf):
+    return r6(AS.rank_rules(_rules(spark, sf)).drop("antecedent", "consequent"))
+
+
+@register("assoc_rules_confident", Q.with_ctes(D + _RULES_CONF, f"""SELECT {_RULE_COLS},
+  CAST(row_number() OVER (ORDER BY lift DESC, antecedents_str, consequents_str) AS INTEGER) AS lift_rank FROM rules"""))
+def assoc_rules_confident_q(spark, sf):
+    return r6(AS.rank_rules(_rules(spark, sf, None)).drop("antecedent", "consequent"))
+
+
+@register("rules_with_level", Q.with_ctes(D + _RULES_CONF, f"""SELECT {_RULE_COLS} FROM rules
+WHERE contains(antecedents_str, 'pm25_level=') OR contains(consequents_str, 'pm25_level=')"""))
+def rules_with_level_q(spark, sf):
+    return r6(AS.rules_with_level(_rules(spark, sf, None)).drop("antecedent", "consequent"))
+
+
+@register("rules_by_consequent", Q.with_ctes(D + _RULES_CONF, f"""SELECT * FROM (
+  SELECT lv.level, {_RULE_COLS},
+         CAST(count(*) OVER (PARTITION BY lv.level) AS BIGINT) AS level_rules,
+         CAST(row_number() OVER (PARTITION BY lv.level ORDER BY lift DESC, antecedents_str, consequents_str) AS INTEGER) AS level_rank
+  FROM rules JOIN (VALUES ('good'), ('moderate'), ('usg'), ('unhealthy'), ('hazardous')) lv(level)
+    ON contains(consequents_str, 'pm25_level=' || lv.level)) t
+WHERE level_rank <= 3"""))
+def rules_by_consequent_q(spark, sf):
+    return r6(AS.rules_by_consequent(_rules(spark, sf, None)).drop("antecedent", "consequent"))
+
+
+@register("rule_labels", Q.with_ctes(D + _RULES_CONF, f"""SELECT lift_rank, rule, {Q.r6('lift')} AS lift, {Q.r6('confidence')} AS confidence FROM (
+  SELECT substr(antecedents_str || ' → ' || consequents_str, 1, 60) || '...' AS rule, lift, confidence,
+         CAST(row_number() OVER (ORDER BY lift DESC, antecedents_str, consequents_str) AS INTEGER) AS lift_rank
+  FROM rules) t WHERE lift_rank <= 15"""))
+def rule_labels_q(spark, sf):
+    return r6(AS.rule_labels(_rules(spark, sf, None), 15))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
