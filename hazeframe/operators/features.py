@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeframe.functions import scalars as S
-from hazeframe.operators.sequence import CHUNK, DEFAULT_CHUNK_ROWS, HALO, RN, halo_chunks
+from hazeframe.operators.sequence import CHUNK, DEFAULT_CHUNK_ROWS, HALO, RN, halo_chunks, materialize
 from hazeframe.operators.stats import key_medians
 
 CENTRED_WINDOW = 24          # centred rolling window (rows); frame is [-12, +11]
@@ -66,6 +66,7 @@ def bounded_window_features(df: DataFrame, keys, value: str = "pm25", rn_col: st
           .withColumn("target_next_hour", F.lead("is_unhealthy", 1).over(w).cast("int")))
     if chunk_rows:
         d = d.where(~F.col(HALO)).drop(HALO, CHUNK)
+    d = materialize(d)
     med = key_medians(d, keys, [value, "_cs"], median_strategy, ["_kmed", "_kmed_cs"])
     d = d.join(med, keys, "left")
     z = (v - F.col("_cm")) / (F.coalesce(F.col("_cs"), F.col("_kmed_cs")) + STD_EPS)

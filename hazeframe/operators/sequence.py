@@ -126,3 +126,21 @@ def carry_nonnull(df: DataFrame, keys, value: str, rn_col: str = RN,
     return (d.withColumn("_pv", prev["v"]).withColumn("_pi", prev["i"])
              .withColumn("_nv", nxt["v"]).withColumn("_ni", nxt["i"])
              .drop("_lp", "_ln", "_cprev", "_cnext", CHUNK))
+
+
+# How multi-pass operators pin an intermediate result that later steps read more than once
+# (a statistic computed from it and then joined back to it). Without it every such step repeats
+# the whole upstream plan, and nested steps repeat it exponentially often. "checkpoint" writes
+# to spark.checkpoint.dir (reliable, cuts the lineage), "cache" keeps it in executor
+# memory/disk, "none" leaves the plan as it is.
+MATERIALIZE = "checkpoint"
+
+
+def materialize(df: DataFrame, how: str | None = None) -> DataFrame:
+    how = how or MATERIALIZE
+    if how == "checkpoint":
+        return df.checkpoint(eager=True)
+    if how == "cache":
+        from pyspark import StorageLevel
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df

@@ -35,7 +35,10 @@ def register(name: str, sql: str | None = None):
 
 def r6(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (the oracle does the same)."""
-    cols = [F.round(F.col(f.name).cast("decimal(38,12)"), digits).cast("double").alias(f.name)
+    def rnd(c):
+        finite = ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+        return F.when(finite, F.round(c.cast("decimal(38,12)"), digits).cast("double")).otherwise(c)
+    cols = [rnd(F.col(f.name)).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f.name) for f in df.schema.fields]
     return df.select(*cols)
@@ -405,6 +408,208 @@ def rule_labels_q(spark, sf):
     return r6(AS.rule_labels(_rules(spark, sf, None), 15))
 
 
+# ---- M1-M5, M13, M7, M9, A23-A26 (modelling base, classifiers, evaluation) ------------------------
+
+from hazeframe.operators import classify as CL  # noqa: E402
+from hazeframe.operators import evaluate as EV  # noqa: E402
+from hazeframe.operators import prep as PR  # noqa: E402
+
+H_LEVELS = ["click", "error", "purchase", "signup", "view"]  # keys of the hourly view
+FEATS = PR.FORECAST_FEATURES + [f"city_{lv}" for lv in H_LEVELS]
+
+
+def _frame_h(spark, sf):
+    """Forecast frame over the hourly processed table plus the rule split used by the SQL checks:
+    a row is a test row when (day_of_year * 24 + hour) % 5 = 0."""
+    p = processed_h(spark, sf)
+    d, cols = PR.forecast_frame(p.withColumn("_t", (F.col("day_of_year") * 24 + F.col("hour")) % 5 == 0),
+                                levels=H_LEVELS)
+    return d, cols
+
+
+def _frame_with_split(spark, sf):
+    p = processed_h(spark, sf)
+    d, cols = PR.forecast_frame(p, levels=H_LEVELS)
+    d = d.withColumn("is_test", ((F.dayofyear("datetime") * 24 + F.hour("datetime")) % 5) == 0)
+    return d, cols
+
+
+_FRAME_SQL = """fr AS (
+  SELECT city, datetime, hour, day_of_week, month, is_weekend, pm25_lag_1h, pm25_lag_24h,
+         pm25_rolling_mean_24h, pm25_rolling_std_24h,
+         """ + ", ".join(f"CAST(city = '{lv}' AS INTEGER) AS city_{lv}" for lv in H_LEVELS) + """,
+         CAST(target_next_hour AS INTEGER) AS label, (day_of_year * 24 + hour) % 5 = 0 AS is_test
+  FROM processed WHERE target_next_hour IS NOT NULL)"""
+
+
+def _scaled_sql(src: str, fit_where: str, name: str) -> str:
+    stats = ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in FEATS)
+    cols = ", ".join(f"({c} - mu_{c}) / CASE WHEN sd_{c} = 0 THEN 1.0 ELSE sd_{c} END AS {c}" for c in FEATS)
+    return (f"{name}_st AS (SELECT {stats} FROM {src} WHERE {fit_where}),\n"
+            f"{name} AS (SELECT city, datetime, label, is_test, {cols} FROM {src}, {name}_st)")
+
+
+@register("impute_scale_onehot", Q.with_ctes(H + [_FRAME_SQL, _scaled_sql("fr", "true", "sc")],
+          "SELECT city, datetime, label, " + ", ".join(f"{Q.r6(c)} AS {c}" for c in FEATS) + " FROM sc"))
+def impute_scale_onehot(spark, sf):
+    d, cols = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
+    return r6(PR.standardize(d, cols).select("city", "datetime", "label", *cols))
+
+
+@register("split_counts", Q.with_ctes(H + [_FRAME_SQL], """SELECT label, CAST(count(*) AS BIGINT) AS n,
+  CAST(round(count(*) * 0.2) AS BIGINT) AS n_test, CAST(count(*) - round(count(*) * 0.2) AS BIGINT) AS n_train
+FROM fr GROUP BY label"""))
+def split_counts(spark, sf):
+    d, _ = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
+    s = PR.stratified_split(d)
+    return s.groupBy("label").agg(F.count(F.lit(1)).cast("long").alias("n"),
+                                  F.sum(F.col("is_test").cast("long")).alias("n_test"),
+                                  F.sum((~F.col("is_test")).cast("long")).alias("n_train"))
+
+
+@register("fold_counts", Q.with_ctes(H + [_FRAME_SQL], """SELECT label, CAST(f AS INTEGER) AS fold,
+  CAST(n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END AS BIGINT) AS n
+FROM (SELECT label, count(*) AS n FROM fr GROUP BY label) c, range(0, 5) t(f)"""))
+def fold_counts(spark, sf):
+    d, _ = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
+    return PR.stratified_folds(d).groupBy("label", "fold").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+def _nb_sql() -> list[str]:
+    parts = ["count(*) AS n"]
+    for c in (0, 1):
+        parts.append(f"sum(CASE WHEN label = {c} THEN 1 ELSE 0 END) AS n{c}")
+        for j, f in enumerate(FEATS):
+            parts.append(f"avg(CASE WHEN label = {c} THEN {f} END) AS mu{c}_{j}")
+            parts.append(f"var_pop(CASE WHEN label = {c} THEN {f} END) AS v{c}_{j}")
+    parts += [f"var_pop({f}) AS vall_{j}" for j, f in enumerate(FEATS)]
+    eps = "greatest(" + ", ".join(f"vall_{j}" for j in range(len(FEATS))) + ") * 1e-9"
+
+    def jll(c):
+        terms = " + ".join(f"(-0.5 * ln(2 * pi() * (v{c}_{j} + eps)) - power({f} - mu{c}_{j}, 2) / (2.0 * (v{c}_{j} + eps)))"
+                           for j, f in enumerate(FEATS))
+        return f"ln(n{c} / n) + {terms}"
+
+    return [f"nbm AS (SELECT {', '.join(parts)} FROM fr WHERE NOT is_test)",
+            f"nbe AS (SELECT *, {eps} AS eps FROM nbm)",
+            f"nbj AS (SELECT fr.city, fr.datetime, fr.label, {jll(0)} AS j0, {jll(1)} AS j1 FROM fr, nbe WHERE fr.is_test)",
+            "nb AS (SELECT city, datetime, label, 1.0 / (1.0 + exp(least(j0 - j1, 700.0))) AS score, "
+            "CAST(j1 > j0 AS INTEGER) AS prediction FROM nbj)"]
+
+
+NB_CTES = H + [_FRAME_SQL] + _nb_sql()
+
+
+def _nb_pred(spark, sf):
+    d, cols = _frame_with_split(spark, sf)
+    tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+    return CL.gnb_predict(te.select("city", "datetime", "label", *cols), CL.gnb_fit(tr, cols), cols)
+
+
+@register("gaussian_nb", Q.with_ctes(NB_CTES, f"SELECT city, datetime, label, {Q.r6('score')} AS score, prediction FROM nb"))
+def gaussian_nb(spark, sf):
+    return r6(_nb_pred(spark, sf).select("city", "datetime", "label", "score", "prediction"))
+
+
+@register("confusion", Q.with_ctes(NB_CTES, """SELECT g.label, g.prediction, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(label, prediction)
+LEFT JOIN (SELECT label, prediction, count(*) AS n FROM nb GROUP BY 1, 2) c USING (label, prediction)"""))
+def confusion(spark, sf):
+    return EV.confusion(_nb_pred(spark, sf))
+
+
+@register("classification_metrics", Q.with_ctes(NB_CTES + ["""cm AS (SELECT sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS tp,
+  sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS fp,
+  sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS fn,
+  sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS hit, count(*) AS n FROM nb)"""],
+          f"""SELECT {Q.r6('hit / n')} AS accuracy,
+  {Q.r6('CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END')} AS precision,
+  {Q.r6('CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END')} AS recall,
+  {Q.r6('CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END')} AS f1 FROM cm"""))
+def classification_metrics(spark, sf):
+    return r6(EV.binary_metrics(_nb_pred(spark, sf)))
+
+
+_SCORES = """sg AS (SELECT score AS s, sum(label) AS p, sum(1 - label) AS n FROM nb GROUP BY score),
+sb AS (SELECT s, p, n, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb,
+              coalesce(sum(p) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pb FROM sg)"""
+
+
+@register("roc_auc", Q.with_ctes(NB_CTES + [_SCORES], f"SELECT {Q.r6('sum(p * (nb + n / 2.0)) / (sum(p) * sum(n))')} AS roc_auc FROM sb"))
+def roc_auc(spark, sf):
+    return r6(EV.roc_auc(_nb_pred(spark, sf)))
+
+
+@register("roc_curve", Q.with_ctes(NB_CTES + [_SCORES], f"""SELECT {Q.r6('s')} AS threshold,
+  {Q.r6('(sum(n) OVER () - nb) / sum(n) OVER ()')} AS fpr, {Q.r6('(sum(p) OVER () - pb) / sum(p) OVER ()')} AS tpr FROM sb
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0"""))
+def roc_curve(spark, sf):
+    return r6(EV.roc_curve(_nb_pred(spark, sf)))
+
+
+def _knn_pred(spark, sf):
+    d, cols = _frame_with_split(spark, sf)
+    tr = d.where(~F.col("is_test"))
+    sc = PR.scaler_fit(tr, cols)
+    d = PR.scaler_apply(d, sc, cols)
+    tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+    return CL.knn_classify(tr, te.select("city", "datetime", "label", *cols), cols, ["city", "datetime"])
+
+
+_KNN_SQL = [_scaled_sql("fr", "NOT is_test", "ks"), """kd AS (
+  SELECT q.city, q.datetime, q.label, t.label AS y, sqrt(""" + " + ".join(f"power(q.{c} - t.{c}, 2)" for c in FEATS) + """) AS dist,
+         row_number() OVER (PARTITION BY q.city, q.datetime ORDER BY sqrt(""" + " + ".join(f"power(q.{c} - t.{c}, 2)" for c in FEATS) + """), t.city, t.datetime) AS rk
+  FROM ks q, ks t WHERE q.is_test AND NOT t.is_test)""",
+  """knn AS (SELECT city, datetime, label,
+  CASE WHEN sum(CASE WHEN dist = 0 THEN 1 ELSE 0 END) > 0
+       THEN sum(CASE WHEN dist = 0 THEN y END) / sum(CASE WHEN dist = 0 THEN 1 ELSE 0 END)
+       ELSE sum(CASE WHEN dist > 0 THEN y / dist END) / sum(CASE WHEN dist > 0 THEN 1.0 / dist END) END AS score
+  FROM kd WHERE rk <= 7 GROUP BY city, datetime, label)"""]
+
+
+@register("knn_classify", Q.with_ctes(H + [_FRAME_SQL] + _KNN_SQL,
+          f"SELECT city, datetime, label, {Q.r6('score')} AS score, CAST(score > 0.5 AS INTEGER) AS prediction FROM knn"))
+def knn_classify(spark, sf):
+    return r6(_knn_pred(spark, sf).select("city", "datetime", "label", "score", "prediction"))
+
+
+@register("tree_predict")
+def tree_predict(spark, sf):
+    d, cols = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
+    s = PR.stratified_split(d)
+    tr, te = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    m = CL.tree_fit(tr, cols)
+    return r6(CL.tree_predict(m, te.select("city", "datetime", "label", *cols), cols)
+              .select("city", "datetime", "label", "score", "prediction"))
+
+
+@register("feature_importance")
+def feature_importance(spark, sf):
+    d, cols = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
+    s = PR.stratified_split(d)
+    m = CL.tree_fit(s.where(~F.col("is_test")), cols)
+    return r6(CL.feature_importance(m, cols, spark))
+
+
+@register("svm_calibrated")
+def svm_calibrated(spark, sf):
+    d, cols = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
+    s = PR.stratified_split(d)
+    tr = s.where(~F.col("is_test"))
+    sc = PR.scaler_fit(tr, cols)
+    s = PR.scaler_apply(s, sc, cols)
+    pairs = CL.svm_calibrated_fit(s.where(~F.col("is_test")), cols)
+    return r6(CL.svm_calibrated_predict(pairs, s.where(F.col("is_test")).select("city", "datetime", "label", *cols), cols)
+              .select("city", "datetime", "label", "score", "prediction"))
+
+
+@register("cv_f1")
+def cv_f1(spark, sf):
+    d, cols = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
+    d = d.checkpoint()  # reused by 5 folds x 4 models
+    return r6(EV.fold_summary(CL.cross_validate(d, cols)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeframe.operators import clean, features
-from hazeframe.operators.sequence import DEFAULT_CHUNK_ROWS, RN, index_rows, reindex_within_chunks
+from hazeframe.operators.sequence import DEFAULT_CHUNK_ROWS, RN, index_rows, materialize, reindex_within_chunks
 
 PROCESSED_COLUMNS = [
     "datetime", "city", "pm25", "is_extreme", "hour", "day_of_week", "month", "day_of_year",
@@ -28,8 +28,8 @@ def filled_readings(df: DataFrame, key: str = "city", time: str = "datetime", va
                     median_strategy: str | None = None) -> DataFrame:
     """P6 -> W1-W3: gap-filled readings with ``_rn`` (position in the key before filtering)."""
     d = clean.nonfinite_to_null(df.select(key, time, F.col(value).cast("double").alias(value)), value)
-    d = index_rows(d, key, [time], bucket=F.date_trunc(index_bucket, F.col(time)))
-    d = clean.fill_gaps(d, key, value, chunk_rows=chunk_rows)
+    d = materialize(index_rows(d, key, [time], bucket=F.date_trunc(index_bucket, F.col(time))))
+    d = materialize(clean.fill_gaps(d, key, value, chunk_rows=chunk_rows))
     return clean.fill_with_key_median(d, key, value, median_strategy)
 
 
@@ -38,11 +38,11 @@ def processed(df: DataFrame, key: str = "city", time: str = "datetime", value: s
               median_strategy: str | None = None, keep_rn: bool = False) -> DataFrame:
     """The processed table: gap filled, range filtered, extreme flag, calendar, lags, target."""
     d = filled_readings(df, key, time, value, chunk_rows, index_bucket, median_strategy)
-    d = clean.range_filter(d, value)
+    d = materialize(clean.range_filter(d, value))
     d = reindex_within_chunks(d, key, rn_col=RN, size=chunk_rows)
     d = features.bounded_window_features(d, key, value, rn_col=RN, chunk_rows=chunk_rows,
                                          median_strategy=median_strategy)
     d = features.add_calendar(d, time, value)
     cols = [c.replace("pm25", value) if c.startswith("pm25") else c for c in PROCESSED_COLUMNS]
     cols = [time if c == "datetime" else key if c == "city" else c for c in cols]
-    return d.select(*cols, *([RN] if keep_rn else []))
+    return materialize(d.select(*cols, *([RN] if keep_rn else [])))

@@ -106,7 +106,8 @@ def chain_d() -> list[str]:
 
 def r6(x: str, digits: int = 6) -> str:
     """Round half-up on the decimal value (what Spark's ``round`` of a decimal does)."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
+    return (f"CASE WHEN isfinite(CAST({x} AS DOUBLE)) THEN CAST(round(CAST({x} AS DECIMAL(38, 12)), {digits}) AS DOUBLE) "
+            f"ELSE CAST({x} AS DOUBLE) END")
 
 
 def re2(x: str, digits: int = 2) -> str:
