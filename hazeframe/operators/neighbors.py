@@ -84,7 +84,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str]
             cand = cand.where(~reduce(lambda a, b: a & b, [F.col(f"q_{a}") == F.col(f"p_{b}")
                                                            for a, b in zip(q_ids, p_ids)]))
         cand = cand.select(*q_keys, *[f"p_{c}" for c in p_ids], _dist(feats).alias("dist"))
-        w = Window.partitionBy(*q_keys).orderBy("dist", *[f"p_{c}" for c in p_ids])
+        # distances equal to 9 decimals count as ties and are broken by the neighbour id, so that
+        # last-bit differences of the inputs cannot reorder neighbours
+        w = Window.partitionBy(*q_keys).orderBy(F.round("dist", 9), *[f"p_{c}" for c in p_ids])
         ranked = (cand.withColumn("nn_rank", F.row_number().over(w))
                       .where(F.col("nn_rank") <= k))
         stat = ranked.groupBy(*q_keys).agg(F.count(F.lit(1)).alias("_m"), F.max("dist").alias("_dk"))

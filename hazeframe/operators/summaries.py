@@ -127,8 +127,9 @@ def mean_pivot(df: DataFrame, key: str, pivot: str, values: Sequence[str], value
 def top_groups(df: DataFrame, key: str, value: str = "pm25", n: int = 3) -> DataFrame:
     """The ``n`` groups with the highest mean (ties: smaller key first)."""
     d = df.groupBy(key).agg(F.avg(value).alias(f"{value}_mean"))
-    return (d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(f"{value}_mean"), key)).cast("int"))
-             .where(F.col("rank") <= n))
+    order = [F.desc(f"{value}_mean"), F.col(key)]
+    top = d.orderBy(*order).limit(n)  # per-partition top-n, merged
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))  # n rows
 
 
 def argmax_groups(df: DataFrame, key: str = "city", season: str = "season", value: str = "pm25",

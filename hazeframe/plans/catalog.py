@@ -558,7 +558,7 @@ def _knn_pred(spark, sf):
 
 _KNN_SQL = [_scaled_sql("fr", "NOT is_test", "ks"), """kd AS (
   SELECT q.city, q.datetime, q.label, t.label AS y, sqrt(""" + " + ".join(f"power(q.{c} - t.{c}, 2)" for c in FEATS) + """) AS dist,
-         row_number() OVER (PARTITION BY q.city, q.datetime ORDER BY sqrt(""" + " + ".join(f"power(q.{c} - t.{c}, 2)" for c in FEATS) + """), t.city, t.datetime) AS rk
+         row_number() OVER (PARTITION BY q.city, q.datetime ORDER BY round(sqrt(""" + " + ".join(f"power(q.{c} - t.{c}, 2)" for c in FEATS) + """), 9), t.city, t.datetime) AS rk
   FROM ks q, ks t WHERE q.is_test AND NOT t.is_test)""",
   """knn AS (SELECT city, datetime, label,
   CASE WHEN sum(CASE WHEN dist = 0 THEN 1 ELSE 0 END) > 0
@@ -610,6 +610,285 @@ def cv_f1(spark, sf):
     return r6(EV.fold_summary(CL.cross_validate(d, cols)))
 
 
+# ---- M14-M21, A28-A30 (clustering) ---------------------------------------------------------------
+
+from hazeframe.operators import anomaly as AN  # noqa: E402
+from hazeframe.operators import cluster as CU  # noqa: E402
+from hazeframe.operators import pca as PC  # noqa: E402
+from hazeframe.operators.sequence import index_rows, materialize  # noqa: E402
+
+CF = PR.CLUSTER_FEATURES
+AF = PR.ANOMALY_FEATURES
+TOD = S.TIME_OF_DAY_LABELS
+_RULE_LABEL = "CASE time_of_day " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TOD)) + " END"
+
+
+def _rule_label():
+    lab = F.lit(None).cast("int")
+    for i, t in enumerate(TOD):
+        lab = F.when(F.col("time_of_day") == t, F.lit(i)).otherwise(lab)
+    return lab
+
+
+def _std_sql(name: str, feats: list[str], extra: str = "") -> str:
+    cols = ", ".join(f"CASE WHEN stddev_pop({f}) OVER () = 0 THEN {f} - avg({f}) OVER () "
+                     f"ELSE ({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () END AS {f}" for f in feats)
+    return f"{name} AS (SELECT city, datetime, {cols}{extra} FROM processed)"
+
+
+def _cluster_base(spark, sf, with_row_id: bool = False):
+    p = processed_h(spark, sf)
+    base = p.select("city", "datetime", *CF, _rule_label().alias("label"), "time_of_day",
+                    F.col("hour").alias("hour_of_day"), "season",
+                    "is_unhealthy", F.col("pm25").alias("pm25_raw"))
+    if with_row_id:
+        base = index_rows(base, [], ["city", "datetime"],
+                          bucket=F.struct(F.col("city"), F.date_trunc("day", F.col("datetime"))), rn_col="row_id")
+        base = base.withColumn("row_id", F.col("row_id") - 1)
+    d = PR.standardize(base, CF)
+    return materialize(d)
+
+
+_CF_SQL = _std_sql("cf", CF, f", {_RULE_LABEL} AS label, hour AS hour_of_day, season, city AS key, is_unhealthy, pm25 AS pm25_raw, "
+                             "CAST(row_number() OVER (ORDER BY city, datetime) - 1 AS BIGINT) AS row_id")
+_DIST_CF = "sqrt(" + " + ".join(f"power(a.{f} - b.{f}, 2)" for f in CF) + ")"
+
+
+@register("silhouette", Q.with_ctes(H + [_CF_SQL, f"""pd AS (SELECT a.city, a.datetime, a.label AS la, b.label AS lb, {_DIST_CF} AS d
+  FROM cf a, cf b WHERE NOT (a.city = b.city AND a.datetime = b.datetime))""",
+  "pc AS (SELECT city, datetime, la, lb, avg(d) AS m FROM pd GROUP BY ALL)",
+  """si AS (SELECT city, datetime, max(CASE WHEN lb = la THEN m END) AS a, min(CASE WHEN lb <> la THEN m END) AS b
+  FROM pc GROUP BY city, datetime)"""],
+  f"SELECT {Q.r6('avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette FROM si"))
+def silhouette_q(spark, sf):
+    return r6(CU.silhouette(_cluster_base(spark, sf), CF, "label", ["city", "datetime"]))
+
+
+@register("calinski_harabasz", Q.with_ctes(H + [_CF_SQL,
+  "cen AS (SELECT label, count(*) AS nc, " + ", ".join(f"avg({f}) AS c_{f}" for f in CF) + " FROM cf GROUP BY label)",
+  "g AS (SELECT count(*) AS n, " + ", ".join(f"avg({f}) AS g_{f}" for f in CF) + " FROM cf)",
+  "w AS (SELECT sum(" + " + ".join(f"power(cf.{f} - c_{f}, 2)" for f in CF) + ") AS w FROM cf JOIN cen USING (label))",
+  "b AS (SELECT sum(nc * (" + " + ".join(f"power(c_{f} - g_{f}, 2)" for f in CF) + ")) AS b, count(*) AS k, max(n) AS n FROM cen, g)"],
+  f"SELECT CASE WHEN k >= 2 THEN {Q.r6('(b / (k - 1)) / (w / (n - k))')} END AS calinski_harabasz FROM b, w"))
+def calinski_harabasz_q(spark, sf):
+    return r6(CU.calinski_harabasz(_cluster_base(spark, sf), CF, "label"))
+
+
+@register("davies_bouldin", Q.with_ctes(H + [_CF_SQL,
+  "cen AS (SELECT label, " + ", ".join(f"avg({f}) AS c_{f}" for f in CF) + " FROM cf GROUP BY label)",
+  "sc AS (SELECT label, avg(sqrt(" + " + ".join(f"power(cf.{f} - c_{f}, 2)" for f in CF) + ")) AS s FROM cf JOIN cen USING (label) GROUP BY label)",
+  "cs AS (SELECT * FROM cen JOIN sc USING (label))",
+  "r AS (SELECT x.label, max((x.s + y.s) / sqrt(" + " + ".join(f"power(x.c_{f} - y.c_{f}, 2)" for f in CF) + ")) AS r FROM cs x, cs y WHERE x.label <> y.label GROUP BY x.label)"],
+  f"SELECT {Q.r6('avg(r)')} AS davies_bouldin FROM r"))
+def davies_bouldin_q(spark, sf):
+    return r6(CU.davies_bouldin(_cluster_base(spark, sf), CF, "label"))
+
+
+@register("cluster_profile", Q.with_ctes(H + [_CF_SQL,
+  "kc AS (SELECT label, key, count(*) AS n, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, key) AS rk FROM cf GROUP BY label, key)"],
+  f"""SELECT CAST(cf.label AS INTEGER) AS cluster, {Q.r6('avg(pm25_raw)')} AS pm25_mean, {Q.r6('stddev_samp(pm25_raw)')} AS pm25_std,
+  CAST(count(*) AS BIGINT) AS n, {Q.r6('avg(is_unhealthy) * 100')} AS unhealthy_pct, any_value(kc.key) AS top_city
+FROM cf JOIN kc ON kc.label = cf.label AND kc.rk = 1 GROUP BY cf.label"""))
+def cluster_profile_q(spark, sf):
+    d = _cluster_base(spark, sf).withColumnRenamed("label", "cluster")
+    return r6(CU.cluster_profile(d.drop("pm25").withColumnRenamed("pm25_raw", "pm25")))
+
+
+@register("cluster_hour_pivot", Q.with_ctes(H + [_CF_SQL], "SELECT CAST(hour_of_day AS INTEGER) AS hour, " + ", ".join(
+    f"{Q.r6(f'avg(CASE WHEN label = {i} THEN pm25_raw END)')} AS c{i}" for i in range(len(TOD))) + " FROM cf GROUP BY hour_of_day"))
+def cluster_hour_pivot_q(spark, sf):
+    d = _cluster_base(spark, sf)
+    piv = d.groupBy(F.col("hour_of_day").alias("hour")).pivot("label", list(range(len(TOD)))).agg(F.avg("pm25_raw"))
+    return r6(piv.select("hour", *[F.col(str(i)).alias(f"c{i}") for i in range(len(TOD))]))
+
+
+@register("cluster_crosstab", Q.with_ctes(H + [_CF_SQL,
+  "t AS (SELECT label, count(*) AS t FROM cf GROUP BY label)",
+  "c AS (SELECT season, label, count(*) AS n FROM cf GROUP BY season, label)",
+  "pr AS (SELECT DISTINCT season FROM cf)"],
+  f"""SELECT s.season, CAST(t.label AS INTEGER) AS cluster,
+  CASE WHEN pr.season IS NOT NULL THEN {Q.r6('coalesce(c.n, 0) / t.t')} END AS share
+FROM (VALUES ('dry'), ('transition'), ('wet')) s(season) CROSS JOIN t
+LEFT JOIN c ON c.season = s.season AND c.label = t.label LEFT JOIN pr ON pr.season = s.season"""))
+def cluster_crosstab_q(spark, sf):
+    d = _cluster_base(spark, sf).withColumnRenamed("label", "cluster")
+    return r6(CU.crosstab_share(d, "season", "cluster", S.SEASONS))
+
+
+@register("dbscan_core", Q.with_ctes(H + [_CF_SQL, f"""nb AS (SELECT a.row_id, count(*) AS n FROM cf a, cf b
+  WHERE {_DIST_CF} <= 0.8 GROUP BY a.row_id)"""],
+  "SELECT cf.row_id, CAST(coalesce(n, 0) AS BIGINT) AS n_neighbors, coalesce(n, 0) >= 50 AS is_core FROM cf LEFT JOIN nb USING (row_id)"))
+def dbscan_core_q(spark, sf):
+    d = _cluster_base(spark, sf, with_row_id=True)
+    pts, _ = CU.dbscan_core(d.select("row_id", *CF), CF, "row_id")
+    return pts.select("row_id", "n_neighbors", "is_core")
+
+
+@register("dbscan_labels")
+def dbscan_labels_q(spark, sf):
+    d = _cluster_base(spark, sf, with_row_id=True)
+    return CU.dbscan(d.select("row_id", *CF), CF, "row_id").select("row_id", "n_neighbors", "is_core", "cluster")
+
+
+@register("kmeans_labels")
+def kmeans_labels_q(spark, sf):
+    d = _cluster_base(spark, sf)
+    return CU.kmeans_labels(d.select("city", "datetime", *CF), CF, k=4).select("city", "datetime", "cluster")
+
+
+@register("k_sweep")
+def k_sweep_q(spark, sf):
+    d = _cluster_base(spark, sf).select("city", "datetime", *CF)
+    return r6(CU.k_sweep(d, CF, ["city", "datetime"]))
+
+
+@register("gmm_labels")
+def gmm_labels_q(spark, sf):
+    d = _cluster_base(spark, sf).select("city", "datetime", *CF)
+    return CU.gmm_labels(d, CF, k=4).select("city", "datetime", "cluster")
+
+
+@register("cluster_eval")
+def cluster_eval_q(spark, sf):
+    d = _cluster_base(spark, sf).select("city", "datetime", *CF)
+    lab = CU.kmeans_labels(d, CF, k=4)
+    return r6(CU.evaluate_clustering(lab, CF, "cluster", ["city", "datetime"], "K-Means"))
+
+
+# ---- M23-M27, A31-A32, T3, W9 (anomalies, PCA) ----------------------------------------------------
+
+_AF_SQL = _std_sql("af", AF, ", pm25 AS pm25_raw")
+_DIST_AF = "sqrt(" + " + ".join(f"power(a.{f} - b.{f}, 2)" for f in AF) + ")"
+_LOF_SQL = [_AF_SQL, f"""nn AS (SELECT * FROM (SELECT a.city AS qc, a.datetime AS qd, b.city AS pc, b.datetime AS pd, {_DIST_AF} AS d,
+    row_number() OVER (PARTITION BY a.city, a.datetime ORDER BY round({_DIST_AF}, 9), b.city, b.datetime) AS rk
+  FROM af a, af b WHERE NOT (a.city = b.city AND a.datetime = b.datetime)) t WHERE rk <= 20)""",
+  "kd AS (SELECT qc, qd, max(d) AS kd FROM nn GROUP BY qc, qd)",
+  """lrd AS (SELECT nn.qc, nn.qd, 1.0 / (avg(greatest(nn.d, kd.kd)) + 1e-10) AS lrd
+  FROM nn JOIN kd ON kd.qc = nn.pc AND kd.qd = nn.pd GROUP BY nn.qc, nn.qd)""",
+  """lof AS (SELECT nn.qc AS city, nn.qd AS datetime, avg(l2.lrd) / l1.lrd AS lof FROM nn
+  JOIN lrd l2 ON l2.qc = nn.pc AND l2.qd = nn.pd JOIN lrd l1 ON l1.qc = nn.qc AND l1.qd = nn.qd
+  GROUP BY nn.qc, nn.qd, l1.lrd)""",
+  "lofq AS (SELECT quantile_cont(-lof, 0.05) AS thr FROM lof)",
+  """flags AS (SELECT p.*, abs((p.pm25 - avg(p.pm25) OVER ()) / stddev_pop(p.pm25) OVER ()) > 3 AS anomaly_zscore,
+    -l.lof < q.thr AS anomaly_lof, p.is_extreme = 1 AS anomaly_extreme
+  FROM processed p JOIN lof l USING (city, datetime), lofq q)""",
+  """cons AS (SELECT *, CAST(anomaly_zscore AS INTEGER) + CAST(anomaly_lof AS INTEGER) + CAST(anomaly_extreme AS INTEGER) AS n_methods,
+    CAST(anomaly_zscore AS INTEGER) + CAST(anomaly_lof AS INTEGER) + CAST(anomaly_extreme AS INTEGER) >= 2 AS anomaly_consensus FROM flags)"""]
+FLAGS = ["anomaly_zscore", "anomaly_lof", "anomaly_extreme"]
+
+
+def _anomaly_frame(spark, sf):
+    p = processed_h(spark, sf)
+    af = PR.standardize(p.select("city", "datetime", *AF), AF)
+    lof = AN.lof_flag(AN.lof_scores(af, AF, ["city", "datetime"]))
+    d = AN.zscore_flag(p).join(lof, ["city", "datetime"]).withColumn("anomaly_extreme", F.col("is_extreme") == 1)
+    return materialize(AN.consensus(d, FLAGS))
+
+
+@register("zscore_flag", Q.with_ctes(H, "SELECT city, datetime, abs((pm25 - avg(pm25) OVER ()) / stddev_pop(pm25) OVER ()) > 3 AS anomaly_zscore FROM processed"))
+def zscore_flag_q(spark, sf):
+    return AN.zscore_flag(processed_h(spark, sf)).select("city", "datetime", "anomaly_zscore")
+
+
+@register("lof_scores", Q.with_ctes(H + _LOF_SQL, f"SELECT city, datetime, {Q.r6('lof')} AS lof, -lof < thr AS anomaly_lof FROM lof, lofq"))
+def lof_scores_q(spark, sf):
+    p = processed_h(spark, sf)
+    af = PR.standardize(p.select("city", "datetime", *AF), AF)
+    return r6(AN.lof_flag(AN.lof_scores(af, AF, ["city", "datetime"])))
+
+
+@register("consensus", Q.with_ctes(H + _LOF_SQL, "SELECT city, datetime, " + ", ".join(FLAGS) + ", n_methods, anomaly_consensus FROM cons"))
+def consensus_q(spark, sf):
+    return _anomaly_frame(spark, sf).select("city", "datetime", *FLAGS, "n_methods", "anomaly_consensus")
+
+
+_RATE_DIMS = ["city", "season", "month", "hour"]
+
+
+@register("anomaly_rates", Q.with_ctes(H + _LOF_SQL + [
+  "w AS (SELECT " + ", ".join(f"{c}" for c in _RATE_DIMS) + ", " + ", ".join(f"CAST({f} AS INTEGER) AS {f}" for f in FLAGS + ["anomaly_consensus"]) + " FROM cons)",
+  "g AS (SELECT CASE " + " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in _RATE_DIMS) + " ELSE 'all' END AS dim, CASE "
+  + " ".join(f"WHEN grouping({d}) = 0 THEN CAST({d} AS VARCHAR)" for d in _RATE_DIMS) + " ELSE 'all' END AS value, "
+  + ", ".join(f"avg({f}) * 100 AS {f}" for f in FLAGS + ["anomaly_consensus"])
+  + " FROM w GROUP BY GROUPING SETS ((), " + ", ".join(f"({d})" for d in _RATE_DIMS) + "))"],
+  "\nUNION ALL ".join(f"SELECT dim, value, '{f}' AS method, {Q.r6(f)} AS rate_pct FROM g" for f in FLAGS + ["anomaly_consensus"])))
+def anomaly_rates_q(spark, sf):
+    return r6(AN.anomaly_rates(_anomaly_frame(spark, sf), FLAGS + ["anomaly_consensus"], _RATE_DIMS))
+
+
+@register("anomaly_days", Q.with_ctes(H + _LOF_SQL, f"""SELECT city, CAST(datetime AS DATE) AS date, {Q.r6('avg(pm25)')} AS pm25_mean,
+  CAST(sum(CAST(anomaly_consensus AS INTEGER)) AS BIGINT) AS n_anomalies FROM cons GROUP BY 1, 2
+HAVING sum(CAST(anomaly_consensus AS INTEGER)) > 0"""))
+def anomaly_days_q(spark, sf):
+    return r6(AN.anomaly_days(_anomaly_frame(spark, sf), "anomaly_consensus"))
+
+
+@register("agreement_hist", Q.with_ctes(H + _LOF_SQL, "SELECT n_methods, CAST(count(*) AS BIGINT) AS n_rows FROM cons GROUP BY n_methods"))
+def agreement_hist_q(spark, sf):
+    return AN.agreement_hist(_anomaly_frame(spark, sf))
+
+
+@register("method_counts", Q.with_ctes(H + _LOF_SQL, "\nUNION ALL ".join(
+    f"SELECT '{f}' AS method, CAST(sum(CAST({f} AS INTEGER)) AS BIGINT) AS n_flagged FROM cons" for f in FLAGS)))
+def method_counts_q(spark, sf):
+    return AN.method_counts(_anomaly_frame(spark, sf), FLAGS)
+
+
+@register("top_anomalies", Q.with_ctes(H + _LOF_SQL, f"""SELECT * FROM (SELECT datetime, city, {Q.r6('pm25')} AS pm25,
+  CAST(row_number() OVER (ORDER BY pm25 DESC, city, datetime) AS INTEGER) AS rank FROM cons WHERE anomaly_consensus) t
+WHERE rank <= 10"""))
+def top_anomalies_q(spark, sf):
+    return r6(AN.top_anomalies(_anomaly_frame(spark, sf), "anomaly_consensus", 10))
+
+
+@register("ocsvm_flag")
+def ocsvm_flag_q(spark, sf):
+    p = processed_h(spark, sf)
+    af = PR.standardize(p.select("city", "datetime", *AF), AF)
+    return AN.ocsvm_flag(af, AF).select("city", "datetime", "anomaly_ocsvm")
+
+
+@register("anomaly_methods_full")
+def anomaly_methods_full_q(spark, sf):
+    """The analysed pipeline's three detectors (z-score, LOF, one-class SVM) and their consensus."""
+    p = processed_h(spark, sf)
+    af = PR.standardize(p.select("city", "datetime", *AF), AF)
+    lof = AN.lof_flag(AN.lof_scores(af, AF, ["city", "datetime"]))
+    oc = AN.ocsvm_flag(af, AF).select("city", "datetime", "anomaly_ocsvm")
+    d = AN.zscore_flag(p).join(lof, ["city", "datetime"]).join(oc, ["city", "datetime"])
+    d = AN.consensus(d, ["anomaly_zscore", "anomaly_lof", "anomaly_ocsvm"])
+    return r6(d.select("city", "datetime", "pm25", "anomaly_zscore", "anomaly_lof", "anomaly_ocsvm", "n_methods",
+                       "anomaly_consensus"))
+
+
+@register("pca_ratio")
+def pca_ratio_q(spark, sf):
+    p = processed_h(spark, sf)
+    af = PR.standardize(p.select("city", "datetime", *AF), AF)
+    return r6(PC.explained_variance(af, AF))
+
+
+@register("pca_components_needed")
+def pca_components_needed_q(spark, sf):
+    p = processed_h(spark, sf)
+    af = PR.standardize(p.select("city", "datetime", *AF), AF)
+    return PC.components_needed(PC.explained_variance(af, AF))
+
+
+@register("pca_scores")
+def pca_scores_q(spark, sf):
+    p = processed_h(spark, sf)
+    af = PR.standardize(p.select("city", "datetime", *AF), AF)
+    return r6(PC.pca_scores(af, AF, 2).select("city", "datetime", "pca_1", "pca_2"))
+
+
+@register("pca_loadings")
+def pca_loadings_q(spark, sf):
+    p = processed_h(spark, sf)
+    af = PR.standardize(p.select("city", "datetime", *AF), AF)
+    return r6(PC.loadings(af, AF, 3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
