@@ -83,27 +83,32 @@ def ocsvm_flag(df: DataFrame, feats: Sequence[str], nu: float = OCSVM_NU, n_feat
     z = [F.lit(scale) * F.cos(reduce(lambda a, c: a + c, [F.lit(float(W[j, i])) * F.col(f) for i, f in enumerate(feats)])
                               + F.lit(float(b[j]))) for j in range(n_features)]
     zdf = materialize(df.withColumn("_z", F.array(*z)))
+    spark = df.sparkSession
     # start at the kernel mean embedding, then sub-gradient steps on
     #   1/2 |w|^2 - rho + 1/(nu n) sum max(0, rho - w.z)
-    mean = zdf.agg(*[F.avg(F.col("_z")[j]).alias(f"e{j}") for j in range(n_features)]).first()
-    w = np.array([mean[f"e{j}"] for j in range(n_features)])
+    # w and rho travel as a one-row table (not as literals), so every step runs the same plan
+    mean = zdf.agg(F.array(*[F.avg(F.col("_z")[j]) for j in range(n_features)]).alias("e")).first()["e"]
+    w = np.array(mean, dtype=float)
+    score = F.aggregate(F.zip_with("_z", "_w", lambda a, c: a * c), F.lit(0.0), lambda acc, x: acc + x)
 
-    def score(wv):
-        return reduce(lambda a, c: a + c, [F.lit(float(wv[j])) * F.col("_z")[j] for j in range(n_features)])
+    def with_model(wv, rho_v):
+        m = spark.createDataFrame([(wv.tolist(), float(rho_v))], "_w array<double>, _rho double")
+        return zdf.crossJoin(F.broadcast(m))  # one row
 
-    rho = zdf.agg(F.percentile_approx(score(w), nu, 10_000).alias("r")).first()["r"]
+    rho = with_model(w, 0.0).agg(F.percentile_approx(score, nu, 10_000).alias("r")).first()["r"]
+    grad = F.array(*[F.sum(F.col("_z")[j]) for j in range(n_features)])
     for t in range(iters):
-        s = score(w)
-        agg = zdf.where(s < rho).agg(F.count(F.lit(1)).alias("c"),
-                                     *[F.sum(F.col("_z")[j]).alias(f"g{j}") for j in range(n_features)]).first()
-        viol = np.array([agg[f"g{j}"] or 0.0 for j in range(n_features)])
+        agg = (with_model(w, rho).where(score < F.col("_rho"))
+               .agg(F.count(F.lit(1)).alias("c"), grad.alias("g")).first())
+        viol = np.array(agg["g"] if agg["c"] else [0.0] * n_features, dtype=float)
         gw = w - viol / (nu * n)
         grho = -1.0 + agg["c"] / (nu * n)
         step = 1.0 / (t + 2)
         w = w - step * gw
         rho = rho - step * grho
-    thr = zdf.agg(F.percentile_approx(score(w), nu, 10_000).alias("r")).first()["r"]
-    return zdf.withColumn(out, score(w) < F.lit(thr)).drop("_z")
+    scored = with_model(w, 0.0).withColumn("_s", score)
+    thr = scored.agg(F.percentile_approx("_s", nu, 10_000).alias("r")).first()["r"]
+    return scored.withColumn(out, F.col("_s") < F.lit(thr)).drop("_z", "_w", "_rho", "_s")
 
 
 def consensus(df: DataFrame, flags: Sequence[str], need: int = 2, out: str = "anomaly_consensus") -> DataFrame:

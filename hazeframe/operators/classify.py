@@ -21,6 +21,7 @@ VAR_SMOOTHING = 1e-9
 KNN_K = 7
 TREE_PARAMS = dict(maxDepth=10, minInstancesPerNode=50, maxBins=256, seed=42, impurity="gini")
 SVM_FOLDS = 3
+SVM_MAX_ITER = 100
 
 
 # ---- Gaussian naive Bayes (M9) ----------------------------------------------------------------
@@ -141,7 +142,7 @@ def svm_calibrated_fit(train: DataFrame, feats: Sequence[str], label: str = "lab
         fit_part = _assemble(balanced_weights(d.where(F.col("_f") != f), label), feats)
         held = _assemble(d.where(F.col("_f") == f), feats)
         svm = LinearSVC(featuresCol="features", labelCol=label, weightCol="weight", regParam=reg,
-                        maxIter=200, standardization=False).fit(fit_part)
+                        maxIter=SVM_MAX_ITER, tol=1e-4, standardization=False).fit(fit_part)
         margins = svm.transform(held).select(F.col(label).cast("int").alias("_y"),
                                              _p1("rawPrediction").alias("m"))
         cnt = margins.agg(F.sum("_y").alias("_np"), F.sum(1 - F.col("_y")).alias("_nn"))

@@ -15,12 +15,15 @@ so its full distance is > r.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_GRID_DIMS = 4
+
 
 def _dist(feats: Sequence[str], a: str = "q_", b: str = "p_"):
     return F.sqrt(reduce(lambda x, y: x + y, [F.pow(F.col(a + f) - F.col(b + f), 2) for f in feats]))
@@ -56,26 +59,35 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str]
     """Exact k nearest ``points`` of every query row: (q_<ids>, p_<ids>, dist, nn_rank).
 
     ``exclude_self`` drops pairs whose ids are equal (self-join use). Feature columns must be
-    numeric without NULLs. ``grid_dims`` defaults to the first three features.
+    numeric without NULLs. ``grid_dims`` defaults to the widest non-constant features (at most
+    ``MAX_GRID_DIMS``).
     """
     feats, q_ids, p_ids = list(feats), list(q_ids), list(p_ids)
-    gdims = list(grid_dims) if grid_dims else feats[:3]
     q = _prefixed(queries, q_ids, feats, "q_")
     p = _prefixed(points, p_ids, feats, "p_")
-    # starting side from the points' density in the grid coordinates: about k points per cell
+    # one small aggregate row per side: count and the range of every feature
     st = points.agg(F.count(F.lit(1)).alias("n"),
-                    *[F.min(f).alias(f"lo{i}") for i, f in enumerate(gdims)],
-                    *[F.max(f).alias(f"hi{i}") for i, f in enumerate(gdims)]).collect()[0]
-    qt = queries.agg(*[F.min(f).alias(f"lo{i}") for i, f in enumerate(gdims)],
-                     *[F.max(f).alias(f"hi{i}") for i, f in enumerate(gdims)]).collect()[0]
+                    *[F.min(f).alias(f"lo{i}") for i, f in enumerate(feats)],
+                    *[F.max(f).alias(f"hi{i}") for i, f in enumerate(feats)]).collect()[0]
+    qt = queries.agg(*[F.min(f).alias(f"lo{i}") for i, f in enumerate(feats)],
+                     *[F.max(f).alias(f"hi{i}") for i, f in enumerate(feats)]).collect()[0]
     n = max(int(st["n"]), 1)
-    widths = [max(float((st[f"hi{i}"] or 0.0) - (st[f"lo{i}"] or 0.0)), 1e-12) for i in range(len(gdims))]
-    vol = reduce(lambda a, b: a * b, widths, 1.0)
-    r = max((k * vol / n) ** (1.0 / len(gdims)), 1e-9)
+    width = {f: float((st[f"hi{i}"] or 0.0) - (st[f"lo{i}"] or 0.0)) for i, f in enumerate(feats)}
+    if grid_dims:
+        gdims = list(grid_dims)
+    else:  # the widest non-constant coordinates (at most MAX_GRID_DIMS)
+        gdims = [f for f in sorted(feats, key=lambda f: -width[f]) if width[f] > 0][:MAX_GRID_DIMS] or feats[:1]
+    dg = len(gdims)
+    vol = reduce(lambda a, b: a * b, [max(width[f], 1e-12) for f in gdims], 1.0)
+    # start where the k-ball around a query is expected to fit inside its 3^d neighbourhood:
+    # k = density * V_d * r^d  (V_d = volume of the unit d-ball)
+    v_d = math.pi ** (dg / 2) / math.gamma(dg / 2 + 1)
+    r = max((k * vol / (n * v_d)) ** (1.0 / dg), 1e-9)
     # the rounds end once one cell side exceeds the joint extent of queries and points
-    extent = max(max(x for x in (st[f"hi{i}"], qt[f"hi{i}"]) if x is not None)
-                 - min(x for x in (st[f"lo{i}"], qt[f"lo{i}"]) if x is not None)
-                 for i in range(len(gdims))) if n > 0 and st["lo0"] is not None else 0.0
+    idx = {f: i for i, f in enumerate(feats)}
+    extent = max((max(x for x in (st[f"hi{idx[f]}"], qt[f"hi{idx[f]}"]) if x is not None)
+                  - min(x for x in (st[f"lo{idx[f]}"], qt[f"lo{idx[f]}"]) if x is not None))
+                 for f in gdims) if st[f"lo{idx[gdims[0]]}"] is not None else 0.0
     q_keys = [f"q_{c}" for c in q_ids]
     pending, done = q, []
     for _ in range(max_rounds):

@@ -130,16 +130,23 @@ def carry_nonnull(df: DataFrame, keys, value: str, rn_col: str = RN,
 
 # How multi-pass operators pin an intermediate result that later steps read more than once
 # (a statistic computed from it and then joined back to it). Without it every such step repeats
-# the whole upstream plan, and nested steps repeat it exponentially often. "checkpoint" writes
-# to spark.checkpoint.dir (reliable, cuts the lineage), "cache" keeps it in executor
-# memory/disk, "none" leaves the plan as it is.
-MATERIALIZE = "checkpoint"
+# the whole upstream plan, and nested steps repeat it exponentially often. "cache" keeps it in
+# executor memory / local disk (lazy, no extra job; lost blocks are recomputed from the lineage),
+# "checkpoint" writes it to spark.checkpoint.dir (an extra job, cuts the lineage; the iterative
+# loops use it every round), "none" leaves the plan as it is.
+MATERIALIZE = "cache"
 
 
 def materialize(df: DataFrame, how: str | None = None) -> DataFrame:
     how = how or MATERIALIZE
     if how == "checkpoint":
-        return df.checkpoint(eager=True)
+        # persist first: writing the checkpoint files runs a second job over the same plan, which
+        # then reads the persisted blocks instead of recomputing
+        from pyspark import StorageLevel
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = df.checkpoint(eager=True)
+        df.unpersist()
+        return out
     if how == "cache":
         from pyspark import StorageLevel
         return df.persist(StorageLevel.MEMORY_AND_DISK)
