@@ -889,6 +889,102 @@ def pca_loadings_q(spark, sf):
     return r6(PC.loadings(af, AF, 3))
 
 
+# ---- S1-S7, P1-P3, U1, J1, J2, T4, P9, F19, F21 (sources and sinks) ------------------------------
+
+from hazeframe.sources import derive as DV  # noqa: E402
+from hazeframe.sources import files as FS  # noqa: E402
+from hazeframe.sources import landing as LD  # noqa: E402
+
+LANDED_YEAR = 2024  # the year the events table covers (the request year of the landed pages)
+
+
+@register("schema_coalesce_union", "SELECT event_type AS city, ts AS datetime, value AS pm25 FROM events")
+def schema_coalesce_union(spark, sf):
+    root = DV.scratch_dir(spark, "landing")
+    path = DV.land_raw_csv(standins.table(spark, sf, "events"), root)
+    return FS.standardize(FS.read_raw_csv(spark, path)).select("city", "datetime", "pm25")
+
+
+def _pages(spark, sf):
+    root = DV.scratch_dir(spark, "landing")
+    return LD.read_pages(spark, DV.land_pages(standins.table(spark, sf, "events"), root))
+
+
+@register("pages_flat", f"""SELECT CAST(user_id % 40 AS BIGINT) AS sensor_id, CAST(count(*) AS BIGINT) AS rows,
+  min(date_trunc('second', ts)) AS first_hour, max(date_trunc('second', ts)) AS last_hour, {Q.r6('sum(value)')} AS value_sum
+FROM events GROUP BY 1""")
+def pages_flat(spark, sf):
+    p = _pages(spark, sf)
+    return r6(p.groupBy(F.col("sensor_id").cast("long").alias("sensor_id"))
+               .agg(F.count(F.lit(1)).cast("long").alias("rows"), F.min("datetime").alias("first_hour"),
+                    F.max("datetime").alias("last_hour"), F.sum("value").alias("value_sum")))
+
+
+@register("page_completeness", """SELECT CAST(user_id % 40 AS BIGINT) AS sensor_id, CAST(count(*) AS BIGINT) AS rows,
+  CAST(CASE WHEN count(*) > 1000 THEN 1001 ELSE count(*) END AS BIGINT) AS reported,
+  CAST(ceil(count(*) / 1000.0) AS BIGINT) AS pages
+FROM events GROUP BY 1""")
+def page_completeness(spark, sf):
+    p = _pages(spark, sf).withColumn("sensor_id", F.col("sensor_id").cast("long"))
+    return LD.page_completeness(p)
+
+
+_CITY_VALUES = ", ".join(f"({i}, '{c}', {lat}, {lon})" for i, (c, lat, lon) in enumerate(LD.CITIES))
+_STATIONS_SQL = [
+    "locs AS (SELECT DISTINCT user_id % 40 AS loc FROM events)",
+    f"cty AS (SELECT * FROM (VALUES {_CITY_VALUES}) c(ci, city, lat, lon))",
+    """st AS (SELECT loc, city, lat + (loc % 10) * 0.03 AS latitude, lon AS longitude, lat AS clat, lon AS clon,
+    loc % 3 <> 0 AS is_monitor, loc % 5 = 0 AS is_mobile FROM locs JOIN cty ON loc % 4 = ci WHERE loc % 7 <> 0)""",
+    """near AS (SELECT * FROM st WHERE 2 * 6371008.8 * asin(sqrt(power(sin((radians(clat) - radians(latitude)) / 2), 2)
+    + cos(radians(latitude)) * cos(radians(clat)) * power(sin((radians(clon) - radians(longitude)) / 2), 2))) <= 25000)""",
+    """pref AS (SELECT *, max(CAST(is_monitor AND NOT is_mobile AS INTEGER)) OVER (PARTITION BY city) AS anyst FROM near)""",
+    """sel AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY loc) AS station_rank FROM pref
+    WHERE (is_monitor AND NOT is_mobile) OR anyst = 0)"""]
+
+
+def _selected_sensors(spark, sf):
+    root = DV.scratch_dir(spark, "landing")
+    st = LD.read_stations(spark, DV.land_stations(standins.table(spark, sf, "events"), root))
+    near = LD.stations_near(st, LD.city_dimension(spark)).where(F.col("near_city") == F.col("city"))
+    return LD.station_sensors(LD.select_stations(near))
+
+
+@register("station_sensors", Q.with_ctes(_STATIONS_SQL, """SELECT city, CAST(loc AS BIGINT) AS location_id,
+  'Station ' || loc AS location_name, CAST(loc AS BIGINT) AS sensor_id, CAST(station_rank AS INTEGER) AS station_rank
+FROM sel WHERE station_rank <= 5"""))
+def station_sensors(spark, sf):
+    s = _selected_sensors(spark, sf)
+    return s.select("city", "location_id", "location_name", "sensor_id", F.col("station_rank").cast("int"))
+
+
+@register("measurements_hourly", Q.with_ctes(_STATIONS_SQL + ["sel5 AS (SELECT * FROM sel WHERE station_rank <= 5)"],
+          f"""SELECT date_trunc('hour', e.ts) AS datetime, sel5.city, {Q.r6('avg(e.value)')} AS pm25
+FROM events e JOIN sel5 ON e.user_id % 40 = sel5.loc
+WHERE e.value IS NOT NULL AND e.value >= 0 AND year(e.ts) = {LANDED_YEAR} GROUP BY 1, 2"""))
+def measurements_hourly(spark, sf):
+    pages = LD.restrict_year(_pages(spark, sf).withColumn("sensor_id", F.col("sensor_id").cast("long")), LANDED_YEAR)
+    sensors = _selected_sensors(spark, sf)
+    return r6(LD.hourly_readings(LD.enrich(pages, sensors)))
+
+
+@register("processed_roundtrip", Q.with_ctes(H, f"SELECT {_PROC_COLS} FROM processed"))
+def processed_roundtrip(spark, sf):
+    root = DV.scratch_dir(spark, "sink")
+    FS.write_table(processed_h(spark, sf), root + "/csv", fmt="csv")
+    back = FS.read_processed(spark, root + "/csv", fmt="csv")
+    FS.write_table(back, root + "/parquet")
+    return r6(FS.read_processed(spark, root + "/parquet").orderBy("city", "datetime"))
+
+
+@register("raw_by_city", Q.with_ctes([Q.READINGS_H], """SELECT replace(lower(city), ' ', '_') AS city_slug,
+  CAST(count(*) AS BIGINT) AS n FROM readings_h GROUP BY 1"""))
+def raw_by_city(spark, sf):
+    root = DV.scratch_dir(spark, "sink")
+    FS.write_raw_by_city(hourly(spark, sf), root + "/raw", fmt="csv")
+    back = spark.read.option("header", True).csv(root + "/raw")
+    return back.groupBy(F.col("city_slug").cast("string")).agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
