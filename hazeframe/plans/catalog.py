@@ -985,6 +985,21 @@ def raw_by_city(spark, sf):
     return back.groupBy(F.col("city_slug").cast("string")).agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
+# ---- streaming ingestion of landed pages ------------------------------------------------------------
+
+@register("stream_hourly_mean", Q.with_ctes(_STATIONS_SQL + ["sel5 AS (SELECT * FROM sel WHERE station_rank <= 5)"],
+          f"""SELECT date_trunc('hour', e.ts) AS datetime, sel5.city, {Q.r6('avg(e.value)')} AS pm25
+FROM events e JOIN sel5 ON e.user_id % 40 = sel5.loc
+WHERE e.value IS NOT NULL AND e.value >= 0 GROUP BY 1, 2"""))
+def stream_hourly_mean(spark, sf):
+    from hazeframe.streaming.ingest import hourly_means, start_hourly_ingest
+    root = DV.scratch_dir(spark, "stream")
+    pages = DV.land_pages(standins.table(spark, sf, "events"), root)
+    q = start_hourly_ingest(spark, pages, _selected_sensors(spark, sf), root + "/partials", root + "/_ckpt")
+    q.awaitTermination()
+    return r6(hourly_means(spark, root + "/partials"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
