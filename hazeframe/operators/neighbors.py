@@ -63,8 +63,8 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str]
     ``MAX_GRID_DIMS``).
     """
     feats, q_ids, p_ids = list(feats), list(q_ids), list(p_ids)
-    q = _prefixed(queries, q_ids, feats, "q_")
-    p = _prefixed(points, p_ids, feats, "p_")
+    q = _prefixed(queries, q_ids, feats, "q_").checkpoint()  # small plans for every round
+    p = _prefixed(points, p_ids, feats, "p_").checkpoint()
     # one small aggregate row per side: count and the range of every feature
     st = points.agg(F.count(F.lit(1)).alias("n"),
                     *[F.min(f).alias(f"lo{i}") for i, f in enumerate(feats)],
@@ -105,10 +105,10 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str]
         final = r > extent  # the neighbourhood now spans the whole extent: every point is a candidate
         ok = stat if final else stat.where((F.col("_m") >= k) & (F.col("_dk") <= r))
         res = ranked.join(ok.select(*q_keys), q_keys, "left_semi")
+        res = res.checkpoint()  # resolved rows of this round; cuts the growing lineage
         if final:
             done.append(res)
             break
-        res = res.checkpoint()  # resolved rows of this round; cuts the growing lineage
         done.append(res)
         pending = pending.join(res.select(*q_keys).distinct(), q_keys, "left_anti").checkpoint()
         if pending.isEmpty():

@@ -130,11 +130,12 @@ def carry_nonnull(df: DataFrame, keys, value: str, rn_col: str = RN,
 
 # How multi-pass operators pin an intermediate result that later steps read more than once
 # (a statistic computed from it and then joined back to it). Without it every such step repeats
-# the whole upstream plan, and nested steps repeat it exponentially often. "cache" keeps it in
-# executor memory / local disk (lazy, no extra job; lost blocks are recomputed from the lineage),
-# "checkpoint" writes it to spark.checkpoint.dir (an extra job, cuts the lineage; the iterative
-# loops use it every round), "none" leaves the plan as it is.
-MATERIALIZE = "cache"
+# the whole upstream plan, and nested steps repeat it exponentially often. "checkpoint" (default)
+# writes it to spark.checkpoint.dir: the lineage and the logical plan are cut, so later plans stay
+# small (a cached plan keeps its whole tree, which every reference re-analyses), and the stored
+# result survives lost executors. "cache" keeps it in executor memory / local disk (lost blocks
+# are recomputed from the lineage); "none" leaves the plan as it is.
+MATERIALIZE = "checkpoint"
 
 
 def materialize(df: DataFrame, how: str | None = None) -> DataFrame:
