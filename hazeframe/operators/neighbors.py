@@ -5,8 +5,8 @@ outside the 3^d cells around a query's cell differs from it by more than ``r`` i
 so its full distance is > r.
 
 ``knn_join``   k nearest neighbours. Each round joins the (unresolved) queries with the points of
-               their 3^d neighbouring cells; a query is resolved when it has >= k candidates and
-               its k-th candidate distance is <= r (then no point outside can be nearer). The rest
+               their 3^d neighbouring cells, keeping candidates within r; a query is resolved when
+               it has >= k of them (then no point outside can be nearer). The rest
                go to the next round with a doubled side, until the side covers the data's extent,
                so every query ends exact. Ties at equal distance: smaller neighbour id first.
 ``range_join`` every pair within ``eps`` (side = eps, one round, exact).
@@ -43,12 +43,22 @@ def _prefixed(df: DataFrame, ids: Sequence[str], feats: Sequence[str], prefix: s
 
 
 def _candidates(q: DataFrame, p: DataFrame, feats, gdims, r: float) -> DataFrame:
-    """Query rows x point rows sharing a neighbouring cell (each pair once)."""
+    """Query rows x point rows sharing a neighbouring cell (each pair once). A neighbouring cell
+    whose nearest face is farther than ``r`` from the query cannot hold a point within ``r`` and is
+    skipped (about 40 % of the 3^d cells for d = 4)."""
     d = len(gdims)
     qc = q.select("*", F.array(*_cells(gdims, "q_", r)).alias("_qc"))
-    qe = qc.select("*", F.explode(_offsets(d)).alias("_off")) \
-           .select("*", *[(F.col("_qc")[i] + F.col("_off")[i]).alias(f"_c{i}") for i in range(d)]) \
-           .drop("_qc", "_off")
+    qe = qc.select("*", F.explode(_offsets(d)).alias("_off"))
+    gaps = []
+    for i, f in enumerate(gdims):
+        lo = F.col("_qc")[i] * F.lit(r)
+        o = F.col("_off")[i]
+        gaps.append(F.when(o == -1, F.col("q_" + f) - lo)
+                     .when(o == 1, lo + F.lit(r) - F.col("q_" + f)).otherwise(F.lit(0.0)))
+    near = reduce(lambda a, b: a + b, [g * g for g in gaps]) <= F.lit(r * r * (1 + 1e-9))
+    qe = (qe.where(near)
+            .select("*", *[(F.col("_qc")[i] + F.col("_off")[i]).alias(f"_c{i}") for i in range(d)])
+            .drop("_qc", "_off"))
     pc = p.select("*", *[c.alias(f"_c{i}") for i, c in enumerate(_cells(gdims, "p_", r))])
     return qe.join(pc, [f"_c{i}" for i in range(d)], "inner").drop(*[f"_c{i}" for i in range(d)])
 
@@ -96,14 +106,20 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str]
             cand = cand.where(~reduce(lambda a, b: a & b, [F.col(f"q_{a}") == F.col(f"p_{b}")
                                                            for a, b in zip(q_ids, p_ids)]))
         cand = cand.select(*q_keys, *[f"p_{c}" for c in p_ids], _dist(feats).alias("dist"))
+        final = r > extent  # the neighbourhood now spans the whole extent: every point is a candidate
+        if not final:
+            # every point within r of a query is a candidate; farther ones cannot be among the k
+            # nearest of a query this round resolves, so they are dropped before the sort
+            cand = cand.where(F.col("dist") <= r)
         # distances equal to 9 decimals count as ties and are broken by the neighbour id, so that
         # last-bit differences of the inputs cannot reorder neighbours
         w = Window.partitionBy(*q_keys).orderBy(F.round("dist", 9), *[f"p_{c}" for c in p_ids])
         ranked = (cand.withColumn("nn_rank", F.row_number().over(w))
                       .where(F.col("nn_rank") <= k))
         stat = ranked.groupBy(*q_keys).agg(F.count(F.lit(1)).alias("_m"), F.max("dist").alias("_dk"))
-        final = r > extent  # the neighbourhood now spans the whole extent: every point is a candidate
-        ok = stat if final else stat.where((F.col("_m") >= k) & (F.col("_dk") <= r))
+        # resolved: k candidates within r, the k-th strictly inside (a point tying it to 9 decimals
+        # is then within r as well, so the id tie-break sees it)
+        ok = stat if final else stat.where((F.col("_m") >= k) & (F.col("_dk") + 1e-9 <= r))
         res = ranked.join(ok.select(*q_keys), q_keys, "left_semi")
         res = res.checkpoint()  # resolved rows of this round; cuts the growing lineage
         if final:
