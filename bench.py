@@ -50,7 +50,7 @@ def main() -> None:
 
     # stage 1: landed readings -> processed table (written once, as the analysed pipeline does)
     proc_path = os.path.join(out_dir, "processed")
-    timed("processed_table", lambda: processed(standins.readings_minute(spark, sf_dir), chunk_rows=65_536)
+    timed("processed_table", lambda: processed(standins.readings_minute(spark, sf_dir), chunk_rows=65_536, pin_output=False)
           .write.mode("overwrite").parquet(proc_path))
     p = spark.read.parquet(proc_path)
 

@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from hazeframe.operators import prep
 from hazeframe.operators.neighbors import knn_join
+from hazeframe.operators.sequence import materialize
 
 VAR_SMOOTHING = 1e-9
 KNN_K = 7
 TREE_PARAMS = dict(maxDepth=10, minInstancesPerNode=50, maxBins=256, seed=42, impurity="gini")
 SVM_FOLDS = 3
 SVM_MAX_ITER = 100
+FIT_PARALLELISM = 4  # concurrent model fits submitted from the driver
 
 
 # ---- Gaussian naive Bayes (M9) ----------------------------------------------------------------
@@ -137,8 +139,10 @@ def svm_calibrated_fit(train: DataFrame, feats: Sequence[str], label: str = "lab
     d = prep.stratified_folds(train, label, list(ids), k=folds, seed=prep.SEED, fold_col="_f")
     n = train.count()
     reg = reg if reg is not None else 1.0 / max(n, 1)
-    pairs = []
-    for f in range(folds):
+    from pyspark.ml.functions import array_to_vector
+    d = materialize(d)
+
+    def fit(f: int):
         fit_part = _assemble(balanced_weights(d.where(F.col("_f") != f), label), feats)
         held = _assemble(d.where(F.col("_f") == f), feats)
         svm = LinearSVC(featuresCol="features", labelCol=label, weightCol="weight", regParam=reg,
@@ -148,14 +152,18 @@ def svm_calibrated_fit(train: DataFrame, feats: Sequence[str], label: str = "lab
         cnt = margins.agg(F.sum("_y").alias("_np"), F.sum(1 - F.col("_y")).alias("_nn"))
         t = margins.crossJoin(F.broadcast(cnt)).withColumn(  # one row
             "_t", F.when(F.col("_y") == 1, (F.col("_np") + 1) / (F.col("_np") + 2)).otherwise(1 / (F.col("_nn") + 2)))
+        # Platt scaling with smoothed targets: each held-out row as a positive (weight t) and a
+        # negative (weight 1 - t) example
         soft = (t.select(F.array(F.col("m")).alias("_a"), F.lit(1.0).alias("lab"), F.col("_t").alias("w"))
                  .unionByName(t.select(F.array(F.col("m")).alias("_a"), F.lit(0.0).alias("lab"), (1 - F.col("_t")).alias("w"))))
-        from pyspark.ml.functions import array_to_vector
         soft = soft.withColumn("mv", array_to_vector("_a"))
         platt = LogisticRegression(featuresCol="mv", labelCol="lab", weightCol="w", regParam=0.0,
                                    standardization=False).fit(soft)
-        pairs.append((svm, platt))
-    return pairs
+        return svm, platt
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(FIT_PARALLELISM, folds)) as pool:  # independent folds
+        return list(pool.map(fit, range(folds)))
 
 
 def svm_calibrated_predict(pairs, df: DataFrame, feats: Sequence[str]) -> DataFrame:
@@ -179,25 +187,29 @@ def cross_validate(df: DataFrame, feats: Sequence[str], ids: Sequence[str] = ("c
     naive Bayes raw ones. Returns (model, fold, f1)."""
     from hazeframe.operators.evaluate import binary_metrics
     ids = list(ids)
-    d = prep.stratified_folds(df, label, ids, k=k)
-    scaled = d if scaler_inside_fold else prep.standardize(d, feats)
-    rows = []
+    d = materialize(prep.stratified_folds(df, label, ids, k=k))
+    scaled = d if scaler_inside_fold else materialize(prep.standardize(d, feats))
     spark = df.sparkSession
-    for f in range(k):
-        for name in models:
-            src = d if name in ("tree", "nb") else scaled
-            tr, te = src.where(F.col("fold") != f), src.where(F.col("fold") == f)
-            if scaler_inside_fold and name in ("knn", "svm"):
-                sc = prep.scaler_fit(tr, feats)
-                tr, te = prep.scaler_apply(tr, sc, feats), prep.scaler_apply(te, sc, feats)
-            if name == "nb":
-                pred = gnb_predict(te, gnb_fit(tr, feats, label), feats)
-            elif name == "knn":
-                pred = knn_classify(tr, te, feats, ids, label)
-            elif name == "tree":
-                pred = tree_predict(tree_fit(tr, feats, label, minInstancesPerNode=50), te, feats)
-            else:
-                pred = svm_calibrated_predict(svm_calibrated_fit(tr, feats, label, ids), te, feats)
-            f1 = binary_metrics(pred, label).select("f1").first()["f1"]
-            rows.append((name, f, float(f1)))
+
+    def one(f: int, name: str):
+        src = d if name in ("tree", "nb") else scaled
+        tr, te = src.where(F.col("fold") != f), src.where(F.col("fold") == f)
+        if scaler_inside_fold and name in ("knn", "svm"):
+            sc = prep.scaler_fit(tr, feats)
+            tr, te = prep.scaler_apply(tr, sc, feats), prep.scaler_apply(te, sc, feats)
+        if name == "nb":
+            pred = gnb_predict(te, gnb_fit(tr, feats, label), feats)
+        elif name == "knn":
+            pred = knn_classify(tr, te, feats, ids, label)
+        elif name == "tree":
+            pred = tree_predict(tree_fit(tr, feats, label, minInstancesPerNode=50), te, feats)
+        else:
+            pred = svm_calibrated_predict(svm_calibrated_fit(tr, feats, label, ids), te, feats)
+        return name, f, float(binary_metrics(pred, label).select("f1").first()["f1"])
+
+    # independent (fold, model) fits are submitted concurrently, as CrossValidator(parallelism) does
+    from concurrent.futures import ThreadPoolExecutor
+    tasks = [(f, name) for f in range(k) for name in models]
+    with ThreadPoolExecutor(max_workers=FIT_PARALLELISM) as pool:
+        rows = list(pool.map(lambda t: one(*t), tasks))
     return spark.createDataFrame(rows, "model string, fold int, f1 double")

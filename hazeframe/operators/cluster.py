@@ -26,6 +26,7 @@ K_RANGE = range(2, 11)
 SILHOUETTE_SAMPLE = 5000
 DBSCAN_EPS = 0.8
 DBSCAN_MIN_SAMPLES = 50
+FIT_PARALLELISM = 4  # concurrent fits submitted from the driver
 
 
 def cluster_frame(df: DataFrame, feats: Sequence[str] = prep.CLUSTER_FEATURES,
@@ -43,13 +44,21 @@ def _assemble(df: DataFrame, feats: Sequence[str]) -> DataFrame:
 
 def kmeans_fit(df: DataFrame, feats: Sequence[str], k: int, n_init: int = N_INIT, seed: int = SEED):
     """Best (lowest SSE) of ``n_init`` seeded k-means fits. Returns (model, sse)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
-    d = _assemble(df, feats)
-    best = None
-    for i in range(n_init):
+    d = materialize(_assemble(df, feats))
+
+    def fit(i):
         m = KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="features").fit(d)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
+        return m, m.summary.trainingCost
+
+    # the seeded initialisations are independent fits, submitted concurrently
+    with ThreadPoolExecutor(max_workers=min(FIT_PARALLELISM, n_init)) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    best = fits[0]
+    for m, cost in fits[1:]:  # first lowest SSE in seed order
+        if cost < best[1]:
             best = (m, cost)
     return best
 

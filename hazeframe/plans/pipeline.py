@@ -35,8 +35,10 @@ def filled_readings(df: DataFrame, key: str = "city", time: str = "datetime", va
 
 def processed(df: DataFrame, key: str = "city", time: str = "datetime", value: str = "pm25",
               chunk_rows: int = DEFAULT_CHUNK_ROWS, index_bucket: str = "day",
-              median_strategy: str | None = None, keep_rn: bool = False) -> DataFrame:
-    """The processed table: gap filled, range filtered, extreme flag, calendar, lags, target."""
+              median_strategy: str | None = None, keep_rn: bool = False, pin_output: bool = True) -> DataFrame:
+    """The processed table: gap filled, range filtered, extreme flag, calendar, lags, target.
+    ``pin_output`` checkpoints the result for the analyses that read it several times; a caller
+    that writes it out (the stored processed table) passes False."""
     d = filled_readings(df, key, time, value, chunk_rows, index_bucket, median_strategy)
     d = materialize(clean.range_filter(d, value))
     d = reindex_within_chunks(d, key, rn_col=RN, size=chunk_rows)
@@ -45,4 +47,5 @@ def processed(df: DataFrame, key: str = "city", time: str = "datetime", value: s
     d = features.add_calendar(d, time, value)
     cols = [c.replace("pm25", value) if c.startswith("pm25") else c for c in PROCESSED_COLUMNS]
     cols = [time if c == "datetime" else key if c == "city" else c for c in cols]
-    return materialize(d.select(*cols, *([RN] if keep_rn else [])))
+    out = d.select(*cols, *([RN] if keep_rn else []))
+    return materialize(out) if pin_output else out
