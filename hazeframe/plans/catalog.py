@@ -1000,6 +1000,50 @@ def stream_hourly_mean(spark, sf):
     return r6(hourly_means(spark, root + "/partials"))
 
 
+# ---- P7, A3, A27, A21 (selections, medians, label counts, normal-vs-anomaly densities) ---------
+
+@register("masked_selection", Q.with_ctes(D, f"""SELECT city, datetime, {Q.r6('pm25')} AS pm25, season FROM processed
+WHERE city = '1-URGENT' AND season = 'wet'"""))
+def masked_selection(spark, sf):
+    p = processed_d(spark, sf)
+    return r6(p.where((F.col("city") == "1-URGENT") & (F.col("season") == "wet")).select("city", "datetime", "pm25", "season"))
+
+
+@register("overall_medians", Q.with_ctes(H, "SELECT " + ", ".join(f"{Q.r6(f'median({c})')} AS {c}" for c in PR.FORECAST_FEATURES)
+                                         + " FROM processed"))
+def overall_medians(spark, sf):
+    from hazeframe.operators.stats import key_medians
+    return r6(key_medians(processed_h(spark, sf), None, PR.FORECAST_FEATURES, None, PR.FORECAST_FEATURES))
+
+
+@register("label_distribution", Q.with_ctes(H + [_FRAME_SQL], "SELECT label, CAST(count(*) AS BIGINT) AS n FROM fr GROUP BY label"))
+def label_distribution(spark, sf):
+    d, _ = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
+    return d.groupBy("label").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+def _group_hist_sql(group: str, bins: int, cond: str) -> str:
+    w = f"((mx - mn) / {bins})"
+    return f"""SELECT '{group}' AS grp, CAST(sp.bin AS INTEGER) AS bin, {Q.r6(f'mn + sp.bin * {w}')} AS bin_lo,
+  {Q.r6(f'mn + (sp.bin + 1) * {w}')} AS bin_hi, CAST(coalesce(c.c, 0) AS BIGINT) AS count,
+  CASE WHEN {w} > 0 THEN {Q.r6(f'coalesce(c.c, 0) / (n * {w})')} END AS density
+FROM (SELECT mn, mx, n, unnest(range(0, {bins})) AS bin
+      FROM (SELECT min(pm25) AS mn, max(pm25) AS mx, count(pm25) AS n FROM cons WHERE {cond}) r) sp
+LEFT JOIN (SELECT CASE WHEN mx = mn THEN 0 ELSE CAST(least(floor((pm25 - mn) * {bins} / (mx - mn)), {bins - 1}) AS INTEGER) END AS bin,
+                  count(*) AS c
+           FROM cons, (SELECT min(pm25) AS mn, max(pm25) AS mx FROM cons WHERE {cond}) r
+           WHERE {cond} GROUP BY 1) c ON c.bin = sp.bin"""
+
+
+@register("anomaly_histogram", Q.with_ctes(H + _LOF_SQL, _group_hist_sql("normal", 50, "NOT anomaly_consensus")
+                                           + "\nUNION ALL " + _group_hist_sql("anomaly", 30, "anomaly_consensus")))
+def anomaly_histogram(spark, sf):
+    d = _anomaly_frame(spark, sf).withColumn("grp", F.when(F.col("anomaly_consensus"), "anomaly").otherwise("normal"))
+    normal = SM.histogram(d.where(F.col("grp") == "normal"), "grp", "pm25", 50)
+    anomaly = SM.histogram(d.where(F.col("grp") == "anomaly"), "grp", "pm25", 30)
+    return r6(normal.unionByName(anomaly))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
