@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from hazeframe.operators.neighbors import knn_join
 from hazeframe.operators.sequence import materialize
+from hazeframe.operators.stats import key_medians, key_quantiles
 
 Z_THRESHOLD = 3.0
 LOF_K = 20
@@ -31,7 +32,8 @@ SEED = 42
 
 def zscore_flag(df: DataFrame, value: str = "pm25", threshold: float = Z_THRESHOLD, out: str = "anomaly_zscore") -> DataFrame:
     """|(v - mean) / population std| > threshold over the whole table (NULL -> median first)."""
-    st = df.agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"), F.median(value).alias("_md"))
+    st = df.agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd")).crossJoin(
+        key_medians(df, None, [value], None, ["_md"]))  # one row each
     v = F.coalesce(F.col(value), F.col("_md"))
     z = F.abs((v - F.col("_mu")) / F.col("_sd"))
     return (df.crossJoin(F.broadcast(st))  # one row
@@ -58,7 +60,7 @@ def lof_scores(df: DataFrame, feats: Sequence[str], ids: Sequence[str], k: int =
 
 def lof_flag(scores: DataFrame, contamination: float = LOF_CONTAMINATION, out: str = "anomaly_lof") -> DataFrame:
     """Flag rows whose -LOF lies strictly below the ``contamination`` percentile of -LOF."""
-    thr = scores.agg(F.percentile(-F.col("lof"), contamination).alias("_thr"))
+    thr = key_quantiles(scores.select((-F.col("lof")).alias("_neg")), None, [("_neg", contamination, "_thr")])
     return scores.crossJoin(F.broadcast(thr)).withColumn(out, -F.col("lof") < F.col("_thr")).drop("_thr")  # one row
 
 

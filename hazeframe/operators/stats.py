@@ -1,13 +1,13 @@
-"""Exact medians per key, in two strategies.
+"""Exact medians and quantiles per key, in two strategies (default ``bracket``).
 
 ``exact``   ``F.median`` (Spark's ``percentile``): one aggregation, but each group keeps a
             value -> count map, so a hot key with billions of distinct values needs one huge
             reducer buffer.
 ``bracket`` exact as well, built for hot keys: a quantile sketch (``percentile_approx``, rank
-            error <= n / accuracy) brackets the median between two values; only the values inside
-            the bracket (about 4n / accuracy of them) are ranked; the count of values below the
-            bracket gives their absolute rank. Keys whose bracket misses the middle ranks (not
-            expected: the sketch's bound is deterministic) fall back to ``F.median`` for that key.
+            error <= n / accuracy) brackets the quantile between two values; only the values inside
+            the bracket (about 8n / accuracy of them) are ranked; the count of values below the
+            bracket gives their absolute rank. Keys whose bracket misses the needed ranks (small
+            groups only: the sketch's bound is deterministic) fall back to the exact percentile.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_STRATEGY = "exact"
+DEFAULT_STRATEGY = "bracket"
 SKETCH_ACCURACY = 10_000
 
 
@@ -30,32 +30,41 @@ def _keys(keys) -> list[str]:
 def key_medians(df: DataFrame, keys, cols: Sequence[str], strategy: str | None = None,
                 names: Sequence[str] | None = None) -> DataFrame:
     """One row per key with the exact median of each column (NULLs ignored) as ``names``."""
-    keys = _keys(keys)
     names = list(names) if names is not None else [f"med_{c}" for c in cols]
+    return key_quantiles(df, keys, [(c, 0.5, n) for c, n in zip(cols, names)], strategy)
+
+
+def key_quantiles(df: DataFrame, keys, specs: Sequence[tuple[str, float, str]],
+                  strategy: str | None = None) -> DataFrame:
+    """One row per key with the exact quantile (linear interpolation between order statistics,
+    position (n - 1) q) for each (column, q, name) in ``specs``."""
+    keys = _keys(keys)
     strategy = strategy or DEFAULT_STRATEGY
     if strategy == "exact":
-        aggs = [F.median(c).alias(n) for c, n in zip(cols, names)]
-        return df.groupBy(*keys).agg(*aggs)
+        return df.groupBy(*keys).agg(*[F.percentile(c, q).alias(n) for c, q, n in specs])
     if strategy != "bracket":
-        raise ValueError(f"unknown median strategy {strategy!r}")
+        raise ValueError(f"unknown quantile strategy {strategy!r}")
     out = None
-    for c, n in zip(cols, names):
-        m = _bracket_median(df, keys, c, n)
+    for c, q, n in specs:
+        m = _bracket_quantile(df, keys, c, q, n)
         out = m if out is None else out.join(m, keys, "full") if keys else out.crossJoin(m)
     return out
 
 
-def _bracket_median(df: DataFrame, keys: list[str], col: str, name: str) -> DataFrame:
+def _bracket_quantile(df: DataFrame, keys: list[str], col: str, q: float, name: str) -> DataFrame:
     eps = 1.0 / SKETCH_ACCURACY
-    lo_q, hi_q = max(0.0, 0.5 - 2 * eps), min(1.0, 0.5 + 2 * eps)
+    # the sketch's rank error is <= eps * n; a margin of 4 eps covers both interpolation ranks once
+    # 2 eps * n >= 2 (n >= 10,000); smaller groups may miss and take the exact fallback (cheap there)
+    lo_q, hi_q = max(0.0, q - 4 * eps), min(1.0, q + 4 * eps)
     d = df.select(*keys, F.col(col).alias("_x")).where(F.col("_x").isNotNull())
-    k = keys or []
+    k = keys
     sk = d.groupBy(*k).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_x", [lo_q, hi_q], SKETCH_ACCURACY).alias("_q"))
+    pos = (F.col("_n") - 1) * F.lit(q)  # 0-based position
     sk = sk.select(*k, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"),
-                   F.floor((F.col("_n") + 1) / 2).alias("_r1"), F.ceil((F.col("_n") + 1) / 2).alias("_r2"))
-    j = d.join(sk, k, "inner") if k else d.crossJoin(F.broadcast(sk))
+                   pos.alias("_pos"), (F.floor(pos) + 1).alias("_r1"), (F.ceil(pos) + 1).alias("_r2"))
+    j = d.join(sk, k, "inner") if k else d.crossJoin(F.broadcast(sk))  # one row without keys
     cnt = j.groupBy(*k).agg(F.sum((F.col("_x") < F.col("_lo")).cast("long")).alias("_below"),
                             F.sum(((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).cast("long"))
                             .alias("_inside"))
@@ -63,15 +72,24 @@ def _bracket_median(df: DataFrame, keys: list[str], col: str, name: str) -> Data
     sk = sk.withColumn("_ok", (F.col("_below") < F.col("_r1")) & (F.col("_below") + F.col("_inside") >= F.col("_r2")))
     inside = (j.where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
                .select(*k, "_x"))
-    inside = inside.join(sk.where("_ok").select(*k, "_below", "_r1", "_r2"), k, "inner") if k else \
-        inside.crossJoin(sk.where("_ok").select("_below", "_r1", "_r2"))
+    good_sk = sk.where("_ok").select(*k, "_below", "_r1", "_r2", "_pos")
+    inside = inside.join(good_sk, k, "inner") if k else inside.crossJoin(good_sk)
     w = Window.partitionBy(*k).orderBy("_x") if k else Window.orderBy("_x")
     ranked = inside.withColumn("_r", F.row_number().over(w) + F.col("_below"))
-    good = (ranked.where((F.col("_r") == F.col("_r1")) | (F.col("_r") == F.col("_r2")))
-                  .groupBy(*k).agg(F.avg("_x").alias(name)))
+    picked = (ranked.where((F.col("_r") == F.col("_r1")) | (F.col("_r") == F.col("_r2")))
+                    .groupBy(*k).agg(F.max(F.when(F.col("_r") == F.col("_r1"), F.col("_x"))).alias("_v1"),
+                                     F.max(F.when(F.col("_r") == F.col("_r2"), F.col("_x"))).alias("_v2"),
+                                     F.first("_pos").alias("_pos"), F.first("_r1").alias("_r1")))
+    lower = F.col("_r1") - 1
+    # same interpolation as Spark's exact percentile: (higher - pos) * v1 + (pos - lower) * v2
+    value = F.when(F.col("_pos") == lower, F.col("_v1")).otherwise(
+        (lower + 1 - F.col("_pos")) * F.col("_v1") + (F.col("_pos") - lower) * F.col("_v2"))
+    good = picked.select(*k, value.alias(name))
     bad_keys = sk.where(~F.col("_ok")).select(*k)
     if k:
-        fallback = d.join(bad_keys, k, "left_semi").groupBy(*k).agg(F.median("_x").alias(name))
+        fallback = d.join(bad_keys, k, "left_semi").groupBy(*k).agg(F.percentile("_x", q).alias(name))
         return good.unionByName(fallback)
-    return good.unionByName(d.crossJoin(bad_keys.limit(1)).agg(F.median("_x").alias(name))
-                            .where(F.col(name).isNotNull()))
+    # without keys both branches are global aggregates (one row each, NULL when their input is empty)
+    return (good.where(F.col(name).isNotNull())
+                .unionByName(d.crossJoin(bad_keys.limit(1)).agg(F.percentile("_x", q).alias(name))
+                             .where(F.col(name).isNotNull())))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeframe.functions.scalars import round_half_even
-from hazeframe.operators.stats import key_medians
+from hazeframe.operators.stats import key_medians, key_quantiles
 
 
 def city_summary(df: DataFrame, key: str = "city", value: str = "pm25", flag: str = "is_unhealthy",
@@ -179,8 +179,7 @@ def histogram(df: DataFrame, keys, value: str = "pm25", bins: int = 50) -> DataF
 def boxplot_stats(df: DataFrame, key: str = "city", value: str = "pm25") -> DataFrame:
     """Quartiles (linear interpolation), whiskers at the furthest points within 1.5 IQR,
     outlier count, and the key's position by descending median."""
-    q = df.groupBy(key).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"))
-    q = q.select(key, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = key_quantiles(df, key, [(value, 0.25, "q1"), (value, 0.5, "median"), (value, 0.75, "q3")])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
     v = F.col(value)

@@ -18,6 +18,16 @@ def test_bracket_median_equals_exact(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert math.isclose(a[k], b[k], rel_tol=0, abs_tol=1e-12)
+    from hazeframe.operators.stats import key_quantiles
+    for q in (0.05, 0.25, 0.75):
+        e = {r["k"]: r["m"] for r in key_quantiles(df, "k", [("v", q, "m")], "exact").collect()}
+        b2 = {r["k"]: r["m"] for r in key_quantiles(df, "k", [("v", q, "m")], "bracket").collect()}
+        assert e == b2
+    small = df.where(F.col("k") == 0).limit(300)  # small group: the exact fallback path
+    for q in (0.05, 0.5):
+        assert key_quantiles(small, None, [("v", q, "m")], "bracket").count() == 1
+        assert key_quantiles(small, None, [("v", q, "m")], "bracket").first()["m"] == \
+            key_quantiles(small, None, [("v", q, "m")], "exact").first()["m"]
     g1 = key_medians(df, None, ["v"], "exact", ["m"]).first()["m"]
     g2 = key_medians(df, None, ["v"], "bracket", ["m"]).first()["m"]
     assert math.isclose(g1, g2, abs_tol=1e-12)
