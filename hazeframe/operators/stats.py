@@ -1,4 +1,4 @@
-"""Exact medians and quantiles per key, in two strategies (default ``bracket``).
+"""Exact medians and quantiles per key, in two strategies (default ``exact``; ``bracket`` for hot keys).
 
 ``exact``   ``F.median`` (Spark's ``percentile``): one aggregation, but each group keeps a
             value -> count map, so a hot key with billions of distinct values needs one huge
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_STRATEGY = "bracket"
+DEFAULT_STRATEGY = "exact"  # set "bracket" for tables with hot keys (same results)
 SKETCH_ACCURACY = 10_000
 
 
