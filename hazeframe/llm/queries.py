@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeframe.llm import fingerprints, quality, toxicity
+from hazeframe.llm import fingerprints, packing, quality, toxicity
 from hazeframe.llm.store import table
 
 
@@ -18,11 +18,15 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_document_fingerprints, op6_quality_classifier, op9_toxicity)
+    f.__name__: f for f in (op3_document_fingerprints, op6_quality_classifier, op8_pattern_packing, op9_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -1,6 +1,6 @@
 """Toxicity: character n-gram linear classifier scaled by naive Bayes log-count ratios.
 
-Features are the distinct byte 4- to 8-grams of a text (A-Z lower-cased, white space as
+Features are the distinct byte 5- and 8-grams of a text (A-Z lower-cased, white space as
 spaces). From the labelled sample, each n-gram gets the ratio
 ``r = log((p + a) / (P + 2a)) - log((q + a) / (Q + 2a))`` of its document rates in both classes; a
 logistic regression is fitted on the features scaled by ``r``. The score of a text is the logistic
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from hazeframe.llm import learn
 from hazeframe.llm import text as X
 
-ORDERS = (4, 5, 6, 7, 8)
+ORDERS = (5, 8)
 LUT_BITS = 22
 FIT_BITS = 23
-MAX_FEATURES = 60_000
+MAX_FEATURES = 30_000
 MIN_DF = 3
 
 
