@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeframe.llm import fingerprints, packing, quality, toxicity
+from hazeframe.llm import fingerprints, packing, quality, toxicity, warc
 from hazeframe.llm.store import table
 
 
@@ -14,6 +14,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edit(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_histories(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,6 +31,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_document_fingerprints, op6_quality_classifier, op8_pattern_packing, op9_toxicity)
+    f.__name__: f for f in (op3_document_fingerprints, op4_warc_histories, op6_quality_classifier, op8_pattern_packing, op9_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}
