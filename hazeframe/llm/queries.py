@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeframe.llm import fingerprints, packing, quality, toxicity, warc
+from hazeframe.llm import decontaminate, fingerprints, packing, quality, toxicity, warc
 from hazeframe.llm.store import table
 
 
@@ -30,7 +30,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.matches(docs, items).drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_document_fingerprints, op4_warc_histories, op6_quality_classifier, op8_pattern_packing, op9_toxicity)
+    f.__name__: f for f in (op3_document_fingerprints, op4_warc_histories, op6_quality_classifier, op8_pattern_packing, op9_toxicity,
+        op10_benchmark_decontamination)
 }
 ORACLE_SQL: dict[str, str] = {}
