@@ -222,7 +222,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT, rows_per_group: int = ROWS_PER_G
     for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``limit`` rows
         hist[r["length"]] = r["n"]
     look = _lookup(plan(hist))
-    groups = max(1, int(hist.sum()) // rows_per_group)
+    groups = max(64, int(hist.sum()) // rows_per_group)  # a hot length is numbered in many groups
     named = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     sizes = named.groupBy("length", "_g").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)

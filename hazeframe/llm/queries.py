@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hazeframe.llm import decontaminate, fingerprints, packing, quality, toxicity, warc
+from hazeframe.llm import decontaminate, fingerprints, packing, quality, secrets, toxicity, warc
 from hazeframe.llm.store import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "path", "start", "length", F.sha1("value").alias("value_sha1"),
+                        F.left("value", F.lit(4)).alias("value_head"), "score", "is_secret")
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edit(table(spark, sf_dir, "documents"))
 
@@ -36,7 +43,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_document_fingerprints, op4_warc_histories, op6_quality_classifier, op8_pattern_packing, op9_toxicity,
-        op10_benchmark_decontamination)
+    f.__name__: f for f in (
+        op1_secret_scan, op3_document_fingerprints, op4_warc_histories, op6_quality_classifier,
+        op8_pattern_packing, op9_toxicity, op10_benchmark_decontamination)
 }
 ORACLE_SQL: dict[str, str] = {}
