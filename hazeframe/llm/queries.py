@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeframe.llm import decontaminate, fingerprints, packing, quality, secrets, toxicity, warc
+from hazeframe.llm import decontaminate, fingerprints, licenses, packing, quality, secrets, toxicity, warc
 from hazeframe.llm.store import table
 
 
@@ -17,6 +17,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.left("value", F.lit(4)).alias("value_head"), "score", "is_secret")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edit(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_scan, op3_document_fingerprints, op4_warc_histories, op6_quality_classifier,
+        op1_secret_scan, op2_license_scan, op3_document_fingerprints, op4_warc_histories, op6_quality_classifier,
         op8_pattern_packing, op9_toxicity, op10_benchmark_decontamination)
 }
 ORACLE_SQL: dict[str, str] = {}
