@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeframe.llm import decontaminate, fingerprints, licenses, packing, quality, secrets, toxicity, warc
+from hazeframe.llm import decontaminate, fingerprints, jaccard, licenses, packing, quality, secrets, toxicity, warc
 from hazeframe.llm.store import table
 
 
@@ -29,6 +29,10 @@ def op4_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_histories(table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_scan, op2_license_scan, op3_document_fingerprints, op4_warc_histories, op6_quality_classifier,
+        op1_secret_scan, op2_license_scan, op3_document_fingerprints, op4_warc_histories, op5_ngram_jaccard_join, op6_quality_classifier,
         op8_pattern_packing, op9_toxicity, op10_benchmark_decontamination)
 }
 ORACLE_SQL: dict[str, str] = {}
