@@ -120,5 +120,8 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without a match; columns unchanged."""
-    bad = pin(matches(docs, items, radius, similarity).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct(), "leaks")
-    return docs.join(bad, (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_anti")
+    bad = matches(docs, items, radius, similarity).select(
+        F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_hash")).distinct()
+    bad = pin(bad, "leaks")
+    same = (F.xxhash64(docs["text"]) == bad["__leak_hash"]) & docs["doc_id"].eqNullSafe(bad["__leak_id"])
+    return docs.join(bad, same, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeframe.llm import decontaminate, fingerprints, jaccard, licenses, packing, quality, secrets, toxicity, warc
+from hazeframe.llm import decontaminate, fingerprints, jaccard, licenses, lm, packing, quality, secrets, toxicity, warc
 from hazeframe.llm.store import table
 
 
@@ -37,6 +37,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_license_scan, op3_document_fingerprints, op4_warc_histories, op5_ngram_jaccard_join, op6_quality_classifier,
-        op8_pattern_packing, op9_toxicity, op10_benchmark_decontamination)
+        op7_lm_scoring, op8_pattern_packing, op9_toxicity, op10_benchmark_decontamination)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -174,15 +174,15 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 def redact(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found secret replaced by ``mark``; n_chars follows; no row is dropped."""
     hit = scan(docs, findings, threshold).where("is_secret")
-    by_doc = pin(hit.groupBy("doc_id").agg(F.collect_set("value").alias("_secrets"))
-                 .withColumnRenamed("doc_id", "_id"), "secrets")  # one document's secrets at most
+    by_doc = pin(hit.groupBy("doc_id").agg(F.collect_set("value").alias("__secrets"))
+                 .withColumnRenamed("doc_id", "__secrets_id"), "secrets")  # one document's secrets at most
     # longer secrets first, so that one inside another leaves no rest
-    order = F.array_sort("_secrets", lambda a, b: F.coalesce(
+    order = F.array_sort("__secrets", lambda a, b: F.coalesce(
         F.nullif(F.length(b) - F.length(a), F.lit(0)), F.when(a < b, -1).when(a > b, 1).otherwise(0)))
-    text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(
+    text = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(
         F.aggregate(order, F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark))))
-    out = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("text", text)
+    out = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__secrets_id")), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col("__secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return out.select(*docs.columns)

@@ -19,7 +19,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from hazeframe.llm import learn
 from hazeframe.llm import text as X
@@ -150,21 +149,17 @@ def margins(m: NBModel, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return z
 
 
-def score(df: DataFrame, m: NBModel, threshold: float = 0.5, keep: bool = False) -> DataFrame:
-    """Adds score and predicted; with ``keep`` the input columns stay, else (doc_id, score, predicted)."""
-    src = df if keep else df.select("doc_id", "text")
-
+def score(docs: DataFrame, m: NBModel, threshold: float = 0.5) -> DataFrame:
+    """doc_id, score, predicted for every row of ``docs``."""
     def run(batches):
         for rb, data, off in X.slices(batches, "text"):
             s = learn.logistic(margins(m, data, off))
-            cols = rb.columns if keep else [rb.column(0)]
-            names = rb.schema.names if keep else ["doc_id"]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))],
-                names=[*names, "score", "predicted"])
+                [rb.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))],
+                names=["doc_id", "score", "predicted"])
 
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if keep or f.name == "doc_id")
-    return src.mapInArrow(run, f"{base}, score double, predicted int")
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = learn.MAX_PER_CLASS) -> NBModel:
@@ -179,10 +174,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``; columns unchanged."""
-    names = docs.columns
-    d = docs.select("doc_id", "text", *[c for c in names if c not in ("doc_id", "text", "score", "predicted")])
-    kept = score(d, train(docs, labels), threshold, keep=True).where(F.col("predicted") == 0)
-    if {"score", "predicted"} & set(names):
-        raise ValueError("docs must not have columns named score or predicted")
-    return kept.select(*names)
+    """The rows of ``docs`` that score below ``threshold``; all columns stay as they are."""
+    m = train(docs, labels)
+
+    def run(batches):
+        for rb, data, off in X.slices(batches, "text"):
+            yield rb.filter(pa.array(learn.logistic(margins(m, data, off)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
