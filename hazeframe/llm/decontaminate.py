@@ -47,6 +47,13 @@ def shingle_hashes(w: Column) -> Column:
         F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)])))
 
 
+def word_grams(w: Column, k: int) -> Column:
+    """Hashes of the runs of ``k`` < 5 words in order, equal to the shingle of a text of k words."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0)))
+    return F.when(F.size(w) < k, F.array().cast("array<bigint>")).otherwise(
+        F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)], *[F.lit(None).cast("string")] * (5 - k))))
+
+
 def simhash(h: Column) -> Column:
     """64-bit SimHash of shingle hashes; a shingle weighs as often as it occurs."""
     zero = F.array_repeat(F.lit(0), 64)
@@ -87,6 +94,9 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity:
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     start = lambda size: F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), size - F.col("n")))
     hits = d.select("*", F.posexplode(shingle_hashes(F.col("w"))).alias("p", "h"))
+    # items shorter than a shingle are met by runs of as many words
+    for r in it.where("n < 5").select("n").distinct().collect():  # four sizes at most
+        hits = hits.union(d.select("*", F.posexplode(word_grams(F.col("w"), r["n"])).alias("p", "h")))
     if few:
         # the words ride along as a reference; only rows that hit are built
         win = (hits.join(held(grams), "h").withColumn("start", start(F.size("w")))
