@@ -7,22 +7,27 @@ so its full distance is > r.
 ``knn_join``   k nearest neighbours. Each round joins the (unresolved) queries with the points of
                their 3^d neighbouring cells, keeping candidates within r; a query is resolved when
                it has >= k of them (then no point outside can be nearer). The rest
-               go to the next round with a doubled side, until the side covers the data's extent,
-               so every query ends exact. Ties at equal distance: smaller neighbour id first.
+               go to the next round with a doubled side, until none is left or the side covers
+               the data's extent, so every query ends exact. The first side is measured: the
+               largest halving of the extent at which a point shares its cell with few others on
+               average, so clustered or discrete coordinates start fine and only queries in thin
+               regions reach coarse cells. Ties at equal distance: smaller neighbour id first.
 ``range_join`` every pair within ``eps`` (side = eps, one round, exact).
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeframe.operators.sequence import materialize
+
 MAX_GRID_DIMS = 4
+MAX_HALVINGS = 14  # halvings of the extent tried for the first side
 
 
 def _dist(feats: Sequence[str], a: str = "q_", b: str = "p_"):
@@ -63,9 +68,21 @@ def _candidates(q: DataFrame, p: DataFrame, feats, gdims, r: float) -> DataFrame
     return qe.join(pc, [f"_c{i}" for i in range(d)], "inner").drop(*[f"_c{i}" for i in range(d)])
 
 
+def _start_side(points: DataFrame, gdims: Sequence[str], extent: float, k: int) -> float:
+    """Largest halving of the extent whose cells hold at most k / 2 points, seen from a point
+    (sum of squared cell counts over points), from one pass that counts all halvings at once."""
+    sides = [extent / 2.0 ** j for j in range(MAX_HALVINGS + 1)]
+    cells = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), *[c.alias(f"c{i}") for i, c in enumerate(_cells(gdims, "p_", s))])
+                                for j, s in enumerate(sides)]))
+    n = points.select(cells.alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("m"))
+    seen = {r["j"]: r["s"] / r["n"] for r in n.groupBy(F.col("c.j").alias("j")).agg(
+        F.sum(F.col("m") * F.col("m")).alias("s"), F.sum("m").alias("n")).collect()}  # one row a halving
+    fine = [j for j in sorted(seen) if seen[j] <= max(1.0, k / 2)]
+    return sides[fine[0]] if fine else sides[-1]
+
+
 def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str], q_ids: Sequence[str],
-             p_ids: Sequence[str], exclude_self: bool = False, grid_dims: Sequence[str] | None = None,
-             max_rounds: int = 40) -> DataFrame:
+             p_ids: Sequence[str], exclude_self: bool = False, grid_dims: Sequence[str] | None = None) -> DataFrame:
     """Exact k nearest ``points`` of every query row: (q_<ids>, p_<ids>, dist, nn_rank).
 
     ``exclude_self`` drops pairs whose ids are equal (self-join use). Feature columns must be
@@ -73,26 +90,20 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str]
     ``MAX_GRID_DIMS``).
     """
     feats, q_ids, p_ids = list(feats), list(q_ids), list(p_ids)
-    q = _prefixed(queries, q_ids, feats, "q_").checkpoint()  # small plans for every round
-    p = _prefixed(points, p_ids, feats, "p_").checkpoint()
+    q = materialize(_prefixed(queries, q_ids, feats, "q_"))  # small plans for every round
+    p = materialize(_prefixed(points, p_ids, feats, "p_"))
     # one small aggregate row per side: count and the range of every feature
     st = points.agg(F.count(F.lit(1)).alias("n"),
                     *[F.min(f).alias(f"lo{i}") for i, f in enumerate(feats)],
                     *[F.max(f).alias(f"hi{i}") for i, f in enumerate(feats)]).collect()[0]
     qt = queries.agg(*[F.min(f).alias(f"lo{i}") for i, f in enumerate(feats)],
                      *[F.max(f).alias(f"hi{i}") for i, f in enumerate(feats)]).collect()[0]
-    n = max(int(st["n"]), 1)
     width = {f: float((st[f"hi{i}"] or 0.0) - (st[f"lo{i}"] or 0.0)) for i, f in enumerate(feats)}
     if grid_dims:
         gdims = list(grid_dims)
     else:  # the widest non-constant coordinates (at most MAX_GRID_DIMS)
         gdims = [f for f in sorted(feats, key=lambda f: -width[f]) if width[f] > 0][:MAX_GRID_DIMS] or feats[:1]
-    dg = len(gdims)
-    vol = reduce(lambda a, b: a * b, [max(width[f], 1e-12) for f in gdims], 1.0)
-    # start where the k-ball around a query is expected to fit inside its 3^d neighbourhood:
-    # k = density * V_d * r^d  (V_d = volume of the unit d-ball)
-    v_d = math.pi ** (dg / 2) / math.gamma(dg / 2 + 1)
-    r = max((k * vol / (n * v_d)) ** (1.0 / dg), 1e-9)
+    r = _start_side(p, gdims, max(max(width[f] for f in gdims), 1e-9), k)
     # the rounds end once one cell side exceeds the joint extent of queries and points
     idx = {f: i for i, f in enumerate(feats)}
     extent = max((max(x for x in (st[f"hi{idx[f]}"], qt[f"hi{idx[f]}"]) if x is not None)
@@ -100,7 +111,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str]
                  for f in gdims) if st[f"lo{idx[gdims[0]]}"] is not None else 0.0
     q_keys = [f"q_{c}" for c in q_ids]
     pending, done = q, []
-    for _ in range(max_rounds):
+    while True:
         cand = _candidates(pending, p, feats, gdims, r)
         if exclude_self:
             cand = cand.where(~reduce(lambda a, b: a & b, [F.col(f"q_{a}") == F.col(f"p_{b}")
@@ -121,12 +132,12 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str]
         # is then within r as well, so the id tie-break sees it)
         ok = stat if final else stat.where((F.col("_m") >= k) & (F.col("_dk") + 1e-9 <= r))
         res = ranked.join(ok.select(*q_keys), q_keys, "left_semi")
-        res = res.checkpoint()  # resolved rows of this round; cuts the growing lineage
+        res = materialize(res)  # resolved rows of this round; cuts the growing lineage
         if final:
             done.append(res)
             break
         done.append(res)
-        pending = pending.join(res.select(*q_keys).distinct(), q_keys, "left_anti").checkpoint()
+        pending = materialize(pending.join(res.select(*q_keys).distinct(), q_keys, "left_anti"))
         if pending.isEmpty():
             break
         r *= 2.0
