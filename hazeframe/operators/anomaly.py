@@ -33,7 +33,7 @@ SEED = 42
 def zscore_flag(df: DataFrame, value: str = "pm25", threshold: float = Z_THRESHOLD, out: str = "anomaly_zscore") -> DataFrame:
     """|(v - mean) / population std| > threshold over the whole table (NULL -> median first)."""
     st = df.agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd")).crossJoin(
-        key_medians(df, None, [value], None, ["_md"]))  # one row each
+        key_medians(df, None, [value], ["_md"]))  # one row each
     v = F.coalesce(F.col(value), F.col("_md"))
     z = F.abs((v - F.col("_mu")) / F.col("_sd"))
     return (df.crossJoin(F.broadcast(st))  # one row

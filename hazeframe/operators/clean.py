@@ -57,10 +57,10 @@ def fill_gaps(df: DataFrame, keys, value: str, rn_col: str = RN, interp_limit: i
     return d.withColumn(value, filled).drop("_pv", "_pi", "_nv", "_ni")
 
 
-def fill_with_key_median(df: DataFrame, keys, value: str, median_strategy: str | None = None) -> DataFrame:
+def fill_with_key_median(df: DataFrame, keys, value: str) -> DataFrame:
     """Remaining NULLs take the median of the key (median of the already filled series)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    med = key_medians(df, keys, [value], median_strategy, ["_kmed"])
+    med = key_medians(df, keys, [value], ["_kmed"])
     return (df.join(med, keys, "left")
               .withColumn(value, F.coalesce(F.col(value), F.col("_kmed")))
               .drop("_kmed"))

@@ -32,8 +32,7 @@ def add_calendar(df: DataFrame, time: str = "datetime", value: str = "pm25") ->
 
 
 def bounded_window_features(df: DataFrame, keys, value: str = "pm25", rn_col: str = RN,
-                            chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
-                            median_strategy: str | None = None) -> DataFrame:
+                            chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """On a frame with a gap-free 1..n position ``rn_col`` per key, add
 
     * ``is_extreme``: |v - centred mean| / (centred sample std + 1e-6) > 4 over rows [-12, +11];
@@ -67,7 +66,7 @@ def bounded_window_features(df: DataFrame, keys, value: str = "pm25", rn_col: st
     if chunk_rows:
         d = d.where(~F.col(HALO)).drop(HALO, CHUNK)
     d = materialize(d)
-    med = key_medians(d, keys, [value, "_cs"], median_strategy, ["_kmed", "_kmed_cs"])
+    med = key_medians(d, keys, [value, "_cs"], ["_kmed", "_kmed_cs"])
     d = d.join(med, keys, "left")
     z = (v - F.col("_cm")) / (F.coalesce(F.col("_cs"), F.col("_kmed_cs")) + STD_EPS)
     return (d.withColumn("is_extreme", F.coalesce((F.abs(z) > EXTREME_Z).cast("int"), F.lit(0)))

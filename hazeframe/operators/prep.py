@@ -40,10 +40,10 @@ def onehot(df: DataFrame, col: str, prefix: str | None = None, levels: Sequence[
     return d, names
 
 
-def impute_median(df: DataFrame, cols: Sequence[str], median_strategy: str | None = None) -> DataFrame:
+def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """M2: NULLs in each column take the column's median over the whole table."""
     cols = list(cols)
-    med = key_medians(df, None, cols, median_strategy, [f"_m{i}" for i in range(len(cols))])
+    med = key_medians(df, None, cols, [f"_m{i}" for i in range(len(cols))])
     d = df.crossJoin(F.broadcast(med))  # one row
     idx = {c: i for i, c in enumerate(cols)}
     return d.select(*[F.coalesce(F.col(c), F.col(f"_m{idx[c]}")).alias(c) if c in idx else F.col(c)
@@ -80,14 +80,13 @@ def standardize(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = N
 
 
 def forecast_frame(df: DataFrame, key: str = "city", time: str = "datetime", target: str = "target_next_hour",
-                   features: Sequence[str] = FORECAST_FEATURES, levels: Sequence[str] | None = None,
-                   median_strategy: str | None = None) -> tuple[DataFrame, list[str]]:
+                   features: Sequence[str] = FORECAST_FEATURES, levels: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Rows with a target; numeric features + key one-hot; median imputation; ``label``.
     Returns (frame with key, time, features..., label) and the feature column list."""
     d = df.where(F.col(target).isNotNull()).select(key, time, *features, F.col(target).cast("int").alias("label"))
     d, dummies = onehot(d, key, key, levels)
     cols = list(features) + dummies
-    d = impute_median(d, list(features), median_strategy)
+    d = impute_median(d, list(features))
     return d, cols
 
 

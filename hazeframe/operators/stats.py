@@ -1,24 +1,27 @@
-"""Exact medians and quantiles per key, in two strategies (default ``exact``; ``bracket`` for hot keys).
-
-``exact``   ``F.median`` (Spark's ``percentile``): one aggregation, but each group keeps a
-            value -> count map, so a hot key with billions of distinct values needs one huge
-            reducer buffer.
-``bracket`` exact as well, built for hot keys: a quantile sketch (``percentile_approx``, rank
-            error <= n / accuracy) brackets the quantile between two values; only the values inside
-            the bracket (about 8n / accuracy of them) are ranked; the count of values below the
-            bracket gives their absolute rank. Keys whose bracket misses the needed ranks (small
-            groups only: the sketch's bound is deterministic) fall back to the exact percentile.
+"""Exact medians and quantiles per key: one plan for every size.
+
+1. One aggregation sketches every column (``percentile_approx``, deterministic rank error of at
+   most ``n / ACCURACY``) at a fixed grid of ranks and counts its values. The two grid points around
+   a wanted quantile, widened by one, bracket it.
+2. One pass over the values adds up, per (key, quantile), the rows below the bracket, the next values
+   on both sides, and a count per distinct value inside it. Equal values are one row from here on, so
+   ties and constant columns cost nothing.
+3. Running counts over the distinct values inside the bracket (about ``4 / GRID`` of the
+   column) find the order statistics, which are interpolated at position ``(n - 1) q``.
+
+No task holds a key or a column, only the distinct values inside one bracket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_STRATEGY = "exact"  # set "bracket" for tables with hot keys (same results)
-SKETCH_ACCURACY = 10_000
+ACCURACY = 10_000
+GRID = 1000  # ranks of the sketch that are asked for; a bracket spans up to four steps
 
 
 def _keys(keys) -> list[str]:
@@ -27,69 +30,84 @@ def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def key_medians(df: DataFrame, keys, cols: Sequence[str], strategy: str | None = None,
-                names: Sequence[str] | None = None) -> DataFrame:
+def key_medians(df: DataFrame, keys, cols: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
     """One row per key with the exact median of each column (NULLs ignored) as ``names``."""
     names = list(names) if names is not None else [f"med_{c}" for c in cols]
-    return key_quantiles(df, keys, [(c, 0.5, n) for c, n in zip(cols, names)], strategy)
+    return key_quantiles(df, keys, [(c, 0.5, n) for c, n in zip(cols, names)])
 
 
-def key_quantiles(df: DataFrame, keys, specs: Sequence[tuple[str, float, str]],
-                  strategy: str | None = None) -> DataFrame:
+def key_quantiles(df: DataFrame, keys, specs: Sequence[tuple[str, float, str]]) -> DataFrame:
     """One row per key with the exact quantile (linear interpolation between order statistics,
-    position (n - 1) q) for each (column, q, name) in ``specs``."""
+    position (n - 1) q) for each (column, q, name) in ``specs``; NULL where a column has no value.
+
+    NULL keys are a key of their own. Without keys the result is one row.
+    """
     keys = _keys(keys)
-    strategy = strategy or DEFAULT_STRATEGY
-    if strategy == "exact":
-        return df.groupBy(*keys).agg(*[F.percentile(c, q).alias(n) for c, q, n in specs])
-    if strategy != "bracket":
-        raise ValueError(f"unknown quantile strategy {strategy!r}")
-    out = None
-    for c, q, n in specs:
-        m = _bracket_quantile(df, keys, c, q, n)
-        out = m if out is None else out.join(m, keys, "full") if keys else out.crossJoin(m)
-    return out
-
-
-def _bracket_quantile(df: DataFrame, keys: list[str], col: str, q: float, name: str) -> DataFrame:
-    eps = 1.0 / SKETCH_ACCURACY
-    # the sketch's rank error is <= eps * n; a margin of 4 eps covers both interpolation ranks once
-    # 2 eps * n >= 2 (n >= 10,000); smaller groups may miss and take the exact fallback (cheap there)
-    lo_q, hi_q = max(0.0, q - 4 * eps), min(1.0, q + 4 * eps)
-    d = df.select(*keys, F.col(col).alias("_x")).where(F.col("_x").isNotNull())
-    k = keys
-    sk = d.groupBy(*k).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_x", [lo_q, hi_q], SKETCH_ACCURACY).alias("_q"))
-    pos = (F.col("_n") - 1) * F.lit(q)  # 0-based position
-    sk = sk.select(*k, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"),
-                   pos.alias("_pos"), (F.floor(pos) + 1).alias("_r1"), (F.ceil(pos) + 1).alias("_r2"))
-    j = d.join(sk, k, "inner") if k else d.crossJoin(F.broadcast(sk))  # one row without keys
-    cnt = j.groupBy(*k).agg(F.sum((F.col("_x") < F.col("_lo")).cast("long")).alias("_below"),
-                            F.sum(((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).cast("long"))
-                            .alias("_inside"))
-    sk = sk.join(cnt, k, "inner") if k else sk.crossJoin(cnt)
-    sk = sk.withColumn("_ok", (F.col("_below") < F.col("_r1")) & (F.col("_below") + F.col("_inside") >= F.col("_r2")))
-    inside = (j.where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
-               .select(*k, "_x"))
-    good_sk = sk.where("_ok").select(*k, "_below", "_r1", "_r2", "_pos")
-    inside = inside.join(good_sk, k, "inner") if k else inside.crossJoin(good_sk)
-    w = Window.partitionBy(*k).orderBy("_x") if k else Window.orderBy("_x")
-    ranked = inside.withColumn("_r", F.row_number().over(w) + F.col("_below"))
-    picked = (ranked.where((F.col("_r") == F.col("_r1")) | (F.col("_r") == F.col("_r2")))
-                    .groupBy(*k).agg(F.max(F.when(F.col("_r") == F.col("_r1"), F.col("_x"))).alias("_v1"),
-                                     F.max(F.when(F.col("_r") == F.col("_r2"), F.col("_x"))).alias("_v2"),
-                                     F.first("_pos").alias("_pos"), F.first("_r1").alias("_r1")))
-    lower = F.col("_r1") - 1
-    # same interpolation as Spark's exact percentile: (higher - pos) * v1 + (pos - lower) * v2
-    value = F.when(F.col("_pos") == lower, F.col("_v1")).otherwise(
-        (lower + 1 - F.col("_pos")) * F.col("_v1") + (F.col("_pos") - lower) * F.col("_v2"))
-    good = picked.select(*k, value.alias(name))
-    bad_keys = sk.where(~F.col("_ok")).select(*k)
-    if k:
-        fallback = d.join(bad_keys, k, "left_semi").groupBy(*k).agg(F.percentile("_x", q).alias(name))
-        return good.unionByName(fallback)
-    # without keys both branches are global aggregates (one row each, NULL when their input is empty)
-    return (good.where(F.col(name).isNotNull())
-                .unionByName(d.crossJoin(bad_keys.limit(1)).agg(F.percentile("_x", q).alias(name))
-                             .where(F.col(name).isNotNull())))
+    ks = [f"_k{i}" for i in range(len(keys))]
+    cols = list(dict.fromkeys(c for c, _, _ in specs))
+    base = df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+
+    # 1. sketch: per column the grid of ranks needed around its quantiles
+    grid = {c: sorted({j for x, q, _ in specs if x == c for j in _around(q)}) for c in cols}
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(f"_v{i}").alias(f"_n{i}"),
+                 F.percentile_approx(f"_v{i}", [j / GRID for j in grid[c]], ACCURACY).alias(f"_g{i}")]
+    sketch = base.groupBy(*ks).agg(*aggs)
+
+    # a bracket per (key, quantile)
+    rows = []
+    for s, (c, q, _) in enumerate(specs):
+        i, (lo, hi) = cols.index(c), _around(q)
+        n = F.col(f"_n{i}")
+        at = (n - 1) * F.lit(float(q))
+        inf = F.lit(math.inf)
+        rows.append(F.struct(
+            F.lit(s).alias("s"), F.lit(i).alias("i"), at.alias("at"), (F.floor(at) + 1).alias("r1"), (F.ceil(at) + 1).alias("r2"),
+            # the outermost grid points take in the column's ends
+            (F.lit(-math.inf) if lo == 0 else F.get(f"_g{i}", F.lit(grid[c].index(lo)))).alias("lo"),
+            (inf if hi == GRID else F.get(f"_g{i}", F.lit(grid[c].index(hi)))).alias("hi")))
+    brackets = F.array(*rows)
+
+    # 2. rows below, next values outside, and a count per distinct value inside
+    wide = _join_keys(base, sketch.select(*ks, brackets.alias("_b")), ks)
+    value = F.coalesce(*[F.when(F.col("b.i") == i, F.col(f"_v{i}")) for i in range(len(cols))])
+    long = wide.select(*ks, *[f"_v{i}" for i in range(len(cols))], F.explode("_b").alias("b"))
+    long = long.select(*ks, "b.s", "b.at", "b.r1", "b.r2", "b.lo", "b.hi", value.alias("x")).where(F.col("x").isNotNull())
+    side = F.when(F.col("x") < F.col("lo"), -1).when(F.col("x") > F.col("hi"), 1).otherwise(0)
+    part = (long.withColumn("side", side)
+            .groupBy(*ks, "s", "at", "r1", "r2", "side", F.when(F.col("side") == 0, F.col("x")).alias("v"))
+            .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("least"), F.max("x").alias("most")))
+
+    # 3. running counts; the rows outside stand for the nearest value on their side
+    w = Window.partitionBy(*ks, "s").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)
+    run = part.withColumn("upto", F.sum("c").over(w))
+    x = F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least"))
+    first = lambda r: F.min(F.when(F.col("upto") >= F.col(r), x))
+    picked = run.groupBy(*ks, "s", "at", "r1").agg(first("r1").alias("x1"), first("r2").alias("x2"))
+    low = F.col("r1") - 1
+    # the same interpolation as Spark's exact percentile
+    out = F.when(F.col("at") == low, F.col("x1")).otherwise(
+        (low + 1 - F.col("at")) * F.col("x1") + (F.col("at") - low) * F.col("x2"))
+    picked = picked.select(*ks, "s", out.alias("x")).groupBy(*ks).agg(
+        *[F.max(F.when(F.col("s") == s, F.col("x"))).alias(n) for s, (_, _, n) in enumerate(specs)])
+    names = [n for _, _, n in specs]
+    full = _join_keys(sketch.select(*ks), picked, ks, "left")  # keys without any value keep their row
+    return full.select(*[F.col(a).alias(k) for k, a in zip(keys, ks)], *names)
+
+
+def _around(q: float) -> tuple[int, int]:
+    """Grid ranks below and above quantile q, one step wider than needed."""
+    return max(0, math.floor(q * GRID) - 1), min(GRID, math.ceil(q * GRID) + 1)
+
+
+def _join_keys(a: DataFrame, b: DataFrame, ks: list[str], how: str = "inner") -> DataFrame:
+    """Join on the key columns, NULL equal to NULL; without keys both sides share one row."""
+    if not ks:
+        return a.join(F.broadcast(b), F.lit(True), how)  # b is one row
+    b = b.select(*[F.col(k).alias(f"{k}_r") for k in ks], *[c for c in b.columns if c not in ks])
+    cond = None
+    for k in ks:
+        c = F.col(k).eqNullSafe(F.col(f"{k}_r"))
+        cond = c if cond is None else cond & c
+    return a.join(b, cond, how).drop(*[f"{k}_r" for k in ks])

@@ -17,7 +17,7 @@ from hazeframe.operators.stats import key_medians, key_quantiles
 
 
 def city_summary(df: DataFrame, key: str = "city", value: str = "pm25", flag: str = "is_unhealthy",
-                 time: str = "datetime", median_strategy: str | None = None) -> DataFrame:
+                 time: str = "datetime") -> DataFrame:
     """Count, mean, sample std, min, max, median of ``value``; mean of ``flag``; time
     range; all rounded half-even to 2 digits; ``unhealthy_pct`` from the rounded mean (x100, 1 digit)."""
     agg = df.groupBy(key).agg(
@@ -26,7 +26,7 @@ def city_summary(df: DataFrame, key: str = "city", value: str = "pm25", flag: st
         F.min(value).alias("_min"), F.max(value).alias("_max"),
         F.avg(flag).alias("_flag"),
         F.min(time).alias(f"{time}_min"), F.max(time).alias(f"{time}_max"))
-    med = key_medians(df, key, [value], median_strategy, ["_med"])
+    med = key_medians(df, key, [value], ["_med"])
     d = agg.join(med, key, "left")
     flag_mean = round_half_even(F.col("_flag"), 2)
     return d.select(
@@ -104,11 +104,10 @@ def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def city_compare(df: DataFrame, key: str = "city", value: str = "pm25",
-                 median_strategy: str | None = None) -> DataFrame:
+def city_compare(df: DataFrame, key: str = "city", value: str = "pm25") -> DataFrame:
     """Mean, sample std, median per key and the key's position by ascending mean."""
     agg = df.groupBy(key).agg(F.avg(value).alias(f"{value}_mean"), F.stddev_samp(value).alias(f"{value}_std"))
-    med = key_medians(df, key, [value], median_strategy, [f"{value}_median"])
+    med = key_medians(df, key, [value], [f"{value}_median"])
     d = agg.join(med, key, "left")
     return d.withColumn("mean_rank", F.row_number().over(Window.orderBy(f"{value}_mean", key)).cast("int"))
 

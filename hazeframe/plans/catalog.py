@@ -1013,7 +1013,7 @@ def masked_selection(spark, sf):
                                          + " FROM processed"))
 def overall_medians(spark, sf):
     from hazeframe.operators.stats import key_medians
-    return r6(key_medians(processed_h(spark, sf), None, PR.FORECAST_FEATURES, None, PR.FORECAST_FEATURES))
+    return r6(key_medians(processed_h(spark, sf), None, PR.FORECAST_FEATURES, PR.FORECAST_FEATURES))
 
 
 @register("label_distribution", Q.with_ctes(H + [_FRAME_SQL], "SELECT label, CAST(count(*) AS BIGINT) AS n FROM fr GROUP BY label"))

@@ -24,26 +24,23 @@ PROCESSED_COLUMNS = [
 
 
 def filled_readings(df: DataFrame, key: str = "city", time: str = "datetime", value: str = "pm25",
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS, index_bucket: str = "day",
-                    median_strategy: str | None = None) -> DataFrame:
+                    chunk_rows: int = DEFAULT_CHUNK_ROWS, index_bucket: str = "day") -> DataFrame:
     """P6 -> W1-W3: gap-filled readings with ``_rn`` (position in the key before filtering)."""
     d = clean.nonfinite_to_null(df.select(key, time, F.col(value).cast("double").alias(value)), value)
     d = materialize(index_rows(d, key, [time], bucket=F.date_trunc(index_bucket, F.col(time))))
     d = materialize(clean.fill_gaps(d, key, value, chunk_rows=chunk_rows))
-    return clean.fill_with_key_median(d, key, value, median_strategy)
+    return clean.fill_with_key_median(d, key, value)
 
 
 def processed(df: DataFrame, key: str = "city", time: str = "datetime", value: str = "pm25",
-              chunk_rows: int = DEFAULT_CHUNK_ROWS, index_bucket: str = "day",
-              median_strategy: str | None = None, keep_rn: bool = False, pin_output: bool = True) -> DataFrame:
+              chunk_rows: int = DEFAULT_CHUNK_ROWS, index_bucket: str = "day", keep_rn: bool = False, pin_output: bool = True) -> DataFrame:
     """The processed table: gap filled, range filtered, extreme flag, calendar, lags, target.
     ``pin_output`` checkpoints the result for the analyses that read it several times; a caller
     that writes it out (the stored processed table) passes False."""
-    d = filled_readings(df, key, time, value, chunk_rows, index_bucket, median_strategy)
+    d = filled_readings(df, key, time, value, chunk_rows, index_bucket)
     d = materialize(clean.range_filter(d, value))
     d = reindex_within_chunks(d, key, rn_col=RN, size=chunk_rows)
-    d = features.bounded_window_features(d, key, value, rn_col=RN, chunk_rows=chunk_rows,
-                                         median_strategy=median_strategy)
+    d = features.bounded_window_features(d, key, value, rn_col=RN, chunk_rows=chunk_rows)
     d = features.add_calendar(d, time, value)
     cols = [c.replace("pm25", value) if c.startswith("pm25") else c for c in PROCESSED_COLUMNS]
     cols = [time if c == "datetime" else key if c == "city" else c for c in cols]

@@ -2,37 +2,37 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hazeframe.operators import association as AS
 from hazeframe.operators import evaluate as EV
 from hazeframe.operators import prep as PR
-from hazeframe.operators.stats import key_medians
+from hazeframe.operators.stats import key_medians, key_quantiles
 
 
-def test_bracket_median_equals_exact(spark):
-    df = spark.range(0, 30001).select((F.col("id") % 4).alias("k"),
-                                      (F.sin(F.col("id")) * 100 + F.col("id") % 7).alias("v"))
-    a = {r["k"]: r["m"] for r in key_medians(df, "k", ["v"], "exact", ["m"]).collect()}
-    b = {r["k"]: r["m"] for r in key_medians(df, "k", ["v"], "bracket", ["m"]).collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert math.isclose(a[k], b[k], rel_tol=0, abs_tol=1e-12)
-    from hazeframe.operators.stats import key_quantiles
-    for q in (0.05, 0.25, 0.75):
-        e = {r["k"]: r["m"] for r in key_quantiles(df, "k", [("v", q, "m")], "exact").collect()}
-        b2 = {r["k"]: r["m"] for r in key_quantiles(df, "k", [("v", q, "m")], "bracket").collect()}
-        assert e == b2
-    small = df.where(F.col("k") == 0).limit(300)  # small group: the exact fallback path
-    for q in (0.05, 0.5):
-        assert key_quantiles(small, None, [("v", q, "m")], "bracket").count() == 1
-        assert key_quantiles(small, None, [("v", q, "m")], "bracket").first()["m"] == \
-            key_quantiles(small, None, [("v", q, "m")], "exact").first()["m"]
-    g1 = key_medians(df, None, ["v"], "exact", ["m"]).first()["m"]
-    g2 = key_medians(df, None, ["v"], "bracket", ["m"]).first()["m"]
-    assert math.isclose(g1, g2, abs_tol=1e-12)
+@pytest.mark.parametrize("q", [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])
+@pytest.mark.parametrize("kind", ["spread", "tied", "constant", "tiny"])
+def test_quantiles_equal_the_exact_percentile(spark, kind, q):
+    n = 13 if kind == "tiny" else 30_000
+    v = {"spread": F.abs(F.xxhash64("id") % 1_000_003) / 7.0, "tied": F.floor(F.abs(F.xxhash64("id") % 3)).cast("double"),
+         "constant": F.lit(4.25), "tiny": (F.col("id") * 7 % 5).cast("double")}[kind]
+    key = F.when(F.col("id") % 10 < 6, "hot").when(F.col("id") % 10 < 9, "cold").otherwise(F.lit(None))
+    d = spark.range(n).select(key.alias("k"), F.when(F.col("id") % 11 > 0, v).alias("v"), (F.col("id") % 4).alias("u"))
+    want = {r.k: (r.a, r.b) for r in d.groupBy("k").agg(F.percentile("v", q).alias("a"), F.percentile("u", q).alias("b")).collect()}
+    got = {r.k: (r.a, r.b) for r in key_quantiles(d, "k", [("v", q, "a"), ("u", q, "b")]).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    r = key_quantiles(d, None, [("v", q, "a")]).collect()
+    assert len(r) == 1 and r[0].a == pytest.approx(d.agg(F.percentile("v", q)).first()[0], rel=1e-12)
 
 
+def test_quantiles_without_values(spark):
+    d = spark.createDataFrame([("a", None), ("b", 1.0)], "k string, v double")
+    assert {r.k: r.m for r in key_medians(d, "k", ["v"], ["m"]).collect()} == {"a": None, "b": 1.0}
+    assert [r.m for r in key_medians(d.where("k = 'a'"), None, ["v"], ["m"]).collect()] == [None]
+    assert [r.m for r in key_medians(d.limit(0), None, ["v"], ["m"]).collect()] == [None]
+    assert key_medians(d.limit(0), "k", ["v"], ["m"]).count() == 0
+
 def _brute_rules(tx, min_support, min_conf, min_lift):
     n = len(tx)
     items = sorted({i for t in tx for i in t})
