@@ -26,17 +26,18 @@ LOF_K = 20
 LOF_CONTAMINATION = 0.05
 OCSVM_NU = 0.05
 OCSVM_FEATURES = 128
-OCSVM_ITER = 30
+OCSVM_TOLERANCE = 2e-3  # stop when a step changes the model by less than this share
 SEED = 42
 
 
 def zscore_flag(df: DataFrame, value: str = "pm25", threshold: float = Z_THRESHOLD, out: str = "anomaly_zscore") -> DataFrame:
     """|(v - mean) / population std| > threshold over the whole table (NULL -> median first)."""
-    st = df.agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd")).crossJoin(
-        key_medians(df, None, [value], ["_md"]))  # one row each
+    med = key_medians(df, None, [value], ["_md"])
     v = F.coalesce(F.col(value), F.col("_md"))
+    d = df.crossJoin(F.broadcast(med))  # one row
+    st = d.agg(F.avg(v).alias("_mu"), F.stddev_pop(v).alias("_sd"))  # over the imputed column
     z = F.abs((v - F.col("_mu")) / F.col("_sd"))
-    return (df.crossJoin(F.broadcast(st))  # one row
+    return (d.crossJoin(F.broadcast(st))  # one row
               .withColumn(out, F.coalesce(z > threshold, F.lit(False)))
               .drop("_mu", "_sd", "_md"))
 
@@ -65,8 +66,10 @@ def lof_flag(scores: DataFrame, contamination: float = LOF_CONTAMINATION, out: s
 
 
 def ocsvm_flag(df: DataFrame, feats: Sequence[str], nu: float = OCSVM_NU, n_features: int = OCSVM_FEATURES,
-               iters: int = OCSVM_ITER, seed: int = SEED, out: str = "anomaly_ocsvm") -> DataFrame:
-    """One-class SVM with an RBF kernel approximated by random Fourier features."""
+               tolerance: float = OCSVM_TOLERANCE, seed: int = SEED, out: str = "anomaly_ocsvm") -> DataFrame:
+    """One-class SVM with an RBF kernel approximated by random Fourier features.
+
+    Steps shrink as 1 / t and go on until one moves (w, rho) by less than ``tolerance`` of its size."""
     import numpy as np
 
     feats = list(feats)
@@ -99,15 +102,19 @@ def ocsvm_flag(df: DataFrame, feats: Sequence[str], nu: float = OCSVM_NU, n_feat
 
     rho = with_model(w, 0.0).agg(F.percentile_approx(score, nu, 10_000).alias("r")).first()["r"]
     grad = F.array(*[F.sum(F.col("_z")[j]) for j in range(n_features)])
-    for t in range(iters):
+    t, moved = 0, math.inf
+    while moved > tolerance:
         agg = (with_model(w, rho).where(score < F.col("_rho"))
                .agg(F.count(F.lit(1)).alias("c"), grad.alias("g")).first())
         viol = np.array(agg["g"] if agg["c"] else [0.0] * n_features, dtype=float)
         gw = w - viol / (nu * n)
         grho = -1.0 + agg["c"] / (nu * n)
         step = 1.0 / (t + 2)
+        size = math.sqrt(float(w @ w) + float(rho) ** 2)
+        moved = step * math.sqrt(float(gw @ gw) + float(grho) ** 2) / max(size, 1e-12)
         w = w - step * gw
         rho = rho - step * grho
+        t += 1
     scored = with_model(w, 0.0).withColumn("_s", score)
     thr = scored.agg(F.percentile_approx("_s", nu, 10_000).alias("r")).first()["r"]
     return scored.withColumn(out, F.col("_s") < F.lit(thr)).drop("_z", "_w", "_rho", "_s")
@@ -123,15 +130,17 @@ def anomaly_rates(df: DataFrame, flags: Sequence[str], dims: Sequence[str] = ("c
     """Percentage flagged per method, overall and per value of each dimension, in one pass
     (GROUPING SETS). Output long: (dim, value, method, rate_pct)."""
     dims = list(dims)
-    sets = [()] + [(d,) for d in dims]
-    spark = df.sparkSession
-    df.createOrReplaceTempView("_anomaly_rates_src")
-    rates = ", ".join(f"avg(CAST({f} AS INT)) * 100 AS `{f}`" for f in flags)
-    gs = ", ".join("(" + ", ".join(s) + ")" for s in sets)
-    gid = " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dims)
-    val = " ".join(f"WHEN grouping({d}) = 0 THEN CAST({d} AS STRING)" for d in dims)
-    wide = spark.sql(f"""SELECT CASE {gid} ELSE 'all' END AS dim, CASE {val} ELSE 'all' END AS value, {rates}
-                         FROM _anomaly_rates_src GROUP BY GROUPING SETS ({gs})""")
+    # rows with the same dimensions are added up first: the grouping sets expand that small table
+    small = df.groupBy(*dims).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(f).cast("int")).alias(f"_f{i}") for i, f in enumerate(flags)])
+    sets = [[], *[[F.col(d)] for d in dims]]
+    wide = small.groupingSets(sets, *dims).agg(
+        *[F.grouping(d).alias(f"_g{i}") for i, d in enumerate(dims)],
+        *[(F.sum(f"_f{i}") / F.sum("_n") * 100).alias(f) for i, f in enumerate(flags)])
+    dim, val = F.lit("all"), F.lit("all")
+    for i, d in enumerate(dims):
+        dim = F.when(F.col(f"_g{i}") == 0, F.lit(d)).otherwise(dim)
+        val = F.when(F.col(f"_g{i}") == 0, F.col(d).cast("string")).otherwise(val)
+    wide = wide.select(dim.alias("dim"), val.alias("value"), *flags)
     stack = F.explode(F.array(*[F.struct(F.lit(f).alias("method"), F.col(f"`{f}`").alias("rate_pct")) for f in flags]))
     return wide.select("dim", "value", stack.alias("s")).select("dim", "value", "s.method", "s.rate_pct")
 

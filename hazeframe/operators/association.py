@@ -47,8 +47,10 @@ def frequent_itemsets(tx: DataFrame, columns: Sequence[str] = TRANSACTION_COLUMN
     """(items array sorted, itemset string, freq, support, length) for every itemset
     with support >= min_support."""
     cols = list(columns)
-    n = tx.agg(F.count(F.lit(1)).alias("_N"))
-    cells = tx.cube(*cols).agg(F.count(F.lit(1)).alias("freq"),
+    # distinct baskets first: the cube expands this small table, not the raw rows
+    baskets = tx.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
+    n = baskets.agg(F.sum("_w").alias("_N"))
+    cells = baskets.cube(*cols).agg(F.sum("_w").alias("freq"),
                                *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(cols)])
     present = [F.when(F.col(f"_g{i}") == 0, F.concat(F.lit(c + "="), F.col(c))) for i, c in enumerate(cols)]
     items = F.array_sort(F.filter(F.array(*present), lambda x: x.isNotNull()))
@@ -89,7 +91,7 @@ def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENC
     rules = ex.select(F.array_join(part(1), ", ").alias("antecedents_str"),
                       F.array_join(part(0), ", ").alias("consequents_str"),
                       part(1).alias("antecedent"), part(0).alias("consequent"), "support")
-    sup = F.broadcast(itemsets.select("itemset", F.col("support").alias("_s")))
+    sup = itemsets.select("itemset", F.col("support").alias("_s"))
     rules = (rules.join(sup.withColumnRenamed("_s", "antecedent_support"),
                         F.col("antecedents_str") == F.col("itemset"), "inner").drop("itemset")
                   .join(sup.withColumnRenamed("_s", "consequent_support"),

@@ -1,11 +1,11 @@
 """Clustering and cluster quality.
 
-K-means and Gaussian mixtures are ``pyspark.ml`` fits; DBSCAN is composed from the exact
-epsilon-grid join, a neighbour count, core-core edges and connected components by iterative
-min-label propagation with pointer jumping (checkpointed each round). Silhouette works on a seeded
-hash sample of at most ``SILHOUETTE_SAMPLE`` rows (the sample size is the operator's parameter):
-the sample is broadcast and each partition of sample rows computes its distance sums per cluster
-with numpy. Calinski-Harabasz and Davies-Bouldin are grouped aggregates over the full data.
+K-means and Gaussian mixtures are ``pyspark.ml`` fits. DBSCAN streams the exact epsilon-grid join
+through aggregations (neighbour counts; pairs of small cells that hold linked core points) without
+storing point pairs, then takes connected components of the cells until nothing changes.
+``silhouette_squared`` is the silhouette of squared distances over all rows, from per-cluster sums;
+``silhouette`` is the Euclidean form of the analysed pipeline on an explicit seeded sample, and says
+how many rows it saw. Calinski-Harabasz and Davies-Bouldin are grouped aggregates over the full data.
 """
 
 from __future__ import annotations
@@ -71,13 +71,14 @@ def kmeans_labels(df: DataFrame, feats: Sequence[str], k: int, n_init: int = N_I
 
 def k_sweep(df: DataFrame, feats: Sequence[str], ids: Sequence[str], ks=K_RANGE, n_init: int = N_INIT,
             seed: int = SEED) -> DataFrame:
-    """SSE and silhouette for each k; ``best`` marks the first k with the top silhouette."""
+    """SSE and silhouette (squared distances, all rows) for each k; ``best`` marks the
+    first k with the top silhouette."""
     spark = df.sparkSession
     rows = []
     for k in ks:
         model, sse = kmeans_fit(df, feats, k, n_init, seed)
         lab = model.transform(_assemble(df, feats)).select(*df.columns, F.col("prediction").cast("int").alias("cluster"))
-        sil = silhouette(lab, feats, "cluster", ids).first()["silhouette"]
+        sil = silhouette_squared(lab, feats, "cluster").first()["silhouette_squared"]
         rows.append((int(k), float(sse), None if sil is None else float(sil)))
     t = spark.createDataFrame(rows, "k int, sse double, silhouette double")
     w = Window.orderBy(F.desc_nulls_last("silhouette"), "k")  # at most len(ks) rows
@@ -99,23 +100,26 @@ def gmm_labels(df: DataFrame, feats: Sequence[str], k: int, seed: int = SEED) ->
 # ---- DBSCAN (M17, J8) -----------------------------------------------------------------------------
 
 def dbscan_core(df: DataFrame, feats: Sequence[str], id_col: str = "row_id", eps: float = DBSCAN_EPS,
-                min_samples: int = DBSCAN_MIN_SAMPLES) -> tuple[DataFrame, DataFrame]:
-    """Neighbour counts (self included) and core flags; returns (points with n_neighbors, is_core;
-    neighbour pairs)."""
-    pairs = materialize(range_join(df, eps, feats, [id_col]))
-    cnt = pairs.groupBy(F.col(f"q_{id_col}").alias(id_col)).agg(F.count(F.lit(1)).cast("long").alias("n_neighbors"))
+                min_samples: int = DBSCAN_MIN_SAMPLES) -> DataFrame:
+    """Points with ``n_neighbors`` (within eps, self included) and ``is_core``.
+
+    Pairs are counted as they are joined (partial aggregation); none is stored.
+    """
+    cnt = (range_join(df, eps, feats, [id_col]).groupBy(F.col(f"q_{id_col}").alias(id_col))
+           .agg(F.count(F.lit(1)).cast("long").alias("n_neighbors")))
     pts = df.join(cnt, id_col, "left").withColumn("n_neighbors", F.coalesce("n_neighbors", F.lit(0)).cast("long"))
-    return pts.withColumn("is_core", F.col("n_neighbors") >= min_samples), pairs
+    return pts.withColumn("is_core", F.col("n_neighbors") >= min_samples)
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame, src: str = "src", dst: str = "dst",
-                         vid: str = "id", max_iter: int = 200) -> DataFrame:
+                         vid: str = "id") -> DataFrame:
     """Smallest vertex id of each vertex's component (edges undirected). Rounds of min-label
-    propagation over edges followed by pointer jumping (label <- label of label), checkpointed."""
+    propagation over edges followed by pointer jumping (label <- label of label), pinned, until no
+    label changes."""
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     e = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "checkpoint")
     lab = materialize(vertices.select(F.col(vid).alias("v"), F.col(vid).alias("l")), "checkpoint")
-    for _ in range(max_iter):
+    while True:
         prop = (e.join(lab.withColumnRenamed("v", "b").withColumnRenamed("l", "lb"), "b")
                  .groupBy(F.col("a").alias("v")).agg(F.min("lb").alias("m")))
         new = (lab.join(prop, "v", "left")
@@ -126,33 +130,36 @@ def connected_components(edges: DataFrame, vertices: DataFrame, src: str = "src"
         changed = jump.join(lab.withColumnRenamed("l", "old"), "v").where(F.col("l") != F.col("old")).limit(1).count()
         lab = jump
         if changed == 0:
-            break
-    return lab.select(F.col("v").alias(vid), F.col("l").alias("component"))
+            return lab.select(F.col("v").alias(vid), F.col("l").alias("component"))
 
 
 def dbscan(df: DataFrame, feats: Sequence[str], id_col: str = "row_id", eps: float = DBSCAN_EPS,
            min_samples: int = DBSCAN_MIN_SAMPLES) -> DataFrame:
     """``cluster`` = number of the cluster in order of its smallest core id (0, 1, ...),
     border points take the lowest-numbered cluster among their core neighbours, noise = -1.
-    ``id_col`` must be a numeric row id giving the visiting order."""
-    pts, pairs = dbscan_core(df, feats, id_col, eps, min_samples)
-    pts = materialize(pts)
-    core = pts.where("is_core").select(id_col)
-    qc = F.col(f"q_{id_col}")
-    pc = F.col(f"p_{id_col}")
-    cc = (pairs.where(qc != pc)
-               .join(core.select(F.col(id_col).alias(f"q_{id_col}")), f"q_{id_col}", "left_semi")
-               .join(core.select(F.col(id_col).alias(f"p_{id_col}")), f"p_{id_col}", "left_semi"))
-    comp = connected_components(cc, core, f"q_{id_col}", f"p_{id_col}", id_col)
+    ``id_col`` must be a numeric row id giving the visiting order.
+
+    Core points in one cell of diagonal eps are one cluster, so components are taken over cells
+    (named by their smallest core id), not over points.
+    """
+    feats = list(feats)
+    pts = materialize(dbscan_core(df, feats, id_col, eps, min_samples))
+    side = eps / len(feats) ** 0.5 * (1 - 1e-9)
+    cell = F.array(*[F.floor(F.col(f) / side).cast("long") for f in feats])
+    core = pts.where("is_core").select(id_col, *feats, cell.alias("_cell"))
+    names = core.groupBy("_cell").agg(F.min(id_col).alias("_name"))
+    core = materialize(core.join(names, "_cell").select(id_col, *feats, F.col("_name")))
+    near = range_join(core, eps, feats, [id_col, "_name"])
+    links = near.groupBy("q__name", "p__name").agg(F.count(F.lit(1)).alias("_n")).where("q__name <> p__name")
+    comp = connected_components(links, core.select("_name").distinct(), "q__name", "p__name", "_name")
     number = comp.select("component").distinct().withColumn(
         "cluster", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))  # one row per cluster
-    core_lab = comp.join(number, "component").select(id_col, "cluster")
-    border = (pairs.join(core_lab.select(F.col(id_col).alias(f"p_{id_col}"), "cluster"), f"p_{id_col}")
-                   .groupBy(F.col(f"q_{id_col}").alias(id_col)).agg(F.min("cluster").alias("_bc")))
-    out = (pts.join(core_lab, id_col, "left").join(border, id_col, "left")
-              .withColumn("cluster", F.coalesce(F.col("cluster"), F.col("_bc"), F.lit(-1)).cast("int"))
-              .drop("_bc"))
-    return out
+    core_lab = materialize(core.join(comp, "_name").join(number, "component").select(id_col, *feats, "cluster"))
+    other = pts.where("not is_core").select(id_col, *feats)
+    border = (range_join(core_lab, eps, feats, [id_col, "cluster"], queries=other, q_ids=[id_col])
+              .groupBy(F.col(f"q_{id_col}").alias(id_col)).agg(F.min("p_cluster").alias("cluster")))
+    lab = core_lab.select(id_col, "cluster").unionByName(border)
+    return pts.join(lab, id_col, "left").withColumn("cluster", F.coalesce(F.col("cluster"), F.lit(-1)).cast("int"))
 
 
 # ---- quality metrics (M16, M19-M21) -------------------------------------------------------------
@@ -162,10 +169,39 @@ def silhouette_sample(df: DataFrame, ids: Sequence[str], size: int = SILHOUETTE_
     return df.withColumn("_h", prep.hash_order(list(ids), seed)).orderBy("_h", *ids).limit(size).drop("_h")
 
 
+def silhouette_squared(df: DataFrame, feats: Sequence[str], label: str) -> DataFrame:
+    """Mean silhouette of squared Euclidean distances over all rows; a point alone in its cluster
+    scores 0; NULL below two clusters.
+
+    The mean squared distance of x to a cluster is ``|x|^2 - 2 x.m + q`` with the cluster's mean m and
+    mean square norm q, so one row per cluster is all a point needs. Rows meet the clusters one by
+    one (rows x clusters, streamed through an aggregation per row).
+    """
+    feats = list(feats)
+    d = df.select(*feats, F.col(label).alias("_l")).where(F.col("_l").isNotNull())
+    norm = reduce(lambda a, b: a + b, [F.col(f) * F.col(f) for f in feats])
+    cl = d.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"), F.avg(norm).alias("_q"), *[F.avg(f).alias(f"_m{i}") for i, f in enumerate(feats)])
+    each = F.sort_array(F.collect_list(F.struct("_l", "_n", "_q", F.array(*[f"_m{i}" for i in range(len(feats))]).alias("m"))))
+    all_cl = cl.agg(each.alias("_c"))  # one row: a struct a cluster
+    x = F.array(*feats)
+    dot = lambda m: F.aggregate(F.zip_with(x, m, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    dist = F.transform("_c", lambda c: F.struct((c["_l"] == F.col("_l")).alias("own"), c["_n"].alias("n"),
+                                                F.greatest(F.col("_x2") - 2 * dot(c["m"]) + c["_q"], F.lit(0.0)).alias("d")))
+    own = F.get(F.filter("_d", lambda c: c["own"]), 0)
+    other = F.array_min(F.transform(F.filter("_d", lambda c: ~c["own"]), lambda c: c["d"]))
+    scored = (d.withColumn("_x2", norm).join(F.broadcast(all_cl), F.lit(True))  # one row
+              .withColumn("_d", dist).select(own.alias("o"), other.alias("b")))
+    a = F.col("o.d") * F.col("o.n") / (F.col("o.n") - 1)  # own mean without the point itself
+    s = F.when(F.col("o.n") == 1, F.lit(0.0)).when(F.greatest(a, F.col("b")) == 0, F.lit(0.0)).otherwise(
+        (F.col("b") - a) / F.greatest(a, F.col("b")))
+    return scored.agg(F.avg(F.when(F.col("b").isNotNull(), s)).alias("silhouette_squared"))
+
+
 def silhouette(df: DataFrame, feats: Sequence[str], label: str, ids: Sequence[str],
                size: int = SILHOUETTE_SAMPLE, seed: int = SEED) -> DataFrame:
-    """Mean silhouette (Euclidean) over a sample of at most ``size`` rows; a point alone in
-    its cluster scores 0; NULL when the sample has fewer than 2 clusters."""
+    """Mean silhouette (Euclidean) over a seeded sample of at most ``size`` rows, as the analysed
+    pipeline asks for, with n_rows and n_sampled; a point alone in its cluster scores 0; NULL when
+    the sample has fewer than 2 clusters."""
     import numpy as np
     import pandas as pd
 
@@ -174,8 +210,10 @@ def silhouette(df: DataFrame, feats: Sequence[str], label: str, ids: Sequence[st
     sample = sample.where(F.col(label).isNotNull())
     local = sample.select(*feats, label).toPandas()  # bounded by ``size`` rows
     spark = df.sparkSession
+    n_rows = df.where(F.col(label).isNotNull()).count()
+    seen = [F.lit(n_rows).cast("long").alias("n_rows"), F.lit(len(local)).cast("long").alias("n_sampled")]
     if local[label].nunique() < 2:
-        return spark.createDataFrame([(None,)], "silhouette double")
+        return spark.createDataFrame([(None,)], "silhouette double").select("silhouette", *seen)
     X = local[feats].to_numpy(dtype=float)
     y = local[label].to_numpy()
     labels = np.unique(y)
@@ -199,7 +237,7 @@ def silhouette(df: DataFrame, feats: Sequence[str], label: str, ids: Sequence[st
             yield pd.DataFrame({"s": s})
 
     scored = sample.select(*feats, label).mapInPandas(per_batch, "s double")
-    return scored.agg(F.avg("s").alias("silhouette"))
+    return scored.agg(F.avg("s").alias("silhouette")).select("silhouette", *seen)
 
 
 def calinski_harabasz(df: DataFrame, feats: Sequence[str], label: str) -> DataFrame:
@@ -207,7 +245,7 @@ def calinski_harabasz(df: DataFrame, feats: Sequence[str], label: str) -> DataFr
     feats = list(feats)
     cen = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"), *[F.avg(f).alias(f"_c{i}") for i, f in enumerate(feats)])
     tot = df.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(f).alias(f"_g{i}") for i, f in enumerate(feats)])
-    w = (df.join(F.broadcast(cen), label)  # one row per cluster
+    w = (df.join(cen, label)  # one row per cluster
            .agg(F.sum(reduce(lambda a, b: a + b, [F.pow(F.col(f) - F.col(f"_c{i}"), 2) for i, f in enumerate(feats)]))
                 .alias("_W")))
     b = (cen.crossJoin(tot)  # tot is one row
@@ -223,7 +261,7 @@ def davies_bouldin(df: DataFrame, feats: Sequence[str], label: str) -> DataFrame
     """Mean over clusters of max_j (S_i + S_j) / d(c_i, c_j), S = mean distance to centroid."""
     feats = list(feats)
     cen = df.groupBy(label).agg(*[F.avg(f).alias(f"_c{i}") for i, f in enumerate(feats)])
-    s = (df.join(F.broadcast(cen), label)  # one row per cluster
+    s = (df.join(cen, label)  # one row per cluster
            .withColumn("_d", F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(f) - F.col(f"_c{i}"), 2)
                                                                for i, f in enumerate(feats)])))
            .groupBy(label).agg(F.avg("_d").alias("_s")))
@@ -247,11 +285,11 @@ def evaluate_clustering(df: DataFrame, feats: Sequence[str], label: str, ids: Se
     if (counts["_kept"] or 0) < 2 or counts["n_clusters"] < 2:
         sil = ch = db = None
     else:
-        sil = silhouette(clean, feats, label, ids).first()[0]
+        sil = silhouette_squared(clean, feats, label).first()[0]
         ch = calinski_harabasz(clean, feats, label).first()[0]
         db = davies_bouldin(clean, feats, label).first()[0]
     return spark.createDataFrame([(method, int(counts["n_clusters"]), int(counts["noise_points"] or 0), sil, ch, db)],
-                                 "method string, n_clusters long, noise_points long, silhouette double, "
+                                 "method string, n_clusters long, noise_points long, silhouette_squared double, "
                                  "calinski_harabasz double, davies_bouldin double")
 
 
@@ -274,8 +312,8 @@ def crosstab_share(df: DataFrame, row: str, label: str = "cluster", row_order: S
     rows = df.select(row).distinct() if row_order is None else \
         df.sparkSession.createDataFrame([(v,) for v in row_order], f"{row} string")
     present = df.select(row).distinct().withColumn("_present", F.lit(True))
-    grid = F.broadcast(rows).crossJoin(tot)  # (row values) x (clusters): both small label sets
-    out = (grid.join(counts, [row, label], "left").join(F.broadcast(present), row, "left")
+    grid = rows.crossJoin(tot)  # the cells of the report: row values x clusters
+    out = (grid.join(counts, [row, label], "left").join(present, row, "left")
                .select(row, label, F.when(F.col("_present"), F.coalesce(F.col("_n"), F.lit(0)) / F.col("_t"))
                        .alias("share")))
     return out

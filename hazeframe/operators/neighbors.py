@@ -145,12 +145,17 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str]
 
 
 def range_join(df: DataFrame, eps: float, feats: Sequence[str], ids: Sequence[str],
-               grid_dims: Sequence[str] | None = None) -> DataFrame:
-    """Every ordered pair (including self) at Euclidean distance <= eps: (q_<ids>, p_<ids>, dist)."""
+               grid_dims: Sequence[str] | None = None, queries: DataFrame | None = None,
+               q_ids: Sequence[str] | None = None) -> DataFrame:
+    """Every ordered pair (including self) at Euclidean distance <= eps: (q_<ids>, p_<ids>, dist).
+
+    With ``queries`` (and their ``q_ids``), pairs of a query row and a row of ``df``.
+    """
     feats, ids = list(feats), list(ids)
     gdims = list(grid_dims) if grid_dims else feats
-    q = _prefixed(df, ids, feats, "q_")
+    q_ids = list(q_ids) if q_ids is not None else ids
+    q = _prefixed(df if queries is None else queries, q_ids, feats, "q_")
     p = _prefixed(df, ids, feats, "p_")
     cand = _candidates(q, p, feats, gdims, eps)
-    return (cand.select(*[f"q_{c}" for c in ids], *[f"p_{c}" for c in ids], _dist(feats).alias("dist"))
+    return (cand.select(*[f"q_{c}" for c in q_ids], *[f"p_{c}" for c in ids], _dist(feats).alias("dist"))
                 .where(F.col("dist") <= eps))

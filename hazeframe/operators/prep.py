@@ -2,7 +2,7 @@
 
 Fitted statistics (medians, means, population stds) are one-row tables joined with a broadcast
 of that single row; no feature row ever goes to the driver. The only driver value is the list of
-one-hot levels of the key column (metadata, bounded by ``MAX_ONEHOT_LEVELS``).
+one-hot levels of the key column, which names the output columns (as many as the key has values).
 """
 
 from __future__ import annotations
@@ -15,20 +15,17 @@ from pyspark.sql import functions as F
 from hazeframe.operators.sequence import index_rows
 from hazeframe.operators.stats import key_medians
 
+# The feature lists of the three models.
 FORECAST_FEATURES = ["hour", "day_of_week", "month", "is_weekend", "pm25_lag_1h", "pm25_lag_24h",
                      "pm25_rolling_mean_24h", "pm25_rolling_std_24h"]
 CLUSTER_FEATURES = ["pm25", "hour", "day_of_week", "month"]
 ANOMALY_FEATURES = ["pm25", "hour", "day_of_week", "month", "pm25_rolling_mean_24h"]
-MAX_ONEHOT_LEVELS = 10_000
 SEED = 42
 
 
 def onehot_levels(df: DataFrame, col: str) -> list[str]:
-    levels = [r[0] for r in df.select(col).distinct().where(F.col(col).isNotNull())
-              .orderBy(col).limit(MAX_ONEHOT_LEVELS + 1).collect()]
-    if len(levels) > MAX_ONEHOT_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_ONEHOT_LEVELS} levels; one-hot columns are not sensible")
-    return levels
+    """The column's distinct values in order: the names of the output columns."""
+    return [r[0] for r in df.select(col).distinct().where(F.col(col).isNotNull()).orderBy(col).collect()]
 
 
 def onehot(df: DataFrame, col: str, prefix: str | None = None, levels: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:

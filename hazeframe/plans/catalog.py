@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hazeframe.operators.sequence import DEFAULT_CHUNK_ROWS
 from hazeframe.plans import sqltext as Q
 from hazeframe.plans.pipeline import filled_readings, processed
 from hazeframe.sources import standins
@@ -19,9 +20,8 @@ from hazeframe.sources import standins
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Chunk size of the positional windows in the catalogue: small enough that the sf0.01 series
-# (about 700 rows per key) span several chunks, so halo handling is exercised by every check.
-CHUNK_ROWS = 256
+# Chunk size of the positional windows; the tests run the same chain with small chunks.
+CHUNK_ROWS = DEFAULT_CHUNK_ROWS
 
 
 def register(name: str, sql: str | None = None):
@@ -340,7 +340,8 @@ def _rules(spark, sf, min_lift=AS.MIN_LIFT):
 
 # No rule of the synthetic tables reaches lift 1.1, so the rule post-processing queries below run
 # on the confidence-only rule set (the rule table before the lift filter) to check real rows.
-_RULES_CONF = _RULES[:-1] + [_RULES[-1].replace(" AND rs.support / fa.support / fc.support >= 1.1", "")]
+# The rule table is materialised before the text filters run on it.
+_RULES_CONF = _RULES[:-1] + [_RULES[-1].replace("rules AS (", "rules AS MATERIALIZED (", 1).replace(" AND rs.support / fa.support / fc.support >= 1.1", "")]
 
 
 def _itemsets(spark, sf):
@@ -359,6 +360,12 @@ def frequent_itemsets_q(spark, sf):
     return r6(_itemsets(spark, sf).select("itemset", "freq", "support", "length"))
 
 
+@register("frequent_itemsets_fpgrowth", Q.with_ctes(D + _ITEMSETS, f"SELECT itemset, freq, {Q.r6('support')} AS support, length FROM fi"))
+def frequent_itemsets_fpgrowth_q(spark, sf):
+    tx = AS.transactions(processed_d(spark, sf))
+    return r6(AS.frequent_itemsets_baskets(tx.select("items")).select("itemset", "freq", "support", "length"))
+
+
 @register("itemset_lengths", Q.with_ctes(D + _ITEMSETS, "SELECT length, CAST(count(*) AS BIGINT) AS n_itemsets FROM fi GROUP BY length"))
 def itemset_lengths_q(spark, sf):
     return AS.itemset_lengths(_itemsets(spark, sf))
@@ -418,15 +425,6 @@ H_LEVELS = ["click", "error", "purchase", "signup", "view"]  # keys of the hourl
 FEATS = PR.FORECAST_FEATURES + [f"city_{lv}" for lv in H_LEVELS]
 
 
-def _frame_h(spark, sf):
-    """Forecast frame over the hourly processed table plus the rule split used by the SQL checks:
-    a row is a test row when (day_of_year * 24 + hour) % 5 = 0."""
-    p = processed_h(spark, sf)
-    d, cols = PR.forecast_frame(p.withColumn("_t", (F.col("day_of_year") * 24 + F.col("hour")) % 5 == 0),
-                                levels=H_LEVELS)
-    return d, cols
-
-
 def _frame_with_split(spark, sf):
     p = processed_h(spark, sf)
     d, cols = PR.forecast_frame(p, levels=H_LEVELS)
@@ -456,6 +454,26 @@ def impute_scale_onehot(spark, sf):
     return r6(PR.standardize(d, cols).select("city", "datetime", "label", *cols))
 
 
+@register("impute_standardize_nulls", Q.with_ctes([Q.READINGS_H, Q.gaps("readings_h", "readings_hg"),
+  "im AS (SELECT city, datetime, coalesce(pm25, (SELECT median(pm25) FROM readings_hg)) AS v FROM readings_hg)"],
+  f"SELECT city, datetime, {Q.r6('(v - avg(v) OVER ()) / stddev_pop(v) OVER ()')} AS pm25 FROM im"))
+def impute_standardize_nulls(spark, sf):
+    """M2 / M22 on a column with NULLs."""
+    from hazeframe.operators.cluster import cluster_frame
+
+    return r6(cluster_frame(hourly_gappy(spark, sf), ["pm25"]))
+
+
+@register("zscore_nulls", Q.with_ctes([Q.READINGS_H, Q.gaps("readings_h", "readings_hg"),
+  "im AS (SELECT city, datetime, coalesce(pm25, (SELECT median(pm25) FROM readings_hg)) AS v FROM readings_hg)"],
+  "SELECT city, datetime, abs((v - avg(v) OVER ()) / stddev_pop(v) OVER ()) > 1 AS anomaly_zscore FROM im"))
+def zscore_nulls(spark, sf):
+    """M24 on a column with NULLs, at a threshold that rows reach."""
+    from hazeframe.operators.anomaly import zscore_flag
+
+    return zscore_flag(hourly_gappy(spark, sf), threshold=1.0).select("city", "datetime", "anomaly_zscore")
+
+
 @register("split_counts", Q.with_ctes(H + [_FRAME_SQL], """SELECT label, CAST(count(*) AS BIGINT) AS n,
   CAST(round(count(*) * 0.2) AS BIGINT) AS n_test, CAST(count(*) - round(count(*) * 0.2) AS BIGINT) AS n_train
 FROM fr GROUP BY label"""))
@@ -606,7 +624,7 @@ def svm_calibrated(spark, sf):
 @register("cv_f1")
 def cv_f1(spark, sf):
     d, cols = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
-    d = d.checkpoint()  # reused by 5 folds x 4 models
+    d = materialize(d)  # reused by 5 folds x 4 models
     return r6(EV.fold_summary(CL.cross_validate(d, cols)))
 
 
@@ -661,7 +679,41 @@ _DIST_CF = "sqrt(" + " + ".join(f"power(a.{f} - b.{f}, 2)" for f in CF) + ")"
   FROM pc GROUP BY city, datetime)"""],
   f"SELECT {Q.r6('avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette FROM si"))
 def silhouette_q(spark, sf):
-    return r6(CU.silhouette(_cluster_base(spark, sf), CF, "label", ["city", "datetime"]))
+    return r6(CU.silhouette(_cluster_base(spark, sf), CF, "label", ["city", "datetime"]).select("silhouette"))
+
+
+# mean squared distances of every row to every cluster, by brute force over pairs
+_SQ_SQL = ["pq AS (SELECT a.row_id, a.label AS la, b.label AS lb, sum(" + " + ".join(f"power(a.{f} - b.{f}, 2)" for f in CF)
+           + ") AS s, count(*) AS n FROM cl a, cl b GROUP BY ALL)",
+           "sq AS (SELECT row_id, max(CASE WHEN lb = la AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN lb <> la THEN s / n END) AS b "
+           "FROM pq GROUP BY row_id)"]
+_SQ_MEAN = "avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END)"
+
+
+@register("silhouette_squared", Q.with_ctes(H + [_CF_SQL, "cl AS (SELECT * FROM cf)", *_SQ_SQL],
+          f"SELECT {Q.r6(_SQ_MEAN)} AS silhouette_squared FROM sq"))
+def silhouette_squared_q(spark, sf):
+    return r6(CU.silhouette_squared(_cluster_base(spark, sf), CF, "label"))
+
+
+@register("cluster_eval_noise", Q.with_ctes(H + [_CF_SQL, "cl AS (SELECT * FROM cf WHERE label > 0)", *_SQ_SQL,
+  "cen AS (SELECT label, count(*) AS nc, " + ", ".join(f"avg({f}) AS c_{f}" for f in CF) + " FROM cl GROUP BY label)",
+  "g AS (SELECT count(*) AS n, " + ", ".join(f"avg({f}) AS g_{f}" for f in CF) + " FROM cl)",
+  "w AS (SELECT sum(" + " + ".join(f"power(cl.{f} - c_{f}, 2)" for f in CF) + ") AS w FROM cl JOIN cen USING (label))",
+  "b AS (SELECT sum(nc * (" + " + ".join(f"power(c_{f} - g_{f}, 2)" for f in CF) + ")) AS b, count(*) AS k, max(n) AS n FROM cen, g)",
+  "sc AS (SELECT label, avg(sqrt(" + " + ".join(f"power(cl.{f} - c_{f}, 2)" for f in CF) + ")) AS s FROM cl JOIN cen USING (label) GROUP BY label)",
+  "cs AS (SELECT * FROM cen JOIN sc USING (label))",
+  "r AS (SELECT x.label, max((x.s + y.s) / sqrt(" + " + ".join(f"power(x.c_{f} - y.c_{f}, 2)" for f in CF)
+  + ")) AS r FROM cs x, cs y WHERE x.label <> y.label GROUP BY x.label)"],
+  f"""SELECT 'rule' AS method, (SELECT CAST(count(*) AS BIGINT) FROM cen) AS n_clusters,
+  (SELECT CAST(count(*) AS BIGINT) FROM cf WHERE label = 0) AS noise_points,
+  (SELECT {Q.r6(_SQ_MEAN)} FROM sq) AS silhouette_squared,
+  (SELECT {Q.r6('(b / (k - 1)) / (w / (n - k))')} FROM b, w) AS calinski_harabasz,
+  (SELECT {Q.r6('avg(r)')} FROM r) AS davies_bouldin"""))
+def cluster_eval_noise_q(spark, sf):
+    """M21 with the first rule label as noise (-1)."""
+    d = _cluster_base(spark, sf).withColumn("label", F.when(F.col("label") == 0, -1).otherwise(F.col("label")))
+    return r6(CU.evaluate_clustering(d, CF, "label", ["city", "datetime"], "rule"))
 
 
 @register("calinski_harabasz", Q.with_ctes(H + [_CF_SQL,
@@ -715,13 +767,21 @@ def cluster_crosstab_q(spark, sf):
     return r6(CU.crosstab_share(d, "season", "cluster", S.SEASONS))
 
 
+@register("cluster_city_crosstab", Q.with_ctes(H + [_CF_SQL,
+  "t AS (SELECT label, count(*) AS t FROM cf GROUP BY label)",
+  "c AS (SELECT key, label, count(*) AS n FROM cf GROUP BY key, label)", "k AS (SELECT DISTINCT key FROM cf)"],
+  f"""SELECT k.key AS city, CAST(t.label AS INTEGER) AS cluster, {Q.r6('coalesce(c.n, 0) / t.t')} AS share
+FROM k CROSS JOIN t LEFT JOIN c ON c.key = k.key AND c.label = t.label"""))
+def cluster_city_crosstab_q(spark, sf):
+    return r6(CU.crosstab_share(_cluster_base(spark, sf).withColumnRenamed("label", "cluster"), "city", "cluster"))
+
+
 @register("dbscan_core", Q.with_ctes(H + [_CF_SQL, f"""nb AS (SELECT a.row_id, count(*) AS n FROM cf a, cf b
   WHERE {_DIST_CF} <= 0.8 GROUP BY a.row_id)"""],
   "SELECT cf.row_id, CAST(coalesce(n, 0) AS BIGINT) AS n_neighbors, coalesce(n, 0) >= 50 AS is_core FROM cf LEFT JOIN nb USING (row_id)"))
 def dbscan_core_q(spark, sf):
     d = _cluster_base(spark, sf, with_row_id=True)
-    pts, _ = CU.dbscan_core(d.select("row_id", *CF), CF, "row_id")
-    return pts.select("row_id", "n_neighbors", "is_core")
+    return CU.dbscan_core(d.select("row_id", *CF), CF, "row_id").select("row_id", "n_neighbors", "is_core")
 
 
 @register("dbscan_labels")
@@ -868,6 +928,16 @@ def pca_ratio_q(spark, sf):
     return r6(PC.explained_variance(af, AF))
 
 
+@register("pca_ratio_pair", Q.with_ctes(H, f"""SELECT * FROM (
+  SELECT 1 AS component, {Q.r6('(1 + abs(corr(pm25, hour))) / 2')} AS ratio FROM processed
+  UNION ALL SELECT 2, {Q.r6('(1 - abs(corr(pm25, hour))) / 2')} FROM processed)"""))
+def pca_ratio_pair_q(spark, sf):
+    """M23 on two standardised features, where the shares are (1 +- |r|) / 2."""
+    pair = ["pm25", "hour"]
+    e = PC.explained_variance(PR.standardize(processed_h(spark, sf).select(*pair), pair), pair)
+    return r6(e.select("component", "ratio"))
+
+
 @register("pca_components_needed")
 def pca_components_needed_q(spark, sf):
     p = processed_h(spark, sf)
