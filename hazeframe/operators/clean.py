@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeframe.functions.scalars import VALID_MAX, VALID_MIN, finite_or_null
-from hazeframe.operators.sequence import DEFAULT_CHUNK_ROWS, RN, carry_nonnull
+from hazeframe.operators.sequence import DEFAULT_CHUNK_ROWS, RN, carry_nonnull, materialize
 from hazeframe.operators.stats import key_medians
 
 INTERP_LIMIT = 3
@@ -60,7 +60,7 @@ def fill_gaps(df: DataFrame, keys, value: str, rn_col: str = RN, interp_limit: i
 def fill_with_key_median(df: DataFrame, keys, value: str) -> DataFrame:
     """Remaining NULLs take the median of the key (median of the already filled series)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    med = key_medians(df, keys, [value], ["_kmed"])
+    med = materialize(key_medians(df, keys, [value], ["_kmed"]))  # one row per key
     return (df.join(med, keys, "left")
               .withColumn(value, F.coalesce(F.col(value), F.col("_kmed")))
               .drop("_kmed"))

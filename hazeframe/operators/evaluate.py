@@ -82,6 +82,17 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", lo: flo
     return pts.unionByName(origin)
 
 
+def compare_models(predictions: dict[str, DataFrame]) -> DataFrame:
+    """One row (model, accuracy, precision, recall, f1, roc_auc, f1_rank) per scored frame
+    (label, score, prediction); rank 1 is the highest F1, ties by name."""
+    rows = None
+    for name, d in predictions.items():
+        r = binary_metrics(d).crossJoin(roc_auc(d)).select(F.lit(name).alias("model"), "*")  # one row each
+        rows = r if rows is None else rows.unionByName(r)
+    w = Window.orderBy(F.desc("f1"), "model")  # one row per model
+    return rows.withColumn("f1_rank", F.row_number().over(w).cast("int"))
+
+
 def fold_summary(scores: DataFrame, group: str = "model", value: str = "f1") -> DataFrame:
     """Mean and population std of per-fold scores."""
     return scores.groupBy(group).agg(F.avg(value).alias(f"{value}_mean"), F.stddev_pop(value).alias(f"{value}_std"))

@@ -66,7 +66,7 @@ def bounded_window_features(df: DataFrame, keys, value: str = "pm25", rn_col: st
     if chunk_rows:
         d = d.where(~F.col(HALO)).drop(HALO, CHUNK)
     d = materialize(d)
-    med = key_medians(d, keys, [value, "_cs"], ["_kmed", "_kmed_cs"])
+    med = materialize(key_medians(d, keys, [value, "_cs"], ["_kmed", "_kmed_cs"]))  # one row per key
     d = d.join(med, keys, "left")
     z = (v - F.col("_cm")) / (F.coalesce(F.col("_cs"), F.col("_kmed_cs")) + STD_EPS)
     return (d.withColumn("is_extreme", F.coalesce((F.abs(z) > EXTREME_Z).cast("int"), F.lit(0)))

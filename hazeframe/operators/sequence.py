@@ -41,21 +41,28 @@ def index_rows(df: DataFrame, keys, order: Sequence[str] | str, bucket: Column |
     ``bucket`` must be a monotone function of the first order column (e.g. ``date_trunc('day',
     datetime)``); rows are numbered inside (key, bucket) in parallel and shifted by the running
     count of the earlier buckets. Without ``bucket`` the whole key is one window partition.
+    Rows without a key are left out (no series holds them); rows without an order value come last in
+    their series.
     """
     keys = _keys(keys)
-    order = [order] if isinstance(order, str) else list(order)
+    order = [F.col(o).asc_nulls_last() for o in ([order] if isinstance(order, str) else order)]
+    df = df.na.drop(subset=keys) if keys else df
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(rn_col, F.row_number().over(w).cast("long"))
     d = df.withColumn("_bkt", bucket)
     counts = d.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
-    wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_boff"))
+    wb = Window.partitionBy(*keys).orderBy(F.col("_bkt").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_bkt").alias("_obkt"),
+                            F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_boff"))
     local = F.row_number().over(Window.partitionBy(*keys, "_bkt").orderBy(*order))
     d = d.withColumn("_lrn", local)
-    return (d.join(offsets, [*keys, "_bkt"], "inner")
+    same = F.col("_bkt").eqNullSafe(F.col("_obkt"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_o_{k}"))
+    return (d.join(offsets, same, "inner")
              .withColumn(rn_col, (F.col("_boff") + F.col("_lrn")).cast("long"))
-             .drop("_bkt", "_lrn", "_boff"))
+             .drop("_bkt", "_obkt", "_lrn", "_boff", *[f"_o_{k}" for k in keys]))
 
 
 def reindex_within_chunks(df: DataFrame, keys, rn_col: str = RN, size: int = DEFAULT_CHUNK_ROWS,

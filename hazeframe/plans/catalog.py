@@ -621,6 +621,51 @@ def svm_calibrated(spark, sf):
               .select("city", "datetime", "label", "score", "prediction"))
 
 
+def _model_rows(spark, sf):
+    """One metric row (A24 + A25) for each of the four models on one stratified split."""
+    d, cols = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
+    s = materialize(PR.stratified_split(d))
+    tr, te = s.where(~F.col("is_test")), s.where(F.col("is_test")).select("city", "datetime", "label", *cols)
+    sc = materialize(PR.scaler_apply(s, PR.scaler_fit(tr, cols), cols))
+    str_, ste = sc.where(~F.col("is_test")), sc.where(F.col("is_test")).select("city", "datetime", "label", *cols)
+    pred = {
+        "Decision Tree": CL.tree_predict(CL.tree_fit(tr, cols), te, cols),
+        "k-NN": CL.knn_classify(str_, ste, cols, ["city", "datetime"]),
+        "Linear SVM": CL.svm_calibrated_predict(CL.svm_calibrated_fit(str_, cols), ste, cols),
+        "Naive Bayes": CL.gnb_predict(te, CL.gnb_fit(tr, cols), cols),
+    }
+    return EV.compare_models(pred)
+
+
+@register("model_comparison")
+def model_comparison(spark, sf):
+    return r6(_model_rows(spark, sf))
+
+
+@register("best_model")
+def best_model(spark, sf):
+    """The model of the highest F1."""
+    return r6(_model_rows(spark, sf).where("f1_rank = 1"))
+
+
+@register("model_row_sql", Q.with_ctes(H, f"""SELECT model, {Q.r6('accuracy')} AS accuracy, {Q.r6('tp / (tp + fp)')} AS precision,
+  {Q.r6('tp / (tp + fn)')} AS recall, {Q.r6('2 * tp / (2 * tp + fp + fn)')} AS f1,
+  {Q.r6('(sp - np * (np + 1) / 2) / (np * (n - np))')} AS roc_auc,
+  CAST(row_number() OVER (ORDER BY 2 * tp / (2 * tp + fp + fn) DESC, model) AS INTEGER) AS f1_rank
+FROM (SELECT model, avg(CAST(y = p AS INTEGER)) AS accuracy, sum(y * p) * 1.0 AS tp, sum((1 - y) * p) AS fp, sum(y * (1 - p)) AS fn,
+        sum(y) * 1.0 AS np, count(*) AS n, sum(CASE WHEN y = 1 THEN rk END) AS sp
+      FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY s) + (count(*) OVER (PARTITION BY model, s) - 1) / 2.0 AS rk
+            FROM (SELECT 'lag 1' AS model, pm25_lag_1h / 1000 AS s, CAST(pm25_lag_1h > 30 AS INTEGER) AS p, target_next_hour AS y
+                  FROM processed WHERE target_next_hour IS NOT NULL
+                  UNION ALL SELECT 'mean', pm25_rolling_mean_24h / 1000, CAST(pm25_rolling_mean_24h > 80 AS INTEGER), target_next_hour
+                  FROM processed WHERE target_next_hour IS NOT NULL) q) r GROUP BY model) t"""))
+def model_row_sql(spark, sf):
+    """M10 / T9 on two threshold rules, which SQL can express."""
+    p = processed_h(spark, sf).where("target_next_hour is not null").withColumn("label", F.col("target_next_hour"))
+    rule = lambda c, at: p.select("label", (F.col(c) / 1000).alias("score"), (F.col(c) > at).cast("int").alias("prediction"))
+    return r6(EV.compare_models({"lag 1": rule("pm25_lag_1h", 30), "mean": rule("pm25_rolling_mean_24h", 80)}))
+
+
 @register("cv_f1")
 def cv_f1(spark, sf):
     d, cols = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
@@ -802,6 +847,26 @@ def k_sweep_q(spark, sf):
     return r6(CU.k_sweep(d, CF, ["city", "datetime"]))
 
 
+@register("cluster_comparison")
+def cluster_comparison(spark, sf):
+    """M21 for K-means at the best k, DBSCAN with its noise removed, and the mixture."""
+    base = _cluster_base(spark, sf, with_row_id=True).select("row_id", "city", "datetime", *CF)
+    d = base.drop("row_id")
+    best = CU.k_sweep(d, CF, ["city", "datetime"]).where("best").first()["k"]
+    db = CU.dbscan(base.select("row_id", *CF), CF, "row_id").select(*CF, "cluster")
+    rows = [(CU.kmeans_labels(d, CF, best), "K-Means"), (db, "DBSCAN"), (CU.gmm_labels(d, CF, best), "GMM")]
+    out = [CU.evaluate_clustering(materialize(x.select(*CF, "cluster")), CF, "cluster", [], name) for x, name in rows]
+    return r6(out[0].unionByName(out[1]).unionByName(out[2]))
+
+
+@register("clustered_table")
+def clustered_table(spark, sf):
+    """The processed table with its fitted cluster, as the pipeline stores it."""
+    p = materialize(processed_h(spark, sf))
+    lab = CU.kmeans_labels(CU.cluster_frame(p), CF, k=4).select("city", "datetime", "cluster")
+    return r6(p.join(lab, ["city", "datetime"], "left"))
+
+
 @register("gmm_labels")
 def gmm_labels_q(spark, sf):
     d = _cluster_base(spark, sf).select("city", "datetime", *CF)
@@ -921,6 +986,17 @@ def anomaly_methods_full_q(spark, sf):
                        "anomaly_consensus"))
 
 
+@register("anomaly_table")
+def anomaly_table(spark, sf):
+    """The processed table with the detector trio, their consensus and two principal components."""
+    p = materialize(processed_h(spark, sf))
+    af = materialize(PR.standardize(p.select("city", "datetime", *AF), AF))
+    key = ["city", "datetime"]
+    flags = AN.lof_flag(AN.lof_scores(af, AF, key)).drop("lof").join(AN.ocsvm_flag(af, AF).select(*key, "anomaly_ocsvm"), key)
+    d = AN.zscore_flag(p).join(flags, key).join(PC.pca_scores(af, AF, 2).select(*key, "pca_1", "pca_2"), key)
+    return r6(AN.consensus(d, ["anomaly_zscore", "anomaly_lof", "anomaly_ocsvm"]))
+
+
 @register("pca_ratio")
 def pca_ratio_q(spark, sf):
     p = processed_h(spark, sf)

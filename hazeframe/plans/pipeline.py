@@ -5,7 +5,9 @@ S1/P1 (caller) -> P6 -> row index -> W1-W2 -> W3 -> P5 -> re-index -> W4, W5-W8
 Shuffles on the data itself: one by (key, day) for the row index, one by (key, chunk) for gap
 filling, one by (key, chunk) for the bounded windows. All per-key statistics (counts, medians,
 carried neighbours) are small aggregate tables joined back; AQE broadcasts them when their
-measured size is small and shuffles otherwise.
+measured size is small and shuffles otherwise. Two copies of the data are pinned, the filled
+readings and the windowed rows, each of which a median and a join read; medians are pinned, too
+(a row per key).
 """
 
 from __future__ import annotations
@@ -27,18 +29,17 @@ def filled_readings(df: DataFrame, key: str = "city", time: str = "datetime", va
                     chunk_rows: int = DEFAULT_CHUNK_ROWS, index_bucket: str = "day") -> DataFrame:
     """P6 -> W1-W3: gap-filled readings with ``_rn`` (position in the key before filtering)."""
     d = clean.nonfinite_to_null(df.select(key, time, F.col(value).cast("double").alias(value)), value)
-    d = materialize(index_rows(d, key, [time], bucket=F.date_trunc(index_bucket, F.col(time))))
+    d = index_rows(d, key, [time], bucket=F.date_trunc(index_bucket, F.col(time)))
     d = materialize(clean.fill_gaps(d, key, value, chunk_rows=chunk_rows))
     return clean.fill_with_key_median(d, key, value)
 
 
 def processed(df: DataFrame, key: str = "city", time: str = "datetime", value: str = "pm25",
-              chunk_rows: int = DEFAULT_CHUNK_ROWS, index_bucket: str = "day", keep_rn: bool = False, pin_output: bool = True) -> DataFrame:
+              chunk_rows: int = DEFAULT_CHUNK_ROWS, index_bucket: str = "day", keep_rn: bool = False, pin_output: bool = False) -> DataFrame:
     """The processed table: gap filled, range filtered, extreme flag, calendar, lags, target.
-    ``pin_output`` checkpoints the result for the analyses that read it several times; a caller
-    that writes it out (the stored processed table) passes False."""
+    The result is a map over the pinned windowed rows; ``pin_output`` pins it as well."""
     d = filled_readings(df, key, time, value, chunk_rows, index_bucket)
-    d = materialize(clean.range_filter(d, value))
+    d = clean.range_filter(d, value)
     d = reindex_within_chunks(d, key, rn_col=RN, size=chunk_rows)
     d = features.bounded_window_features(d, key, value, rn_col=RN, chunk_rows=chunk_rows)
     d = features.add_calendar(d, time, value)

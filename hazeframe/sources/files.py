@@ -35,8 +35,9 @@ PROCESSED_SCHEMA = T.StructType([
 
 
 def header_families(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Map header line -> files having it (first line of each file, found in one distributed pass
-    over the files' first blocks; only one row per file reaches the driver)."""
+    """Map header line -> files having it. The pass reads the landed text once (a text scan has no
+    way to stop after a file's first line); one row per file reaches the driver. Where the landing
+    keeps one folder per header family, read each folder with its schema instead."""
     t = (spark.read.text(path)
          .select("value", F.col("_metadata.file_path").alias("file"),
                  F.col("_metadata.file_block_start").alias("blk"), F.monotonically_increasing_id().alias("_i"))
@@ -68,12 +69,14 @@ def _first(cols: Sequence[str], pred) -> str | None:
     return None
 
 
-def standardize(df: DataFrame) -> DataFrame:
+def standardize(df: DataFrame, strict: bool = True) -> DataFrame:
     """(datetime, city, pm25) from the raw union.
 
     time: ``date`` when there is no ``utc``, else ``utc``, else ``datetime``, else ``date.utc``;
     value: ``value`` if present, else an existing ``pm25``, else the first column whose lower-cased
     name contains ``pm`` or ``value``; city: ``city_name`` if present, else ``city``, else 'Unknown'.
+    A time that can't be read raises; with ``strict=False`` it becomes NULL (the row stays, last in
+    its series, and ``time_rejects`` counts such rows).
     """
     cols = df.columns
     if "date" in cols and "utc" not in cols:
@@ -97,11 +100,21 @@ def standardize(df: DataFrame) -> DataFrame:
     city = F.col("`city_name`") if "city_name" in cols else F.col("`city`") if "city" in cols else F.lit("Unknown")
     ts = F.col(f"`{tcol}`")
     if not isinstance(df.schema[tcol].dataType, (T.TimestampType, T.TimestampNTZType)):
-        ts = F.try_to_timestamp(ts.cast("string"))
+        text = ts.cast("string")
+        ts = F.try_to_timestamp(text)
+        if strict:
+            bad = F.raise_error(F.concat(F.lit("time can't be read: "), text)).cast("timestamp")
+            ts = F.when(text.isNotNull() & ts.isNull(), bad).otherwise(ts)
     return df.select(ts.cast("timestamp_ntz").alias("datetime"), city.cast("string").alias("city"),
                      F.col(f"`{vcol}`").cast("double").alias("pm25"))
 
 
+def time_rejects(df: DataFrame, time: str = "datetime") -> DataFrame:
+    """One row: rows read, and rows without a readable time."""
+    return df.agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
+                  F.count_if(F.col(time).isNull()).cast("long").alias("n_without_time"))
+
+
 def read_processed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The processed table with its explicit schema."""
     if fmt == "parquet":

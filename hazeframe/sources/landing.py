@@ -101,21 +101,24 @@ def station_sensors(stations: DataFrame) -> DataFrame:
                     .select(*[c for c in stations.columns if c != "sensors"], "s.sensor_id", "s.sensor_name"))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:
     """One row per hourly result: (sensor_id from the landing path, datetime, value, page file,
-    reported total)."""
+    reported total). ``keep_empty`` gives a page without results one row with ``landed`` = false."""
     raw = spark.read.schema(PAGE_SCHEMA).option("multiLine", True).json(path)
     ctx = [c for c in raw.columns if c not in ("results", "meta")]
-    return (raw.select(*ctx, F.col("_metadata.file_path").alias("page_file"),
-                       found_count("meta.found").alias("found"), F.explode("results").alias("r"))
-               .select(*ctx, "page_file", "found",
-                       F.try_to_timestamp("r.period.datetimeFrom.utc").cast("timestamp_ntz").alias("datetime"),
-                       F.col("r.value").alias("value")))
+    one = (F.explode_outer if keep_empty else F.explode)(F.transform("results", lambda r: F.struct(F.lit(True).alias("landed"), r.alias("r"))))
+    rows = raw.select(*ctx, F.col("_metadata.file_path").alias("page_file"), found_count("meta.found").alias("found"), one.alias("x"))
+    flag = [F.coalesce("x.landed", F.lit(False)).alias("landed")] if keep_empty else []
+    return rows.select(*ctx, "page_file", "found",
+                       F.try_to_timestamp("x.r.period.datetimeFrom.utc").cast("timestamp_ntz").alias("datetime"),
+                       F.col("x.r.value").alias("value"), *flag)
 
 
 def page_completeness(pages: DataFrame) -> DataFrame:
-    """per sensor, rows landed vs. the total the API reported (largest ``found``)."""
-    return pages.groupBy("sensor_id").agg(F.count(F.lit(1)).cast("long").alias("rows"),
+    """per sensor, rows landed vs. the total the API reported (largest ``found``). Pages read
+    with ``keep_empty`` count as pages, so a sensor with empty pages only has 0 rows."""
+    landed = F.count_if("landed") if "landed" in pages.columns else F.count(F.lit(1))
+    return pages.groupBy("sensor_id").agg(landed.cast("long").alias("rows"),
                                           F.max("found").cast("long").alias("reported"),
                                           F.count_distinct("page_file").cast("long").alias("pages"))
 
