@@ -27,8 +27,10 @@ def main() -> None:
     from hazeframe.operators import anomaly as AN
     from hazeframe.operators import association as AS
     from hazeframe.operators import classify as CL
+    from hazeframe.operators import cluster as CU
     from hazeframe.operators import prep as PR
     from hazeframe.operators import summaries as SM
+    from hazeframe.operators.sequence import materialize
     from hazeframe.plans.pipeline import processed
     from hazeframe.session import get_spark
     from hazeframe.sources import standins
@@ -63,13 +65,41 @@ def main() -> None:
     timed("histogram_boxplot", lambda: (run(SM.histogram(p, "city", "pm25", 50)), run(SM.boxplot_stats(p))))
     timed("assoc_rules", lambda: run(AS.association_rules(AS.frequent_itemsets(AS.transactions(p)), 0.4, None)))
 
-    def nb():
+    def split():
         d, cols = PR.forecast_frame(p)
-        s = PR.stratified_split(d)
+        s = materialize(PR.stratified_split(d))  # split once, read by fit and prediction
+        return s, cols
+
+    def nb():
+        s, cols = split()
         model = CL.gnb_fit(s.where(~F.col("is_test")), cols)
         run(CL.gnb_predict(s.where(F.col("is_test")), model, cols))
     timed("naive_bayes", nb)
 
+    def knn():
+        s, cols = split()
+        s = materialize(PR.scaler_apply(s, PR.scaler_fit(s.where(~F.col("is_test")), cols), cols))
+        run(CL.knn_classify(s.where(~F.col("is_test")), s.where(F.col("is_test")), cols, ["city", "datetime"]))
+    timed("knn_classify", knn)
+
+    def svm():
+        s, cols = split()
+        s = PR.scaler_apply(s, PR.scaler_fit(s.where(~F.col("is_test")), cols), cols)
+        pairs = CL.svm_calibrated_fit(s.where(~F.col("is_test")), cols)
+        run(CL.svm_calibrated_predict(pairs, s.where(F.col("is_test")), cols))
+    timed("svm_calibrated", svm)
+
+    clustered = materialize(CU.cluster_frame(p))
+    timed("kmeans", lambda: run(CU.kmeans_labels(clustered, PR.CLUSTER_FEATURES, k=4)))
+    timed("silhouette_squared", lambda: run(CU.silhouette_squared(
+        CU.kmeans_labels(clustered, PR.CLUSTER_FEATURES, k=4, n_init=1), PR.CLUSTER_FEATURES, "cluster")))
+
+    def dbscan():  # hourly rows: a neighbourhood holds 6 % of all rows, which is pairs to count
+        h = processed(standins.readings_hourly(spark, sf_dir))
+        d = CU.cluster_frame(h).withColumn("row_id", F.monotonically_increasing_id())
+        run(CU.dbscan(materialize(d).select("row_id", *PR.CLUSTER_FEATURES), PR.CLUSTER_FEATURES, "row_id"))
+    timed("dbscan_hourly", dbscan)
+
     def lof():
         af = PR.standardize(p.select("city", "datetime", *PR.ANOMALY_FEATURES), PR.ANOMALY_FEATURES)
         run(AN.lof_flag(AN.lof_scores(af, PR.ANOMALY_FEATURES, ["city", "datetime"])))

@@ -15,9 +15,10 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazeframe.operators.sequence import index_rows
 from hazeframe.sources.landing import CITIES
 
 N_SENSORS = 40
@@ -44,9 +45,10 @@ def land_raw_csv(events: DataFrame, root: str) -> str:
 
 def land_pages(events: DataFrame, root: str) -> str:
     d = events.select((F.col("user_id") % N_SENSORS).cast("long").alias("sensor_id"), "ts", "value", "event_id")
-    w = Window.partitionBy("sensor_id")
-    d = (d.withColumn("_n", F.count(F.lit(1)).over(w))
-          .withColumn("_page", F.floor((F.row_number().over(w.orderBy("ts", "event_id")) - 1) / PAGE_SIZE)))
+    # positions by (sensor, day) with running counts, so no task sorts a whole sensor
+    n = d.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("_n"))
+    d = index_rows(d, "sensor_id", ["ts", "event_id"], bucket=F.date_trunc("day", F.col("ts")), rn_col="_rn")
+    d = d.join(n, "sensor_id").withColumn("_page", F.floor((F.col("_rn") - 1) / PAGE_SIZE))
     res = F.struct(F.col("value"), F.struct(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc"))
                                             .alias("datetimeFrom")).alias("period"))
     pages = (d.groupBy("sensor_id", "_page", "_n")

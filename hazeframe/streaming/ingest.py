@@ -15,8 +15,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeframe.sources.landing import PAGE_SCHEMA
 from hazeframe.functions.scalars import found_count
+from hazeframe.operators.sequence import materialize
+from hazeframe.sources.landing import PAGE_SCHEMA
 
 
 def page_stream(spark: SparkSession, pages_path: str, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -34,11 +35,12 @@ def page_stream(spark: SparkSession, pages_path: str, max_files_per_trigger: int
 def start_hourly_ingest(spark: SparkSession, pages_path: str, sensors: DataFrame, out_path: str,
                         checkpoint_path: str, available_now: bool = True):
     """Start the stream; ``sensors`` holds (sensor_id, city). Returns the StreamingQuery."""
-    s = sensors.select(F.col("sensor_id").cast("long").alias("sensor_id"), "city")
+    # pinned once: the batches must not read the station files again
+    s = materialize(sensors.select(F.col("sensor_id").cast("long").alias("sensor_id"), "city"))
 
     def write_partials(batch: DataFrame, batch_id: int) -> None:
         part = (batch.na.drop(subset=["value"]).where(F.col("value") >= 0)
-                     .join(F.broadcast(s), "sensor_id")  # stream-static join with the sensor table
+                     .join(s, "sensor_id")  # stream-static join with the sensor table
                      .groupBy(F.date_trunc("hour", "datetime").cast("timestamp_ntz").alias("datetime"), "city")
                      .agg(F.sum("value").alias("value_sum"), F.count(F.lit(1)).alias("n")))
         part.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
