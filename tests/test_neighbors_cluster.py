@@ -66,13 +66,33 @@ def test_dbscan_matches_sequential(spark):
     lab, core = _sk_dbscan(X, 0.6, 8)
     for i in range(len(X)):
         assert got[i][1] == core[i]
-        if core[i] or lab[i] == -1:
-            assert got[i][0] == lab[i], i
+        assert got[i][0] == lab[i], i  # border points too: the lowest-numbered neighbouring cluster
+
+
+def test_knn_leaves_no_query_out(spark):
+    # clustered, discrete and far-out coordinates: many rounds are needed
+    rows = [(i, float(i % 3), float(i % 7) * 1e-4, 0.0 if i % 50 else 10.0 ** (i // 50)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    got = {}
+    for r in knn_join(df, df, 6, ["x", "y", "z"], ["id"], ["id"], exclude_self=True).collect():
+        got.setdefault(r.q_id, []).append((r.nn_rank, round(r.dist, 9), r.p_id))
+    pts = np.array([r[1:] for r in rows])
+    for i in range(len(rows)):
+        d = np.sqrt(((pts - pts[i]) ** 2).sum(1))
+        want = sorted((round(float(x), 9), j) for j, x in enumerate(d) if j != i)[:6]
+        assert [(x, j) for _, x, j in sorted(got[i])] == want
 
 
 def test_lof_scores_and_flags(spark):
     df, X = _points(spark, n=200)
     s = AN.lof_flag(AN.lof_scores(df, ["x", "y", "z"], ["id"], k=10), 0.05)
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(D, np.inf)
+    nb = np.argsort(D, axis=1, kind="stable")[:, :10]
+    kd = np.take_along_axis(D, nb, 1)[:, -1]
+    lrd = np.array([1 / (np.maximum(D[i, nb[i]], kd[nb[i]]).mean() + 1e-10) for i in range(len(X))])
+    for r in s.collect():
+        assert abs(r.lof - lrd[nb[r.id]].mean() / lrd[r.id]) < 1e-6
     r = s.agg(F.avg(F.col("anomaly_lof").cast("int")).alias("a"), F.min("lof").alias("m")).first()
     assert 0.0 < r["a"] <= 0.06 and r["m"] > 0
 
@@ -90,6 +110,17 @@ def test_silhouette_and_ch(spark):
         b = D[i, ~same].mean()
         s.append((b - a) / max(a, b))
     assert abs(sil - np.mean(s)) < 1e-12
+    S2 = D ** 2
+    t = []
+    for i in range(len(X)):
+        same = y == y[i]
+        a, b = S2[i, same].sum() / (same.sum() - 1), S2[i, ~same].mean()
+        t.append((b - a) / max(a, b))
+    got = CU.silhouette_squared(lab, ["x", "y", "z"], "label").first()[0]
+    assert abs(got - np.mean(t)) < 1e-9
+    one = lab.withColumn("label", (F.col("id") == 3).cast("int"))  # a cluster of one scores 0
+    assert CU.silhouette_squared(one, ["x", "y", "z"], "label").first()[0] is not None
+    assert CU.silhouette_squared(lab.withColumn("label", F.lit(1)), ["x", "y", "z"], "label").first()[0] is None
     ch = CU.calinski_harabasz(lab, ["x", "y", "z"], "label").first()[0]
     mu = X.mean(0)
     B = sum((y == c).sum() * ((X[y == c].mean(0) - mu) ** 2).sum() for c in (0, 1))
