@@ -24,9 +24,10 @@ from hazeframe.llm import learn
 from hazeframe.llm import text as X
 
 ORDERS = (5, 8)
-LUT_BITS = 22
-FIT_BITS = 23
+LUT_BITS = 20
+FIT_BITS = 22
 MAX_FEATURES = 30_000
+MAX_KEYS = 60_000  # the lookup table holds 16-bit numbers
 MIN_DF = 3
 
 
@@ -68,7 +69,7 @@ def ngram_keys(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarra
 def _rows_keys(texts: list[str], wanted: np.ndarray | None):
     """Distinct n-gram keys of every text, in order; only those in wanted slots if given."""
     batch = pa.record_batch([pa.array(texts, pa.large_string())], names=["t"])
-    for _, data, off in X.slices(iter([batch]), "t", 1 << 19):
+    for _, data, off in X.slices(iter([batch]), "t", 1 << 17):
         d, n = _clean(data), len(off) - 1
         keys, rows = [], []
         for o in ORDERS:
@@ -94,40 +95,50 @@ def _ratio(p: np.ndarray, q: np.ndarray, pos: float, neg: float, alpha: float) -
 
 
 def fit(texts: list[str], y: np.ndarray, shift: float = 0.0, alpha: float = 1.0) -> NBModel:
-    none = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(1, np.int32)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(1, np.uint16)
     if len(y) == 0 or y.min() == y.max():
         return NBModel(*none, bias=40.0 if len(y) and y[0] == 1 else -40.0)
     pos, neg = float(y.sum()), float(len(y) - y.sum())
     # pass 1: document counts of both classes per hash slot; the most telling slots stay
-    cnt = np.zeros((2, 1 << FIT_BITS), np.int32)
+    cnt = np.zeros((2, 1 << FIT_BITS), np.uint16)
     for k, label in zip(_rows_keys(texts, None), y, strict=True):
         cnt[int(label)][np.unique(_slot(k, FIT_BITS))] += 1
     q, p = cnt
-    seen = np.flatnonzero(p + q >= MIN_DF)
+    seen = np.flatnonzero(p.astype(np.uint32) + q >= MIN_DF)
     p, q = p[seen].astype(float), q[seen].astype(float)
     tell = np.abs(_ratio(p, q, pos, neg, alpha)) / np.sqrt(1 / (p + alpha) + 1 / (q + alpha))
     wanted = np.zeros(1 << FIT_BITS, bool)
     wanted[seen[np.argsort(-tell, kind="stable")[:MAX_FEATURES]]] = True
-    # pass 2: the n-grams in those slots, each with its own ratio
-    per_row = list(_rows_keys(texts, wanted))
-    size = np.array([len(k) for k in per_row])
-    keys, idx, df = np.unique(np.concatenate(per_row), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(y)), size)
-    p = np.bincount(idx, y[row], len(keys))
+    # pass 2: the n-grams in those slots; pass 3: every text as indexes of them
+    keys, pool, size = np.zeros(0, np.uint64), [], 0
+    for k in _rows_keys(texts, wanted):
+        pool.append(k)
+        size += len(k)
+        if size > 1_000_000:
+            keys, pool, size = np.unique(np.concatenate((keys, *pool))), [], 0
+    keys = np.unique(np.concatenate((keys, *pool)))
+    per_row = [np.searchsorted(keys, k).astype(np.int32) for k in _rows_keys(texts, wanted)]
+    p, df = np.zeros(len(keys)), np.zeros(len(keys))
+    for i, label in zip(per_row, y, strict=True):
+        df[i] += 1
+        p[i] += label
     r = _ratio(p, df - p, pos, neg, alpha)
     r[df < MIN_DF] = 0.0
-    used = r[idx] != 0
-    ptr = np.concatenate(([0], np.cumsum(np.bincount(row[used], minlength=len(y)))))
-    w, b = learn.sparse_logreg(ptr, idx[used], r[idx[used]], y, len(keys), l2=1e-4, rate=0.02, epochs=10)
+    per_row = [i[r[i] != 0] for i in per_row]
+    ptr = np.concatenate(([0], np.cumsum([len(i) for i in per_row])))
+    idx = np.concatenate(per_row)
+    del per_row
+    w, b = learn.sparse_logreg(ptr, idx, r.astype(np.float32)[idx], y, len(keys), l2=1e-4, rate=0.02, epochs=10)
     v = w * r
-    top = np.flatnonzero(v)
+    top = np.sort(np.argsort(-np.abs(v), kind="stable")[:MAX_KEYS])
+    top = top[v[top] != 0]
     return _model(keys[top], v[top], b + shift)
 
 
 def _model(keys: np.ndarray, v: np.ndarray, bias: float) -> NBModel:
-    lut = np.zeros(1 << LUT_BITS, np.int32)
+    lut = np.zeros(1 << LUT_BITS, np.uint16)
     order = np.argsort(np.abs(v), kind="stable")  # the stronger feature keeps a shared slot
-    lut[_slot(keys[order])] = (order + 1).astype(np.int32)
+    lut[_slot(keys[order])] = (order + 1).astype(np.uint16)
     return NBModel(keys, v.astype(np.float32), lut, float(bias))
 
 
@@ -142,7 +153,7 @@ def margins(m: NBModel, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         key, row = ngram_keys(d, off, o)
         at = m.lut[_slot(key)]
         hit = np.flatnonzero(at)
-        at, key, row = at[hit] - 1, key[hit], row[hit]
+        at, key, row = at[hit].astype(np.int64) - 1, key[hit], row[hit]
         ok = m.keys[at] == key
         u = np.unique(row[ok] * np.int64(len(m.keys)) + at[ok])
         z += np.bincount(u // len(m.keys), m.weights[u % len(m.keys)].astype(np.float64), n)
