@@ -20,15 +20,16 @@ tokens that many documents share last; that choice only moves work, never result
 
 Rounds:
 
-* A: groups by the three smallest token hashes; few rows, merges most copies. Candidates spanning
-  a group's components are verified and united.
-* B: all prefix tokens, but only tokens that still touch two components, found by a shuffle of
-  packed arrays; again only pairs that could unite components.
-* C: the tokens that still touch two components, now every remaining pair that passes the bound. After
-  it no link can be missing.
+* Keys: groups by the eight smallest token hashes; few rows, merges nearly all copies. Candidates
+  that could unite a group's components are verified on the exact sets and united.
+* Prefixes: all prefix tokens that still touch two components, found by a shuffle of packed arrays.
+  The traversal looks for every pair of different components that passes the bound and names, for
+  each, the larger component and the other set that may link with it: (component, set), never the
+  pair. The members of every named component then meet its named sets in blocks and are compared
+  exactly, one link at most per set and block. After it no link can be missing.
 
-Groups of more than ``BLOCK`` members are split into blocks by hash; A and B look inside blocks,
-C at all block pairs. Links, components and sets never pass the driver.
+Groups of more than ``BLOCK`` members are split into blocks by hash; the first round looks inside
+blocks, the second at all block pairs. Links, components and sets never pass the driver.
 
 Defined cases: null or empty text is a component of its own; a row without doc_id links with
 nothing (its component_id is null) and stays; rows that repeat a doc_id count as one document, so they
@@ -49,14 +50,16 @@ from hazeframe.llm import text as X
 from hazeframe.llm.components import connected_components
 from hazeframe.llm.store import pin
 
-KEYS = 3
+KEYS = 8
 BLOCK = 2048
+VERIFY = 512  # sets of either side in a verification block
 LEAF, FANOUT = 16, 8
-COMMON_CHUNK, COMMON_TOTAL = 6, 32  # a common token: in 6 sets of a chunk, and in 32 over all chunks
-CHUNK_TOKENS = 4_000_000
+COMMON_CHUNK, COMMON_TOTAL = 4, 24  # a common token: in 4 sets of a chunk, and in 24 over all chunks
+CHUNK_TOKENS = 2_000_000
+CHUNK_POSTINGS = 1_000_000
 MAX_COMMON = 500_000  # bounds the list of common tokens; the rest keep their hash order
 SHARD_POSTINGS = 500_000
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 # --- sets, signatures ------------------------------------------------------------------------------
@@ -80,8 +83,8 @@ def prefix_length(n: int) -> int:
 
 
 def width(n: int) -> int:
-    """Bits of the bitmap of a set of n tokens: a power of two, four to eight times n, at least 64."""
-    return max(64, 1 << int(4 * n - 1).bit_length())
+    """Bits of the bitmap of a set of n tokens: a power of two, 3 to 6 times n, at least 64."""
+    return max(64, 1 << int(3 * n - 1).bit_length())
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -196,39 +199,112 @@ class _Union:
         return True
 
 
-def group_candidates(sid: list[int], comp: list[int], size: list[int], sigs: list[np.ndarray], exhaustive: bool,
-                     side: list[int] | None = None) -> list[tuple[int, int]]:
-    """Candidate pairs of sids of one group. Spanning: a pair only if it could unite two components
-    not yet united by earlier candidates; exhaustive: every pair of different components. With
-    ``side`` (block pair), only pairs of different sides."""
+def _leaf_pairs(size, sigs, comp, side, order) -> Iterator[tuple[int, int]]:
+    """Places of the pairs that pass the bound in a group that fits one leaf, bitmaps as integers."""
+    bits = [int.from_bytes(x.tobytes(), "little") for x in sigs]
+    wide = [64 * len(x) for x in sigs]
+    spare = [n - b.bit_count() for n, b in zip(size, bits, strict=True)]
+    for k, y in enumerate(order):
+        n = size[y]
+        for x in reversed(order[:k]):  # close sizes first
+            m = size[x]
+            if 4 * m < 3 * n:
+                break
+            if comp[x] == comp[y] or (side is not None and side[x] == side[y]):
+                continue
+            b, ex = bits[y], spare[y]
+            if wide[y] != wide[x]:  # at most twice as wide
+                half = wide[y] // 2
+                b = (b >> half) | (b & ((1 << half) - 1))
+                ex = n - b.bit_count()
+            if 7 * ((bits[x] & b).bit_count() + min(spare[x], ex)) >= 3 * (m + n):
+                yield x, y
+
+
+def _tree_pairs(size, sigs, order, together) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs that pass the bound, by dual traversal of one tree per bitmap width."""
     n = np.array(size)
-    order = np.lexsort((np.array(sid), n))
     by_width: dict[int, list[int]] = {}
     for i in order:
-        by_width.setdefault(len(sigs[i]), []).append(int(i))
+        by_width.setdefault(len(sigs[i]), []).append(i)
     trees = {w: SignatureTree(n[ix], np.stack([sigs[i] for i in ix]), np.array(ix)) for w, ix in by_width.items()}
+    for w, t in sorted(trees.items()):
+        for w2 in (w, 2 * w):  # sets of the ratio 3 : 4 are at most one width apart
+            if w2 in trees:
+                yield from dual_traversal(t, trees[w2].folded(w), w2 == w, together)
+
+
+def spanning_pairs(sid: list[int], comp: list[int], size: list[int], sigs: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of sids of one group that pass the bound; a pair only if it could unite two components
+    not yet united by an earlier one."""
+    order = sorted(range(len(sid)), key=lambda i: (size[i], sid[i]))
     uf = _Union(comp)
     out: list[tuple[int, int]] = []
 
+    def take(x, y):
+        if comp[x] != comp[y] and uf.join(comp[x], comp[y]):
+            out.append((min(sid[x], sid[y]), max(sid[x], sid[y])))
+
+    if len(sid) <= 2 * LEAF:
+        for x, y in _leaf_pairs(size, sigs, comp, None, order):
+            take(x, y)
+        return out
+
     def together(x, y):
         c = uf.find(comp[x[0]])
         return all(uf.find(comp[i]) == c for i in x) and all(uf.find(comp[i]) == c for i in y)
 
-    for w, t in sorted(trees.items()):
-        for w2 in (w, 2 * w):
-            if w2 not in trees:
-                continue
-            for xs, ys in dual_traversal(t, trees[w2].folded(w), w2 == w, together):
-                for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
-                    if side is not None and side[x] == side[y]:
-                        continue
-                    cx, cy = comp[x], comp[y]
-                    if cx == cy or (not exhaustive and not uf.join(cx, cy)):
-                        continue
-                    out.append((min(sid[x], sid[y]), max(sid[x], sid[y])))
+    for xs, ys in _tree_pairs(size, sigs, order, together):
+        for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+            take(x, y)
     return out
 
 
+def named_members(sid: list[int], comp: list[int], weight: list[int], size: list[int], sigs: list[np.ndarray],
+                  side: list[int] | None = None) -> set[tuple[int, int]]:
+    """(component, sid) for every pair of different components that passes the bound: the larger
+    component and the other set. With ``side``, only pairs of different sides."""
+    order = sorted(range(len(sid)), key=lambda i: (size[i], sid[i]))
+    out: set[tuple[int, int]] = set()
+    big = [(w, c) for w, c in zip(weight, comp, strict=True)]
+    if len(sid) <= 2 * LEAF:
+        for x, y in _leaf_pairs(size, sigs, comp, side, order):
+            a, b = (x, y) if big[x] > big[y] else (y, x)
+            out.add((comp[a], sid[b]))
+        return out
+    c, w, s = np.array(comp), np.array(weight), np.array(sid)
+    sd = None if side is None else np.array(side)
+
+    def together(x, y):
+        return c[x].min() == c[x].max() == c[y].min() == c[y].max()
+
+    for xs, ys in _tree_pairs(size, sigs, order, together):
+        ok = c[xs] != c[ys]
+        if sd is not None:
+            ok &= sd[xs] != sd[ys]
+        xs, ys = xs[ok], ys[ok]
+        first = (w[xs] > w[ys]) | ((w[xs] == w[ys]) & (c[xs] > c[ys]))
+        a, b = np.where(first, xs, ys), np.where(first, ys, xs)
+        out.update(zip(c[a].tolist(), s[b].tolist(), strict=True))
+    return out
+
+
+def linked_with(sets: list[np.ndarray], others: Iterator[np.ndarray]) -> Iterator[int]:
+    """For each of ``others`` the place of a set it links with, or -1; exact overlaps by one lookup
+    of all its tokens in the sets' tokens."""
+    tok = np.concatenate(sets)
+    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    o = np.argsort(tok, kind="stable")
+    tok, own = tok[o], own[o]
+    n = np.array([len(x) for x in sets])
+    for x in others:
+        lo, hi = np.searchsorted(tok, x, "left"), np.searchsorted(tok, x, "right")
+        k = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(k.sum())
+        hit = np.flatnonzero(7 * np.bincount(own[at], minlength=len(n)) >= 3 * (n + len(x)))
+        yield int(hit[0]) if len(hit) else -1
+
+
 # --- Spark steps -----------------------------------------------------------------------------------
 
 def _summaries(docs: DataFrame) -> DataFrame:
@@ -301,41 +377,57 @@ def _held(df: DataFrame, rows: int):
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _candidates(members: DataFrame, exhaustive: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) of the blocks in members (key, x, y, side, sid, comp, n, sig)."""
-    def run(batches):
-        now, rows, sent = None, [], set()
+def _groups(batches, columns) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, x, y) and the rows of every group of batches sorted by it."""
+    now, rows = None, []
+    for rb in batches:
+        cols = [rb.column(rb.schema.get_field_index(c)).to_pylist() for c in ("key", "x", "y", *columns)]
+        for key, x, y, *row in zip(*cols, strict=True):
+            if (key, x, y) != now:
+                if now is not None:
+                    yield now, rows
+                now, rows = (key, x, y), []
+            rows.append(row)
+    if now is not None:
+        yield now, rows
 
-        def flush():
-            if len({r[1] for r in rows}) < 2:
-                return []
-            pairs = group_candidates([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows],
-                                     [np.frombuffer(r[3], np.uint64) for r in rows], exhaustive,
-                                     [r[4] for r in rows] if rows[0][5] else None)
-            fresh = [p for p in dict.fromkeys(pairs) if p not in sent]
-            if len(sent) < 1_000_000:  # a local memory only; the distinct below is what counts
-                sent.update(fresh)
-            return fresh
-
-        def out(pairs):
-            a, b = zip(*pairs, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for rb in batches:
-            cols = [rb.column(rb.schema.get_field_index(c)).to_pylist() for c in ("key", "x", "y", "sid", "comp", "n", "sig", "side")]
-            for key, x, y, sid, comp, n, sig, side in zip(*cols, strict=True):
-                if (key, x, y) != now:
-                    if now is not None and (p := flush()):
-                        yield out(p)
-                    now, rows = (key, x, y), []
-                rows.append((sid, comp, n, sig, side, x != y))
-        if now is not None and (p := flush()):
-            yield out(p)
+def _longs(rows, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+
+
+def _spans(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that could unite components of a block."""
+    def run(batches):
+        for _, rows in _groups(batches, ("sid", "n", "sig")):
+            sid, n, sig = zip(*rows, strict=True)
+            if len(set(sid)) > 1:
+                pairs = spanning_pairs(list(sid), list(sid), list(n), [np.frombuffer(g, np.uint64) for g in sig])
+                if pairs:
+                    yield _longs(pairs, ["a", "b"])
 
     dealt = members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "sid")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _named(members: DataFrame) -> DataFrame:
+    """Distinct (hub, sid) of all block pairs: sets that may link with the larger component hub."""
+    def run(batches):
+        sent: set = set()
+        for (_, x, y), rows in _groups(batches, ("sid", "comp", "weight", "n", "sig", "side")):
+            sid, comp, weight, n, sig, side = map(list, zip(*rows, strict=True))
+            if len(set(comp)) < 2:
+                continue
+            found = named_members(sid, comp, weight, n, [np.frombuffer(g, np.uint64) for g in sig], side if x != y else None) - sent
+            if len(sent) < 200_000:  # a local memory only; the distinct below is what counts
+                sent |= found
+            if found:
+                yield _longs(sorted(found), ["hub", "sid"])
+
+    dealt = members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "sid")
+    return dealt.mapInArrow(run, "hub long, sid long").distinct()
+
+
 def _blocks(members: DataFrame, pairs: bool) -> DataFrame:
     """Adds block coordinates to members (key, size, ...). Inside blocks only, or all block pairs."""
     nb = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -348,70 +440,118 @@ def _blocks(members: DataFrame, pairs: bool) -> DataFrame:
     return m.select("*", F.inline(both)).drop("_nb", "size")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact sets link."""
-    pairs = pin(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    rep = pin(ids.join(need, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "reps")
-    n = rep.count()
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_held(rep, n), "doc_id")
+def _sets(wanted: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(sid, s): the exact token sets of the distinct ``sid`` of wanted, from one document each."""
+    rep = pin(ids.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "reps")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_held(rep, rep.count()), "doc_id")
 
-    def sets(batches):
+    def run(batches):
         for rb, got in token_sets(batches):
             real = [_sid(s) if len(s) else 0 for s in got]
             ok = [i for i, (r, w) in enumerate(zip(real, rb.column(2).to_pylist(), strict=True)) if r == w]
             yield pa.RecordBatch.from_arrays([pa.array([real[i] for i in ok], pa.int64()),
                                               pa.array([got[i].tobytes() for i in ok], pa.binary())], names=["sid", "s"])
 
-    s = some.select("doc_id", "text", "sid").mapInArrow(sets, "sid long, s binary")
+    return some.select("doc_id", "text", "sid").mapInArrow(run, "sid long, s binary")
 
-    def check(batches):
+
+def _verify_pairs(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose exact sets link. A pair's first set travels once with all its partners."""
+    pairs = pin(pairs, "pairs")
+    s = _sets(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), docs, ids)
+    other = pairs.withColumnRenamed("b", "sid").join(s, "sid").select("a", F.col("sid").alias("b"), "s")
+    own = s.join(pairs.select(F.col("a").alias("sid")).distinct(), "sid").select(F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "s")
+    # partners of a much used set are dealt to parts, each with a copy of the set
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY).cast("int").alias("parts"))
+    other = other.join(parts, "a").select("a", "b", "s", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    own = own.join(parts, "a").select("a", "b", "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def run(batches):
+        now, x = None, None
         for rb in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(rb.column(2), rb.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 7 * len(np.intersect1d(x, y, assume_unique=True)) >= 3 * (len(x) + len(y)):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
+            for a, b, part, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(3).to_pylist(), rb.column(2), strict=True):
+                y = np.frombuffer(t.as_py(), np.uint64)
+                if b is None:
+                    now, x = (a, part), y
+                elif (a, part) == now and 7 * len(np.intersect1d(x, y, assume_unique=True)) >= 3 * (len(x) + len(y)):
+                    keep.append((a, b))
+            if keep:
+                yield _longs(keep, ["a", "b"])
+
+    laid = other.union(own).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return laid.mapInArrow(run, "a long, b long")
+
+
+def _verify_hubs(named: DataFrame, comps: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links (a, b) between a component's members (role 0) and the sets named with it (role 1)."""
+    hubs = named.select("hub").distinct()
+    members = hubs.select("hub", F.col("hub").alias("sid")).union(  # a component is named by one of its sets
+        hubs.join(comps.where("node <> comp"), hubs["hub"] == comps["comp"]).select("hub", "node"))
+    named = pin(named.withColumn("role", F.lit(1)).unionByName(members.withColumn("role", F.lit(0))), "blocks")
+    s = _sets(named.select("sid").distinct(), docs, ids)
+    side = lambda r: F.ceil(F.count_if(F.col("role") == r) / VERIFY).cast("int")
+    grid = named.groupBy("hub").agg(side(0).alias("n0"), side(1).alias("n1"))
+    dealt = named.join(grid, "hub").join(s, "sid")
+    own = F.pmod(F.xxhash64("sid"), F.when(F.col("role") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
+    every = F.sequence(F.lit(0), F.when(F.col("role") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)
+    dealt = dealt.select("hub", "sid", "role", "s", own.alias("own"), F.explode(every).alias("all")).select(
+        F.col("hub").alias("key"), F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("all")).alias("x"),
+        F.when(F.col("role") == 0, F.col("all")).otherwise(F.col("own")).alias("y"), "role", "sid", "s")
+
+    def run(batches):
+        for _, rows in _groups(batches, ("role", "sid", "s")):
+            here = [(i, np.frombuffer(t, np.uint64)) for r, i, t in rows if r == 0]
+            there = [(i, np.frombuffer(t, np.uint64)) for r, i, t in rows if r == 1]
+            if here and there:
+                hits = linked_with([t for _, t in here], (t for _, t in there))
+                links = [(min(i, here[k][0]), max(i, here[k][0])) for (i, _), k in zip(there, hits, strict=True) if k >= 0]
+                if links:
+                    yield _longs(links, ["a", "b"])
 
-    j = (pairs.join(s.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a")
-         .join(s.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b"))
-    return j.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    laid = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "role", "sid")
+    return laid.mapInArrow(run, "a long, b long")
 
 
-def _with_comp(df: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return df.withColumn("comp", F.col("sid"))
-    return df.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+def _with_comp(df: DataFrame, comps: DataFrame, rows: int) -> DataFrame:
+    """Adds ``comp`` (the sid itself where it links with nothing); ``rows`` is the size of comps."""
+    c = comps.select(F.col("node").alias("sid"), "comp")
+    return df.join(_held(c, rows), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
 
 
-def _mixed_tokens(prefixes: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _mixed_tokens(prefixes: DataFrame, comps: DataFrame, n_comps: int) -> DataFrame:
     """(tok, size): prefix tokens that touch at least two components, with their number of sets.
 
-    Postings travel as packed arrays, one row per (chunk of sets, shard of tokens).
+    Tokens with the same sets (a passage shared by some documents gives many) would ask for the same
+    pairs; one token stays for each distinct group of sets. Postings travel as packed arrays, one
+    row per (chunk of sets, shard of tokens); components only where they differ from the set id.
     """
     total = prefixes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     shards = max(64, int(total // SHARD_POSTINGS))
 
     def packed(batches):
-        toks, comp, size = [], [], 0
+        toks, sids, comp, size = [], [], [], 0
 
         def flush():
-            nonlocal toks, comp, size
-            t, c = np.concatenate(toks), np.concatenate(comp)
-            toks, comp, size = [], [], 0
-            o = np.argsort(t, kind="stable")
-            t, c = t[o], c[o]
+            nonlocal toks, sids, comp, size
+            t, i, c = np.concatenate(toks), np.concatenate(sids), np.concatenate(comp)
+            toks, sids, comp, size = [], [], [], 0
             s = (t % np.uint64(shards)).astype(np.int64)
             o = np.argsort(s, kind="stable")
-            t, c, s = t[o], c[o], s[o]
+            t, i, c, s = t[o], i[o], c[o], s[o]
             cut = np.searchsorted(s, np.arange(shards + 1))
+
+            def row(k):
+                a, b = cut[k], cut[k + 1]
+                own = np.flatnonzero(i[a:b] != c[a:b])
+                return k, t[a:b].tobytes(), i[a:b].tobytes(), own.astype(np.int32).tobytes(), c[a:b][own].tobytes()
+
             for at in range(0, shards, 64):
-                ks = [k for k in range(at, min(at + 64, shards)) if cut[k + 1] > cut[k]]
-                if ks:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ks, pa.int32()), pa.array([t[cut[k]:cut[k + 1]].tobytes() for k in ks], pa.binary()),
-                         pa.array([c[cut[k]:cut[k + 1]].tobytes() for k in ks], pa.binary())], names=["shard", "t", "c"])
+                rows = [row(k) for k in range(at, min(at + 64, shards)) if cut[k + 1] > cut[k]]
+                if rows:
+                    x = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int32()), *(pa.array(v, pa.binary()) for v in x[1:])],
+                                                     names=["shard", "t", "s", "at", "c"])
 
         for rb in batches:
             if not rb.num_rows:
@@ -419,39 +559,50 @@ def _mixed_tokens(prefixes: DataFrame, comps: DataFrame | None) -> DataFrame:
             p = rb.column(0)
             n = np.diff(np.asarray(p.offsets))
             toks.append(p.flatten().to_numpy(zero_copy_only=False).astype(np.uint64))
-            comp.append(np.repeat(rb.column(1).to_numpy(zero_copy_only=False), n))
+            sids.append(np.repeat(rb.column(1).to_numpy(zero_copy_only=False), n))
+            comp.append(np.repeat(rb.column(2).to_numpy(zero_copy_only=False), n))
             size += len(toks[-1])
-            if size >= CHUNK_TOKENS:
+            if size >= CHUNK_POSTINGS:
                 yield from flush()
         if size:
             yield from flush()
 
     def mixed(batches):
-        now, ts, cs = None, [], []
+        now, ts, ss, cs = None, [], [], []
 
         def flush():
-            t = np.concatenate([np.frombuffer(x, np.uint64) for x in ts])
-            c = np.concatenate([np.frombuffer(x, np.int64) for x in cs])
-            o = np.lexsort((c, t))
-            t, c = t[o], c[o]
+            t, i, c = np.concatenate(ts), np.concatenate(ss), np.concatenate(cs)
+            o = np.lexsort((i, c, t))
+            t, i, c = t[o], i[o], c[o]
+            new = np.ones(len(t), bool)  # copies of a set count once
+            new[1:] = (t[1:] != t[:-1]) | (i[1:] != i[:-1])
+            t, i, c = t[new], i[new], c[new]
             a = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1))
             b = np.concatenate((a[1:], [len(t)]))
             k = c[a] != c[b - 1]
-            return pa.RecordBatch.from_arrays([pa.array(t[a[k]].astype(np.int64)), pa.array((b - a)[k].astype(np.int64))], names=["tok", "size"])
+            group = np.add.reduceat(X.mix(i.astype(np.uint64)), a)
+            return pa.RecordBatch.from_arrays([pa.array(t[a[k]].astype(np.int64)), pa.array((b - a)[k].astype(np.int64)),
+                                               pa.array(group[k].astype(np.int64))], names=["tok", "size", "members"])
 
         for rb in batches:
-            for s, t, c in zip(*(x.to_pylist() for x in rb.columns), strict=True):
-                if s != now:
+            for shard, t, s, at, c in zip(*(x.to_pylist() for x in rb.columns), strict=True):
+                if shard != now:
                     if now is not None:
                         yield flush()
-                    now, ts, cs = s, [], []
-                ts.append(t)
-                cs.append(c)
+                    now, ts, ss, cs = shard, [], [], []
+                s = np.frombuffer(s, np.int64)
+                full = s.copy()
+                full[np.frombuffer(at, np.int32)] = np.frombuffer(c, np.int64)
+                ts.append(np.frombuffer(t, np.uint64))
+                ss.append(s)
+                cs.append(full)
         if now is not None:
             yield flush()
 
-    rows = _with_comp(prefixes, comps).select("prefix", "comp").mapInArrow(packed, "shard int, t binary, c binary")
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(mixed, "tok long, size long")
+    rows = _with_comp(prefixes, comps, n_comps).select("prefix", "sid", "comp").mapInArrow(
+        packed, "shard int, t binary, s binary, at binary, c binary")
+    found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(mixed, "tok long, size long, members long")
+    return found.groupBy("members", "size").agg(F.min("tok").alias("tok")).select("tok", "size")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -466,32 +617,31 @@ def classes(docs: DataFrame) -> DataFrame:
     common = np.sort(common.column(0).to_numpy().astype(np.uint64)) if common.num_rows else np.zeros(0, np.uint64)
     pre = pin(_prefixes(docs, common), "prefixes")
 
-    # round A: the smallest hashes
+    # keys: the smallest hashes
     keyed = one.where(F.col("n") > 0).select("sid", F.explode("keys").alias("key")).distinct()
     shared = pin(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
     held = _held(shared, shared.count())
     members = pre.select("sid", "n", "sig", F.explode("keys").alias("key")).join(held, "key")
-    links = pin(_verify(_candidates(_blocks(_with_comp(members, None), False), False), docs, ids), "links")
-    comps = connected_components(links)
+    links = pin(_verify_pairs(_spans(_blocks(members, False)), docs, ids), "links")
+    comps = pin(connected_components(links), "comps")
 
-    # round B: prefix tokens that still touch two components, pairs that could unite them
-    mixed = pin(_mixed_tokens(pre, comps), "tokens")
+    # prefixes: tokens that still touch two components
+    n_comps = comps.count()
+    mixed = pin(_mixed_tokens(pre, comps, n_comps), "tokens")
     n_mixed = mixed.count()
-    tokens = pre.select("sid", "n", "sig", F.explode("prefix").alias("key")).join(
-        _held(mixed.withColumnRenamed("tok", "key"), n_mixed), "key")
     if n_mixed:
-        members = pin(tokens, "members")
-        first = pin(_candidates(_blocks(_with_comp(members, comps), False), False), "spans")
-        links = links.union(pin(_verify(first, docs, ids), "links"))
-        comps = connected_components(links)
-        # round C: every pair of different components that is left
-        left = _with_comp(members, comps)
-        live = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        rest = _candidates(_blocks(left.join(live, "key"), True), True).join(first, ["a", "b"], "left_anti")
-        more = pin(_verify(rest, docs, ids), "links")
+        tokens = pre.select("sid", "n", "sig", F.explode("prefix").alias("key")).join(
+            _held(mixed.withColumnRenamed("tok", "key"), n_mixed), "key")
+        weight = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
+        weighed = comps.join(weight, "comp").withColumnRenamed("node", "sid")
+        live = tokens.join(_held(weighed, n_comps), "sid", "left").withColumns(
+            {"comp": F.coalesce("comp", "sid"), "weight": F.coalesce("weight", F.lit(1))})
+        named = pin(_named(_blocks(live, True)), "named")
+        more = pin(_verify_hubs(named, comps, docs, ids), "links")
         if more.limit(1).count():
-            comps = connected_components(links.union(more))
-    full = _with_comp(ids, comps).select("doc_id", "n", "comp")
+            comps = pin(connected_components(links.union(more)), "comps")
+            n_comps = comps.count()
+    full = _with_comp(ids, comps, n_comps).select("doc_id", "n", "comp")
     return full.union(rows.where("doc_id is null or n = 0").select("doc_id", "n", F.lit(None).cast("long")))
 
 

@@ -20,15 +20,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def pin(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it (cuts lineage, survives lost executors)."""
+    bound_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, most_rows: int) -> tuple[DataFrame, bool]:
-    """``df`` and whether it has at most ``most_rows`` rows (counted, so a broadcast is bounded)."""
-    return df, df.limit(most_rows + 1).count() <= most_rows
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Keep the Arrow batches between Spark and Python small: rows here hold whole texts or packed
+    arrays, and both sides hold a batch outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

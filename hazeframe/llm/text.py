@@ -1,6 +1,6 @@
 """Vectorised text helpers for Arrow batches: bytes, words, word hashes, shingles, n-grams.
 
-All functions work on one byte slice (about 2 MB) at a time, so memory does not depend on the
+All functions work on one byte slice (about 1 MB) at a time, so memory does not depend on the
 batch size Spark chose. A text longer than the slice size makes a slice of its own.
 Words are ``[^\\x20\\x09-\\x0D]+`` over UTF-8 bytes, which equals the same pattern over code
 points since the separators are ASCII. Lower-casing touches A-Z only.
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _POW = np.ones(1, np.uint64)

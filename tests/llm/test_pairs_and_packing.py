@@ -59,6 +59,8 @@ def test_components(docs_of, awkward, seed, monkeypatch):
     pairs = [*texts.items(), *((None if i is None else i + 20_000, t) for i, t in awkward)]
     if seed == 2:  # many blocks, common tokens and shards on small data
         monkeypatch.setattr(jaccard, "BLOCK", 4)
+        monkeypatch.setattr(jaccard, "VERIFY", 2)
+        monkeypatch.setattr(jaccard, "KEYS", 1)
         monkeypatch.setattr(jaccard, "COMMON_CHUNK", 2)
         monkeypatch.setattr(jaccard, "COMMON_TOTAL", 2)
     d = docs_of(pairs, extra=True)
@@ -83,13 +85,21 @@ def test_tree_bounds_lose_nothing():
             s = np.unique(np.concatenate((keep, rng.integers(0, 2**63, rng.integers(0, 20)).astype(np.uint64))))
             sets.append(s if len(s) else base)
     n = len(sets)
-    pairs = set(jaccard.group_candidates(list(range(n)), list(range(n)), [len(s) for s in sets],
-                                         [jaccard.signature(s) for s in sets], True))
+    size, sigs = [len(s) for s in sets], [jaccard.signature(s) for s in sets]
     linked = {(i, j) for j in range(n) for i in range(j)
               if 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (len(sets[i]) + len(sets[j]))}
+    order = sorted(range(n), key=lambda i: size[i])
+    pairs = {(min(x, y), max(x, y)) for xs, ys in jaccard._tree_pairs(size, sigs, order, None)
+             for x, y in zip(xs.tolist(), ys.tolist(), strict=True)}
     assert linked <= pairs and len(pairs) < n * n / 8
-    span = jaccard.group_candidates(list(range(n)), list(range(n)), [len(s) for s in sets], [jaccard.signature(s) for s in sets], False)
+    leaf = {(min(x, y), max(x, y)) for x, y in jaccard._leaf_pairs(size, sigs, list(range(n)), None, order)}
+    assert leaf == pairs
+    span = jaccard.spanning_pairs(list(range(n)), list(range(n)), size, sigs)
     assert len(span) < n
+    named = jaccard.named_members(list(range(n)), list(range(n)), [1] * n, size, sigs)
+    assert all((j, i) in named for i, j in linked)
+    for i, j in zip(jaccard.linked_with(sets[:50], iter(sets[50:])), range(50, n), strict=False):
+        assert (i >= 0) == any((k, j) in linked for k in range(50)) and (i < 0 or (i, j) in linked)
 
 
 def test_no_documents(docs_of):
