@@ -83,8 +83,9 @@ def prefix_length(n: int) -> int:
 
 
 def width(n: int) -> int:
-    """Bits of the bitmap of a set of n tokens: a power of two, 3 to 6 times n, at least 64."""
-    return max(64, 1 << int(3 * n - 1).bit_length())
+    """Bits of the bitmap of a set of n tokens: a power of two, 3 to 6 times n, at least 4096 (small
+    sets get a bound that is nearly exact for little space)."""
+    return max(4096, 1 << int(3 * n - 1).bit_length())
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -442,7 +443,8 @@ def _blocks(members: DataFrame, pairs: bool) -> DataFrame:
 
 def _sets(wanted: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(sid, s): the exact token sets of the distinct ``sid`` of wanted, from one document each."""
-    rep = pin(ids.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "reps")
+    wanted = pin(wanted, "wanted")
+    rep = pin(ids.join(_held(wanted, wanted.count()), "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "reps")
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_held(rep, rep.count()), "doc_id")
 
     def run(batches):
@@ -458,13 +460,15 @@ def _sets(wanted: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _verify_pairs(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The pairs (a, b) whose exact sets link. A pair's first set travels once with all its partners."""
     pairs = pin(pairs, "pairs")
+    n = pairs.count()
     s = _sets(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), docs, ids)
-    other = pairs.withColumnRenamed("b", "sid").join(s, "sid").select("a", F.col("sid").alias("b"), "s")
-    own = s.join(pairs.select(F.col("a").alias("sid")).distinct(), "sid").select(F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "s")
     # partners of a much used set are dealt to parts, each with a copy of the set
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY).cast("int").alias("parts"))
-    other = other.join(parts, "a").select("a", "b", "s", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    own = own.join(parts, "a").select("a", "b", "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(_held(parts, n), "a").select(
+        "a", F.col("b").alias("sid"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    other = s.join(_held(dealt, n), "sid").select("a", F.col("sid").alias("b"), "s", "part")
+    own = s.join(_held(parts.withColumnRenamed("a", "sid"), n), "sid").select(
+        F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def run(batches):
         now, x = None, None
@@ -492,7 +496,8 @@ def _verify_hubs(named: DataFrame, comps: DataFrame, docs: DataFrame, ids: DataF
     s = _sets(named.select("sid").distinct(), docs, ids)
     side = lambda r: F.ceil(F.count_if(F.col("role") == r) / VERIFY).cast("int")
     grid = named.groupBy("hub").agg(side(0).alias("n0"), side(1).alias("n1"))
-    dealt = named.join(grid, "hub").join(s, "sid")
+    n = named.count()
+    dealt = s.join(_held(named.join(_held(grid, n), "hub"), n), "sid")
     own = F.pmod(F.xxhash64("sid"), F.when(F.col("role") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
     every = F.sequence(F.lit(0), F.when(F.col("role") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)
     dealt = dealt.select("hub", "sid", "role", "s", own.alias("own"), F.explode(every).alias("all")).select(
