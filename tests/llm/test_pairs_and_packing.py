@@ -315,6 +315,33 @@ def test_predictive_sums_to_one():
         assert (10**lp).sum() == pytest.approx(1.0) and not known[-1]
 
 
+def test_contexts_are_whole_words(docs_of):
+    def held(i):
+        return zlib.crc32(str(i).encode()) % 5 == 1
+
+    train, tests = [i for i in range(400) if not held(i)], [i for i in range(400, 900) if held(i)]
+    rng = random.Random(4)
+    follow = {("cold", "nation"): "left", ("cold", "station"): "right", ("warm", "nation"): "up", ("warm", "station"): "down"}
+    pairs = [(i, " ".join(f"{a} {b} {follow[a, b]}" for a, b in rng.choices(list(follow), k=12))) for i in train]
+    asks = [(a, b, c) for a, b in follow for c in sorted(follow.values())]
+    pairs += [(i, f"{a} {b} {c}") for i, (a, b, c) in zip(tests, asks, strict=False)]
+    got = {r.doc_id: r.score for r in lm.score(docs_of(pairs)).collect()}
+    by = {ask: got[i] for i, ask in zip(tests, asks, strict=False)}
+    for a, b in follow:  # equal endings, and one word before: each has its own word after it
+        assert all(by[a, b, follow[a, b]] > by[a, b, c] + 1 for c in follow.values() if c != follow[a, b])
+
+
+def test_contexts_stay_inside_a_text():
+    data = np.frombuffer(b"A bB b cd", np.uint8)
+    w, row = lm.tokens(data, np.array([0, 3, 3, 9]))
+    dic, code, v, p = lm.contexts(w)
+    name = {int(dic[c]): k for k, c in zip(["a", "b", lm.END, lm.END, "b", "b", "cd", lm.END], code, strict=True)}
+    name[int(lm.START)] = "-"
+    assert row.tolist() == [0, 0, 0, 1, 2, 2, 2, 2]
+    assert [name[int(x)] for x in dic[v]] == ["-", "a", "b", "-", "-", "b", "b", "cd"]
+    assert [name[int(x)] for x in dic[p]] == ["-", "-", "a", "-", "-", "-", "b", "b"]
+
+
 def test_table_draws_follow_the_exact_conditional():
     d, s, base, rest = 0.5, 1.0, 0.2, 3
     table = lm.stirling(d)
