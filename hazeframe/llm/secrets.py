@@ -1,8 +1,10 @@
 """Secret scan with a random forest that removes false positives; native DataFrame expressions only.
 
-``candidates`` cuts token-like strings (12 or more of ``[A-Za-z0-9_+/-]`` with a digit, or a private
-key header) out of whole texts with their surroundings: two aligned regex passes (the matches and
-the text between them) give every candidate its position and its neighbours.
+``candidates`` cuts strings with their surroundings out of whole texts: any quoted or non-blank value
+after a key word and ``:`` or ``=`` (no length or digit rule), passwords in URLs, whole PEM and PGP private
+key blocks, and token-like strings (12 or more of ``[A-Za-z0-9_+/-]`` with a digit) anywhere. Two aligned
+regex passes (the matches and the text between them) give every candidate its position; its neighbours
+are the characters before and after that position, earlier and later matches included.
 
 ``features`` describes a candidate by length and alphabet, character transitions (class changes per
 pair of classes), dictionary coverage (share of its letters inside frequent corpus words), path (the
@@ -29,11 +31,28 @@ from pyspark.sql import functions as F
 
 from hazeframe.llm.store import pin
 
-PATTERN = (r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
-           r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+# Names that announce a secret; a name may hold more than that.
+_NAMES = (r"token|secret|passwd|password|passphrase|passwort|passcode|pwd|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key"
+          r"|auth(?!or)|bearer|credential|(?<![A-Za-z])(?:pw|pass|pin)(?![A-Za-z])")
+# The body of a key block holds few dashes; the bounds keep the matcher's stack small and a body without
+# an END is taken as far as its lines look like one.
+_BLOCK = (r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+          r"(?:[^-]*+(?:-{1,4}[^-]++){0,200}+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+          r"|(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{40,}+){0,200}+)")
+_NAMED = (r"(?<![\w.-])(?=[\w.-]{2,80}+[\"'`\]]{0,2}+[ \t]*+(?:[:=]))"
+          rf"(?i:[\w.-]*?(?:{_NAMES})[\w.-]*+)[\"'`\]]{{0,2}}+[ \t]*+(?::=|=>|==?|:)[ \t]*+[\"'`]?")
+_VALUE = (rf"(?:{_BLOCK}|(?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|(?<=`)[^`\r\n]+(?=`)"
+          r"|[^\s\"'`]\S*?(?=&[\w.-]+=|[,;.)\]}\"'`]*+(?:\s|$)))")
+_URL = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}+://[^\s:/?#@]*+:(?!//)"
+_URL_VALUE = r"[^\s/\"'`<>]+(?=@)"
+_PLAIN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
+PATTERN = rf"{_NAMED}{_VALUE}|{_URL}{_URL_VALUE}|{_BLOCK}|{_PLAIN}"
+LEAD = rf"^(?:{_NAMED}|{_URL})"  # what of a match stands before the value
+SHORTEST_LEAD = 4  # characters of a match at least: bounds how many of them lie in a context
 CONTEXT = 40
 DICTIONARY_WORDS = 1000  # the most frequent corpus words kept as dictionary; bounds the lookup
 THRESHOLD = 0.5
+WHOLE = 12  # shorter secrets are replaced only where they stand as a whole, not inside words
 FINDINGS = 6000
 # Words that name a secret, and words that name a harmless identifier.
 _KEYWORDS = "token|secret|passwd|password|pwd|api_?key|apikey|access_?key|auth|bearer|credential|private"
@@ -50,18 +69,31 @@ def candidates(docs: DataFrame, path_col: str = "source") -> DataFrame:
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     d = docs.select("doc_id", path.alias("path"), t.alias("t")).select(
         "doc_id", "path", "t", F.regexp_extract_all("t", F.lit(PATTERN), 0).alias("m")).where(F.size("m") > 0)
-    d = d.select("doc_id", "path", "m", F.split("t", PATTERN, -1).alias("gap"))
+    gap = F.split("t", PATTERN, -1)
+    lead = F.transform("m", lambda v: F.when(v.rlike(rf"^(?:{_PLAIN})$") | v.startswith("-----BEGIN"), F.lit(0)).otherwise(
+        F.length(F.regexp_extract(v, LEAD, 0))))
+    d = d.select("doc_id", "path", "m", gap.alias("gap"), lead.alias("lead"))
     # running start: (position after the match, starts so far)
     ends = F.aggregate(
         F.sequence(F.lit(0), F.size("m") - 1),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s")),
         lambda a, i: F.struct(
             (a["at"] + F.length(F.get("gap", i)) + F.length(F.get("m", i))).alias("at"),
-            F.array_append(a["s"], a["at"] + F.length(F.get("gap", i))).alias("s")))
+            F.array_append(a["s"], a["at"] + F.length(F.get("gap", i)) + F.get("lead", i)).alias("s")))
+    d = d.select("doc_id", "path", "m", "lead", ends["s"].alias("s"),
+                 # the ends of the gaps and matches are enough for the contexts
+                 *[F.transform(c, lambda x: F.right(x, F.lit(CONTEXT))).alias(f"{c}_end") for c in ("gap", "m")],
+                 *[F.transform(c, lambda x: F.left(x, F.lit(CONTEXT))).alias(f"{c}_begin") for c in ("gap", "m")])
+    near = range(1, CONTEXT // SHORTEST_LEAD + 1)
+    text = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+    before = lambda v, i: F.right(F.concat(
+        *[x for k in reversed(near) for x in (text("gap_end", i - k), text("m_end", i - k))],
+        text("gap_end", i), F.left(v, F.get("lead", i))), F.lit(CONTEXT))
+    after = lambda i: F.left(F.concat(
+        text("gap_begin", i + 1), *[x for k in near for x in (text("m_begin", i + k), text("gap_begin", i + k + 1))]), F.lit(CONTEXT))
     rows = F.transform(F.col("m"), lambda v, i: F.struct(
-        v.alias("value"), F.right(F.get("gap", i), F.lit(CONTEXT)).alias("before"),
-        F.left(F.get("gap", i + 1), F.lit(CONTEXT)).alias("after"), i.alias("nth")))
-    return (d.select("doc_id", "path", ends["s"].alias("s"), F.explode(rows).alias("r"))
+        F.substr(v, F.get("lead", i) + 1).alias("value"), before(v, i).alias("before"), after(i).alias("after"), i.alias("nth")))
+    return (d.select("doc_id", "path", "s", F.explode(rows).alias("r"))
             .select("doc_id", "path", F.get("s", F.col("r.nth")).alias("start"), "r.value", "r.before", "r.after"))
 
 
@@ -92,6 +124,7 @@ def features(c: DataFrame, words: list[str]) -> DataFrame:
     distinct = F.size(F.array_distinct(F.split(v, ""))).cast("double")
     near = F.lower(F.concat_ws(" ", "before"))
     after = F.lower(F.col("after"))
+    lower_v = F.lower(v)
     cols = {
         "len": n, "digits": count("[0-9]") / n, "upper": count("[A-Z]") / n, "lower": count("[a-z]") / n,
         "symbols": count("[_+/=-]") / n, "distinct": distinct / n, "hex": v.rlike("^[0-9a-fA-F]+$").cast("double"),
@@ -107,6 +140,10 @@ def features(c: DataFrame, words: list[str]) -> DataFrame:
         "harmless": F.concat(near, F.lit(" "), after).rlike(rf"\b({_HARMLESS})").cast("double"),
         "assigned": near.rlike(r"[:=]\s*[\"'`]?$").cast("double"), "quoted": near.rlike("[\"'`]$").cast("double"),
         "close": after.rlike("^[\"'`]").cast("double"),
+        "other": count("[^A-Za-z0-9_+/=-]") / n, "one_word": v.rlike("^[A-Za-z]?[a-z]*$").cast("double"), "parts": count("[-_ ][A-Za-z]"),
+        "literal": lower_v.rlike("^(null|none|nil|true|false|undefined|required|optional|string|str|text|yes|no|empty|n/a|changeme|hidden|redacted)$").cast("double"),
+        "code": v.rlike(r"[$%({<\[]\w*[})>\]]?|^(self|this|os|env|request|config|process)\.|\(\)|^[*x.]+$").cast("double"),
+        "url_password": (near.rlike("://[^\\s:/?#@]*:$") & after.startswith("@")).cast("double"),
         **{f"t{i}": x for i, x in enumerate(change)},
     }
     out = c.withColumns({f"_f_{k}": F.coalesce(x, F.lit(0.0)) for k, x in cols.items()})
@@ -146,6 +183,40 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (F.concat(F.lit("your_"), name, F.lit("_here_123")), assigned, close, 0), (F.lit("xxxxxxxxxxxx0000"), assigned, close, 0),
         (F.lit("123456789012"), assigned, close, 0), (F.concat(word("f"), F.lit("-"), word("g"), F.lit("-"), word("h"), F.lit("-2")), lead, tail, 0),
     ]
+    # values after key words that need not look like tokens, URL passwords and key blocks; then their look-alikes
+    letters = F.translate(b64("l"), "0123456789+/", "qWzXkJvYbQhG")
+    made = lambda s: F.translate(F.substring(h(s), F.lit(1), (F.lit(4) + F.pmod(F.xxhash64("id", F.lit(s + "n")), F.lit(5))).cast("int")), "0123456789", "orstlnuimk")
+    some = lambda s: F.when(F.pmod(F.xxhash64("id", F.lit(s + "w")), F.lit(2)) == 0, word(s)).otherwise(made(s))
+    sign = lambda s: pick(s, ["!", "@", "#", "$", "%", "&", "*", "?", ".", "-"])
+    strong = F.concat(F.initcap(made("s1")), sign("s2"), digits("s3", 4), sign("s4"), made("s5"))
+    leet = F.concat(F.translate(some("t1"), "aeiost", "4310$7"), digits("t2", 2), pick("t3", ["!", "", "?", "#"]))
+    sep = pick("sep", [" ", "-", "_", "."])
+    q2 = pick("q2", ['"', "'", '"'])
+    pass_name = pick("pn", ["password", "passphrase", "secret", "passwd", "pwd", "db_password", "client_secret"])
+    quoted = F.concat(lead, pass_name, pick("o", [" = ", "=", ": ", " := "]), q2)
+    after_q2 = F.concat(q2, tail)
+    pw = F.concat(lead, pick("pw", ["pw", "password", "pass", "PASSWORD", "db_pw", "passwd"]), pick("o", [": ", "=", " = ", ": "]))
+    body = F.concat_ws("\n", b64("k1"), b64("k2"), b64("k3"))
+    block = lambda kind: F.concat(F.lit("-----BEGIN "), kind, F.lit("-----\n"), body, F.lit("\n-----END "), kind, F.lit("-----"))
+    url = F.concat(lead, pick("us", ["postgres", "mysql", "https", "redis", "amqp", "mongodb"]), F.lit("://"), pick("un", ["app", "root", "", "svc", "admin"]), F.lit(":"))
+    at = F.concat(F.lit("@"), pick("uh", ["db", "localhost", "db.example.org", "10.0.0.1"]), pick("up", ["/x", ":5432/x", " "]), tail)
+    prose = F.concat(lead, pick("pr", ["password", "token", "secret", "auth", "the password", "credentials", "pass"]), pick("o", [": ", " = ", ": "]))
+    kinds += [
+        (strong, quoted, after_q2, 1), (strong, pw, tail, 1), (leet, pw, tail, 1), (leet, quoted, after_q2, 1),
+        (F.concat_ws("-", some("w1"), some("w2"), some("w3")), quoted, after_q2, 1),
+        (F.concat(made("w1"), sep, made("w2"), sep, made("w3"), sep, made("w4")), quoted, after_q2, 1),
+        (F.substring(letters, F.lit(1), (F.lit(16) + F.pmod(F.xxhash64("id", F.lit("ll")), F.lit(24))).cast("int")), assigned, close, 1),
+        (digits("pi", 6), pw, tail, 1),
+        (block(pick("rk", ["RSA PRIVATE KEY", "EC PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])), lead, tail, 1),
+        (F.lit("-----BEGIN PGP PRIVATE KEY BLOCK-----"), lead, tail, 1),
+        (strong, url, at, 1), (leet, url, at, 1), (F.substring(b64("b"), 1, 16), url, at, 1),
+        (word("f"), prose, F.concat(F.lit(" "), tail), 0), (word("f"), prose, F.concat(F.lit(" "), tail), 0), (made("f"), prose, tail, 0),
+        (pick("lit", ["null", "None", "true", "false", "required", "optional", "string", "str", "undefined", "nil"]), assigned, close, 0),
+        (pick("lit", ["null", "None", "true", "false", "required", "optional", "changeme", "hidden", "redacted", "***", "********", "..."]), prose, tail, 0),
+        (pick("cd", ["get_token()", "os.environ[", "${DB_PASSWORD}", "<password>", "{{", "$TOKEN", "self.password", "request.token", "config.get(", "%s", "process.env.TOKEN"]), prose, tail, 0),
+        (pick("cd", ["${DB_PASSWORD}", "<password>", "{{ token }}", "%s", "$SECRET", "<your token>", "********", "xxxxxxxx", "..."]), quoted, after_q2, 0),
+        (F.concat(word("f"), word("g")), prose, tail, 0),
+    ]
     kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(len(kinds))).cast("int")
     arr = F.array(*[F.struct(a.alias("value"), b.alias("before"), c.alias("after"), F.lit(y).alias("label")) for a, b, c, y in kinds])
     path = pick("path", ["src1", "src7", "app/config", "service", "notes", "src12"])
@@ -162,8 +233,8 @@ def train(findings: DataFrame, words: list[str], trees: int = 40, depth: int = 8
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD, path_col: str = "source") -> DataFrame:
     """doc_id, path, start, length, value, score, is_secret of every candidate."""
     words = [r["w"] for r in dictionary(docs).collect()]  # at most DICTIONARY_WORDS rows
-    model = train(findings if findings is not None else labelled_findings(docs.sparkSession), words)
-    # the feature expressions use a candidate's strings many times: pin them before
+    # the feature expressions use a finding's or candidate's strings many times: pin them before
+    model = train(findings if findings is not None else pin(labelled_findings(docs.sparkSession), "findings"), words)
     found = pin(candidates(docs, path_col), "candidates")
     score = vector_to_array(F.col("probability"))[1]
     return model.transform(features(found, words)).select(
@@ -180,7 +251,8 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, threshold: float
     order = F.array_sort("__secrets", lambda a, b: F.coalesce(
         F.nullif(F.length(b) - F.length(a), F.lit(0)), F.when(a < b, -1).when(a > b, 1).otherwise(0)))
     text = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(
-        F.aggregate(order, F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark))))
+        F.aggregate(order, F.col("text"), lambda t, s: F.when(F.length(s) >= WHOLE, F.replace(t, s, F.lit(mark))).otherwise(
+            F.regexp_replace(t, F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])")), F.lit(mark)))))
     out = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__secrets_id")), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]

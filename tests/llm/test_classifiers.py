@@ -88,3 +88,32 @@ def test_secrets(docs_of, awkward):
     assert red[104].n_chars == len(red[104].text) and red[101].text == texts[101]
     assert secrets.redact(d).count() == d.count() and secrets.redact(d).columns == d.columns
     assert secrets.scan(docs_of({})).count() == 0
+
+
+FORMS = {200: ('password = "{}"', "P@ssw0rd!2024#x"), 201: ('password = "{}"', "correct-horse-battery"),
+         202: ('api_key = "{}"', "kqWmZxTbRvNpLsYdHfGcJe"), 203: ("log in with pw: {} and go", "s3cr3t!"),
+         204: ("connect to postgres://app:{}@db/x first", "Tr0ub4dor"), 205: ('secret_key_v2_prod = "{}"', "Zx81kQpV02mNwq77"),
+         206: ("key\n{}\nend", "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\nlQOYBFabc/def+ghi\nabcdefgh\n=abcd\n-----END PGP PRIVATE KEY BLOCK-----"),
+         207: ("key\n{}\nend", "-----BEGIN RSA PRIVATE KEY-----\nDEK-Info: AES-128-CBC,00\n\nMIIEowIBAAKCAQEA\nabcdefghijkl\n-----END RSA PRIVATE KEY-----")}
+
+
+def test_secret_forms(docs_of):
+    plain = {300: "the password: required by them", 301: "token = null", 302: "password = ${DB_PASSWORD}", 303: "Author: John Smith", 304: "auth: the next page"}
+    texts = {i: "é some words " + form.format(v) for i, (form, v) in FORMS.items()} | plain
+    d = docs_of(texts)
+    out = secrets.scan(d).collect()
+    assert all(texts[r.doc_id][r.start:r.start + r.length] == r.value for r in out)
+    assert {(i, v) for i, (_, v) in FORMS.items()} <= {(r.doc_id, r.value) for r in out if r.is_secret}
+    assert not [r for r in out if r.is_secret and r.doc_id >= 300]
+    red = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    assert red == {i: "é some words " + form.format("[SECRET]") for i, (form, _) in FORMS.items()} | plain
+
+
+def test_secret_neighbours_are_cut_by_position(docs_of):
+    text = "abcdefghijkl1 mnopqrstuvwx2 pw: x, token=y secret_key_v2_prod = 'Zx81kQpV02mNwq77' abcdefghijkl3 end"
+    c = secrets.candidates(docs_of({1: text})).collect()
+    assert {r.value for r in c} == {"abcdefghijkl1", "mnopqrstuvwx2", "x", "y", "Zx81kQpV02mNwq77", "abcdefghijkl3"}
+    for r in c:
+        end = r.start + len(r.value)
+        assert text[r.start:end] == r.value
+        assert r.before == text[max(0, r.start - secrets.CONTEXT):r.start] and r.after == text[end:end + secrets.CONTEXT]
