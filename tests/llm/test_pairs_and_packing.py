@@ -184,6 +184,30 @@ def test_ids_equal_the_named_tokenizer():
     same()
 
 
+def test_special_tokens_as_in_the_named_tokenizer(docs_of):
+    import public_tokenizers
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # at its default settings
+    assert {x.content: i for i, x in t.get_added_tokens_decoder().items()} == packing.SPECIAL
+    path = packing.vocabulary_path()
+    part = st.text(max_size=20) | st.sampled_from(["<|endoftext|>", "  ", " \n", "<|endoftext", "|>", "'s", "é文 1"])
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(part, max_size=8).map("".join))
+    def same(s):
+        got = packing.token_ids(s, path, special=frozenset(packing.SPECIAL)).tolist()
+        assert got == [*t.encode(s, add_special_tokens=False).ids, 2]
+
+    same()
+    text = "hi <|endoftext|> there"
+    row = packing.pack_documents(docs_of({1: text})).first()
+    want = [5303, 220, 50256, 612, 2]
+    assert (row.length, row.ids_crc32) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+
+
 def test_packing_round_trip(docs_of, awkward):
     rng = random.Random(3)
     pairs = [*awkward, *((100 + k, " ".join(words(rng, rng.randrange(1, 500)))) for k in range(80))]
