@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeframe.llm import decontaminate, fingerprints, jaccard, licenses, lm, packing, quality, secrets, toxicity, warc
+from hazeframe.llm import (alignment, decontaminate, fingerprints, jaccard, licenses, lm, mixing, packing, quality, secrets, sqltext, toxicity,
+                           trie, warc)
 from hazeframe.llm.store import table
 
 
@@ -54,9 +55,22 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.matches(docs, items).drop("text_hash")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_license_scan, op3_document_fingerprints, op4_warc_histories, op5_ngram_jaccard_join, op6_quality_classifier,
-        op7_lm_scoring, op8_pattern_packing, op9_toxicity, op10_benchmark_decontamination)
+        op7_lm_scoring, op8_pattern_packing, op9_toxicity, op10_benchmark_decontamination, op11_source_mixing,
+        op12_tokenizer_alignment, op13_conversation_trie)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_source_mixing": sqltext.MIXING, "op13_conversation_trie": sqltext.TRIE}
