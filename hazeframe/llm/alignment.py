@@ -41,7 +41,7 @@ A_VOCABULARY = "byte_bpe_50k.tiktoken"
 B_VOCABULARY = "piece_bpe_32k.model"
 LANE_TOKENS = 256
 SLICE_BYTES = 1 << 20
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 _LOADED: dict[tuple[str, str], Tokens] = {}
 
 
@@ -77,14 +77,15 @@ class Tokens:
         return piece.replace("▁", " ").encode()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of A and B; none if the bytes of either are not those of space + text."""
+        """Ids of A and B; none if the bytes of either are not those of space + text. A's tokens are slices of
+        the bytes in order, so their length tells; B may change characters."""
         if text:
             whole = (" " + text).encode()
-            a = self.a.encode_ordinary(" " + text)
-            if b"".join(map(self.a_bytes.__getitem__, a)) == whole:
+            a = self.a.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
+            if int(self.a_len[a].sum()) == len(whole):
                 b = self.b.encode(text)
                 if b"".join(map(self.b_bytes.__getitem__, b)) == whole:
-                    return np.array(a, np.int64), np.array(b, np.int64)
+                    return a, np.array(b, np.int64)
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
@@ -197,7 +198,7 @@ class Batch:
         # Links of a document as sorted pair numbers, each less the one before (within the document).
         size = np.array([d["n_links"] for d in self.docs], np.int64)
         doc = np.repeat(np.arange(len(size)), size)
-        inv = inv[np.lexsort((inv, doc))]
+        inv = np.sort(doc * max(len(pair), 1) + inv) - doc * max(len(pair), 1)  # doc is ascending already
         step = np.diff(inv, prepend=0)
         starts = np.concatenate(([0], np.cumsum(size)))[:-1][size > 0]
         step[starts] = inv[starts]
