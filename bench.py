@@ -28,6 +28,7 @@ def main() -> None:
     from hazeframe.operators import association as AS
     from hazeframe.operators import classify as CL
     from hazeframe.operators import cluster as CU
+    from hazeframe.operators import density as DE
     from hazeframe.operators import prep as PR
     from hazeframe.operators import summaries as SM
     from hazeframe.operators.sequence import materialize
@@ -97,7 +98,7 @@ def main() -> None:
     def dbscan():  # hourly rows: a neighbourhood holds 6 % of all rows, which is pairs to count
         h = processed(standins.readings_hourly(spark, sf_dir))
         d = CU.cluster_frame(h).withColumn("row_id", F.monotonically_increasing_id())
-        run(CU.dbscan(materialize(d).select("row_id", *PR.CLUSTER_FEATURES), PR.CLUSTER_FEATURES, "row_id"))
+        run(DE.dbscan(materialize(d).select("row_id", *PR.CLUSTER_FEATURES), PR.CLUSTER_FEATURES, "row_id"))
     timed("dbscan_hourly", dbscan)
 
     def lof():

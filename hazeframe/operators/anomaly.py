@@ -1,23 +1,22 @@
 """Anomaly detectors and their summaries.
 
 * z-score: one global mean / population std (a one-row table) -> |z| > 3.
-* local outlier factor: exact 20-NN self join (grid pruned, ``neighbors.knn_join``), k-distance,
+* local outlier factor: exact 20-NN self join (adaptive cells, ``neighbors.knn_join``), k-distance,
   reachability, local reachability density, LOF; flagged when -LOF is below its 5 % percentile.
-* one-class SVM: random Fourier features for the RBF kernel (seeded projection, gamma =
-  1 / (d * var(X))) and a linear one-class objective solved by sub-gradient steps, each a
-  distributed vector aggregate; the offset is the nu-quantile of the scores. Approximate by design.
+* one-class SVM: ``oneclass``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeframe.operators import prep
 from hazeframe.operators.neighbors import knn_join
+from hazeframe.operators.oneclass import oneclass_flag
 from hazeframe.operators.sequence import materialize
 from hazeframe.operators.stats import key_medians, key_quantiles
 
@@ -25,9 +24,7 @@ Z_THRESHOLD = 3.0
 LOF_K = 20
 LOF_CONTAMINATION = 0.05
 OCSVM_NU = 0.05
-OCSVM_FEATURES = 128
-OCSVM_TOLERANCE = 2e-3  # stop when a step changes the model by less than this share
-SEED = 42
+TRIO = ["anomaly_zscore", "anomaly_lof", "anomaly_ocsvm"]
 
 
 def zscore_flag(df: DataFrame, value: str = "pm25", threshold: float = Z_THRESHOLD, out: str = "anomaly_zscore") -> DataFrame:
@@ -65,59 +62,20 @@ def lof_flag(scores: DataFrame, contamination: float = LOF_CONTAMINATION, out: s
     return scores.crossJoin(F.broadcast(thr)).withColumn(out, -F.col("lof") < F.col("_thr")).drop("_thr")  # one row
 
 
-def ocsvm_flag(df: DataFrame, feats: Sequence[str], nu: float = OCSVM_NU, n_features: int = OCSVM_FEATURES,
-               tolerance: float = OCSVM_TOLERANCE, seed: int = SEED, out: str = "anomaly_ocsvm") -> DataFrame:
-    """One-class SVM with an RBF kernel approximated by random Fourier features.
-
-    Steps shrink as 1 / t and go on until one moves (w, rho) by less than ``tolerance`` of its size."""
-    import numpy as np
-
-    feats = list(feats)
-    d = len(feats)
-    # gamma = 1 / (n_features * variance of all entries of X): one aggregate row
-    st = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(feats)],
-                *[F.avg(F.col(f) * F.col(f)).alias(f"q{i}") for i, f in enumerate(feats)]).first()
-    n = st["n"]
-    mean_all = sum(st[f"m{i}"] for i in range(d)) / d
-    var_all = sum(st[f"q{i}"] for i in range(d)) / d - mean_all ** 2
-    gamma = 1.0 / (d * var_all) if var_all > 0 else 1.0
-    rng = np.random.default_rng(seed)
-    W = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_features, d))
-    b = rng.uniform(0.0, 2 * math.pi, size=n_features)
-    scale = math.sqrt(2.0 / n_features)
-    z = [F.lit(scale) * F.cos(reduce(lambda a, c: a + c, [F.lit(float(W[j, i])) * F.col(f) for i, f in enumerate(feats)])
-                              + F.lit(float(b[j]))) for j in range(n_features)]
-    zdf = materialize(df.withColumn("_z", F.array(*z)))
-    spark = df.sparkSession
-    # start at the kernel mean embedding, then sub-gradient steps on
-    #   1/2 |w|^2 - rho + 1/(nu n) sum max(0, rho - w.z)
-    # w and rho travel as a one-row table (not as literals), so every step runs the same plan
-    mean = zdf.agg(F.array(*[F.avg(F.col("_z")[j]) for j in range(n_features)]).alias("e")).first()["e"]
-    w = np.array(mean, dtype=float)
-    score = F.aggregate(F.zip_with("_z", "_w", lambda a, c: a * c), F.lit(0.0), lambda acc, x: acc + x)
-
-    def with_model(wv, rho_v):
-        m = spark.createDataFrame([(wv.tolist(), float(rho_v))], "_w array<double>, _rho double")
-        return zdf.crossJoin(F.broadcast(m))  # one row
-
-    rho = with_model(w, 0.0).agg(F.percentile_approx(score, nu, 10_000).alias("r")).first()["r"]
-    grad = F.array(*[F.sum(F.col("_z")[j]) for j in range(n_features)])
-    t, moved = 0, math.inf
-    while moved > tolerance:
-        agg = (with_model(w, rho).where(score < F.col("_rho"))
-               .agg(F.count(F.lit(1)).alias("c"), grad.alias("g")).first())
-        viol = np.array(agg["g"] if agg["c"] else [0.0] * n_features, dtype=float)
-        gw = w - viol / (nu * n)
-        grho = -1.0 + agg["c"] / (nu * n)
-        step = 1.0 / (t + 2)
-        size = math.sqrt(float(w @ w) + float(rho) ** 2)
-        moved = step * math.sqrt(float(gw @ gw) + float(grho) ** 2) / max(size, 1e-12)
-        w = w - step * gw
-        rho = rho - step * grho
-        t += 1
-    scored = with_model(w, 0.0).withColumn("_s", score)
-    thr = scored.agg(F.percentile_approx("_s", nu, 10_000).alias("r")).first()["r"]
-    return scored.withColumn(out, F.col("_s") < F.lit(thr)).drop("_z", "_w", "_rho", "_s")
+def ocsvm_flag(df: DataFrame, feats: Sequence[str], nu: float = OCSVM_NU, out: str = "anomaly_ocsvm") -> DataFrame:
+    """Rows outside the one-class SVM (RBF kernel, gamma = 1 / (features x variance)); see ``oneclass``."""
+    return oneclass_flag(df, feats, nu, out)
+
+
+def detector_trio(df: DataFrame, feats: Sequence[str], ids: Sequence[str], value: str = "pm25") -> DataFrame:
+    """``df`` with the flags of all three detectors (z-score, LOF, one-class SVM) and their consensus; the last two work on
+    ``feats`` standardised over all rows."""
+    ids = list(ids)
+    p = materialize(df)
+    af = materialize(prep.standardize(p.select(*ids, *feats), list(feats)))
+    lof = lof_flag(lof_scores(af, feats, ids)).drop("lof")
+    oc = ocsvm_flag(af, feats).select(*ids, "anomaly_ocsvm")
+    return materialize(consensus(zscore_flag(p, value).join(lof, ids).join(oc, ids), TRIO))
 
 
 def consensus(df: DataFrame, flags: Sequence[str], need: int = 2, out: str = "anomaly_consensus") -> DataFrame:

@@ -1,8 +1,7 @@
 """Next-step classifiers.
 
-Gaussian naive Bayes and distance-weighted k-NN are written with DataFrame aggregates and joins
-(so they are checked against SQL); the decision tree and the linear SVM use ``pyspark.ml``
-estimators (distributed fits) with balanced class weights as a weight column.
+Gaussian naive Bayes and distance-weighted k-NN are DataFrame aggregates and joins; the exact decision
+tree and the linear SVM are in ``tree`` and ``svm``. Cross-validation fits all folds in the same passes.
 """
 
 from __future__ import annotations
@@ -11,19 +10,17 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeframe.operators import prep
+from hazeframe.operators import prep, svm, tree
 from hazeframe.operators.neighbors import knn_join
 from hazeframe.operators.sequence import materialize
 
 VAR_SMOOTHING = 1e-9
 KNN_K = 7
-TREE_PARAMS = dict(maxDepth=10, minInstancesPerNode=50, maxBins=256, seed=42, impurity="gini")
 SVM_FOLDS = 3
-SVM_MAX_ITER = 100
-FIT_PARALLELISM = 4  # concurrent model fits submitted from the driver
 
 
 # ---- Gaussian naive Bayes (M9) ----------------------------------------------------------------
@@ -50,9 +47,10 @@ def gnb_fit(train: DataFrame, feats: Sequence[str], label: str = "label") -> Dat
     return m
 
 
-def gnb_predict(df: DataFrame, model: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """Adds ``score`` = P(class 1) and ``prediction`` (class 1 when its joint likelihood is larger)."""
-    d = df.crossJoin(F.broadcast(model))  # one row
+def gnb_predict(df: DataFrame, model: DataFrame, feats: Sequence[str], on: str | None = None) -> DataFrame:
+    """Adds ``score`` = P(class 1) and ``prediction`` (class 1 when its joint likelihood is larger). With ``on``, the model
+    has a row per value of that column."""
+    d = df.crossJoin(F.broadcast(model)) if on is None else df.join(F.broadcast(model), on)  # one row, or one a fold
 
     def jll(c):
         terms = [F.lit(-0.5) * F.log(F.lit(2 * math.pi) * F.col(f"v{c}_{j}"))
@@ -89,127 +87,111 @@ def knn_classify(train: DataFrame, test: DataFrame, feats: Sequence[str], ids: S
                 .withColumn("prediction", (F.col("score") > 0.5).cast("int")))
 
 
-# ---- pyspark.ml estimators (M6, M8, M12) --------------------------------------------------------
-
-def balanced_weights(df: DataFrame, label: str = "label", col: str = "weight") -> DataFrame:
-    """class_weight='balanced': w_y = n / (2 n_y), from a two-row count table."""
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_ny"))
-    tot = df.agg(F.count(F.lit(1)).alias("_n"))
-    w = n.crossJoin(tot).select(label, (F.col("_n") / (2.0 * F.col("_ny"))).alias(col))
-    return df.join(F.broadcast(w), label)  # at most two rows (binary label)
-
-
-def _assemble(df: DataFrame, feats: Sequence[str], out: str = "features") -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(feats), outputCol=out).transform(df)
+def knn_folds(df: DataFrame, feats: Sequence[str], ids: Sequence[str], label: str, fold: str, k: int, weights: int = KNN_K) -> DataFrame:
+    """Every row scored by its nearest rows of the other folds, in one neighbour join.
 
+    A row is a candidate for each of the other folds: it is tagged with that fold, and the tag is a further coordinate
+    in which different folds lie farther apart than any two rows, so neighbours always share the tag.
+    """
+    ids = list(ids)
+    ends = df.agg(*[F.max(f).alias(f"hi{i}") for i, f in enumerate(feats)], *[F.min(f).alias(f"lo{i}") for i, f in enumerate(feats)]).first()  # one row
+    far = 2.0 * sum((ends[f"hi{i}"] or 0.0) - (ends[f"lo{i}"] or 0.0) for i in range(len(feats))) + 1.0
+    others = F.explode(F.array(*[F.lit(f) for f in range(k)]))
+    train = df.withColumn("_to", others).where(F.col("_to") != F.col(fold)).withColumn("_tag", F.col("_to") * far)
+    test = df.withColumn("_tag", F.col(fold) * far)
+    return knn_classify(train, test, [*feats, "_tag"], [*ids, "_tag"], label, weights).drop("_tag")
 
-def _p1(col: str = "probability"):
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array(F.col(col))[1]
 
+# ---- decision tree (M6, M12) --------------------------------------------------------------------
 
-def tree_fit(train: DataFrame, feats: Sequence[str], label: str = "label", **params):
-    from pyspark.ml.classification import DecisionTreeClassifier
-    p = dict(TREE_PARAMS, **params)
-    d = _assemble(balanced_weights(train, label), feats)
-    return DecisionTreeClassifier(featuresCol="features", labelCol=label, weightCol="weight", **p).fit(d)
+def tree_fit(train: DataFrame, feats: Sequence[str], label: str = "label", **params) -> tree.Tree:
+    """M6: exact Gini splits, depth 10, at least 100 rows to split and 50 in a leaf, balanced class weights."""
+    return tree.grow(train, feats, label, **params)[0]
 
 
-def tree_predict(model, df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    out = model.transform(_assemble(df, feats))
-    return out.select(*df.columns, _p1().alias("score"), F.col("prediction").cast("int").alias("prediction"))
+def tree_predict(model: tree.Tree, df: DataFrame, feats: Sequence[str]) -> DataFrame:
+    return tree.predict({0: model}, df, feats)
 
 
-def feature_importance(model, feats: Sequence[str], spark) -> DataFrame:
+def feature_importance(model: tree.Tree, feats: Sequence[str], spark) -> DataFrame:
     """Importance per feature (model metadata, one value per feature) with its rank."""
-    imp = model.featureImportances.toArray().tolist()
-    rows = [(f, float(v)) for f, v in zip(feats, imp)]
-    d = spark.createDataFrame(rows, "feature string, importance double")
+    d = spark.createDataFrame(list(zip(feats, model.importances())), "feature string, importance double")
     from pyspark.sql import Window
     return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")).cast("int"))
 
 
+# ---- calibrated linear SVM (M8) -----------------------------------------------------------------
+
 def svm_calibrated_fit(train: DataFrame, feats: Sequence[str], label: str = "label",
-                       ids: Sequence[str] = ("city", "datetime"), reg: float | None = None, folds: int = SVM_FOLDS):
-    """M8: LinearSVC (balanced weights) per fold on the other folds, each followed by Platt scaling
-    (logistic regression on the held-out margins with smoothed targets); returns the list of
-    (svm, platt) pairs whose probabilities are averaged."""
-    from pyspark.ml.classification import LinearSVC, LogisticRegression
+                       ids: Sequence[str] = ("city", "datetime"), folds: int = SVM_FOLDS) -> list[svm.Fit]:
+    """M8: one squared-hinge SVM with balanced weights per left-out fold, each with a probability curve fitted on
+    that fold; their probabilities are averaged."""
     d = prep.stratified_folds(train, label, list(ids), k=folds, seed=prep.SEED, fold_col="_f")
-    n = train.count()
-    reg = reg if reg is not None else 1.0 / max(n, 1)
-    from pyspark.ml.functions import array_to_vector
-    d = materialize(d)
-
-    def fit(f: int):
-        fit_part = _assemble(balanced_weights(d.where(F.col("_f") != f), label), feats)
-        held = _assemble(d.where(F.col("_f") == f), feats)
-        svm = LinearSVC(featuresCol="features", labelCol=label, weightCol="weight", regParam=reg,
-                        maxIter=SVM_MAX_ITER, tol=1e-4, standardization=False).fit(fit_part)
-        margins = svm.transform(held).select(F.col(label).cast("int").alias("_y"),
-                                             _p1("rawPrediction").alias("m"))
-        cnt = margins.agg(F.sum("_y").alias("_np"), F.sum(1 - F.col("_y")).alias("_nn"))
-        t = margins.crossJoin(F.broadcast(cnt)).withColumn(  # one row
-            "_t", F.when(F.col("_y") == 1, (F.col("_np") + 1) / (F.col("_np") + 2)).otherwise(1 / (F.col("_nn") + 2)))
-        # Platt scaling with smoothed targets: each held-out row as a positive (weight t) and a
-        # negative (weight 1 - t) example
-        soft = (t.select(F.array(F.col("m")).alias("_a"), F.lit(1.0).alias("lab"), F.col("_t").alias("w"))
-                 .unionByName(t.select(F.array(F.col("m")).alias("_a"), F.lit(0.0).alias("lab"), (1 - F.col("_t")).alias("w"))))
-        soft = soft.withColumn("mv", array_to_vector("_a"))
-        platt = LogisticRegression(featuresCol="mv", labelCol="lab", weightCol="w", regParam=0.0,
-                                   standardization=False).fit(soft)
-        return svm, platt
-
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=min(FIT_PARALLELISM, folds)) as pool:  # independent folds
-        return list(pool.map(fit, range(folds)))
-
-
-def svm_calibrated_predict(pairs, df: DataFrame, feats: Sequence[str]) -> DataFrame:
+    return svm.fit_calibrated(d, feats, label, "_f", folds)[0]
+
+
+def svm_calibrated_predict(fits: list[svm.Fit], df: DataFrame, feats: Sequence[str]) -> DataFrame:
     """Average of the calibrated probabilities of the fold models; ``prediction`` = score > 0.5."""
-    d = _assemble(df, feats)
-    for i, (svm, platt) in enumerate(pairs):
-        coef, icpt = float(platt.coefficients[0]), float(platt.intercept)
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(coef) * _p1("rawPrediction") + F.lit(icpt))))
-        d = svm.transform(d).withColumn(f"_p{i}", p).drop("rawPrediction", "prediction")
-    score = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(len(pairs))]) / len(pairs)
-    return d.select(*df.columns, score.alias("score"), (score > 0.5).cast("int").alias("prediction"))
+    return df.withColumn("score", svm.probability(fits, feats)).withColumn("prediction", (F.col("score") > 0.5).cast("int"))
 
 
 # ---- cross-validation (M11, A33) ----------------------------------------------------------------
 
+def gnb_folds(df: DataFrame, feats: Sequence[str], label: str, fold: str) -> DataFrame:
+    """Naive Bayes models of all folds' other rows, a row per fold (as ``gnb_fit`` with the fold): one aggregation by fold and class,
+    each fold's sums subtracted from the total."""
+    mean = df.agg(*[F.avg(f).alias(f"m{j}") for j, f in enumerate(feats)]).first()  # one row
+    x = [F.col(f) - F.lit(mean[f"m{j}"] or 0.0) for j, f in enumerate(feats)]  # shifted, so that squares don't cancel
+    got = df.groupBy(fold, F.col(label).cast("int").alias("_y")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{j}") for j, c in enumerate(x)], *[F.sum(c * c).alias(f"q{j}") for j, c in enumerate(x)]).collect()  # two rows a fold
+    d = len(feats)
+    sums = {(r[fold], r["_y"]): np.array([r["n"], *[r[f"s{j}"] for j in range(d)], *[r[f"q{j}"] for j in range(d)]], float) for r in got}
+    rows = []
+    for f in sorted({k for k, _ in sums}):
+        part = [sum((v for (g, y), v in sums.items() if g != f and y == c), np.zeros(1 + 2 * d)) for c in (0, 1)]
+        both = part[0] + part[1]
+        var = lambda v: np.maximum(v[1 + d:] / v[0] - (v[1:1 + d] / v[0]) ** 2, 0.0) if v[0] else np.full(d, np.nan)
+        eps = float(var(both).max()) * VAR_SMOOTHING
+        row: dict = {fold: f}
+        for c, v in enumerate(part):
+            row[f"prior{c}"] = float(v[0] / both[0])
+            for j in range(d):
+                row[f"mu{c}_{j}"] = float(v[1 + j] / v[0] + (mean[f"m{j}"] or 0.0)) if v[0] else math.nan
+                row[f"v{c}_{j}"] = float(var(v)[j]) + eps
+        rows.append(row)
+    names = [n for n in rows[0] if n != fold]
+    return df.sparkSession.createDataFrame([tuple(r[n] for n in [fold, *names]) for r in rows], f"{fold} int, " + ", ".join(f"{n} double" for n in names))
+
+
+def cross_predictions(df: DataFrame, feats: Sequence[str], ids: Sequence[str], label: str, k: int, model: str, fold: str = "fold") -> DataFrame:
+    """``df`` with the ``prediction`` of a model fitted on the rows of the other folds, all folds in the same passes."""
+    others = F.explode(F.array(*[F.lit(f) for f in range(k)]))
+    if model == "nb":
+        return gnb_predict(df, gnb_folds(df, feats, label, fold), feats, on=fold)
+    if model == "knn":
+        return knn_folds(df, feats, ids, label, fold, k)
+    train = df.withColumn("_to", others).where(F.col("_to") != F.col(fold))
+    if model == "tree":
+        return tree.predict(tree.grow(train, feats, label, tree="_to", min_split=2), df, feats, tree=fold)
+    inner = prep.stratified_folds(train.withColumn("_ly", F.struct("_to", label)), "_ly", list(ids), k=SVM_FOLDS, seed=prep.SEED, fold_col="_f")
+    fits = svm.fit_calibrated(inner, feats, label, "_f", SVM_FOLDS, group="_to")
+    score = reduce(lambda e, f: F.when(F.col(fold) == f, svm.probability(fits[f], feats)).otherwise(e), sorted(fits), F.lit(None).cast("double"))
+    return df.withColumn("score", score).withColumn("prediction", (F.col("score") > 0.5).cast("int"))
+
+
 def cross_validate(df: DataFrame, feats: Sequence[str], ids: Sequence[str] = ("city", "datetime"),
                    label: str = "label", k: int = 5, models: Sequence[str] = ("tree", "knn", "svm", "nb"),
-                   scaler_inside_fold: bool = False) -> DataFrame:
-    """F1 of each model on each of ``k`` stratified folds (seeded hash order). k-NN and SVM use
-    standardised features (scaler fitted on all rows first, as analysed; or per fold), tree and
-    naive Bayes raw ones. Returns (model, fold, f1)."""
+                   fold: str | None = None) -> DataFrame:
+    """F1 of each model on each of ``k`` stratified folds (seeded hash order, or the integer column ``fold``). k-NN
+    and SVM use standardised features (scaler fitted on all rows first, as analysed), tree and naive Bayes raw ones.
+    Returns (model, fold, f1). Every model fits all folds in the same passes over the rows."""
     from hazeframe.operators.evaluate import binary_metrics
     ids = list(ids)
-    d = materialize(prep.stratified_folds(df, label, ids, k=k))
-    scaled = d if scaler_inside_fold else materialize(prep.standardize(d, feats))
-    spark = df.sparkSession
-
-    def one(f: int, name: str):
-        src = d if name in ("tree", "nb") else scaled
-        tr, te = src.where(F.col("fold") != f), src.where(F.col("fold") == f)
-        if scaler_inside_fold and name in ("knn", "svm"):
-            sc = prep.scaler_fit(tr, feats)
-            tr, te = prep.scaler_apply(tr, sc, feats), prep.scaler_apply(te, sc, feats)
-        if name == "nb":
-            pred = gnb_predict(te, gnb_fit(tr, feats, label), feats)
-        elif name == "knn":
-            pred = knn_classify(tr, te, feats, ids, label)
-        elif name == "tree":
-            pred = tree_predict(tree_fit(tr, feats, label, minInstancesPerNode=50), te, feats)
-        else:
-            pred = svm_calibrated_predict(svm_calibrated_fit(tr, feats, label, ids), te, feats)
-        return name, f, float(binary_metrics(pred, label).select("f1").first()["f1"])
-
-    # independent (fold, model) fits are submitted concurrently, as CrossValidator(parallelism) does
-    from concurrent.futures import ThreadPoolExecutor
-    tasks = [(f, name) for f in range(k) for name in models]
-    with ThreadPoolExecutor(max_workers=FIT_PARALLELISM) as pool:
-        rows = list(pool.map(lambda t: one(*t), tasks))
-    return spark.createDataFrame(rows, "model string, fold int, f1 double")
+    d = prep.stratified_folds(df, label, ids, k=k) if fold is None else df.withColumn("fold", F.col(fold).cast("int"))
+    d = materialize(d.select(*dict.fromkeys([*ids, *feats, label, "fold"])))
+    scaled = materialize(prep.standardize(d, feats)) if {"knn", "svm"} & set(models) else None
+    rows = []
+    for name in models:
+        pred = cross_predictions(d if name in ("tree", "nb") else scaled, feats, ids, label, k, name)
+        rows.append(binary_metrics(pred, label, by=["fold"]).select(F.lit(name).alias("model"), "fold", "f1"))
+    return reduce(lambda a, b: a.unionByName(b), rows)

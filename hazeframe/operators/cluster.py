@@ -1,8 +1,7 @@
 """Clustering and cluster quality.
 
-K-means and Gaussian mixtures are ``pyspark.ml`` fits. DBSCAN streams the exact epsilon-grid join
-through aggregations (neighbour counts; pairs of small cells that hold linked core points) without
-storing point pairs, then takes connected components of the cells until nothing changes.
+K-means (all restarts and all k in the same passes), Gaussian mixtures and DBSCAN are in ``kmeans``, ``mixture``
+and ``density``.
 ``silhouette_squared`` is the silhouette of squared distances over all rows, from per-cluster sums;
 ``silhouette`` is the Euclidean form of the analysed pipeline on an explicit seeded sample, and says
 how many rows it saw. Calinski-Harabasz and Davies-Bouldin are grouped aggregates over the full data.
@@ -13,10 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeframe.operators import prep
+from hazeframe.operators import kmeans, mixture, prep
 from hazeframe.operators.neighbors import range_join
 from hazeframe.operators.sequence import materialize
 
@@ -26,7 +27,6 @@ K_RANGE = range(2, 11)
 SILHOUETTE_SAMPLE = 5000
 DBSCAN_EPS = 0.8
 DBSCAN_MIN_SAMPLES = 50
-FIT_PARALLELISM = 4  # concurrent fits submitted from the driver
 
 
 def cluster_frame(df: DataFrame, feats: Sequence[str] = prep.CLUSTER_FEATURES,
@@ -37,73 +37,60 @@ def cluster_frame(df: DataFrame, feats: Sequence[str] = prep.CLUSTER_FEATURES,
     return prep.standardize(d, feats)
 
 
-def _assemble(df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(feats), outputCol="features").transform(df)
-
-
 def kmeans_fit(df: DataFrame, feats: Sequence[str], k: int, n_init: int = N_INIT, seed: int = SEED):
-    """Best (lowest SSE) of ``n_init`` seeded k-means fits. Returns (model, sse)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.clustering import KMeans
-    d = materialize(_assemble(df, feats))
+    """Best (lowest SSE) of ``n_init`` seeded k-means fits, all moved together. Returns (centres, sse)."""
+    centres, sums = kmeans.fit(kmeans.vectors(df, feats), len(feats), [k], n_init, seed)[k]
+    return centres, float(sums[:, 1].sum())
 
-    def fit(i):
-        m = KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="features").fit(d)
-        return m, m.summary.trainingCost
 
-    # the seeded initialisations are independent fits, submitted concurrently
-    with ThreadPoolExecutor(max_workers=min(FIT_PARALLELISM, n_init)) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    best = fits[0]
-    for m, cost in fits[1:]:  # first lowest SSE in seed order
-        if cost < best[1]:
-            best = (m, cost)
-    return best
+def kmeans_labels(df: DataFrame, feats: Sequence[str], k: int, n_init: int = N_INIT, seed: int = SEED) -> DataFrame:
+    centres, _ = kmeans_fit(df, feats, k, n_init, seed)
+    return df.withColumn("cluster", kmeans.nearest(feats, centres))
 
 
-def kmeans_labels(df: DataFrame, feats: Sequence[str], k: int, n_init: int = N_INIT, seed: int = SEED) -> DataFrame:
-    model, _ = kmeans_fit(df, feats, k, n_init, seed)
-    out = model.transform(_assemble(df, feats))
-    return out.select(*df.columns, F.col("prediction").cast("int").alias("cluster"))
+def kmeans_from(df: DataFrame, feats: Sequence[str], label: str, steps: int) -> DataFrame:
+    """``df`` with ``cluster`` after ``steps`` moves of centres that start at the means of an integer column's
+    groups, in ascending order."""
+    means = df.groupBy(label).agg(*[F.avg(f).alias(f) for f in feats]).where(F.col(label).isNotNull()).orderBy(label).collect()  # a row a start
+    start = np.array([[r[f] for f in feats] for r in means], float)
+    centres, _ = kmeans.lloyd(kmeans.vectors(df, feats), len(feats), [start], max_iter=steps, tolerance=-1.0)[0]
+    return df.withColumn("cluster", kmeans.nearest(feats, centres))
 
 
 def k_sweep(df: DataFrame, feats: Sequence[str], ids: Sequence[str], ks=K_RANGE, n_init: int = N_INIT,
             seed: int = SEED) -> DataFrame:
-    """SSE and silhouette (squared distances, all rows) for each k; ``best`` marks the
-    first k with the top silhouette."""
-    spark = df.sparkSession
-    rows = []
-    for k in ks:
-        model, sse = kmeans_fit(df, feats, k, n_init, seed)
-        lab = model.transform(_assemble(df, feats)).select(*df.columns, F.col("prediction").cast("int").alias("cluster"))
-        sil = silhouette_squared(lab, feats, "cluster").first()["silhouette_squared"]
-        rows.append((int(k), float(sse), None if sil is None else float(sil)))
-    t = spark.createDataFrame(rows, "k int, sse double, silhouette double")
+    """SSE, Euclidean silhouette (seeded sample) and silhouette of squared distances (all rows)
+    for each k; ``best`` marks the first k with the top Euclidean silhouette.
+
+    Passes over the rows serve all k and all restarts.
+    """
+    points = kmeans.vectors(df, feats, ids)
+    fits = kmeans.fit(points, len(feats), list(ks), n_init, seed)
+    squared = kmeans.squared_silhouettes(points, len(feats), [fits[k] for k in ks])
+    sample = silhouette_sample(df.select(*ids, *feats), ids or feats, seed=seed)
+    wide = sample.select(*feats, *[kmeans.nearest(feats, fits[k][0]).alias(f"_l{k}") for k in ks])
+    plain = sample_silhouettes(wide, feats, [f"_l{k}" for k in ks])
+    rows = [(int(k), float(fits[k][1][:, 1].sum()), a, b) for k, a, b in zip(ks, plain, squared)]
+    t = df.sparkSession.createDataFrame(rows, "k int, sse double, silhouette double, silhouette_squared double")
     w = Window.orderBy(F.desc_nulls_last("silhouette"), "k")  # at most len(ks) rows
     return t.withColumn("best", F.row_number().over(w) == 1)
 
 
 def gmm_labels(df: DataFrame, feats: Sequence[str], k: int, seed: int = SEED) -> DataFrame:
-    """Full-covariance Gaussian mixture; ``cluster`` = most probable component and its
+    """Full-covariance Gaussian mixture from a k-means start; ``cluster`` = most probable component and its
     membership probabilities."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import vector_to_array
-    d = _assemble(df, feats)
-    m = GaussianMixture(k=k, seed=seed, featuresCol="features", maxIter=100, tol=1e-3).fit(d)
-    out = m.transform(d)
-    return out.select(*df.columns, F.col("prediction").cast("int").alias("cluster"),
-                      vector_to_array("probability").alias("probability"))
+    started = kmeans_labels(df, feats, k, 1, seed).withColumnRenamed("cluster", "_c0")
+    return mixture.mixture(started, feats, "_c0", k)
 
 
-# ---- DBSCAN (M17, J8) -----------------------------------------------------------------------------
+# ---- neighbour counts (J8) -----------------------------------------------------------------------------
 
 def dbscan_core(df: DataFrame, feats: Sequence[str], id_col: str = "row_id", eps: float = DBSCAN_EPS,
                 min_samples: int = DBSCAN_MIN_SAMPLES) -> DataFrame:
-    """Points with ``n_neighbors`` (within eps, self included) and ``is_core``.
+    """Points with ``n_neighbors`` (within eps, self included) and ``is_core``.
 
-    Pairs are counted as they are joined (partial aggregation); none is stored.
+    Pairs are counted as they are joined (partial aggregation); none is stored. ``density.dbscan`` finds
+    the core points without counting them all.
     """
     cnt = (range_join(df, eps, feats, [id_col]).groupBy(F.col(f"q_{id_col}").alias(id_col))
            .agg(F.count(F.lit(1)).cast("long").alias("n_neighbors")))
@@ -111,57 +98,6 @@ def dbscan_core(df: DataFrame, feats: Sequence[str], id_col: str = "row_id", eps
     return pts.withColumn("is_core", F.col("n_neighbors") >= min_samples)
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame, src: str = "src", dst: str = "dst",
-                         vid: str = "id") -> DataFrame:
-    """Smallest vertex id of each vertex's component (edges undirected). Rounds of min-label
-    propagation over edges followed by pointer jumping (label <- label of label), pinned, until no
-    label changes."""
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    e = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "checkpoint")
-    lab = materialize(vertices.select(F.col(vid).alias("v"), F.col(vid).alias("l")), "checkpoint")
-    while True:
-        prop = (e.join(lab.withColumnRenamed("v", "b").withColumnRenamed("l", "lb"), "b")
-                 .groupBy(F.col("a").alias("v")).agg(F.min("lb").alias("m")))
-        new = (lab.join(prop, "v", "left")
-                  .select("v", F.least(F.col("l"), F.coalesce(F.col("m"), F.col("l"))).alias("l")))
-        jump = (new.alias("x").join(new.alias("y"), F.col("x.l") == F.col("y.v"), "left")
-                   .select(F.col("x.v").alias("v"), F.least(F.col("x.l"), F.coalesce(F.col("y.l"), F.col("x.l"))).alias("l")))
-        jump = materialize(jump, "checkpoint")  # cuts the lineage every round
-        changed = jump.join(lab.withColumnRenamed("l", "old"), "v").where(F.col("l") != F.col("old")).limit(1).count()
-        lab = jump
-        if changed == 0:
-            return lab.select(F.col("v").alias(vid), F.col("l").alias("component"))
-
-
-def dbscan(df: DataFrame, feats: Sequence[str], id_col: str = "row_id", eps: float = DBSCAN_EPS,
-           min_samples: int = DBSCAN_MIN_SAMPLES) -> DataFrame:
-    """``cluster`` = number of the cluster in order of its smallest core id (0, 1, ...),
-    border points take the lowest-numbered cluster among their core neighbours, noise = -1.
-    ``id_col`` must be a numeric row id giving the visiting order.
-
-    Core points in one cell of diagonal eps are one cluster, so components are taken over cells
-    (named by their smallest core id), not over points.
-    """
-    feats = list(feats)
-    pts = materialize(dbscan_core(df, feats, id_col, eps, min_samples))
-    side = eps / len(feats) ** 0.5 * (1 - 1e-9)
-    cell = F.array(*[F.floor(F.col(f) / side).cast("long") for f in feats])
-    core = pts.where("is_core").select(id_col, *feats, cell.alias("_cell"))
-    names = core.groupBy("_cell").agg(F.min(id_col).alias("_name"))
-    core = materialize(core.join(names, "_cell").select(id_col, *feats, F.col("_name")))
-    near = range_join(core, eps, feats, [id_col, "_name"])
-    links = near.groupBy("q__name", "p__name").agg(F.count(F.lit(1)).alias("_n")).where("q__name <> p__name")
-    comp = connected_components(links, core.select("_name").distinct(), "q__name", "p__name", "_name")
-    number = comp.select("component").distinct().withColumn(
-        "cluster", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))  # one row per cluster
-    core_lab = materialize(core.join(comp, "_name").join(number, "component").select(id_col, *feats, "cluster"))
-    other = pts.where("not is_core").select(id_col, *feats)
-    border = (range_join(core_lab, eps, feats, [id_col, "cluster"], queries=other, q_ids=[id_col])
-              .groupBy(F.col(f"q_{id_col}").alias(id_col)).agg(F.min("p_cluster").alias("cluster")))
-    lab = core_lab.select(id_col, "cluster").unionByName(border)
-    return pts.join(lab, id_col, "left").withColumn("cluster", F.coalesce(F.col("cluster"), F.lit(-1)).cast("int"))
-
-
 # ---- quality metrics (M16, M19-M21) -------------------------------------------------------------
 
 def silhouette_sample(df: DataFrame, ids: Sequence[str], size: int = SILHOUETTE_SAMPLE, seed: int = SEED) -> DataFrame:
@@ -197,47 +133,57 @@ def silhouette_squared(df: DataFrame, feats: Sequence[str], label: str) -> DataF
     return scored.agg(F.avg(F.when(F.col("b").isNotNull(), s)).alias("silhouette_squared"))
 
 
+def sample_silhouettes(sample: DataFrame, feats: Sequence[str], labels: Sequence[str]) -> list[float | None]:
+    """Mean Euclidean silhouette over the rows of a bounded sample, per label column (NULL labels left out).
+
+    The sample (its bound is the caller's) goes to every task; each scores its rows for all columns.
+    """
+    feats, labels = list(feats), list(labels)
+    sample = materialize(sample.select(*feats, *labels))
+    local = sample.toPandas()  # bounded sample
+    x = local[feats].to_numpy(dtype=float)
+    groups = []
+    for c in labels:
+        y = local[c].to_numpy(dtype=float)
+        seen = np.unique(y[~np.isnan(y)])
+        groups.append((seen, (y[:, None] == seen[None, :]).astype(float)))
+
+    def score(batches):
+        for rb in batches:
+            q = np.stack([rb.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(feats))], 1)
+            dist = np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) if len(q) else np.zeros((0, len(x)))
+            out = []
+            for j, (seen, member) in enumerate(groups):
+                y = rb.column(len(feats) + j).to_numpy(zero_copy_only=False).astype(float)
+                ok = np.flatnonzero(~np.isnan(y))
+                if len(seen) < 2 or not len(ok):
+                    continue
+                own, rows = np.searchsorted(seen, y[ok]), np.arange(len(ok))
+                total, n = dist[ok] @ member, member.sum(0)
+                a = total[rows, own] / np.maximum(n[own] - 1, 1)
+                mean = total / n[None, :]
+                mean[rows, own] = np.inf
+                b = mean.min(axis=1)
+                s = np.where((n[own] > 1) & (np.maximum(a, b) > 0), (b - a) / np.where(np.maximum(a, b) > 0, np.maximum(a, b), 1), 0.0)
+                out.append((j, float(s.sum()), len(ok)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.int64()))], names=["j", "s", "n"])
+
+    got = sample.mapInArrow(score, "j int, s double, n long").groupBy("j").agg((F.sum("s") / F.sum("n")).alias("m")).collect()  # a row a column
+    found = {r["j"]: r["m"] for r in got}
+    return [found.get(j) for j in range(len(labels))]
+
+
 def silhouette(df: DataFrame, feats: Sequence[str], label: str, ids: Sequence[str],
                size: int = SILHOUETTE_SAMPLE, seed: int = SEED) -> DataFrame:
     """Mean silhouette (Euclidean) over a seeded sample of at most ``size`` rows, as the analysed
     pipeline asks for, with n_rows and n_sampled; a point alone in its cluster scores 0; NULL when
     the sample has fewer than 2 clusters."""
-    import numpy as np
-    import pandas as pd
-
-    feats = list(feats)
-    sample = silhouette_sample(df.select(*ids, *feats, label), ids, size, seed)
-    sample = sample.where(F.col(label).isNotNull())
-    local = sample.select(*feats, label).toPandas()  # bounded by ``size`` rows
-    spark = df.sparkSession
-    n_rows = df.where(F.col(label).isNotNull()).count()
-    seen = [F.lit(n_rows).cast("long").alias("n_rows"), F.lit(len(local)).cast("long").alias("n_sampled")]
-    if local[label].nunique() < 2:
-        return spark.createDataFrame([(None,)], "silhouette double").select("silhouette", *seen)
-    X = local[feats].to_numpy(dtype=float)
-    y = local[label].to_numpy()
-    labels = np.unique(y)
-    bc = spark.sparkContext.broadcast((X, y, labels))
-
-    def per_batch(it):
-        Xs, ys, labs = bc.value
-        counts = np.array([(ys == c).sum() for c in labs])
-        for pdf in it:
-            q = pdf[feats].to_numpy(dtype=float)
-            ql = pdf[label].to_numpy()
-            dist = np.sqrt(((q[:, None, :] - Xs[None, :, :]) ** 2).sum(axis=2))
-            sums = np.stack([dist[:, ys == c].sum(axis=1) for c in labs], axis=1)
-            own = np.searchsorted(labs, ql)
-            n_own = counts[own]
-            a = np.where(n_own > 1, sums[np.arange(len(q)), own] / np.maximum(n_own - 1, 1), 0.0)
-            means = sums / counts[None, :]
-            means[np.arange(len(q)), own] = np.inf
-            b = means.min(axis=1)
-            s = np.where(n_own > 1, (b - a) / np.maximum(a, b), 0.0)
-            yield pd.DataFrame({"s": s})
-
-    scored = sample.select(*feats, label).mapInPandas(per_batch, "s double")
-    return scored.agg(F.avg("s").alias("silhouette")).select("silhouette", *seen)
+    feats, ids = list(feats), list(ids)
+    kept = df.where(F.col(label).isNotNull()).select(*dict.fromkeys([*ids, *feats, label]))
+    sample = materialize(silhouette_sample(kept, ids or feats, size, seed))
+    value = sample_silhouettes(sample, feats, [label])[0]
+    return df.sparkSession.createDataFrame([(value, kept.count(), sample.count())], "silhouette double, n_rows long, n_sampled long")
 
 
 def calinski_harabasz(df: DataFrame, feats: Sequence[str], label: str) -> DataFrame:
@@ -276,20 +222,22 @@ def davies_bouldin(df: DataFrame, feats: Sequence[str], label: str) -> DataFrame
 
 
 def evaluate_clustering(df: DataFrame, feats: Sequence[str], label: str, ids: Sequence[str], method: str) -> DataFrame:
-    """One metric row with noise (-1) removed; metrics NULL below 2 rows or 2 clusters."""
+    """One metric row with noise (-1) removed; metrics NULL below 2 rows or 2 clusters. ``silhouette`` is the
+    Euclidean one on the seeded sample, ``silhouette_squared`` that of squared distances over all rows."""
     spark = df.sparkSession
     counts = df.agg(F.count_distinct(F.when(F.col(label) != -1, F.col(label))).cast("long").alias("n_clusters"),
                     F.sum((F.col(label) == -1).cast("long")).alias("noise_points"),
                     F.sum((F.col(label) != -1).cast("long")).alias("_kept")).first()
     clean = df.where(F.col(label) != -1)
     if (counts["_kept"] or 0) < 2 or counts["n_clusters"] < 2:
-        sil = ch = db = None
+        plain = sil = ch = db = None
     else:
+        plain = silhouette(clean, feats, label, ids).first()["silhouette"]
         sil = silhouette_squared(clean, feats, label).first()[0]
         ch = calinski_harabasz(clean, feats, label).first()[0]
         db = davies_bouldin(clean, feats, label).first()[0]
-    return spark.createDataFrame([(method, int(counts["n_clusters"]), int(counts["noise_points"] or 0), sil, ch, db)],
-                                 "method string, n_clusters long, noise_points long, silhouette_squared double, "
+    return spark.createDataFrame([(method, int(counts["n_clusters"]), int(counts["noise_points"] or 0), plain, sil, ch, db)],
+                                 "method string, n_clusters long, noise_points long, silhouette double, silhouette_squared double, "
                                  "calinski_harabasz double, davies_bouldin double")
 
 

@@ -1,17 +1,18 @@
 """Classifier evaluation.
 
 ROC-AUC and the ROC curve need, for every distinct score, the number of negatives (positives)
-scored below (above) it: a running total in score order. It is computed per score bucket in
-parallel plus a carried offset from a table of bucket totals (at most ``SCORE_BUCKETS`` rows),
-so no single task sorts all scores.
+scored below (above) it: running totals over the distinct scores by ranges of about equal size
+(``sequence.running_totals``), so no task sorts all scores, however they crowd.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCORE_BUCKETS = 4096
+from hazeframe.operators.sequence import running_totals
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
@@ -23,10 +24,10 @@ def confusion(df: DataFrame, label: str = "label", pred: str = "prediction") ->
             .select("label", "prediction", F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n")))
 
 
-def binary_metrics(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """Accuracy, precision, recall, F1 of the positive class (0 on zero division)."""
+def binary_metrics(df: DataFrame, label: str = "label", pred: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy, precision, recall, F1 of the positive class (0 on zero division), per group of ``by``."""
     y, p = F.col(label).cast("int"), F.col(pred).cast("int")
-    c = df.agg(F.sum(((y == 1) & (p == 1)).cast("long")).alias("tp"),
+    c = df.groupBy(*by).agg(F.sum(((y == 1) & (p == 1)).cast("long")).alias("tp"),
                F.sum(((y == 0) & (p == 1)).cast("long")).alias("fp"),
                F.sum(((y == 1) & (p == 0)).cast("long")).alias("fn"),
                F.count(F.lit(1)).alias("n"),
@@ -34,45 +35,27 @@ def binary_metrics(df: DataFrame, label: str = "label", pred: str = "prediction"
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
-    return c.select((F.col("hit") / F.col("n")).alias("accuracy"), prec.cast("double").alias("precision"),
+    return c.select(*by, (F.col("hit") / F.col("n")).alias("accuracy"), prec.cast("double").alias("precision"),
                     rec.cast("double").alias("recall"), f1.cast("double").alias("f1"))
 
 
-def _score_table(df: DataFrame, label: str, score: str, lo: float, hi: float) -> DataFrame:
+def _below(df: DataFrame, label: str, score: str) -> DataFrame:
+    """A row per distinct score s with its positives p and negatives n, and those with a smaller score, pb and nb."""
     y = F.col(label).cast("int")
-    g = df.groupBy(F.col(score).alias("s")).agg(F.sum(y).cast("long").alias("p"),
-                                                F.sum(1 - y).cast("long").alias("n"))
-    b = F.least(F.greatest(F.floor((F.col("s") - lo) / (hi - lo) * SCORE_BUCKETS), F.lit(0)),
-                F.lit(SCORE_BUCKETS - 1))
-    return g.withColumn("_b", b)
-
-
-def _with_below(g: DataFrame) -> DataFrame:
-    """Add ``nb``/``pb``: negatives / positives with a strictly smaller score, and totals."""
-    tot = g.groupBy("_b").agg(F.sum("n").alias("_bn"), F.sum("p").alias("_bp"))
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= SCORE_BUCKETS rows
-    off = tot.select("_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"),
-                     F.coalesce(F.sum("_bp").over(wb), F.lit(0)).alias("_op"))
-    w = Window.partitionBy("_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    g = (g.withColumn("_ln", F.coalesce(F.sum("n").over(w), F.lit(0)))
-          .withColumn("_lp", F.coalesce(F.sum("p").over(w), F.lit(0))))
-    return (g.join(F.broadcast(off), "_b")
-             .withColumn("nb", F.col("_on") + F.col("_ln")).withColumn("pb", F.col("_op") + F.col("_lp"))
-             .drop("_on", "_op", "_ln", "_lp"))
-
-
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    """Area under the ROC curve with ties counted half: sum_s p_s (nb_s + n_s / 2) / (P N).
-    ``lo``/``hi`` is the score range used for bucketing only (scores outside still count)."""
-    g = _with_below(_score_table(df, label, score, lo, hi))
-    return g.agg((F.sum(F.col("p") * (F.col("nb") + F.col("n") / 2.0)) /
-                  (F.sum("p") * F.sum("n"))).alias("roc_auc"))
-
-
-def roc_curve(df: DataFrame, label: str = "label", score: str = "score", lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+    g = df.groupBy(F.col(score).alias("s")).agg(F.sum(y).cast("long").alias("p"), F.sum(1 - y).cast("long").alias("n"))
+    return running_totals(g, None, ["s"], {"nb": "n", "pb": "p"}, exclusive=True)
+
+
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Area under the ROC curve with ties counted half: sum_s p_s (nb_s + n_s / 2) / (P N)."""
+    return _below(df, label, score).agg((F.sum(F.col("p") * (F.col("nb") + F.col("n") / 2.0)) /
+                                         (F.sum("p") * F.sum("n"))).alias("roc_auc"))
+
+
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One point per distinct score (threshold): fpr, tpr of ``score >= threshold``, plus the
     origin with an infinite threshold. All thresholds are kept."""
-    g = _with_below(_score_table(df, label, score, lo, hi))
+    g = _below(df, label, score)
     totals = g.agg(F.sum("p").alias("_P"), F.sum("n").alias("_N"))
     pts = g.crossJoin(F.broadcast(totals)).select(  # one row
         F.col("s").alias("threshold"),

@@ -1,18 +1,12 @@
 """Exact Euclidean neighbour joins without all-pairs products.
 
-Grid pruning: points are placed in cells of side ``r`` on ``grid_dims`` chosen coordinates. A point
-outside the 3^d cells around a query's cell differs from it by more than ``r`` in some coordinate,
-so its full distance is > r.
-
-``knn_join``   k nearest neighbours. Each round joins the (unresolved) queries with the points of
-               their 3^d neighbouring cells, keeping candidates within r; a query is resolved when
-               it has >= k of them (then no point outside can be nearer). The rest
-               go to the next round with a doubled side, until none is left or the side covers
-               the data's extent, so every query ends exact. The first side is measured: the
-               largest halving of the extent at which a point shares its cell with few others on
-               average, so clustered or discrete coordinates start fine and only queries in thin
-               regions reach coarse cells. Ties at equal distance: smaller neighbour id first.
-``range_join`` every pair within ``eps`` (side = eps, one round, exact).
+``knn_join``   k nearest neighbours over adaptive cells. Equal coordinates are one location with its smallest
+               ids. Locations are split recursively at sampled quantiles of each cell's widest
+               coordinate until a leaf holds at most ``LEAF`` of them (in dense and thin regions alike),
+               every query takes a radius from its own leaf, and the tree is walked from the root for
+               all leaves at once, dropping pairs of boxes that lie farther apart than the radius.
+               Ties at equal distance: smaller neighbour id first.
+``range_join`` every pair within ``eps`` (grid of side eps, one round, exact).
 """
 
 from __future__ import annotations
@@ -26,8 +20,9 @@ from pyspark.sql import functions as F
 
 from hazeframe.operators.sequence import materialize
 
-MAX_GRID_DIMS = 4
-MAX_HALVINGS = 14  # halvings of the extent tried for the first side
+LEAF = 64  # locations of a leaf, at most
+BITS = 5  # bits of a cell id per level: up to 16 parts and the middle
+MAX_LEVELS = 12
 
 
 def _dist(feats: Sequence[str], a: str = "q_", b: str = "p_"):
@@ -44,7 +39,7 @@ def _offsets(d: int):
 
 def _prefixed(df: DataFrame, ids: Sequence[str], feats: Sequence[str], prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in ids],
-                     *[F.col(f).cast("double").alias(prefix + f) for f in feats])
+                     *[F.col(f).cast("double").alias(prefix + f) for f in feats if f not in ids])
 
 
 def _candidates(q: DataFrame, p: DataFrame, feats, gdims, r: float) -> DataFrame:
@@ -68,80 +63,177 @@ def _candidates(q: DataFrame, p: DataFrame, feats, gdims, r: float) -> DataFrame
     return qe.join(pc, [f"_c{i}" for i in range(d)], "inner").drop(*[f"_c{i}" for i in range(d)])
 
 
-def _start_side(points: DataFrame, gdims: Sequence[str], extent: float, k: int) -> float:
-    """Largest halving of the extent whose cells hold at most k / 2 points, seen from a point
-    (sum of squared cell counts over points), from one pass that counts all halvings at once."""
-    sides = [extent / 2.0 ** j for j in range(MAX_HALVINGS + 1)]
-    cells = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), *[c.alias(f"c{i}") for i, c in enumerate(_cells(gdims, "p_", s))])
-                                for j, s in enumerate(sides)]))
-    n = points.select(cells.alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("m"))
-    seen = {r["j"]: r["s"] / r["n"] for r in n.groupBy(F.col("c.j").alias("j")).agg(
-        F.sum(F.col("m") * F.col("m")).alias("s"), F.sum("m").alias("n")).collect()}  # one row a halving
-    fine = [j for j in sorted(seen) if seen[j] <= max(1.0, k / 2)]
-    return sides[fine[0]] if fine else sides[-1]
+# ---- k nearest neighbours: adaptive cells --------------------------------------------------------
+
+def _x(feats: Sequence[str]) -> list[str]:
+    return [f"x{i}" for i in range(len(feats))]
+
+
+def _sq(terms):
+    return reduce(lambda a, b: a + b, [t * t for t in terms])
+
+
+def _box(d: int, prefix: str = "") -> list[str]:
+    return [f"{prefix}lo{i}" for i in range(d)] + [f"{prefix}hi{i}" for i in range(d)]
+
+
+def _gap(d: int, lo: str, hi: str, box: str = ""):
+    """Distance of the range [lo_i, hi_i] (columns by prefix) to the box, 0 where they meet."""
+    return F.sqrt(_sq([F.greatest(F.lit(0.0), F.col(f"{box}lo{i}") - F.col(f"{hi}{i}"), F.col(f"{lo}{i}") - F.col(f"{box}hi{i}"))
+                       for i in range(d)]))
+
+
+def _reach(d: int, x: str = "x", box: str = ""):
+    """Distance of a point to the farthest corner of the box."""
+    return F.sqrt(_sq([F.greatest(F.abs(F.col(f"{x}{i}") - F.col(f"{box}lo{i}")), F.abs(F.col(f"{x}{i}") - F.col(f"{box}hi{i}"))) for i in range(d)]))
+
+
+def locations(queries: DataFrame, points: DataFrame, feats: Sequence[str], p_ids: Sequence[str], keep: int) -> DataFrame:
+    """A row per distinct coordinate of queries and points: loc, x0.., ids (its ``keep`` smallest point ids), m (their
+    number), is_query. Equal points beyond ``keep`` can't be among the ``keep`` nearest of anything."""
+    xs = _x(feats)
+    coords = [F.col(f).cast("double").alias(x) for f, x in zip(feats, xs)]
+    pts = points.select(F.struct(*[F.col(c).alias(f"p_{c}") for c in p_ids]).alias("id"), *coords)
+    # a row_number limit is applied map-side first, so a coordinate that holds most rows moves few of them
+    first = pts.withColumn("at", F.row_number().over(Window.partitionBy(*xs).orderBy("id"))).where(F.col("at") <= keep)
+    both = first.select(*xs, "id", F.lit(False).alias("is_query")).unionByName(
+        queries.select(*coords).distinct().select(*xs, F.lit(None).cast(first.schema["id"].dataType).alias("id"), F.lit(True).alias("is_query")))
+    locs = both.groupBy(*xs).agg(F.sort_array(F.collect_list("id")).alias("ids"), F.max("is_query").alias("is_query"))
+    return locs.select(F.monotonically_increasing_id().alias("loc"), *xs, "ids", F.size("ids").alias("m"), "is_query")
+
+
+def split_cells(locs: DataFrame, d: int, leaf: int) -> tuple[DataFrame, int]:
+    """``locs`` with ``cell``: recursive splits at sampled quantiles of each cell's widest coordinate, and the depth.
+
+    Each round splits every cell of more than ``leaf`` locations into 2 to 16 parts; the middle of the range
+    is a split as well, so a cell with two distinct values always falls apart. Cell ids hold ``BITS`` bits a
+    level: the ancestor of a leaf is its id shifted to the right.
+    """
+    xs = [f"x{i}" for i in range(d)]
+    now, done, level = materialize(locs.withColumn("cell", F.lit(0).cast("long"))), [], 0
+    while True:
+        stats = now.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
+                                        *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)])
+        widest = F.greatest(*[F.struct((F.col(f"hi{i}") - F.col(f"lo{i}")).alias("w"), F.lit(i).alias("i"), F.col(f"lo{i}").alias("lo"),
+                                       F.col(f"hi{i}").alias("hi")) for i in range(d)]) if d > 1 else F.struct(
+            (F.col("hi0") - F.col("lo0")).alias("w"), F.lit(0).alias("i"), F.col("lo0").alias("lo"), F.col("hi0").alias("hi"))
+        open_ = materialize(stats.withColumn("s", widest).where((F.col("n") > leaf) & (F.col("s.w") > 0)).select(
+            F.col("cell").alias("of"), F.col("s.i").alias("dim"), (F.col("s.lo") / 2 + F.col("s.hi") / 2).alias("mid"), F.col("s.lo").alias("lo"),
+            F.col("s.hi").alias("hi"), F.pow(2, F.least(F.lit(4), F.greatest(F.lit(1), F.ceil(F.log2(F.sqrt(F.col("n") / leaf)))))).cast("int").alias("parts")))
+        if open_.isEmpty() or level == MAX_LEVELS:
+            done.append((now, level))
+            break
+        dealt = now.join(open_, F.col("cell") == F.col("of"), "left").withColumn("v", F.get(F.array(*xs), F.col("dim")))
+        done.append((dealt.where("of is null").select(*now.columns), level))
+        dealt = dealt.where("of is not null")
+        grid = F.percentile_approx("v", [i / 16 for i in range(1, 16)], 1000)
+        cuts = dealt.groupBy("of").agg(grid.alias("grid"), F.first("parts").alias("parts"), F.first("mid").alias("mid"), F.first("lo").alias("lo"),
+                                       F.first("hi").alias("hi"))
+        step = (F.lit(16) / F.col("parts")).cast("int")
+        mid = F.when(F.col("mid") < F.col("hi"), F.col("mid")).otherwise(F.col("lo"))
+        cuts = cuts.select(F.col("of").alias("at"), F.array_append(F.filter("grid", lambda g, i: (i + 1) % step == 0), mid).alias("cuts"))
+        child = F.aggregate("cuts", F.lit(0), lambda a, c: a + (F.col("v") > c).cast("int"))
+        now = materialize(dealt.join(cuts, F.col("of") == F.col("at")).select(
+            *[c for c in now.columns if c != "cell"], (F.shiftleft("cell", BITS) + child).cast("long").alias("cell")))
+        level += 1
+    parts = [p.withColumn("cell", F.shiftleft("cell", BITS * (level - at))) for p, at in done]
+    return reduce(lambda a, b: a.unionByName(b), parts), level
+
+
+def _nodes(leaves: DataFrame, d: int, level: int, depth: int, more) -> DataFrame:
+    """Boxes of the nodes of one level (and ``more`` aggregates) from the table of leaves."""
+    node = F.shiftright("cell", BITS * (depth - level))
+    return leaves.groupBy(node.alias("node")).agg(*[F.min(f"lo{i}").alias(f"lo{i}") for i in range(d)], *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(d)], *more)
+
+
+def _leaf_boxes(locs: DataFrame, d: int, more) -> DataFrame:
+    return locs.groupBy("cell").agg(*[F.min(f"x{i}").alias(f"lo{i}") for i in range(d)], *[F.max(f"x{i}").alias(f"hi{i}") for i in range(d)], *more)
+
+
+def _bounded(asking: DataFrame, pts: DataFrame, leaves: DataFrame, d: int, depth: int, keep: int) -> DataFrame:
+    """``asking`` with r: no smaller than the distance of its ``keep``-th nearest point id.
+
+    From the locations of its own cell, or, where the cell has too few, from the farthest corner of the
+    smallest ancestor that has enough.
+    """
+    own = asking.select("loc", "cell", *[F.col(f"x{i}").alias(f"q{i}") for i in range(d)]).join(
+        pts.select("cell", *[f"x{i}" for i in range(d)]), "cell")
+    dist = F.sqrt(_sq([F.col(f"q{i}") - F.col(f"x{i}") for i in range(d)]))
+    near = own.groupBy("loc").agg(F.sort_array(F.collect_list(dist)).alias("ds"))  # at most a leaf's locations
+    near = near.select(F.col("loc").alias("of"), F.get("ds", F.lit(keep - 1)).alias("r"))
+    got = materialize(asking.join(near, F.col("loc") == F.col("of"), "left").drop("of").withColumn(
+        "r", F.when(F.col("m") >= keep, F.lit(0.0)).otherwise(F.col("r"))))
+    short = got.where("r is null").drop("r")
+    if short.isEmpty():
+        return got
+    rich = [_nodes(leaves, d, lv, depth, [F.sum("ids_held").alias("held")]).where(F.col("held") >= keep).withColumn("level", F.lit(lv))
+            for lv in range(depth + 1)]
+    rich = reduce(lambda a, b: a.unionByName(b), rich)
+    levels = short.withColumn("level", F.explode(F.array(*[F.lit(lv) for lv in range(depth + 1)])))
+    levels = levels.withColumn("node", reduce(lambda e, lv: F.when(F.col("level") == lv, F.shiftright("cell", BITS * (depth - lv))).otherwise(e),
+                                              range(depth), F.col("cell")))
+    far = levels.join(rich, ["level", "node"]).groupBy("loc").agg(F.min(_reach(d)).alias("r"))
+    loose = short.join(far, "loc", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
+    return materialize(got.where("r is not null").unionByName(loose.select(*got.columns)))
+
+
+def candidate_pairs(queries: DataFrame, points: DataFrame, keep: int, feats: Sequence[str], p_ids: Sequence[str]) -> DataFrame:
+    """Pairs of a query location and a point location that can be among its ``keep`` nearest: loc, r, q0.., x0.., ids.
+
+    Distances are not compared yet; the pairs of one query stay about as many when the data grow.
+    """
+    d = len(feats)
+    leaf = max(LEAF, 3 * keep)
+    cells, depth = split_cells(locations(queries, points, feats, p_ids, keep), d, leaf)
+    cells = materialize(cells)
+    pts = cells.where("m > 0").select("cell", *_x(feats), "ids", "m")
+    leaves = materialize(_leaf_boxes(pts, d, [F.sum("m").alias("ids_held")]))
+    asking = _bounded(cells.where("is_query").select("loc", "cell", *_x(feats), "m"), pts, leaves, d, depth, keep)
+    q_leaves = materialize(_leaf_boxes(asking, d, [F.max("r").alias("r")]))
+    # both trees from the root: node pairs whose boxes are farther apart than the largest radius drop out
+    pairs = _nodes(q_leaves, d, 0, depth, []).select(F.col("node").alias("a")).join(
+        _nodes(leaves, d, 0, depth, []).select(F.col("node").alias("b")), F.lit(True))  # one row each
+    for level in range(1, depth + 1):
+        qn = _nodes(q_leaves, d, level, depth, [F.max("r").alias("r")])
+        qn = qn.select(F.shiftright("node", BITS).alias("a"), F.col("node").alias("a1"), "r", *[F.col(c).alias(f"q{c}") for c in _box(d)])
+        pn = _nodes(leaves, d, level, depth, []).select(F.shiftright("node", BITS).alias("b"), F.col("node").alias("b1"), *_box(d))
+        pairs = materialize(pairs.join(qn, "a").join(pn, "b").where(_gap(d, "qlo", "qhi") <= F.col("r")).select(
+            F.col("a1").alias("a"), F.col("b1").alias("b")))
+    boxes = pairs.join(leaves.select(F.col("cell").alias("b"), *_box(d)), "b")
+    q = asking.select("loc", "r", F.col("cell").alias("a"), *[F.col(f"x{i}").alias(f"q{i}") for i in range(d)])
+    near = q.join(boxes, "a").where(_gap(d, "q", "q") <= F.col("r")).select("loc", "r", "b", *[f"q{i}" for i in range(d)])
+    return near.join(pts.withColumnRenamed("cell", "b"), "b").drop("b", "m")
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str], q_ids: Sequence[str],
-             p_ids: Sequence[str], exclude_self: bool = False, grid_dims: Sequence[str] | None = None) -> DataFrame:
+             p_ids: Sequence[str], exclude_self: bool = False) -> DataFrame:
     """Exact k nearest ``points`` of every query row: (q_<ids>, p_<ids>, dist, nn_rank).
 
     ``exclude_self`` drops pairs whose ids are equal (self-join use). Feature columns must be
-    numeric without NULLs. ``grid_dims`` defaults to the widest non-constant features (at most
-    ``MAX_GRID_DIMS``).
+    numeric without NULLs. Distances equal to 9 decimals count as ties and are broken by the neighbour id,
+    so that last-bit differences of the inputs cannot reorder neighbours.
     """
     feats, q_ids, p_ids = list(feats), list(q_ids), list(p_ids)
-    q = materialize(_prefixed(queries, q_ids, feats, "q_"))  # small plans for every round
+    d, keep = len(feats), k + bool(exclude_self)
+    q = materialize(_prefixed(queries, q_ids, feats, "q_"))
     p = materialize(_prefixed(points, p_ids, feats, "p_"))
-    # one small aggregate row per side: count and the range of every feature
-    st = points.agg(F.count(F.lit(1)).alias("n"),
-                    *[F.min(f).alias(f"lo{i}") for i, f in enumerate(feats)],
-                    *[F.max(f).alias(f"hi{i}") for i, f in enumerate(feats)]).collect()[0]
-    qt = queries.agg(*[F.min(f).alias(f"lo{i}") for i, f in enumerate(feats)],
-                     *[F.max(f).alias(f"hi{i}") for i, f in enumerate(feats)]).collect()[0]
-    width = {f: float((st[f"hi{i}"] or 0.0) - (st[f"lo{i}"] or 0.0)) for i, f in enumerate(feats)}
-    if grid_dims:
-        gdims = list(grid_dims)
-    else:  # the widest non-constant coordinates (at most MAX_GRID_DIMS)
-        gdims = [f for f in sorted(feats, key=lambda f: -width[f]) if width[f] > 0][:MAX_GRID_DIMS] or feats[:1]
-    r = _start_side(p, gdims, max(max(width[f] for f in gdims), 1e-9), k)
-    # the rounds end once one cell side exceeds the joint extent of queries and points
-    idx = {f: i for i, f in enumerate(feats)}
-    extent = max((max(x for x in (st[f"hi{idx[f]}"], qt[f"hi{idx[f]}"]) if x is not None)
-                  - min(x for x in (st[f"lo{idx[f]}"], qt[f"lo{idx[f]}"]) if x is not None))
-                 for f in gdims) if st[f"lo{idx[gdims[0]]}"] is not None else 0.0
-    q_keys = [f"q_{c}" for c in q_ids]
-    pending, done = q, []
-    while True:
-        cand = _candidates(pending, p, feats, gdims, r)
-        if exclude_self:
-            cand = cand.where(~reduce(lambda a, b: a & b, [F.col(f"q_{a}") == F.col(f"p_{b}")
-                                                           for a, b in zip(q_ids, p_ids)]))
-        cand = cand.select(*q_keys, *[f"p_{c}" for c in p_ids], _dist(feats).alias("dist"))
-        final = r > extent  # the neighbourhood now spans the whole extent: every point is a candidate
-        if not final:
-            # every point within r of a query is a candidate; farther ones cannot be among the k
-            # nearest of a query this round resolves, so they are dropped before the sort
-            cand = cand.where(F.col("dist") <= r)
-        # distances equal to 9 decimals count as ties and are broken by the neighbour id, so that
-        # last-bit differences of the inputs cannot reorder neighbours
-        w = Window.partitionBy(*q_keys).orderBy(F.round("dist", 9), *[f"p_{c}" for c in p_ids])
-        ranked = (cand.withColumn("nn_rank", F.row_number().over(w))
-                      .where(F.col("nn_rank") <= k))
-        stat = ranked.groupBy(*q_keys).agg(F.count(F.lit(1)).alias("_m"), F.max("dist").alias("_dk"))
-        # resolved: k candidates within r, the k-th strictly inside (a point tying it to 9 decimals
-        # is then within r as well, so the id tie-break sees it)
-        ok = stat if final else stat.where((F.col("_m") >= k) & (F.col("_dk") + 1e-9 <= r))
-        res = ranked.join(ok.select(*q_keys), q_keys, "left_semi")
-        res = materialize(res)  # resolved rows of this round; cuts the growing lineage
-        if final:
-            done.append(res)
-            break
-        done.append(res)
-        pending = materialize(pending.join(res.select(*q_keys).distinct(), q_keys, "left_anti"))
-        if pending.isEmpty():
-            break
-        r *= 2.0
-    return reduce(lambda a, b: a.unionByName(b), done)
+    plain = lambda df, t, ids: df.select(*[F.col(f"{t}{c}").alias(c) for c in dict.fromkeys([*ids, *feats])])
+    cand = candidate_pairs(plain(q, "q_", q_ids), plain(p, "p_", p_ids), keep, feats, p_ids)
+    dist = F.sqrt(_sq([F.col(f"q{i}") - F.col(f"x{i}") for i in range(d)]))
+    cand = cand.withColumn("dist", dist).where(F.col("dist") <= F.col("r") + 2e-9)
+    qx = [f"q{i}" for i in range(d)]
+    each = cand.select("loc", *qx, "dist", F.explode("ids").alias("id"))
+    first = Window.partitionBy("loc").orderBy(F.round("dist", 9), "id")
+    each = each.withColumn("nn_rank", F.row_number().over(first)).where(F.col("nn_rank") <= keep)
+    found = each.groupBy("loc").agg(*[F.first(x).alias(x) for x in qx],
+                                    F.sort_array(F.collect_list(F.struct("nn_rank", "id", "dist"))).alias("nn"))  # ``keep`` entries
+    rows = q.join(found.drop("loc"), [F.col(f"q_{f}") == F.col(x) for f, x in zip(feats, qx)])
+    nn = F.col("nn")
+    if exclude_self:
+        nn = F.slice(F.filter(nn, lambda e: ~reduce(lambda a, b: a & b, [F.col(f"q_{a}") == e["id"][f"p_{b}"] for a, b in zip(q_ids, p_ids)])), 1, k)
+    rows = rows.select(*[f"q_{c}" for c in q_ids], F.posexplode(nn).alias("at", "e"))
+    return rows.select(*[f"q_{c}" for c in q_ids], *[F.col(f"e.id.p_{c}").alias(f"p_{c}") for c in p_ids], F.col("e.dist").alias("dist"),
+                       (F.col("at") + 1).alias("nn_rank"))
 
 
 def range_join(df: DataFrame, eps: float, feats: Sequence[str], ids: Sequence[str],

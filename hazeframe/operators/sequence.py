@@ -31,6 +31,8 @@ DEFAULT_CHUNK_ROWS = 1_000_000
 
 
 def _keys(keys) -> list[str]:
+    if keys is None:
+        return []
     return [keys] if isinstance(keys, str) else list(keys)
 
 
@@ -159,3 +161,38 @@ def materialize(df: DataFrame, how: str | None = None) -> DataFrame:
         from pyspark import StorageLevel
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
+
+
+def number_rows(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """``df`` with ``out``, its rows' numbers (from 1) in ascending order: ranges are numbered one by one and shifted
+    by the rows of the ranges before, so no task sorts them all."""
+    cols = [F.col(o) for o in order]
+    dealt = materialize(df.repartitionByRange(*cols).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_in"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    shift = counts.select("_range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*cols))
+    return dealt.withColumn("_at", inside).join(shift, "_range").withColumn(
+        out, (F.col("_shift") + F.col("_at")).cast("long")).drop("_range", "_at", "_shift")
+
+
+def running_totals(df: DataFrame, keys, order: Sequence[str], totals: dict[str, str], exclusive: bool = False) -> DataFrame:
+    """``df`` with running sums per key in ascending order: ``totals`` maps a new column to the summed one.
+
+    Distributed prefix sums: rows are dealt by ranges of (keys, order), summed inside their range and
+    shifted by the totals of the key's ranges before, so a key of any size is spread over tasks. Rows with the same
+    (keys, order) are in no defined order; NULL keys are a key of their own. ``exclusive`` leaves out the row itself.
+    """
+    keys = _keys(keys)
+    dealt = materialize(df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_range", F.spark_partition_id()))
+    names = list(totals)
+    held = dealt.groupBy(*keys, "_range").agg(*[F.sum(totals[n]).alias(f"_t_{n}") for n in names])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a key and range
+    shift = held.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_range").alias("_o_range"),
+                        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in names])
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    same = F.col("_range") == F.col("_o_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    out = dealt.select("*", *[F.coalesce(F.sum(totals[n]).over(inside), F.lit(0)).alias(f"_i_{n}") for n in names]).join(shift, same)
+    return out.select(*df.columns, *[(F.col(f"_s_{n}") + F.col(f"_i_{n}")).alias(n) for n in names])

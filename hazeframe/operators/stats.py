@@ -7,9 +7,10 @@
    on both sides, and a count per distinct value inside it. Equal values are one row from here on, so
    ties and constant columns cost nothing.
 3. Running counts over the distinct values inside the bracket (about ``4 / GRID`` of the
-   column) find the order statistics, which are interpolated at position ``(n - 1) q``.
+   column), dealt by ranges of about equal size, find the order statistics, which are interpolated at
+   position ``(n - 1) q``.
 
-No task holds a key or a column, only the distinct values inside one bracket.
+No task holds a key, a column or a bracket.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazeframe.operators.sequence import running_totals
+
 ACCURACY = 10_000
 GRID = 1000  # ranks of the sketch that are asked for; a bracket spans up to four steps
 
@@ -80,8 +83,7 @@ def key_quantiles(df: DataFrame, keys, specs: Sequence[tuple[str, float, str]])
             .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("least"), F.max("x").alias("most")))
 
     # 3. running counts; the rows outside stand for the nearest value on their side
-    w = Window.partitionBy(*ks, "s").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)
-    run = part.withColumn("upto", F.sum("c").over(w))
+    run = running_totals(part, [*ks, "s"], ["side", "v"], {"upto": "c"})
     x = F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least"))
     first = lambda r: F.min(F.when(F.col("upto") >= F.col(r), x))
     picked = run.groupBy(*ks, "s", "at", "r1").agg(first("r1").alias("x1"), first("r2").alias("x2"))

@@ -7,6 +7,7 @@ Floating results are rounded to 6 digits on both sides; integer results are cast
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -415,6 +416,39 @@ def rule_labels_q(spark, sf):
     return r6(AS.rule_labels(_rules(spark, sf, None), 15))
 
 
+# Levels that depend on the key, so that rules reach the lift of 1.1.
+_DISCOUNT = ["""processed AS (
+  SELECT CASE WHEN l_discount < 0.035 THEN 'low' WHEN l_discount < 0.075 THEN 'mid' ELSE 'high' END AS city,
+         CASE WHEN month(l_shipdate) IN (11, 12, 1, 2) THEN 'dry' WHEN month(l_shipdate) BETWEEN 5 AND 10 THEN 'wet' ELSE 'transition' END AS season,
+         CAST(hour(l_shipdate) AS INTEGER) AS hour, CAST(isodow(l_shipdate) IN (6, 7) AS INTEGER) AS is_weekend,
+         l_extendedprice * l_discount / 20 AS pm25 FROM lineitem)"""]
+
+
+def _lift_rules(spark, sf):
+    from hazeframe.operators.features import add_calendar
+
+    tx = AS.transactions(add_calendar(standins.readings_discount(spark, sf)))
+    return AS.association_rules(AS.frequent_itemsets(tx))
+
+
+@register("assoc_rules_lift", Q.with_ctes(_DISCOUNT + _RULES, f"""SELECT {_RULE_COLS},
+  CAST(row_number() OVER (ORDER BY lift DESC, antecedents_str, consequents_str) AS INTEGER) AS lift_rank FROM rules"""))
+def assoc_rules_lift_q(spark, sf):
+    """M30 at the analysed thresholds (support 0.03, confidence 0.4, lift 1.1)."""
+    return r6(AS.rank_rules(_lift_rules(spark, sf)).drop("antecedent", "consequent"))
+
+
+@register("rules_by_consequent_lift", Q.with_ctes(_DISCOUNT + _RULES, f"""SELECT * FROM (
+  SELECT lv.level, {_RULE_COLS},
+         CAST(count(*) OVER (PARTITION BY lv.level) AS BIGINT) AS level_rules,
+         CAST(row_number() OVER (PARTITION BY lv.level ORDER BY lift DESC, antecedents_str, consequents_str) AS INTEGER) AS level_rank
+  FROM rules JOIN (VALUES ('good'), ('moderate'), ('usg'), ('unhealthy'), ('hazardous')) lv(level)
+    ON contains(consequents_str, 'pm25_level=' || lv.level)) t
+WHERE level_rank <= 3"""))
+def rules_by_consequent_lift_q(spark, sf):
+    return r6(AS.rules_by_consequent(_lift_rules(spark, sf)).drop("antecedent", "consequent"))
+
+
 # ---- M1-M5, M13, M7, M9, A23-A26 (modelling base, classifiers, evaluation) ------------------------
 
 from hazeframe.operators import classify as CL  # noqa: E402
@@ -591,21 +625,53 @@ def knn_classify(spark, sf):
     return r6(_knn_pred(spark, sf).select("city", "datetime", "label", "score", "prediction"))
 
 
-@register("tree_predict")
+def _tree_sql(src: str, depth: int) -> list[str]:
+    """The tree over the training rows by exhaustive splits, one level after the other."""
+    long = " UNION ALL ".join(f"SELECT node, label, {i} AS f, CAST({c} AS DOUBLE) AS v FROM {{rows}}" for i, c in enumerate(FEATS))
+    value = "CASE f " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(FEATS)) + " END"
+    gini = lambda a, b: f"(1.0 - (({a}) / (({a}) + ({b}))) * (({a}) / (({a}) + ({b}))) - (({b}) / (({a}) + ({b}))) * (({b}) / (({a}) + ({b}))))"
+    a0, a1, b0, b1, t0, t1 = "l0 * w0", "l1 * w1", "(t0 - l0) * w0", "(t1 - l1) * w1", "t0 * w0", "t1 * w1"
+    whole = f"({a0} + {a1} + {b0} + {b1})"
+    gain = f"{gini(t0, t1)} - ({a0} + {a1}) / {whole} * {gini(a0, a1)} - ({b0} + {b1}) / {whole} * {gini(b0, b1)}"
+    ctes = [f"cw AS (SELECT CAST(count(*) AS DOUBLE) / (2 * sum(1 - label)) AS w0, CAST(count(*) AS DOUBLE) / (2 * sum(label)) AS w1 FROM {src} WHERE NOT is_test)",
+            f"tr0 AS MATERIALIZED (SELECT 1 AS node, * FROM {src})"]
+    for t in range(depth):
+        ctes += [
+            f"tt{t} AS (SELECT node, sum(1 - label) AS t0, sum(label) AS t1 FROM tr{t} WHERE NOT is_test GROUP BY node HAVING count(*) >= 100 AND sum(label) BETWEEN 1 AND count(*) - 1)",
+            f"tl{t} AS (SELECT node, f, v, sum(1 - label) AS n0, sum(label) AS n1 FROM ({long.format(rows=f'(SELECT * FROM tr{t} WHERE NOT is_test)')}) GROUP BY node, f, v)",
+            f"tc{t} AS (SELECT node, f, v, sum(n0) OVER w AS l0, sum(n1) OVER w AS l1, lead(v) OVER w AS nx FROM tl{t} WINDOW w AS (PARTITION BY node, f ORDER BY v))",
+            f"tg{t} AS (SELECT c.*, t0, t1, {gain} AS g FROM tc{t} c JOIN tt{t} USING (node), cw WHERE l0 + l1 >= 50 AND t0 + t1 - l0 - l1 >= 50)",
+            f"tb{t} AS MATERIALIZED (SELECT *, v / 2 + nx / 2 AS thr FROM tg{t} QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(g, 12) DESC, f, v) = 1)",
+            f"tr{t + 1} AS MATERIALIZED (SELECT CASE WHEN b.f IS NULL THEN r.node ELSE r.node * 2 + CAST({value} > thr AS INTEGER) END AS node, r.* EXCLUDE (node) "
+            f"FROM tr{t} r LEFT JOIN tb{t} b ON b.node = r.node)"]
+    ctes.append(f"tv AS (SELECT node, sum(label * w1) / sum(label * w1 + (1 - label) * w0) AS score FROM tr{depth}, cw WHERE NOT is_test GROUP BY node)")
+    return ctes
+
+
+_TREE_SQL = H + [_FRAME_SQL] + _tree_sql("fr", 10)
+
+
+def _tree_model(spark, sf):
+    d, cols = _frame_with_split(spark, sf)
+    d = materialize(d)
+    return CL.tree_fit(d.where(~F.col("is_test")), cols), d.where(F.col("is_test")), cols
+
+
+@register("tree_predict", Q.with_ctes(_TREE_SQL, f"""SELECT city, datetime, label, {Q.r6('score')} AS score, CAST(score > 0.5 AS INTEGER) AS prediction
+FROM tr10 JOIN tv USING (node) WHERE is_test"""))
 def tree_predict(spark, sf):
-    d, cols = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
-    s = PR.stratified_split(d)
-    tr, te = s.where(~F.col("is_test")), s.where(F.col("is_test"))
-    m = CL.tree_fit(tr, cols)
+    m, te, cols = _tree_model(spark, sf)
     return r6(CL.tree_predict(m, te.select("city", "datetime", "label", *cols), cols)
               .select("city", "datetime", "label", "score", "prediction"))
 
 
-@register("feature_importance")
+@register("feature_importance", Q.with_ctes(_TREE_SQL + ["ig AS (" + " UNION ALL ".join(
+    f"SELECT f, (t0 * w0 + t1 * w1) * g AS s FROM tb{t}, cw" for t in range(10)) + ")",
+  "nm AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(FEATS)) + ") n(f, feature))",
+  "im AS (SELECT feature, coalesce(sum(s), 0) / (SELECT sum(s) FROM ig) AS importance FROM nm LEFT JOIN ig USING (f) GROUP BY feature)"],
+  f"SELECT feature, {Q.r6('importance')} AS importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM im"))
 def feature_importance(spark, sf):
-    d, cols = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
-    s = PR.stratified_split(d)
-    m = CL.tree_fit(s.where(~F.col("is_test")), cols)
+    m, _, cols = _tree_model(spark, sf)
     return r6(CL.feature_importance(m, cols, spark))
 
 
@@ -669,16 +735,55 @@ def model_row_sql(spark, sf):
 @register("cv_f1")
 def cv_f1(spark, sf):
     d, cols = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
-    d = materialize(d)  # reused by 5 folds x 4 models
     return r6(EV.fold_summary(CL.cross_validate(d, cols)))
 
 
+def _cv_sql() -> str:
+    """F1 per fold of naive Bayes and k-NN, each fold against the rows of the others."""
+    fold = "(day_of_year * 24 + hour) % 5"
+    ctes = H + [_FRAME_SQL.replace("AS label,", f"AS label, CAST({fold} AS INTEGER) AS fold,")]
+    st = ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in FEATS)
+    cols = ", ".join(f"({c} - mu_{c}) / CASE WHEN sd_{c} = 0 THEN 1.0 ELSE sd_{c} END AS {c}" for c in FEATS)
+    dist = "sqrt(" + " + ".join(f"power(q.{c} - t.{c}, 2)" for c in FEATS) + ")"
+    ctes += [f"ss AS (SELECT {st} FROM fr)", f"sc AS (SELECT city, datetime, label, fold, {cols} FROM fr, ss)",
+             f"kd AS (SELECT q.city, q.datetime, q.fold, q.label, t.label AS y, {dist} AS dist FROM sc q JOIN sc t ON t.fold <> q.fold "
+             f"QUALIFY row_number() OVER (PARTITION BY q.city, q.datetime ORDER BY round({dist}, 9), t.city, t.datetime) <= 7)",
+             """kp AS (SELECT fold, label, CASE WHEN sum(CAST(dist = 0 AS INTEGER)) > 0 THEN sum(CASE WHEN dist = 0 THEN y END) / sum(CAST(dist = 0 AS INTEGER))
+       ELSE sum(CASE WHEN dist > 0 THEN y / dist END) / sum(CASE WHEN dist > 0 THEN 1.0 / dist END) END > 0.5 AS p FROM kd GROUP BY city, datetime, fold, label)"""]
+    parts = ["k.fold", "count(*) AS n"]
+    for c in (0, 1):
+        parts.append(f"sum(CAST(label = {c} AS INTEGER)) AS n{c}")
+        for j, f in enumerate(FEATS):
+            parts += [f"avg(CASE WHEN label = {c} THEN {f} END) AS mu{c}_{j}", f"var_pop(CASE WHEN label = {c} THEN {f} END) AS v{c}_{j}"]
+    parts += [f"var_pop({f}) AS vall_{j}" for j, f in enumerate(FEATS)]
+    jll = lambda c: f"ln(n{c} / n) + " + " + ".join(
+        f"(-0.5 * ln(2 * pi() * (v{c}_{j} + eps)) - power({f} - mu{c}_{j}, 2) / (2.0 * (v{c}_{j} + eps)))" for j, f in enumerate(FEATS))
+    ctes += [f"nbm AS (SELECT {', '.join(parts)} FROM range(0, 5) k(fold) JOIN fr ON fr.fold <> k.fold GROUP BY k.fold)",
+             "nbe AS (SELECT *, greatest(" + ", ".join(f"vall_{j}" for j in range(len(FEATS))) + ") * 1e-9 AS eps FROM nbm)",
+             f"np AS (SELECT fr.fold, label, {jll(1)} > {jll(0)} AS p FROM fr JOIN nbe ON nbe.fold = fr.fold)",
+             "al AS (SELECT 'knn' AS model, fold, label, p FROM kp UNION ALL SELECT 'nb', fold, label, p FROM np)",
+             "cm AS (SELECT model, fold, sum(CAST(label = 1 AND p AS INTEGER)) AS tp, sum(CAST(label = 0 AND p AS INTEGER)) AS fp, "
+             "sum(CAST(label = 1 AND NOT p AS INTEGER)) AS fn FROM al GROUP BY model, fold)"]
+    f1 = "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END"
+    return Q.with_ctes(ctes, f"SELECT model, CAST(fold AS INTEGER) AS fold, {Q.r6(f1)} AS f1 FROM cm")
+
+
+@register("cv_folds", _cv_sql())
+def cv_folds(spark, sf):
+    """M11 for naive Bayes and k-NN on folds that a rule gives."""
+    d, cols = PR.forecast_frame(processed_h(spark, sf), levels=H_LEVELS)
+    d = d.withColumn("f", (F.dayofyear("datetime") * 24 + F.hour("datetime")) % 5)
+    return r6(CL.cross_validate(d, cols, models=("knn", "nb"), fold="f"))
+
+
 # ---- M14-M21, A28-A30 (clustering) ---------------------------------------------------------------
 
 from hazeframe.operators import anomaly as AN  # noqa: E402
 from hazeframe.operators import cluster as CU  # noqa: E402
+from hazeframe.operators import density as DE  # noqa: E402
+from hazeframe.operators import mixture as MX  # noqa: E402
 from hazeframe.operators import pca as PC  # noqa: E402
-from hazeframe.operators.sequence import index_rows, materialize  # noqa: E402
+from hazeframe.operators.sequence import index_rows, materialize, number_rows  # noqa: E402
 
 CF = PR.CLUSTER_FEATURES
 AF = PR.ANOMALY_FEATURES
@@ -742,6 +847,8 @@ def silhouette_squared_q(spark, sf):
 
 
 @register("cluster_eval_noise", Q.with_ctes(H + [_CF_SQL, "cl AS (SELECT * FROM cf WHERE label > 0)", *_SQ_SQL,
+  f"pd AS (SELECT a.row_id, a.label AS la, b.label AS lb, avg({_DIST_CF}) AS m FROM cl a, cl b WHERE a.row_id <> b.row_id GROUP BY ALL)",
+  "si AS (SELECT row_id, max(CASE WHEN lb = la THEN m END) AS a, min(CASE WHEN lb <> la THEN m END) AS b FROM pd GROUP BY row_id)",
   "cen AS (SELECT label, count(*) AS nc, " + ", ".join(f"avg({f}) AS c_{f}" for f in CF) + " FROM cl GROUP BY label)",
   "g AS (SELECT count(*) AS n, " + ", ".join(f"avg({f}) AS g_{f}" for f in CF) + " FROM cl)",
   "w AS (SELECT sum(" + " + ".join(f"power(cl.{f} - c_{f}, 2)" for f in CF) + ") AS w FROM cl JOIN cen USING (label))",
@@ -752,6 +859,7 @@ def silhouette_squared_q(spark, sf):
   + ")) AS r FROM cs x, cs y WHERE x.label <> y.label GROUP BY x.label)"],
   f"""SELECT 'rule' AS method, (SELECT CAST(count(*) AS BIGINT) FROM cen) AS n_clusters,
   (SELECT CAST(count(*) AS BIGINT) FROM cf WHERE label = 0) AS noise_points,
+  (SELECT {Q.r6('avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)')} FROM si) AS silhouette,
   (SELECT {Q.r6(_SQ_MEAN)} FROM sq) AS silhouette_squared,
   (SELECT {Q.r6('(b / (k - 1)) / (w / (n - k))')} FROM b, w) AS calinski_harabasz,
   (SELECT {Q.r6('avg(r)')} FROM r) AS davies_bouldin"""))
@@ -829,10 +937,89 @@ def dbscan_core_q(spark, sf):
     return CU.dbscan_core(d.select("row_id", *CF), CF, "row_id").select("row_id", "n_neighbors", "is_core")
 
 
-@register("dbscan_labels")
+def _dbscan_sql(src: str, rounds: int = 40) -> list[str]:
+    """Labels by brute force over pairs: least core id spread along core pairs for ``rounds`` steps."""
+    return [f"pr AS MATERIALIZED (SELECT a.row_id AS a, b.row_id AS b FROM {src} a, {src} b WHERE {_DIST_CF} <= 0.8)",
+            "co AS MATERIALIZED (SELECT a AS id FROM pr GROUP BY a HAVING count(*) >= 50)",
+            "ce AS MATERIALIZED (SELECT a, b FROM pr WHERE a IN (SELECT id FROM co) AND b IN (SELECT id FROM co))",
+            f"""cc AS (SELECT 0 AS step, id, id AS comp FROM co
+  UNION ALL SELECT cc.step + 1, ce.a, min(cc.comp) FROM cc JOIN ce ON ce.b = cc.id WHERE cc.step < {rounds} GROUP BY ce.a, cc.step)""",
+            f"cn AS (SELECT id, dense_rank() OVER (ORDER BY comp) - 1 AS cluster FROM cc WHERE step = {rounds})",
+            "bo AS (SELECT pr.a AS id, min(cn.cluster) AS cluster FROM pr JOIN cn ON cn.id = pr.b GROUP BY pr.a)"]
+
+
+def _dbscan_select(src: str) -> str:
+    return (f"SELECT s.row_id, co.id IS NOT NULL AS is_core, CAST(coalesce(cn.cluster, bo.cluster, -1) AS INTEGER) AS cluster FROM {src} s "
+            "LEFT JOIN co ON co.id = s.row_id LEFT JOIN cn ON cn.id = s.row_id LEFT JOIN bo ON bo.id = s.row_id")
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("dbscan_labels", _recursive(Q.with_ctes(H + [_CF_SQL] + _dbscan_sql("cf"), _dbscan_select("cf"))))
 def dbscan_labels_q(spark, sf):
     d = _cluster_base(spark, sf, with_row_id=True)
-    return CU.dbscan(d.select("row_id", *CF), CF, "row_id").select("row_id", "n_neighbors", "is_core", "cluster")
+    return DE.dbscan(d.select("row_id", *CF), CF, "row_id").select("row_id", "is_core", "cluster")
+
+
+def _kmeans_sql(src: str, steps: int) -> list[str]:
+    """Centres moved ``steps`` times from the rule labels' means, as one chain of tables."""
+    avg = ", ".join(f"avg({f}) AS c_{f}" for f in CF)
+    ctes = [f"k0 AS (SELECT label AS c, {avg} FROM {src} GROUP BY label)"]
+    near = " + ".join(f"power(s.{f} - c_{f}, 2)" for f in CF)
+    for t in range(steps + 1):
+        ctes.append(f"n{t} AS (SELECT s.*, k.c FROM {src} s, k{t} k QUALIFY row_number() OVER (PARTITION BY s.city, s.datetime ORDER BY {near}, k.c) = 1)")
+        ctes.append(f"k{t + 1} AS (SELECT k.c, " + ", ".join(f"coalesce(avg(n.{f}), any_value(k.c_{f})) AS c_{f}" for f in CF)
+                    + f" FROM k{t} k LEFT JOIN (SELECT c AS nc, {', '.join(CF)} FROM n{t}) n ON n.nc = k.c GROUP BY k.c)")
+    return ctes
+
+
+@register("kmeans_steps", Q.with_ctes(H + [_CF_SQL] + _kmeans_sql("(SELECT city AS key0, * FROM cf)", 4),
+          "SELECT city, datetime, CAST(c AS INTEGER) AS cluster FROM n4"))
+def kmeans_steps_q(spark, sf):
+    """M14 from fixed starts: four moves from the means of the rule labels."""
+    d = _cluster_base(spark, sf)
+    return CU.kmeans_from(d.select("city", "datetime", *CF, "label"), CF, "label", 4).select("city", "datetime", "cluster")
+
+
+def _gmm_sql(src: str, steps: int, k: int) -> list[str]:
+    """Mixture steps unrolled: moments, Cholesky factors and memberships per step."""
+    d = len(CF)
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+    shift = ", ".join(f"{f} - avg({f}) OVER () AS x{i}" for i, f in enumerate(CF))
+    ctes = [f"g AS (SELECT city, datetime, label, {shift} FROM {src})", "r0 AS (SELECT g.*, label AS c, 1.0 AS r FROM g)"]
+    for t in range(steps):
+        ctes.append(f"mo{t} AS (SELECT c, sum(r) + 2.220446049250313e-15 AS n, " + ", ".join(f"sum(r * x{i}) AS s{i}" for i in range(d)) + ", "
+                    + ", ".join(f"sum(r * x{i} * x{j}) AS q{i}_{j}" for i, j in pairs) + f" FROM r{t} GROUP BY c)")
+        ctes.append(f"cv{t} AS (SELECT c, n, " + ", ".join(f"s{i} / n AS m{i}" for i in range(d)) + ", " + ", ".join(
+            f"q{i}_{j} / n - (s{i} / n) * (s{j} / n)" + (" + 1e-6" if i == j else "") + f" AS v{i}_{j}" for i, j in pairs) + f" FROM mo{t})")
+        last = f"cv{t}"
+        for i, j in pairs:  # Cholesky, one entry a table
+            done = " - ".join([f"v{i}_{j}", *[f"l{i}_{m} * l{j}_{m}" for m in range(j)]])
+            entry = f"sqrt({done})" if i == j else f"({done}) / l{j}_{j}"
+            ctes.append(f"ch{t}_{i}_{j} AS (SELECT *, {entry} AS l{i}_{j} FROM {last})")
+            last = f"ch{t}_{i}_{j}"
+        prev = "g.*, p.c, p.n, " + ", ".join(f"m{i}" for i in range(d)) + ", " + ", ".join(f"l{i}_{j}" for i, j in pairs)
+        ctes.append(f"y{t}_0 AS (SELECT {prev}, (x0 - m0) / l0_0 AS y0 FROM g, {last} p)")
+        for i in range(1, d):
+            ctes.append(f"y{t}_{i} AS (SELECT *, (" + " - ".join([f"x{i} - m{i}", *[f"l{i}_{j} * y{j}" for j in range(i)]]) + f") / l{i}_{i} AS y{i} FROM y{t}_{i - 1})")
+        dens = (f"ln(n / (SELECT count(*) FROM g)) - {' - '.join(f'ln(l{i}_{i})' for i in range(d))} - {d / 2} * ln(2 * pi()) - 0.5 * ("
+                + " + ".join(f"y{i} * y{i}" for i in range(d)) + ")")
+        ctes.append(f"d{t} AS (SELECT *, {dens} AS lp, max({dens}) OVER (PARTITION BY city, datetime) AS top FROM y{t}_{d - 1})")
+        ctes.append(f"r{t + 1} AS (SELECT city, datetime, label, " + ", ".join(f"x{i}" for i in range(d))
+                    + f", c, exp(lp - top) / sum(exp(lp - top)) OVER (PARTITION BY city, datetime) AS r FROM d{t})")
+    return ctes
+
+
+@register("gmm_steps", Q.with_ctes(H + [_CF_SQL] + _gmm_sql("cf", 3, len(TOD)), "SELECT city, datetime, "
+          + "CAST(arg_max(c, r) AS INTEGER) AS cluster, " + ", ".join(f"{Q.r6(f'max(CASE WHEN c = {c} THEN r END)')} AS p{c}" for c in range(len(TOD)))
+          + " FROM r3 GROUP BY city, datetime"))
+def gmm_steps_q(spark, sf):
+    """M18 from fixed starts: two steps from the rule labels and the memberships after them; ``month`` is constant."""
+    d = _cluster_base(spark, sf).select("city", "datetime", *CF, "label")
+    g = MX.mixture(d, CF, "label", len(TOD), max_iter=2, tolerance=0.0)
+    return r6(g.select("city", "datetime", "cluster", *[F.col("probability")[c].alias(f"p{c}") for c in range(len(TOD))]))
 
 
 @register("kmeans_labels")
@@ -853,7 +1040,7 @@ def cluster_comparison(spark, sf):
     base = _cluster_base(spark, sf, with_row_id=True).select("row_id", "city", "datetime", *CF)
     d = base.drop("row_id")
     best = CU.k_sweep(d, CF, ["city", "datetime"]).where("best").first()["k"]
-    db = CU.dbscan(base.select("row_id", *CF), CF, "row_id").select(*CF, "cluster")
+    db = DE.dbscan(base.select("row_id", *CF), CF, "row_id").select(*CF, "cluster")
     rows = [(CU.kmeans_labels(d, CF, best), "K-Means"), (db, "DBSCAN"), (CU.gmm_labels(d, CF, best), "GMM")]
     out = [CU.evaluate_clustering(materialize(x.select(*CF, "cluster")), CF, "cluster", [], name) for x, name in rows]
     return r6(out[0].unionByName(out[1]).unionByName(out[2]))
@@ -870,7 +1057,8 @@ def clustered_table(spark, sf):
 @register("gmm_labels")
 def gmm_labels_q(spark, sf):
     d = _cluster_base(spark, sf).select("city", "datetime", *CF)
-    return CU.gmm_labels(d, CF, k=4).select("city", "datetime", "cluster")
+    g = CU.gmm_labels(d, CF, k=4)
+    return r6(g.select("city", "datetime", "cluster", F.array_max("probability").alias("probability")))
 
 
 @register("cluster_eval")
@@ -973,28 +1161,52 @@ def ocsvm_flag_q(spark, sf):
     return AN.ocsvm_flag(af, AF).select("city", "datetime", "anomaly_ocsvm")
 
 
+def _trio(spark, sf):
+    return AN.detector_trio(processed_h(spark, sf), AF, ["city", "datetime"])
+
+
 @register("anomaly_methods_full")
 def anomaly_methods_full_q(spark, sf):
     """The analysed pipeline's three detectors (z-score, LOF, one-class SVM) and their consensus."""
-    p = processed_h(spark, sf)
-    af = PR.standardize(p.select("city", "datetime", *AF), AF)
-    lof = AN.lof_flag(AN.lof_scores(af, AF, ["city", "datetime"]))
-    oc = AN.ocsvm_flag(af, AF).select("city", "datetime", "anomaly_ocsvm")
-    d = AN.zscore_flag(p).join(lof, ["city", "datetime"]).join(oc, ["city", "datetime"])
-    d = AN.consensus(d, ["anomaly_zscore", "anomaly_lof", "anomaly_ocsvm"])
-    return r6(d.select("city", "datetime", "pm25", "anomaly_zscore", "anomaly_lof", "anomaly_ocsvm", "n_methods",
-                       "anomaly_consensus"))
+    return r6(_trio(spark, sf).select("city", "datetime", "pm25", *AN.TRIO, "n_methods", "anomaly_consensus"))
+
+
+@register("trio_rates")
+def trio_rates_q(spark, sf):
+    """A31 on the analysed trio."""
+    return r6(AN.anomaly_rates(_trio(spark, sf), AN.TRIO + ["anomaly_consensus"], _RATE_DIMS))
+
+
+@register("trio_days")
+def trio_days_q(spark, sf):
+    """A32 on the analysed trio."""
+    return r6(AN.anomaly_days(_trio(spark, sf), "anomaly_consensus"))
+
+
+@register("trio_agreement")
+def trio_agreement_q(spark, sf):
+    """M31 / A27 on the analysed trio."""
+    return AN.agreement_hist(_trio(spark, sf))
+
+
+@register("trio_counts")
+def trio_counts_q(spark, sf):
+    """M31 on the analysed trio."""
+    return AN.method_counts(_trio(spark, sf), AN.TRIO)
+
+
+@register("trio_top")
+def trio_top_q(spark, sf):
+    """T3 on the analysed trio."""
+    return r6(AN.top_anomalies(_trio(spark, sf), "anomaly_consensus", 10))
 
 
 @register("anomaly_table")
 def anomaly_table(spark, sf):
     """The processed table with the detector trio, their consensus and two principal components."""
-    p = materialize(processed_h(spark, sf))
-    af = materialize(PR.standardize(p.select("city", "datetime", *AF), AF))
-    key = ["city", "datetime"]
-    flags = AN.lof_flag(AN.lof_scores(af, AF, key)).drop("lof").join(AN.ocsvm_flag(af, AF).select(*key, "anomaly_ocsvm"), key)
-    d = AN.zscore_flag(p).join(flags, key).join(PC.pca_scores(af, AF, 2).select(*key, "pca_1", "pca_2"), key)
-    return r6(AN.consensus(d, ["anomaly_zscore", "anomaly_lof", "anomaly_ocsvm"]))
+    d = _trio(spark, sf)
+    af = PR.standardize(d.select("city", "datetime", *AF), AF)
+    return r6(d.join(PC.pca_scores(af, AF, 2).select("city", "datetime", "pca_1", "pca_2"), ["city", "datetime"]))
 
 
 @register("pca_ratio")
@@ -1035,6 +1247,27 @@ def pca_loadings_q(spark, sf):
     return r6(PC.loadings(af, AF, 3))
 
 
+@register("pca_decomposition", Q.with_ctes(H, "\nUNION ALL ".join(
+    [f"SELECT 'covariance' AS kind, '{a}' AS a, '{b}' AS b, {Q.r6(f'CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN corr({a}, {b}) ELSE 0 END')} AS value FROM processed"
+     for a in AF for b in AF]
+    + [f"SELECT 'product', '{i}', '{j}', {1.0 if i == j else 0.0}" for i in range(1, len(AF) + 1) for j in range(1, len(AF) + 1)])))
+def pca_decomposition_q(spark, sf):
+    """M23 whole: shares and loadings of all components give back the covariance of the standardised features, and loadings are
+    orthonormal."""
+    af = materialize(PR.standardize(processed_h(spark, sf).select("city", "datetime", *AF), AF))
+    load, share = PC.loadings(af, AF, len(AF)), PC.explained_variance(af, AF)
+    total = af.agg(reduce(lambda x, y: x + y, [F.var_pop(f) for f in AF]).alias("total"))
+    load = load.join(share.select("component", "ratio"), "component").crossJoin(F.broadcast(total))  # one row
+    x = load.select(F.col("component").alias("ca"), F.col("feature").alias("fa"), F.col("loading").alias("la"), (F.col("ratio") * F.col("total")).alias("var"))
+    y = load.select(F.col("component").alias("cb"), F.col("feature").alias("fb"), F.col("loading").alias("lb"))
+    # features x components: a few rows
+    cov = x.join(y, F.col("ca") == F.col("cb")).groupBy("fa", "fb").agg(F.sum(F.col("la") * F.col("lb") * F.col("var")).alias("value"))
+    dot = x.join(y, F.col("fa") == F.col("fb")).groupBy("ca", "cb").agg(F.sum(F.col("la") * F.col("lb")).alias("value"))
+    rows = cov.select(F.lit("covariance").alias("kind"), F.col("fa").alias("a"), F.col("fb").alias("b"), "value").unionByName(
+        dot.select(F.lit("product").alias("kind"), F.col("ca").cast("string").alias("a"), F.col("cb").cast("string").alias("b"), "value"))
+    return r6(rows)
+
+
 # ---- S1-S7, P1-P3, U1, J1, J2, T4, P9, F19, F21 (sources and sinks) ------------------------------
 
 from hazeframe.sources import derive as DV  # noqa: E402
@@ -1051,6 +1284,30 @@ def schema_coalesce_union(spark, sf):
     return FS.standardize(FS.read_raw_csv(spark, path)).select("city", "datetime", "pm25")
 
 
+def _named(spark, sf, time: str, value: str, city: str | None):
+    root = DV.scratch_dir(spark, "landing")
+    path = DV.land_named_csv(standins.table(spark, sf, "events"), root, time, value, city)
+    return FS.standardize(FS.read_raw_csv(spark, path)).select("city", "datetime", "pm25")
+
+
+@register("schema_coalesce_date", "SELECT event_type AS city, ts AS datetime, value AS pm25 FROM events")
+def schema_coalesce_date(spark, sf):
+    """P1 with ``date``, ``city`` and a column whose name holds 'pm'."""
+    return _named(spark, sf, "date", "PM2.5 (ug)", "city")
+
+
+@register("schema_coalesce_datetime", "SELECT 'Unknown' AS city, ts AS datetime, value AS pm25 FROM events")
+def schema_coalesce_datetime(spark, sf):
+    """P1 with ``datetime``, ``pm25`` and no city."""
+    return _named(spark, sf, "datetime", "pm25", None)
+
+
+@register("schema_coalesce_date_utc", "SELECT event_type AS city, ts AS datetime, value AS pm25 FROM events")
+def schema_coalesce_date_utc(spark, sf):
+    """P1 with ``date.utc``, a column whose name holds 'value', and ``city_name``."""
+    return _named(spark, sf, "date.utc", "Value_avg", "city_name")
+
+
 def _pages(spark, sf):
     root = DV.scratch_dir(spark, "landing")
     return LD.read_pages(spark, DV.land_pages(standins.table(spark, sf, "events"), root))
@@ -1131,6 +1388,127 @@ def raw_by_city(spark, sf):
     return back.groupBy(F.col("city_slug").cast("string")).agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
+def _sink(spark, df, name):
+    return FS.through_sink(df, DV.scratch_dir(spark, "sink") + f"/{name}")
+
+
+def _sink_of(name: str, query: str) -> None:
+    """The output table ``name`` holds the rows of ``query``, written as CSV and read back."""
+    make = QUERIES[query]
+
+    def run(spark, sf):
+        return _sink(spark, make(spark, sf), name)
+
+    run.__name__ = f"sink_{name}"
+    register(run.__name__, ORACLES.get(query))(run)
+
+
+for _name, _query in (("summary", "city_summary"), ("classification_results", "model_row_sql"), ("clustering_results", "cluster_eval_noise"),
+                      ("association_rules", "assoc_rules_lift"), ("frequent_itemsets", "frequent_itemsets")):
+    _sink_of(_name, _query)
+
+
+@register("sink_data_with_clusters", Q.with_ctes(H + [_CF_SQL] + _kmeans_sql("cf", 2), f"""SELECT {_PROC_COLS.replace('city,', 'processed.city,', 1).replace('datetime,', 'processed.datetime,', 1)},
+  CAST(n2.c AS INTEGER) AS cluster FROM processed JOIN n2 ON n2.city = processed.city AND n2.datetime = processed.datetime"""))
+def sink_data_with_clusters(spark, sf):
+    """The processed table with a cluster per row (two moves from fixed starts)."""
+    lab = CU.kmeans_from(_cluster_base(spark, sf).select("city", "datetime", *CF, "label"), CF, "label", 2).select("city", "datetime", "cluster")
+    return r6(_sink(spark, processed_h(spark, sf).join(lab, ["city", "datetime"]), "data_with_clusters"))
+
+
+@register("sink_data_with_anomalies", Q.with_ctes(H + _LOF_SQL, f"""SELECT {_PROC_COLS}, {', '.join(FLAGS)}, n_methods, anomaly_consensus FROM cons"""))
+def sink_data_with_anomalies(spark, sf):
+    """The processed table with three detectors (the rule is_extreme as the third, which SQL can express) and their consensus."""
+    d = _anomaly_frame(spark, sf).drop("lof")
+    return r6(_sink(spark, d, "data_with_anomalies"))
+
+
+# ---- the same operators over readings by the minute, which grow with the tables -------------------
+
+M_CHAIN = Q.chain_m()
+
+
+def processed_m(spark, sf):
+    return processed(standins.readings_minute(spark, sf), chunk_rows=65_536)
+
+
+def _minute_features(spark, sf, feats):
+    p = materialize(processed_m(spark, sf))
+    return materialize(PR.standardize(p.select("city", "datetime", *feats), feats))
+
+
+@register("processed_minute", Q.with_ctes(M_CHAIN, f"SELECT {_PROC_COLS} FROM processed"))
+def processed_minute(spark, sf):
+    return r6(processed_m(spark, sf))
+
+
+@register("city_summary_minute", Q.with_ctes(M_CHAIN, _SUMMARY_SQL))
+def city_summary_minute(spark, sf):
+    return r6(SM.city_summary(processed_m(spark, sf)))
+
+
+def _minute_split(spark, sf):
+    d, cols = PR.forecast_frame(processed_m(spark, sf), levels=H_LEVELS)
+    d = materialize(d.withColumn("is_test", ((F.dayofyear("datetime") * 24 + F.hour("datetime")) % 5) == 0))
+    return d.where(~F.col("is_test")), d.where(F.col("is_test")), cols
+
+
+@register("gaussian_nb_minute", Q.with_ctes(M_CHAIN + [_FRAME_SQL] + _nb_sql(), f"SELECT city, datetime, label, {Q.r6('score')} AS score, prediction FROM nb"))
+def gaussian_nb_minute(spark, sf):
+    tr, te, cols = _minute_split(spark, sf)
+    return r6(CL.gnb_predict(te, CL.gnb_fit(tr, cols), cols).select("city", "datetime", "label", "score", "prediction"))
+
+
+@register("tree_minute", Q.with_ctes(M_CHAIN + [_FRAME_SQL] + _tree_sql("fr", 10), f"""SELECT city, datetime, label, {Q.r6('score')} AS score,
+  CAST(score > 0.5 AS INTEGER) AS prediction FROM tr10 JOIN tv USING (node) WHERE is_test"""))
+def tree_minute(spark, sf):
+    tr, te, cols = _minute_split(spark, sf)
+    return r6(CL.tree_predict(CL.tree_fit(tr, cols), te, cols).select("city", "datetime", "label", "score", "prediction"))
+
+
+@register("knn_minute")
+def knn_minute(spark, sf):
+    tr, te, cols = _minute_split(spark, sf)
+    sc = PR.scaler_fit(tr, cols)
+    pred = CL.knn_classify(PR.scaler_apply(tr, sc, cols), PR.scaler_apply(te, sc, cols), cols, ["city", "datetime"])
+    return r6(pred.select("city", "datetime", "label", "score", "prediction"))
+
+
+@register("svm_minute")
+def svm_minute(spark, sf):
+    tr, te, cols = _minute_split(spark, sf)
+    sc = PR.scaler_fit(tr, cols)
+    fits = CL.svm_calibrated_fit(PR.scaler_apply(tr, sc, cols), cols)
+    return r6(CL.svm_calibrated_predict(fits, PR.scaler_apply(te, sc, cols), cols).select("city", "datetime", "label", "score", "prediction"))
+
+
+@register("lof_minute")
+def lof_minute(spark, sf):
+    return r6(AN.lof_flag(AN.lof_scores(_minute_features(spark, sf, AF), AF, ["city", "datetime"])))
+
+
+@register("ocsvm_minute")
+def ocsvm_minute(spark, sf):
+    return AN.ocsvm_flag(_minute_features(spark, sf, AF), AF).select("city", "datetime", "anomaly_ocsvm")
+
+
+@register("dbscan_minute")
+def dbscan_minute(spark, sf):
+    d = number_rows(_minute_features(spark, sf, CF), ["city", "datetime"], "row_id")
+    return DE.dbscan(d, CF, "row_id").select("city", "datetime", "is_core", "cluster")
+
+
+@register("kmeans_minute")
+def kmeans_minute(spark, sf):
+    return CU.kmeans_labels(_minute_features(spark, sf, CF), CF, k=4).select("city", "datetime", "cluster")
+
+
+@register("gmm_minute")
+def gmm_minute(spark, sf):
+    g = CU.gmm_labels(_minute_features(spark, sf, CF), CF, k=4)
+    return r6(g.select("city", "datetime", "cluster", F.array_max("probability").alias("probability")))
+
+
 # ---- streaming ingestion of landed pages ------------------------------------------------------------
 
 @register("stream_hourly_mean", Q.with_ctes(_STATIONS_SQL + ["sel5 AS (SELECT * FROM sel WHERE station_rank <= 5)"],

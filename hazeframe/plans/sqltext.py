@@ -10,6 +10,10 @@ READINGS_H = """readings_h AS (
   SELECT event_type AS city, date_trunc('hour', ts) AS datetime, avg(value) AS pm25
   FROM events GROUP BY 1, 2)"""
 
+READINGS_M = """readings_m AS (
+  SELECT event_type AS city, date_trunc('minute', ts) AS datetime, avg(value) AS pm25
+  FROM events GROUP BY 1, 2)"""
+
 READINGS_D = """readings_d AS (
   SELECT o_orderpriority AS city, CAST(o_orderdate AS TIMESTAMP) AS datetime,
          avg(o_totalprice) / 3000 AS pm25
@@ -99,6 +103,11 @@ def chain_h(gappy: bool = True) -> list[str]:
     return ctes + [filled(src), processed("filled")]
 
 
+def chain_m() -> list[str]:
+    """readings_m -> filled -> processed (CTE name ``processed``)."""
+    return [READINGS_M, filled("readings_m"), processed("filled")]
+
+
 def chain_d() -> list[str]:
     """readings_d -> filled -> processed (CTE name ``processed``)."""
     return [READINGS_D, filled("readings_d"), processed("filled")]

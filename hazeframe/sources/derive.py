@@ -43,6 +43,15 @@ def land_raw_csv(events: DataFrame, root: str) -> str:
     return os.path.join(root, "raw", "*", "*.csv")
 
 
+def land_named_csv(events: DataFrame, root: str, time: str, value: str, city: str | None) -> str:
+    """Raw CSV with other column names (``city`` None: no such column), in two column orders."""
+    cols = [F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(time), F.col("value").alias(value)]
+    cols += [F.col("event_type").alias(city)] if city else []
+    for i, order in enumerate((cols, cols[::-1])):
+        events.where(F.col("event_id") % 2 == i).select(*order).write.mode("overwrite").option("header", True).csv(os.path.join(root, "named", f"family_{i}"))
+    return os.path.join(root, "named", "*", "*.csv")
+
+
 def land_pages(events: DataFrame, root: str) -> str:
     d = events.select((F.col("user_id") % N_SENSORS).cast("long").alias("sensor_id"), "ts", "value", "event_id")
     # positions by (sensor, day) with running counts, so no task sorts a whole sensor

@@ -1,7 +1,7 @@
 """File scans and sinks.
 
 ``read_raw_csv``     several landed CSV files whose headers may differ: files are grouped by
-                     header (one distributed pass over the first block of every file), each group is
+                     header (one distributed pass over the first lines of every file), each group is
                      read with its own header, and the groups are united by column name. Reading
                      files of different headers with one reader would bind columns by position.
 ``standardize``      schema coalescing of the raw union into (datetime, city, pm25), following the
@@ -34,18 +34,39 @@ PROCESSED_SCHEMA = T.StructType([
 ])
 
 
+WHOLE_FILES = {"spark.sql.files.maxPartitionBytes": str(1 << 60), "spark.sql.files.openCostInBytes": str(1 << 60),
+               "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}  # a task a file, in small batches
+
+
+def first_lines(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file, first line) of every non-empty text file under ``path``.
+
+    Every file is one task that stops after its first batch of lines, so a file costs the reader's first
+    buffers, whatever its size. The file names reach the driver, which holds them for the listing anyway.
+    """
+    before = {k: spark.conf.get(k, None) for k in WHOLE_FILES}
+
+    def head(batches):
+        for rb in batches:
+            if rb.num_rows:
+                yield rb.slice(0, 1)
+                return
+
+    try:
+        for k, v in WHOLE_FILES.items():
+            spark.conf.set(k, v)
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(head, "file string, value string")
+        return [(r["file"], r["value"]) for r in lines.collect()]  # a row a file
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def header_families(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Map header line -> files having it. The pass reads the landed text once (a text scan has no
-    way to stop after a file's first line); one row per file reaches the driver. Where the landing
-    keeps one folder per header family, read each folder with its schema instead."""
-    t = (spark.read.text(path)
-         .select("value", F.col("_metadata.file_path").alias("file"),
-                 F.col("_metadata.file_block_start").alias("blk"), F.monotonically_increasing_id().alias("_i"))
-         .where(F.col("blk") == 0)
-         .groupBy("file").agg(F.min_by("value", "_i").alias("header")))
+    """Map header line -> files having it."""
     fam: dict[str, list[str]] = {}
-    for r in t.collect():  # one row per landed file
-        fam.setdefault(r["header"], []).append(r["file"])
+    for file, header in first_lines(spark, path):
+        fam.setdefault(header, []).append(file)
     if not fam:
         raise FileNotFoundError(f"no CSV files found at {path}")
     return fam
@@ -140,3 +161,12 @@ def write_raw_by_city(df: DataFrame, path: str, fmt: str = "csv") -> None:
         w.parquet(path)
     else:
         w.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+
+
+def through_sink(df: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
+    """Write a table and read it back with its own schema (CSV keeps no types, and no difference between NULL and '')."""
+    write_table(df, path, fmt)
+    if fmt == "parquet":
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (df.sparkSession.read.schema(df.schema).option("header", True)
+            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))

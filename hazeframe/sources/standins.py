@@ -3,6 +3,7 @@
 ``readings_hourly``  events -> (city = event_type, hourly bucket, mean value)
 ``readings_minute``  events -> (city = event_type, minute bucket, mean value); grows with scale
 ``readings_daily``   orders -> (city = o_orderpriority, order date, mean total price / 3000)
+``readings_discount``  lineitem -> (city = band of the discount, ship date, discounted amount / 20): levels that depend on the key
 ``with_gaps``        NULLs at fixed row positions per key (leading, short, long gaps)
 """
 
@@ -41,6 +42,13 @@ def readings_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg((F.avg("o_totalprice") / 3000).alias("pm25")))
 
 
+def readings_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = F.col("l_discount")
+    band = F.when(rate < 0.035, "low").when(rate < 0.075, "mid").otherwise("high")
+    return table(spark, sf_dir, "lineitem").select(
+        band.alias("city"), F.col("l_shipdate").cast("timestamp_ntz").alias("datetime"), (F.col("l_extendedprice") * rate / 20).alias("pm25"))
+
+
 def with_gaps(df: DataFrame, key: str = "city", time: str = "datetime", value: str = "pm25") -> DataFrame:
     """Blank out ``value`` where the row number per key is <= 5, or rn % 11 in (3, 4), or
     100 <= rn <= 140."""

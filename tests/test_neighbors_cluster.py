@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from hazeframe.operators import anomaly as AN
 from hazeframe.operators import cluster as CU
+from hazeframe.operators import density as DE
+from hazeframe.operators.components import connected_components
 from hazeframe.operators.neighbors import knn_join, range_join
 
 
@@ -61,7 +63,7 @@ def _sk_dbscan(X, eps, min_samples):
 
 def test_dbscan_matches_sequential(spark):
     df, X = _points(spark, n=300, seed=4)
-    out = CU.dbscan(df.withColumnRenamed("id", "row_id"), ["x", "y", "z"], "row_id", eps=0.6, min_samples=8)
+    out = DE.dbscan(df.withColumnRenamed("id", "row_id"), ["x", "y", "z"], "row_id", eps=0.6, min_samples=8)
     got = {r["row_id"]: (r["cluster"], r["is_core"]) for r in out.collect()}
     lab, core = _sk_dbscan(X, 0.6, 8)
     for i in range(len(X)):
@@ -131,5 +133,5 @@ def test_silhouette_and_ch(spark):
 def test_connected_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (5, 5)], "src long, dst long")
     v = spark.createDataFrame([(i,) for i in [1, 2, 3, 5, 10, 11, 20]], "id long")
-    got = {r["id"]: r["component"] for r in CU.connected_components(e, v).collect()}
+    got = {r["id"]: r["component"] for r in connected_components(e, v).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 10: 10, 11: 10, 20: 20}
