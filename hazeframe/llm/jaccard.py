@@ -83,9 +83,9 @@ def prefix_length(n: int) -> int:
 
 
 def width(n: int) -> int:
-    """Bits of the bitmap of a set of n tokens: a power of two, 3 to 6 times n, at least 4096 (small
-    sets get a bound that is nearly exact for little space)."""
-    return max(4096, 1 << int(3 * n - 1).bit_length())
+    """Bits of the bitmap of a set of n tokens: a power of two, 3 to 6 times n, at least 512. At that load
+    two unrelated sets of n tokens share about n / 4 bits, a linked pair needs 6 n / 7."""
+    return max(512, 1 << int(3 * n - 1).bit_length())
 
 
 def signature(s: np.ndarray) -> np.ndarray:
