@@ -2,20 +2,21 @@
 
 1. Items are cut into 5-word shingles (lower case; fewer words: the whole item). A window can only
    be similar to an item if they share a shingle, so windows are laid where a document has an item
-   shingle: at the offset the shingle has in the item, as long as the item (item-sized windows).
-   This loses nothing: any other window has similarity 0 to every item.
+   shingle: at the offset the shingle has in the item, as long as the item (item-sized windows). A window
+   carries the item it was laid for, so work grows with these hits and not with windows x items.
+   This loses nothing: any other window has similarity 0 to that item.
 2. Every window and item gets a 64-bit SimHash of its shingles, each weighted by its count.
 3. Multi-index: the fingerprint is cut into ``radius + 1`` blocks; two fingerprints within the radius
-   agree on at least one block (pigeonhole), so joining on (block, value) finds all of them.
+   agree on at least one block (pigeonhole), so joining on (item, block, value) finds all of them.
 4. Candidates within the radius are verified by the exact weighted-shingle similarity
    ``sum(min counts) / sum(max counts) >= similarity``.
 
-The document side is one scan; the shingles and blocks of the items are broadcast only when the
+The document side is one scan, whatever sizes items have; the shingles and blocks of the items are broadcast only when the
 benchmark is counted to be small, else the same joins shuffle. Windows are keyed by document, so a
 passage in a third of all documents is no hot key.
 
 Defined cases: null or empty text and items without words match nothing; null doc_id is matched
-like any other (documents are told apart by id and text); repeated items each give their row;
+like any other (documents are told apart by id and text); repeated items, also under one id, each give their row;
 repeated documents give one row each distinct (id, text); empty tables give an empty result; extra
 columns are ignored.
 """
@@ -81,49 +82,62 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(inter / union)
 
 
+def item_grams(items: DataFrame) -> DataFrame:
+    """item_id, item_hash (of its text, words long: telling items of one id apart), n (words), ih (shingles) of every item with words."""
+    return (items.select("item_id", F.xxhash64("text").alias("item_hash"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+            .select("item_id", "item_hash", F.size("w").alias("n"), shingle_hashes(F.col("w")).alias("ih")))
+
+
+def spots(w: Column, sizes: list[int]) -> Column:
+    """(p, h) of all 5-word shingles and of all runs of ``sizes`` (below five) words, in one array: items of any size are
+    met in one pass over the text. A text of fewer than five words is itself such a run."""
+    runs = [F.when(F.size(w) >= 5, shingle_hashes(w)).otherwise(F.array().cast("array<bigint>")), *[word_grams(w, k) for k in sizes]]
+    return F.concat(*[F.transform(r, lambda h, p: F.struct(p.alias("p"), h.alias("h"))) for r in runs])
+
+
 def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash, item_id, start (word), n_words, hamming, similarity: the best window of every
     contaminated (document, item)."""
-    it = (items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-          .select("item_id", F.size("w").alias("n"), shingle_hashes(F.col("w")).alias("ih")))
-    it = pin(it.withColumn("if", simhash(F.col("ih"))), "items")
-    grams = it.select("n", F.posexplode("ih").alias("q", "h")).distinct()
-    few = it.agg(F.coalesce(F.sum(F.size("ih")), F.lit(0))).first()[0] <= BROADCAST_SHINGLES
+    it = pin(item_grams(items).withColumn("if", simhash(F.col("ih"))), "items")
+    # items of equal text are met once and told apart at the end
+    texts = pin(it.dropDuplicates(["item_hash"]).drop("item_id"), "item-texts")
+    grams = pin(texts.select("item_hash", "n", F.posexplode("ih").alias("q", "h")).distinct(), "item-grams")
+    few = grams.count() <= BROADCAST_SHINGLES
     held = F.broadcast if few else (lambda d: d)
+    short = sorted(r["n"] for r in texts.where("n < 5").select("n").distinct().collect())  # four sizes at most
 
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     start = lambda size: F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), size - F.col("n")))
-    hits = d.select("*", F.posexplode(shingle_hashes(F.col("w"))).alias("p", "h"))
-    # items shorter than a shingle are met by runs of as many words
-    for r in it.where("n < 5").select("n").distinct().collect():  # four sizes at most
-        hits = hits.union(d.select("*", F.posexplode(word_grams(F.col("w"), r["n"])).alias("p", "h")))
+    if short:
+        hits = d.select("*", F.inline(spots(F.col("w"), short)))
+    else:
+        hits = d.select("*", F.posexplode(shingle_hashes(F.col("w"))).alias("p", "h"))
     if few:
         # the words ride along as a reference; only rows that hit are built
         win = (hits.join(held(grams), "h").withColumn("start", start(F.size("w")))
-               .select("doc_id", "text_hash", "start", "n", F.slice("w", F.col("start") + 1, F.col("n")).alias("w")))
-        win = win.groupBy("doc_id", "text_hash", "start", "n").agg(F.first("w").alias("w"))
+               .select("doc_id", "text_hash", "item_hash", "start", "n", F.slice("w", F.col("start") + 1, F.col("n")).alias("w")))
+        win = win.groupBy("doc_id", "text_hash", "item_hash", "start", "n").agg(F.first("w").alias("w"))
     else:
         at = (hits.select("doc_id", "text_hash", F.size("w").alias("size"), "p", "h").join(grams, "h")
-              .select("doc_id", "text_hash", start(F.col("size")).alias("start"), "n").distinct())
+              .select("doc_id", "text_hash", "item_hash", start(F.col("size")).alias("start"), "n").distinct())
         a, b = at.alias("a"), d.dropDuplicates(["doc_id", "text_hash"]).alias("b")
         win = a.join(b, F.expr("a.doc_id <=> b.doc_id and a.text_hash = b.text_hash")).select(
             "a.*", F.slice("b.w", F.col("a.start") + 1, F.col("a.n")).alias("w"))
     win = win.withColumn("wh", shingle_hashes(F.col("w")))
     win = pin(win.withColumn("wf", simhash(F.col("wh"))).drop("w"), "windows")
 
-    left = win.select("*", F.inline(blocks(F.col("wf"), radius)))
-    right = it.select("item_id", "ih", "if", F.inline(blocks(F.col("if"), radius)))
+    left = win.select("*", blocks(F.col("wf"), radius).alias("lb"), F.inline(blocks(F.col("wf"), radius)))
+    right = texts.select("item_hash", "ih", "if", blocks(F.col("if"), radius).alias("rb"), F.inline(blocks(F.col("if"), radius)))
     hamming = F.bit_count(F.col("wf").bitwiseXOR(F.col("if")))
     # a pair counts in its first agreeing block only, so no shuffle is needed to drop repeats
     same = [F.expr(f"get(lb, {k}).v = get(rb, {k}).v") for k in range(radius + 1)]
     first = F.coalesce(*[F.when(c, F.lit(k)) for k, c in enumerate(same)])
-    cand = (left.withColumn("lb", blocks(F.col("wf"), radius))
-            .join(held(right.withColumn("rb", blocks(F.col("if"), radius))), ["i", "v"])
-            .where((first == F.col("i")) & (hamming <= radius)))
-    ok = cand.select("doc_id", "text_hash", "item_id", "start", F.col("n").alias("n_words"), hamming.alias("hamming"),
+    cand = left.join(held(right), ["item_hash", "i", "v"]).where((first == F.col("i")) & (hamming <= radius))
+    ok = cand.select("doc_id", "text_hash", "item_hash", "start", F.col("n").alias("n_words"), hamming.alias("hamming"),
                      weighted_similarity(F.col("wh"), F.col("ih")).alias("similarity")).where(F.col("similarity") >= similarity)
     best = F.struct(F.col("similarity"), (-F.col("hamming")).alias("h"), (-F.col("start")).alias("s"), F.col("n_words"))
-    out = ok.groupBy("doc_id", "text_hash", "item_id").agg(F.max(best).alias("b"))
+    out = ok.groupBy("doc_id", "text_hash", "item_hash").agg(F.max(best).alias("b"))
+    out = out.join(it.select("item_id", "item_hash"), "item_hash")
     return out.select("doc_id", "text_hash", "item_id", (-F.col("b.s")).alias("start"), "b.n_words",
                       (-F.col("b.h")).alias("hamming"), "b.similarity")
 

@@ -154,6 +154,38 @@ def test_decontamination(spark, docs_of, awkward, few, monkeypatch):
     assert decontaminate.matches(d, it.limit(0)).count() == 0
 
 
+def test_decontamination_repeated_items(spark, docs_of):
+    """Items repeated under one id or several each give their row; two texts under one id are two items."""
+    rng = random.Random(12)
+    a, b = " ".join(words(rng, 20, 10**5)), " ".join(words(rng, 9, 10**5))
+    it = spark.createDataFrame([(1, a), (1, a), (2, a), (3, b), (3, "one two"), (None, b)], "item_id long, text string")
+    got = [r.item_id for r in decontaminate.matches(docs_of({10: f"x {a} y", 11: b, 12: "say one two now"}), it).orderBy("doc_id").collect()]
+    assert collections.Counter(got) == {1: 2, 2: 1, 3: 2, None: 1}
+
+
+def test_decontamination_recall_by_similarity_and_candidates(spark, docs_of):
+    """Documents that edit an item by more and more words, among many items: recall per similarity band, and no
+    work on (window, item) pairs without a common shingle."""
+    rng = random.Random(21)
+    items = [(k, " ".join(words(rng, 40, 10**6))) for k in range(400)]
+    docs = []
+    for i in range(600):
+        w = items[i % 400][1].split()
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs_of(docs), it).collect()}
+    bands = collections.defaultdict(list)
+    for i, t in docs:
+        a, b = (collections.Counter(zip(*[x.split()[k:] for k in range(5)])) for x in (t, items[i % 400][1]))
+        s = sum((a & b).values()) / sum((a | b).values())
+        if s >= 0.75:
+            bands[int(s * 20)].append((i, i % 400) in got)
+    assert len(bands) >= 3 and all(sum(x) >= 0.9 * len(x) for x in bands.values())
+    assert got <= {(i, i % 400) for i, _ in docs}
+
+
 def test_multi_index_guarantee(spark):
     from pyspark.sql import functions as F
 
