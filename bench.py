@@ -31,7 +31,7 @@ def main() -> None:
     from hazeframe.operators import density as DE
     from hazeframe.operators import prep as PR
     from hazeframe.operators import summaries as SM
-    from hazeframe.operators.sequence import materialize
+    from hazeframe.operators.sequence import materialize, number_rows
     from hazeframe.plans.pipeline import processed
     from hazeframe.session import get_spark
     from hazeframe.sources import standins
@@ -95,11 +95,18 @@ def main() -> None:
     timed("silhouette_squared", lambda: run(CU.silhouette_squared(
         CU.kmeans_labels(clustered, PR.CLUSTER_FEATURES, k=4, n_init=1), PR.CLUSTER_FEATURES, "cluster")))
 
-    def dbscan():  # hourly rows: a neighbourhood holds 6 % of all rows, which is pairs to count
+    def dbscan():
         h = processed(standins.readings_hourly(spark, sf_dir))
         d = CU.cluster_frame(h).withColumn("row_id", F.monotonically_increasing_id())
         run(DE.dbscan(materialize(d).select("row_id", *PR.CLUSTER_FEATURES), PR.CLUSTER_FEATURES, "row_id"))
     timed("dbscan_hourly", dbscan)
+    timed("dbscan_minute", lambda: run(DE.dbscan(number_rows(clustered, ["city", "datetime"], "row_id"), PR.CLUSTER_FEATURES, "row_id")))
+
+    def tree():
+        s, cols = split()
+        run(CL.tree_predict(CL.tree_fit(s.where(~F.col("is_test")), cols), s.where(F.col("is_test")), cols))
+    timed("decision_tree", tree)
+    timed("gaussian_mixture", lambda: run(CU.gmm_labels(clustered, PR.CLUSTER_FEATURES, k=4)))
 
     def lof():
         af = PR.standardize(p.select("city", "datetime", *PR.ANOMALY_FEATURES), PR.ANOMALY_FEATURES)

@@ -1,8 +1,8 @@
 """Gaussian mixture with full covariances by expectation-maximisation.
 
-A step is one aggregation: every row's membership in the k components is a column expression over a one-row
-table of parameters, and the counts, sums and products weighted by it are summed per component. The driver
-turns those k rows into means, covariances and their Cholesky factors. ``FLOOR`` on the diagonal keeps
+A step is one pass: every row's membership in the k components, and counts, sums and products weighted by it, added
+up inside the tasks (NumPy over Arrow batches); Spark sums one row per component and task. The driver turns those
+k rows into means, covariances and their Cholesky factors. ``FLOOR`` on the diagonal keeps
 constant or repeated columns regular; memberships come from log densities by log-sum-exp, so
 far-off rows stay defined. Columns are shifted by their means first, so products don't cancel.
 """
@@ -11,69 +11,72 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazeframe.operators.sequence import materialize
 
 FLOOR = 1e-6
 TOLERANCE = 1e-3  # change of the mean log likelihood
 MAX_ITER = 100
-
-
-def _add(terms) -> Column:
-    return reduce(lambda a, b: a + b, terms)
-
-
-def _log_density(d: int, c: int) -> Column:
-    """Weighted log density of component c; ``p`` holds its constant, means and inverse Cholesky rows."""
-    width = 1 + d + d * (d + 1) // 2
-    at = lambda j: F.col("p")[c * width + j]
-    y = [_add([at(1 + d + i * (i + 1) // 2 + j) * (F.col(f"x{j}") - at(1 + j)) for j in range(i + 1)]) for i in range(d)]
-    return at(0) - 0.5 * _add([v * v for v in y])
-
-
-def _members(points: DataFrame, params: DataFrame, d: int, k: int) -> DataFrame:
-    """``points`` with r (membership per component) and ll (log likelihood of the row)."""
-    kept = [c for c in points.columns]
-    each = points.crossJoin(F.broadcast(params)).select(*kept, *[_log_density(d, c).alias(f"_l{c}") for c in range(k)])  # one row
-    top = F.greatest(*[F.col(f"_l{c}") for c in range(k)]) if k > 1 else F.col("_l0")
-    each = each.withColumn("_top", top)
-    each = each.withColumn("ll", F.col("_top") + F.log(_add([F.exp(F.col(f"_l{c}") - F.col("_top")) for c in range(k)])))
-    return each.select(*kept, "ll", F.array(*[F.exp(F.col(f"_l{c}") - F.col("ll")) for c in range(k)]).alias("r"))
-
-
-def _moments(members: DataFrame, d: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Counts, sums and products per component, and the summed log likelihood, from one aggregation."""
-    each = members.select(*[f"x{i}" for i in range(d)], "ll", F.posexplode("r").alias("c", "r"))
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    rows = each.groupBy("c").agg(F.sum("r").alias("n"), *[F.sum(F.col("r") * F.col(f"x{i}")).alias(f"s{i}") for i in range(d)],
-                                 *[F.sum(F.col("r") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in pairs],
-                                 F.sum(F.when(F.col("c") == 0, F.col("ll"))).alias("ll")).collect()  # k rows
-    n, s, q, ll = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0
+Params = list[tuple[float, np.ndarray, np.ndarray]]  # per component: constant, mean, inverse Cholesky factor
+
+
+def _matrix(rb: pa.RecordBatch, d: int) -> np.ndarray:
+    return np.stack([rb.column(rb.schema.get_field_index(f"x{i}")).to_numpy(zero_copy_only=False) for i in range(d)], 1)
+
+
+def _members(x: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(membership of every row in every component, log likelihood of every row), by log-sum-exp."""
+    dens = np.stack([c - 0.5 * (((x - mu) @ inv.T) ** 2).sum(1) for c, mu, inv in params], 1)
+    top = dens.max(1, keepdims=True)
+    ll = top[:, 0] + np.log(np.exp(dens - top).sum(1))
+    return np.exp(dens - ll[:, None]), ll
+
+
+def _moments(points: DataFrame, d: int, k: int, params: Params | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Counts, sums and products per component, and the summed log likelihood, in one pass; without parameters the members
+    are those of the start."""
+    width = 2 + d + d * d
+
+    def add(batches):
+        acc = np.zeros((k, width))
+        for rb in batches:
+            x = _matrix(rb, d)
+            if params is None:
+                r, ll = (rb.column(rb.schema.get_field_index("c0")).to_numpy(zero_copy_only=False)[:, None] == np.arange(k)[None, :]).astype(float), np.zeros(len(x))
+            else:
+                r, ll = _members(x, params)
+            acc[:, 0] += r.sum(0)
+            acc[0, 1] += ll.sum()
+            acc[:, 2:2 + d] += r.T @ x
+            for c in range(k):
+                acc[c, 2 + d:] += (x.T @ (x * r[:, c:c + 1])).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), *[pa.array(acc[:, i]) for i in range(width)]],
+                                         names=["c", *[f"v{i}" for i in range(width)]])
+
+    rows = points.mapInArrow(add, "c int, " + ", ".join(f"v{i} double" for i in range(width))).groupBy("c").agg(
+        *[F.sum(f"v{i}").alias(f"v{i}") for i in range(width)]).collect()  # k rows
+    got = np.zeros((k, width))
     for row in rows:
-        c = row["c"]
-        n[c] = row["n"]
-        s[c] = [row[f"s{i}"] for i in range(d)]
-        for i, j in pairs:
-            q[c, i, j] = q[c, j, i] = row[f"q{i}_{j}"]
-        ll += row["ll"] or 0.0
-    return n, s, q, ll
+        got[row["c"]] = [row[f"v{i}"] for i in range(width)]
+    return got[:, 0], got[:, 2:2 + d], got[:, 2 + d:].reshape(k, d, d), float(got[:, 1].sum())
 
 
-def _parameters(n: np.ndarray, s: np.ndarray, q: np.ndarray, rows: int) -> list[float]:
+def _parameters(n: np.ndarray, s: np.ndarray, q: np.ndarray, rows: int) -> Params:
     k, d = s.shape
     n = n + 10 * np.finfo(float).eps
-    out: list[float] = []
+    out: Params = []
     for c in range(k):
         mu = s[c] / n[c]
         cov = q[c] / n[c] - np.outer(mu, mu) + FLOOR * np.eye(d)
         inv = np.linalg.inv(np.linalg.cholesky(cov))
         const = math.log(n[c] / rows) + float(np.log(np.diag(inv)).sum()) - 0.5 * d * math.log(2 * math.pi)
-        out += [const, *mu.tolist(), *[float(inv[i, j]) for i in range(d) for j in range(i + 1)]]
+        out.append((const, mu, inv))
     return out
 
 
@@ -88,23 +91,30 @@ def mixture(df: DataFrame, feats: Sequence[str], start: str, k: int, max_iter: i
     shift = df.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(feats)]).first()  # one row
     xs = [(F.col(f).cast("double") - F.lit(shift[f"m{i}"] or 0.0)).alias(f"x{i}") for i, f in enumerate(feats)]
     points = materialize(df.select(F.struct(*kept).alias("row"), F.col(start).alias("c0"), *xs))
-    full = reduce(lambda a, b: a & b, [F.col(f"x{i}").isNotNull() for i in range(d)])
-    fitted = points.where(full)
+    fitted = points.drop("row").na.drop(subset=[f"x{i}" for i in range(d)])
     rows = fitted.count()
     if not rows:
         return df.select(*kept, F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("array<double>").alias("probability"))
-    spark = df.sparkSession
-    hard = fitted.withColumn("ll", F.lit(0.0)).withColumn("r", F.array(*[(F.col("c0") == c).cast("double") for c in range(k)]))
-    n, s, q, _ = _moments(hard, d, k)
+    n, s, q, _ = _moments(fitted, d, k, None)
     before = -math.inf
-    for step in range(max_iter):
-        params = spark.createDataFrame([(_parameters(n, s, q, rows),)], "p array<double>")
-        n, s, q, ll = _moments(_members(fitted, params, d, k), d, k)
+    for _ in range(max_iter):
+        n, s, q, ll = _moments(fitted, d, k, _parameters(n, s, q, rows))
         if abs(ll / rows - before) < tolerance:
             break
         before = ll / rows
-    params = spark.createDataFrame([(_parameters(n, s, q, rows),)], "p array<double>")
-    out = _members(points, params, d, k)
-    best = F.array_position("r", F.array_max("r")) - 1
-    ok = F.col("ll").isNotNull()
-    return out.select("row.*", F.when(ok, best).cast("int").alias("cluster"), F.when(ok, F.col("r")).alias("probability"))
+    params = _parameters(n, s, q, rows)
+
+    def label(batches):
+        for rb in batches:
+            x = _matrix(rb, d)
+            ok = np.flatnonzero(~np.isnan(x).any(1))
+            r, at = np.zeros((len(x), k)), np.zeros(len(x), np.int32)
+            r[ok] = _members(x[ok], params)[0] if len(ok) else r[ok]
+            at[ok] = r[ok].argmax(1) if len(ok) else at[ok]
+            miss = np.ones(len(x), bool)
+            miss[ok] = False
+            prob = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * k, pa.int32()), pa.array(r.ravel()), mask=pa.array(miss))
+            yield pa.RecordBatch.from_arrays([rb.column(rb.schema.get_field_index("row")), pa.array(at, mask=miss), prob], names=["row", "cluster", "probability"])
+
+    schema = T.StructType([points.schema["row"], T.StructField("cluster", T.IntegerType()), T.StructField("probability", T.ArrayType(T.DoubleType()))])
+    return points.mapInArrow(label, schema).select("row.*", "cluster", "probability")

@@ -5,7 +5,8 @@
                coordinate until a leaf holds at most ``LEAF`` of them (in dense and thin regions alike),
                every query takes a radius from its own leaf, and the tree is walked from the root for
                all leaves at once, dropping pairs of boxes that lie farther apart than the radius.
-               Ties at equal distance: smaller neighbour id first.
+               Leaves travel as one row each; a pair of leaves is one block of distances (NumPy in the
+               tasks). Ties at equal distance: smaller neighbour id first.
 ``range_join`` every pair within ``eps`` (grid of side eps, one round, exact).
 """
 
@@ -15,12 +16,14 @@ import itertools
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeframe.operators.sequence import materialize
 
-LEAF = 64  # locations of a leaf, at most
+LEAF = 1024  # locations of a leaf, at most
 BITS = 5  # bits of a cell id per level: up to 16 parts and the middle
 MAX_LEVELS = 12
 
@@ -119,7 +122,7 @@ def split_cells(locs: DataFrame, d: int, leaf: int) -> tuple[DataFrame, int]:
             (F.col("hi0") - F.col("lo0")).alias("w"), F.lit(0).alias("i"), F.col("lo0").alias("lo"), F.col("hi0").alias("hi"))
         open_ = materialize(stats.withColumn("s", widest).where((F.col("n") > leaf) & (F.col("s.w") > 0)).select(
             F.col("cell").alias("of"), F.col("s.i").alias("dim"), (F.col("s.lo") / 2 + F.col("s.hi") / 2).alias("mid"), F.col("s.lo").alias("lo"),
-            F.col("s.hi").alias("hi"), F.pow(2, F.least(F.lit(4), F.greatest(F.lit(1), F.ceil(F.log2(F.sqrt(F.col("n") / leaf)))))).cast("int").alias("parts")))
+            F.col("s.hi").alias("hi"), F.pow(2, F.least(F.lit(4), F.greatest(F.lit(1), F.ceil(F.log2(F.col("n") / leaf))))).cast("int").alias("parts")))
         if open_.isEmpty() or level == MAX_LEVELS:
             done.append((now, level))
             break
@@ -146,23 +149,47 @@ def _nodes(leaves: DataFrame, d: int, level: int, depth: int, more) -> DataFrame
     return leaves.groupBy(node.alias("node")).agg(*[F.min(f"lo{i}").alias(f"lo{i}") for i in range(d)], *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(d)], *more)
 
 
-def _leaf_boxes(locs: DataFrame, d: int, more) -> DataFrame:
-    return locs.groupBy("cell").agg(*[F.min(f"x{i}").alias(f"lo{i}") for i in range(d)], *[F.max(f"x{i}").alias(f"hi{i}") for i in range(d)], *more)
+def _packed(locs: DataFrame, d: int, more: list[str], stats) -> DataFrame:
+    """A row per leaf: cell, its box, ``stats``, and its locations (at most a leaf's) as an array."""
+    held = F.collect_list(F.struct("loc", *[f"x{i}" for i in range(d)], *more)).alias("rows")
+    return locs.groupBy("cell").agg(*[F.min(f"x{i}").alias(f"lo{i}") for i in range(d)], *[F.max(f"x{i}").alias(f"hi{i}") for i in range(d)], *stats, held)
 
 
-def _bounded(asking: DataFrame, pts: DataFrame, leaves: DataFrame, d: int, depth: int, keep: int) -> DataFrame:
+def _coords(rows: pa.Array, d: int) -> np.ndarray:
+    flat = rows.flatten()
+    return np.stack([flat.field(f"x{i}").to_numpy(zero_copy_only=False) for i in range(d)], 1)
+
+
+def _squares(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances by a matrix product (a few units in the last places of the largest coordinate off)."""
+    return (q * q).sum(1)[:, None] - 2 * q @ p.T + (p * p).sum(1)[None, :]
+
+
+def _slack(q: np.ndarray, p: np.ndarray) -> float:
+    return 1e-12 * (float((q * q).sum(1).max(initial=0.0)) + float((p * p).sum(1).max(initial=0.0))) + 1e-300
+
+
+def _bounded(asking: DataFrame, q_packed: DataFrame, p_packed: DataFrame, leaves: DataFrame, d: int, depth: int, keep: int) -> DataFrame:
     """``asking`` with r: no smaller than the distance of its ``keep``-th nearest point id.
 
     From the locations of its own cell, or, where the cell has too few, from the farthest corner of the
     smallest ancestor that has enough.
     """
-    own = asking.select("loc", "cell", *[F.col(f"x{i}").alias(f"q{i}") for i in range(d)]).join(
-        pts.select("cell", *[f"x{i}" for i in range(d)]), "cell")
-    dist = F.sqrt(_sq([F.col(f"q{i}") - F.col(f"x{i}") for i in range(d)]))
-    near = own.groupBy("loc").agg(F.sort_array(F.collect_list(dist)).alias("ds"))  # at most a leaf's locations
-    near = near.select(F.col("loc").alias("of"), F.get("ds", F.lit(keep - 1)).alias("r"))
-    got = materialize(asking.join(near, F.col("loc") == F.col("of"), "left").drop("of").withColumn(
-        "r", F.when(F.col("m") >= keep, F.lit(0.0)).otherwise(F.col("r"))))
+    own = q_packed.select("cell", F.col("rows").alias("q")).join(p_packed.select("cell", F.col("rows").alias("p")), "cell").select("q", "p")
+
+    def kth(batches):
+        for rb in batches:
+            for k in range(rb.num_rows):
+                q_rows, p_rows = rb.column(0).slice(k, 1), rb.column(1).slice(k, 1)
+                q, p = _coords(q_rows, d), _coords(p_rows, d)
+                if len(p) < keep:
+                    continue
+                near = np.partition(_squares(q, p), keep - 1, axis=1)[:, keep - 1]
+                r = np.sqrt(np.maximum(near, 0.0) + _slack(q, p)) * (1 + 1e-12)
+                yield pa.RecordBatch.from_arrays([q_rows.flatten().field("loc"), pa.array(r)], names=["loc", "r"])
+
+    near = own.mapInArrow(kth, "loc long, r double")
+    got = materialize(asking.join(near, "loc", "left").withColumn("r", F.when(F.col("m") >= keep, F.lit(0.0)).otherwise(F.col("r"))))
     short = got.where("r is null").drop("r")
     if short.isEmpty():
         return got
@@ -177,19 +204,19 @@ def _bounded(asking: DataFrame, pts: DataFrame, leaves: DataFrame, d: int, depth
     return materialize(got.where("r is not null").unionByName(loose.select(*got.columns)))
 
 
-def candidate_pairs(queries: DataFrame, points: DataFrame, keep: int, feats: Sequence[str], p_ids: Sequence[str]) -> DataFrame:
-    """Pairs of a query location and a point location that can be among its ``keep`` nearest: loc, r, q0.., x0.., ids.
-
-    Distances are not compared yet; the pairs of one query stay about as many when the data grow.
-    """
+def leaf_pairs(queries: DataFrame, points: DataFrame, keep: int, feats: Sequence[str], p_ids: Sequence[str],
+               leaf: int = LEAF) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(query leaves, point leaves, pairs): packed leaves (cell, box, rows; queries with their radius r) and the pairs (a, b)
+    of a query leaf and a point leaf that may hold one of the ``keep`` nearest points of a query."""
     d = len(feats)
-    leaf = max(LEAF, 3 * keep)
-    cells, depth = split_cells(locations(queries, points, feats, p_ids, keep), d, leaf)
+    cells, depth = split_cells(locations(queries, points, feats, p_ids, keep), d, max(leaf, 3 * keep))
     cells = materialize(cells)
-    pts = cells.where("m > 0").select("cell", *_x(feats), "ids", "m")
-    leaves = materialize(_leaf_boxes(pts, d, [F.sum("m").alias("ids_held")]))
-    asking = _bounded(cells.where("is_query").select("loc", "cell", *_x(feats), "m"), pts, leaves, d, depth, keep)
-    q_leaves = materialize(_leaf_boxes(asking, d, [F.max("r").alias("r")]))
+    p_packed = materialize(_packed(cells.where("m > 0"), d, ["ids"], [F.sum("m").alias("ids_held"), F.count(F.lit(1)).alias("n")]))
+    leaves = p_packed.drop("rows")
+    asking = cells.where("is_query").select("loc", "cell", *_x(feats), "m")
+    asking = _bounded(asking, _packed(asking, d, [], []), p_packed, leaves, d, depth, keep)
+    q_packed = materialize(_packed(asking, d, ["r"], [F.max("r").alias("r"), F.count(F.lit(1)).alias("n")]))
+    q_leaves = q_packed.drop("rows")
     # both trees from the root: node pairs whose boxes are farther apart than the largest radius drop out
     pairs = _nodes(q_leaves, d, 0, depth, []).select(F.col("node").alias("a")).join(
         _nodes(leaves, d, 0, depth, []).select(F.col("node").alias("b")), F.lit(True))  # one row each
@@ -197,16 +224,48 @@ def candidate_pairs(queries: DataFrame, points: DataFrame, keep: int, feats: Seq
         qn = _nodes(q_leaves, d, level, depth, [F.max("r").alias("r")])
         qn = qn.select(F.shiftright("node", BITS).alias("a"), F.col("node").alias("a1"), "r", *[F.col(c).alias(f"q{c}") for c in _box(d)])
         pn = _nodes(leaves, d, level, depth, []).select(F.shiftright("node", BITS).alias("b"), F.col("node").alias("b1"), *_box(d))
-        pairs = materialize(pairs.join(qn, "a").join(pn, "b").where(_gap(d, "qlo", "qhi") <= F.col("r")).select(
-            F.col("a1").alias("a"), F.col("b1").alias("b")))
-    boxes = pairs.join(leaves.select(F.col("cell").alias("b"), *_box(d)), "b")
-    q = asking.select("loc", "r", F.col("cell").alias("a"), *[F.col(f"x{i}").alias(f"q{i}") for i in range(d)])
-    near = q.join(boxes, "a").where(_gap(d, "q", "q") <= F.col("r")).select("loc", "r", "b", *[f"q{i}" for i in range(d)])
-    return near.join(pts.withColumnRenamed("cell", "b"), "b").drop("b", "m")
+        pairs = pairs.join(qn, "a").join(pn, "b").where(_gap(d, "qlo", "qhi") <= F.col("r")).select(F.col("a1").alias("a"), F.col("b1").alias("b"))
+        if level % 2 == 0 or level == depth:
+            pairs = materialize(pairs)
+    return q_packed, p_packed, pairs
+
+
+def nearest_locations(q_packed: DataFrame, p_packed: DataFrame, pairs: DataFrame, d: int, keep: int) -> DataFrame:
+    """loc, dist, ids: for each query location the point locations that can be among its ``keep`` nearest ids, from
+    each pair of leaves those no farther than its ``keep``-th there (to 9 decimals, so ties stay)."""
+    both = pairs.join(q_packed.select(F.col("cell").alias("a"), F.col("rows").alias("q")), "a").join(
+        p_packed.select(F.col("cell").alias("b"), F.col("rows").alias("p")), "b").select("q", "p")
+    schema = both.select(F.explode("p").alias("p")).select(F.col("p.loc").alias("loc"), F.col("p.x0").alias("dist"), F.col("p.ids").alias("ids")).schema
+
+    def near(batches):
+        for rb in batches:
+            for k in range(rb.num_rows):
+                q_rows, p_rows = rb.column(0).slice(k, 1), rb.column(1).slice(k, 1)
+                q, p = _coords(q_rows, d), _coords(p_rows, d)
+                r = q_rows.flatten().field("r").to_numpy(zero_copy_only=False)
+                ids, loc = p_rows.flatten().field("ids"), q_rows.flatten().field("loc")
+                limit = (r + 2e-9) ** 2 * (1 + 1e-9) + _slack(q, p)
+                for lo in range(0, len(q), 1024):
+                    part = q[lo:lo + 1024]
+                    i, j = np.nonzero(_squares(part, p) <= limit[lo:lo + 1024, None])
+                    dist = np.sqrt(((part[i] - p[j]) ** 2).sum(1))
+                    ok = dist <= r[lo + i] + 2e-9
+                    i, j, dist = i[ok], j[ok], dist[ok]
+                    tie = np.round(dist, 9)
+                    order = np.lexsort((tie, i))
+                    i, j, dist, tie = i[order], j[order], dist[order], tie[order]
+                    first = np.searchsorted(i, i)  # where the query's rows start
+                    last = np.minimum(first + keep, np.searchsorted(i, i, side="right")) - 1
+                    ok = tie <= tie[last]
+                    i, j, dist = i[ok], j[ok], dist[ok]
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([loc.take(pa.array(lo + i)), pa.array(dist), ids.take(pa.array(j))], names=["loc", "dist", "ids"])
+
+    return both.mapInArrow(near, schema)
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str], q_ids: Sequence[str],
-             p_ids: Sequence[str], exclude_self: bool = False) -> DataFrame:
+             p_ids: Sequence[str], exclude_self: bool = False, leaf: int = LEAF) -> DataFrame:
     """Exact k nearest ``points`` of every query row: (q_<ids>, p_<ids>, dist, nn_rank).
 
     ``exclude_self`` drops pairs whose ids are equal (self-join use). Feature columns must be
@@ -218,16 +277,14 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, feats: Sequence[str]
     q = materialize(_prefixed(queries, q_ids, feats, "q_"))
     p = materialize(_prefixed(points, p_ids, feats, "p_"))
     plain = lambda df, t, ids: df.select(*[F.col(f"{t}{c}").alias(c) for c in dict.fromkeys([*ids, *feats])])
-    cand = candidate_pairs(plain(q, "q_", q_ids), plain(p, "p_", p_ids), keep, feats, p_ids)
-    dist = F.sqrt(_sq([F.col(f"q{i}") - F.col(f"x{i}") for i in range(d)]))
-    cand = cand.withColumn("dist", dist).where(F.col("dist") <= F.col("r") + 2e-9)
-    qx = [f"q{i}" for i in range(d)]
-    each = cand.select("loc", *qx, "dist", F.explode("ids").alias("id"))
+    q_packed, p_packed, pairs = leaf_pairs(plain(q, "q_", q_ids), plain(p, "p_", p_ids), keep, feats, p_ids, leaf)
+    each = nearest_locations(q_packed, p_packed, pairs, d, keep).select("loc", "dist", F.explode("ids").alias("id"))
     first = Window.partitionBy("loc").orderBy(F.round("dist", 9), "id")
     each = each.withColumn("nn_rank", F.row_number().over(first)).where(F.col("nn_rank") <= keep)
-    found = each.groupBy("loc").agg(*[F.first(x).alias(x) for x in qx],
-                                    F.sort_array(F.collect_list(F.struct("nn_rank", "id", "dist"))).alias("nn"))  # ``keep`` entries
-    rows = q.join(found.drop("loc"), [F.col(f"q_{f}") == F.col(x) for f, x in zip(feats, qx)])
+    found = each.groupBy("loc").agg(F.sort_array(F.collect_list(F.struct("nn_rank", "id", "dist"))).alias("nn"))  # ``keep`` entries
+    qx = [f"x{i}" for i in range(d)]
+    spots = q_packed.select(F.inline("rows")).select("loc", *qx)
+    rows = q.join(found.join(spots, "loc").drop("loc"), [F.col(f"q_{f}") == F.col(x) for f, x in zip(feats, qx)])
     nn = F.col("nn")
     if exclude_self:
         nn = F.slice(F.filter(nn, lambda e: ~reduce(lambda a, b: a & b, [F.col(f"q_{a}") == e["id"][f"p_{b}"] for a, b in zip(q_ids, p_ids)])), 1, k)

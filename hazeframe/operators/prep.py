@@ -38,8 +38,12 @@ def onehot(df: DataFrame, col: str, prefix: str | None = None, levels: Sequence[
 
 
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """M2: NULLs in each column take the column's median over the whole table."""
-    cols = list(cols)
+    """M2: NULLs in each column take the column's median over the whole table. One pass counts the NULLs; only
+    columns that have some are ranked."""
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first() if cols else []  # one row
+    cols = [c for c, n in zip(cols, nulls) if n]
+    if not cols:
+        return df
     med = key_medians(df, None, cols, [f"_m{i}" for i in range(len(cols))])
     d = df.crossJoin(F.broadcast(med))  # one row
     idx = {c: i for i, c in enumerate(cols)}

@@ -18,11 +18,14 @@ by (key, time bucket) or (key, chunk of positions):
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeframe.session import ensure_checkpoint_dir
+
 RN = "_rn"
 CHUNK = "_chunk"
 HALO = "_halo"
@@ -139,16 +142,20 @@ def carry_nonnull(df: DataFrame, keys, value: str, rn_col: str = RN,
 
 # How multi-pass operators pin an intermediate result that later steps read more than once
 # (a statistic computed from it and then joined back to it). Without it every such step repeats
-# the whole upstream plan, and nested steps repeat it exponentially often. "checkpoint" (default)
-# writes it to spark.checkpoint.dir: the lineage and the logical plan are cut, so later plans stay
-# small (a cached plan keeps its whole tree, which every reference re-analyses), and the stored
-# result survives lost executors. "cache" keeps it in executor memory / local disk (lost blocks
-# are recomputed from the lineage); "none" leaves the plan as it is.
-MATERIALIZE = "checkpoint"
+# the whole upstream plan, and nested steps repeat it exponentially often. "table" (default)
+# writes it as Parquet below spark.checkpoint.dir and rereads it: one job, later plans start at a scan
+# whose size is known and whose columns are pruned, and the result survives lost executors.
+# "checkpoint" writes an RDD checkpoint (for types that Parquet lacks); "cache" keeps it in executor
+# memory / local disk (lost blocks are recomputed from the lineage); "none" leaves the plan as it is.
+MATERIALIZE = "table"
 
 
 def materialize(df: DataFrame, how: str | None = None) -> DataFrame:
     how = how or MATERIALIZE
+    if how == "table":
+        path = f"{ensure_checkpoint_dir(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     if how == "checkpoint":
         # persist first: writing the checkpoint files runs a second job over the same plan, which
         # then reads the persisted blocks instead of recomputing

@@ -1408,8 +1408,8 @@ for _name, _query in (("summary", "city_summary"), ("classification_results", "m
     _sink_of(_name, _query)
 
 
-@register("sink_data_with_clusters", Q.with_ctes(H + [_CF_SQL] + _kmeans_sql("cf", 2), f"""SELECT {_PROC_COLS.replace('city,', 'processed.city,', 1).replace('datetime,', 'processed.datetime,', 1)},
-  CAST(n2.c AS INTEGER) AS cluster FROM processed JOIN n2 ON n2.city = processed.city AND n2.datetime = processed.datetime"""))
+@register("sink_data_with_clusters", Q.with_ctes(H + [_CF_SQL] + _kmeans_sql("cf", 2), f"""SELECT {_PROC_COLS},
+  CAST(c AS INTEGER) AS cluster FROM processed JOIN (SELECT city, datetime, c FROM n2) n2 USING (city, datetime)"""))
 def sink_data_with_clusters(spark, sf):
     """The processed table with a cluster per row (two moves from fixed starts)."""
     lab = CU.kmeans_from(_cluster_base(spark, sf).select("city", "datetime", *CF, "label"), CF, "label", 2).select("city", "datetime", "cluster")

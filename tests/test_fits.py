@@ -74,7 +74,7 @@ def test_knn_with_a_third_of_all_rows_at_one_point(spark):
     x[:200] = 0.25
     df, feats = frame(spark, x)
     got = {}
-    for r in NB.knn_join(df, df, 5, feats, ["id"], ["id"], exclude_self=True).collect():
+    for r in NB.knn_join(df, df, 5, feats, ["id"], ["id"], exclude_self=True, leaf=32).collect():
         got.setdefault(r.q_id, []).append((r.nn_rank, r.p_id))
     for i in range(len(x)):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
@@ -89,7 +89,9 @@ def test_knn_candidates_stay_flat(spark):
     for n in (1500, 6000):
         x = np.column_stack([rng.exponential(1, n), rng.integers(0, 24, n) / 7, rng.integers(0, 7, n) / 2])
         df, feats = frame(spark, x)
-        seen.append(NB.candidate_pairs(df, df, 8, feats, ["id"]).count() / n)
+        q, p, pairs = NB.leaf_pairs(df, df, 8, feats, ["id"], leaf=64)
+        sized = pairs.join(q.select(F.col("cell").alias("a"), F.col("n").alias("na")), "a").join(p.select(F.col("cell").alias("b"), F.col("n").alias("nb")), "b")
+        seen.append(sized.agg(F.sum(F.col("na") * F.col("nb"))).first()[0] / n)
     assert seen[1] <= 1.5 * seen[0]
 
 
@@ -99,7 +101,7 @@ def test_knn_queries_apart_from_the_points(spark):
     pts, feats = frame(spark, p)
     qs, _ = frame(spark, q)
     got = {}
-    for r in NB.knn_join(qs, pts.withColumnRenamed("id", "pid"), 4, feats, ["id"], ["pid"]).collect():
+    for r in NB.knn_join(qs, pts.withColumnRenamed("id", "pid"), 4, feats, ["id"], ["pid"], leaf=16).collect():
         got.setdefault(r.q_id, []).append((r.nn_rank, r.p_pid))
     for i in range(len(q)):
         want = np.argsort(((p - q[i]) ** 2).sum(1))[:4]

@@ -71,3 +71,34 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_header_pass_reads_the_first_lines_only(spark, tmp_path):
+    """Bytes read do not grow with the files."""
+    def landed(folder, rows):
+        (tmp_path / folder).mkdir()
+        for i in range(3):
+            (tmp_path / folder / f"{i}.csv").write_text(f"utc,value,h{i % 2}\n" + "2023-01-01 00:00:00,1.25,x\n" * rows)
+        (tmp_path / folder / "empty.csv").write_text("")
+        return str(tmp_path / folder)
+
+    def read(path):
+        stats = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+        before, conf = stats(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+        got = files.first_lines(spark, path)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == conf
+        assert sorted(line for _, line in got) == ["utc,value,h0", "utc,value,h0", "utc,value,h1"]
+        return stats() - before
+
+    small, large = read(landed("small", 200_000)), read(landed("large", 1_000_000))  # 5 MB and 27 MB a file
+    assert large < 3 * 5_000_000 and large < 1.5 * small
+    fam = files.header_families(spark, str(tmp_path / "small"))
+    assert {k: len(v) for k, v in fam.items()} == {"utc,value,h0": 2, "utc,value,h1": 1}
+
+
+def test_sinks_give_back_their_rows(spark, tmp_path):
+    d = spark.createDataFrame([("a", 1, 0.5, True), ("b c", 2, None, False)], "city string, n int, v double, f boolean")
+    for fmt in ("csv", "parquet"):
+        for _ in range(2):  # overwritten
+            back = files.through_sink(d, str(tmp_path / fmt), fmt)
+        assert back.schema == d.schema and sorted(map(tuple, back.collect())) == sorted(map(tuple, d.collect()))
