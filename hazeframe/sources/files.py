@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,32 +35,56 @@ PROCESSED_SCHEMA = T.StructType([
 ])
 
 
-WHOLE_FILES = {"spark.sql.files.maxPartitionBytes": str(1 << 60), "spark.sql.files.openCostInBytes": str(1 << 60),
-               "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}  # a task a file, in small batches
+HEAD_BYTES = 1 << 16
+
+
+def _opened(path: str):
+    """(file system, path there) of a file by its Spark path; raises ValueError for a store that Arrow can't open."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def first_line(path: str, block: int = HEAD_BYTES) -> tuple[str | None, int]:
+    """(first line, bytes read) of a text file, read block by block up to its first line end; no line in an empty file."""
+    where, name = _opened(path)
+    with where.open_input_file(name) as f:
+        got = b""
+        while b"\n" not in got:
+            more = f.read(block)
+            if not more:
+                break
+            got += more
+    return (got.split(b"\n", 1)[0].rstrip(b"\r").decode() if got else None), len(got)
 
 
 def first_lines(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """(file, first line) of every non-empty text file under ``path``.
 
-    Every file is one task that stops after its first batch of lines, so a file costs the reader's first
-    buffers, whatever its size. The file names reach the driver, which holds them for the listing anyway.
+    Spark lists the files and deals them to tasks, which read the first block of each, whatever its size. A store that only
+    Spark can open is scanned as text instead. The file names reach the driver, which holds them for the listing anyway.
     """
-    before = {k: spark.conf.get(k, None) for k in WHOLE_FILES}
+    files = spark.read.format("binaryFile").load(path).select("path")  # the contents are not read
+    some = files.limit(1).collect()
+    if not some:
+        return []
+    try:
+        _opened(some[0]["path"])
+    except (ValueError, OSError):  # Arrow knows no such store
+        rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
+                                            F.monotonically_increasing_id().alias("no")).where("at = 0")
+        return [(r["file"], r["line"]) for r in rows.groupBy("file").agg(F.min_by("value", "no").alias("line")).collect()]
 
-    def head(batches):
+    def heads(batches):
         for rb in batches:
-            if rb.num_rows:
-                yield rb.slice(0, 1)
-                return
+            got = [(p, first_line(p)[0]) for p in rb.column(0).to_pylist()]
+            got = [(p, line) for p, line in got if line is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.string()) for i in (0, 1)], names=["file", "line"])
 
-    try:
-        for k, v in WHOLE_FILES.items():
-            spark.conf.set(k, v)
-        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(head, "file string, value string")
-        return [(r["file"], r["value"]) for r in lines.collect()]  # a row a file
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    dealt = files.repartition(spark.sparkContext.defaultParallelism)
+    return [(r["file"], r["line"]) for r in dealt.mapInArrow(heads, "file string, line string").collect()]  # a row a file
 
 
 def header_families(spark: SparkSession, path: str) -> dict[str, list[str]]:

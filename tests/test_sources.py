@@ -75,25 +75,21 @@ def test_no_local_folder_on_a_cluster():
 
 def test_header_pass_reads_the_first_lines_only(spark, tmp_path):
     """Bytes read do not grow with the files."""
-    def landed(folder, rows):
-        (tmp_path / folder).mkdir()
-        for i in range(3):
-            (tmp_path / folder / f"{i}.csv").write_text(f"utc,value,h{i % 2}\n" + "2023-01-01 00:00:00,1.25,x\n" * rows)
-        (tmp_path / folder / "empty.csv").write_text("")
-        return str(tmp_path / folder)
-
-    def read(path):
-        stats = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
-        before, conf = stats(), spark.conf.get("spark.sql.files.maxPartitionBytes")
-        got = files.first_lines(spark, path)
-        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == conf
-        assert sorted(line for _, line in got) == ["utc,value,h0", "utc,value,h0", "utc,value,h1"]
-        return stats() - before
-
-    small, large = read(landed("small", 200_000)), read(landed("large", 1_000_000))  # 5 MB and 27 MB a file
-    assert large < 3 * 5_000_000 and large < 1.5 * small
-    fam = files.header_families(spark, str(tmp_path / "small"))
+    for i in range(3):
+        (tmp_path / f"{i} x.csv").write_text(f"utc,value,h{i % 2}\r\n" + "2023-01-01 00:00:00,1.25,x\n" * 200_000)  # 5 MB
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "long.csv").write_text("n" * 100_000)  # a line beyond one block, without an end
+    stats = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    before = stats()
+    got = files.first_lines(spark, str(tmp_path / "*.csv"))
+    assert stats() - before < 1_000_000  # Spark itself opens no contents
+    assert sorted(line for _, line in got) == ["n" * 100_000, "utc,value,h0", "utc,value,h0", "utc,value,h1"]
+    assert files.first_line(f"file:{tmp_path}/0 x.csv") == ("utc,value,h0", files.HEAD_BYTES)
+    fam = files.header_families(spark, str(tmp_path / "? x.csv"))
     assert {k: len(v) for k, v in fam.items()} == {"utc,value,h0": 2, "utc,value,h1": 1}
+    assert files.read_raw_csv(spark, str(tmp_path / "? x.csv")).count() == 600_000
+    with pytest.raises(FileNotFoundError):
+        files.header_families(spark, str(tmp_path / "empty.csv"))
 
 
 def test_sinks_give_back_their_rows(spark, tmp_path):
