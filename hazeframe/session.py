@@ -37,9 +37,18 @@ def get_spark(master: str | None = None, app: str = "hazeframe",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    share_package_path(spark)
     return spark
 
 
+def share_package_path(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver has it, whatever folder Spark was started in (a cluster
+    without that path needs the package installed)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(p for p in [root, *env.get("PYTHONPATH", "").split(os.pathsep)] if p))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (tests, local runs)
     fall back to a fresh scratch folder."""
