@@ -53,7 +53,7 @@ def test_awkward_rows_pass_all_stages(spark, docs_of, awkward, tmp_path):
     plain = [(1000 + i, t) for i, t in enumerate(["some clean words of a text", "other clean words here", None, ""])]
     docs = docs_of([*awkward, *plain], extra=True).withColumn("lang", F.lit(None).cast("string")).withColumn(
         "source", F.when(F.col("doc_id") > 3, F.col("source")))
-    sf = tables(spark, tmp_path / "a", docs, [(1000, 1, 0), (1001, 0, 1), (None, 1, 1), (5, None, None)], [(1, None), (2, ""), (None, "x y z")])
+    sf = tables(spark, tmp_path / "a", docs, [(1000, 1, 0), (1001, 0, 0), (None, 1, 1), (5, None, None)], [(1, None), (2, ""), (None, "x y z")])
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     now = docs
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
