@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PER_CLASS = 3000  # documented bound of every classifier's labelled sample
+MAX_PER_CLASS = 3000  # documented bounds of every classifier's labelled sample: rows of a class
+MAX_CHARS = 100_000  # and code points of a row
 
 
 def fold(doc_id: str | Column, mod: int) -> Column:
@@ -18,13 +19,15 @@ def fold(doc_id: str | Column, mod: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, out: int,
-                    max_per_class: int = MAX_PER_CLASS) -> tuple[list[str], np.ndarray, float]:
+                    max_per_class: int = MAX_PER_CLASS, max_chars: int = MAX_CHARS) -> tuple[list[str], np.ndarray, float]:
     """(texts, 0/1 labels, log-odds shift) of a bounded sample of the training folds.
 
     At most about ``max_per_class`` rows of either class are taken, chosen by a hash of doc_id, so
-    what reaches the driver does not grow with the input. The shift turns log-odds of the sample
+    what reaches the driver does not grow with the input. Models learn from the first ``max_chars``
+    code points of a sampled text (scoring reads whole texts). The shift turns log-odds of the sample
     into log-odds of all training rows. A document with repeated label rows counts once (its
-    largest label); null labels and null ids are left out.
+    largest label), repeated rows of one id count once (the least text); null labels and null ids
+    are left out.
     """
     t = (labels.where(F.col(label).isin(0, 1) & (fold("doc_id", mod) != out))
          .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
@@ -35,8 +38,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, ou
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     keep = [(F.col("y") == y) & (h < int(share[y] * (1 << 30))) if share[y] < 1 else F.col("y") == y for y in n]
     picked = t.where(keep[0] if len(keep) == 1 else keep[0] | keep[1])
-    once = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    got = once.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")  # picked is bounded by the sample
+    cut = docs.select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(max_chars)).alias("text"))
+    got = (cut.join(F.broadcast(picked), "doc_id")  # picked is bounded by the sample
+           .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")))
     got = got.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = got.column("y").to_numpy().astype(np.float64)
     shift = 0.0
@@ -54,7 +58,7 @@ def sparse_logreg(ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarr
                   seed: int = 7) -> tuple[np.ndarray, float]:
     """L2 logistic regression by mini-batch Adagrad over CSR rows, weights averaged over the last half.
 
-    ``y`` may be (n,) or (n, classes); one-vs-rest for several classes.
+    ``y`` may be (n,) or (n, classes); one-vs-rest for several classes, where no row may be empty.
     """
     many = y.ndim == 2
     yy = y if many else y[:, None]
@@ -70,12 +74,19 @@ def sparse_logreg(ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarr
             ln = (ptr[rows + 1] - ptr[rows])
             take = np.repeat(ptr[rows] - np.concatenate(([0], np.cumsum(ln)[:-1])), ln) + np.arange(ln.sum())
             j, v, r = idx[take], val[take], np.repeat(np.arange(len(rows)), ln)
-            z = np.zeros((len(rows), k))
-            for c in range(k):
-                z[:, c] = np.bincount(r, v * w[j, c], len(rows))
+            if many:  # every row has features: sums over runs of rows, then over runs of features
+                z = np.add.reduceat(w[j] * v[:, None], np.cumsum(ln) - ln)
+            else:
+                z = np.bincount(r, v * w[j, 0], len(rows))[:, None]
             e = (logistic(z + b) - yy[rows]) / len(rows)
-            u, inv = np.unique(j, return_inverse=True)
-            g = np.stack([np.bincount(inv, v * e[r, c], len(u)) for c in range(k)], 1) + l2 * w[u]
+            if many:
+                by = np.argsort(j, kind="stable")
+                at_u = np.flatnonzero(np.concatenate(([True], np.diff(j[by]) > 0)))
+                u, g = j[by][at_u], np.add.reduceat((v[:, None] * e[r])[by], at_u)
+            else:
+                u, inv = np.unique(j, return_inverse=True)
+                g = np.bincount(inv, v * e[r, 0], len(u))[:, None]
+            g += l2 * w[u]
             g2[u] += g * g
             w[u] -= rate * g / np.sqrt(g2[u])
             gb = e.sum(0)

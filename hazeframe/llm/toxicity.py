@@ -6,8 +6,9 @@ spaces). From the labelled sample, each n-gram gets the ratio
 logistic regression is fitted on the features scaled by ``r``. The score of a text is the logistic
 of the sum of ``w * r`` over its distinct n-grams, so it does not fade with length.
 
-Only the labelled sample is bounded (``max_per_class``); scoring is a map over all rows and whole
-texts. Defined cases: null text = empty text (scored by the intercept); null doc_id is scored, its
+Bounded are the labelled sample (``learn.labelled_sample``) and the features (``max_features`` hash
+slots of the most telling n-grams, all n-grams in them); scoring is a map over all rows and whole
+texts that meets every feature. Defined cases: null text = empty text (scored by the intercept); null doc_id is scored, its
 ``held_out`` is null; repeated rows are scored each; without labels of both classes every score is
 the share of label 1 (0 without labels); an empty table gives an empty result.
 """
@@ -27,17 +28,16 @@ ORDERS = (5, 8)
 LUT_BITS = 20
 FIT_BITS = 22
 MAX_FEATURES = 30_000
-MAX_KEYS = 60_000  # the lookup table holds 16-bit numbers
 MIN_DF = 3
 
 
 @dataclass
 class NBModel:
-    """Feature keys with weights ``w * r`` in a hash lookup table, and the intercept."""
+    """Sorted feature keys with weights ``w * r``, the hash slots that hold a key, and the intercept."""
 
     keys: np.ndarray
     weights: np.ndarray
-    lut: np.ndarray
+    slots: np.ndarray
     bias: float
 
 
@@ -94,8 +94,9 @@ def _ratio(p: np.ndarray, q: np.ndarray, pos: float, neg: float, alpha: float) -
     return np.log((p + alpha) / (pos + 2 * alpha)) - np.log((q + alpha) / (neg + 2 * alpha))
 
 
-def fit(texts: list[str], y: np.ndarray, shift: float = 0.0, alpha: float = 1.0) -> NBModel:
-    none = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(1, np.uint16)
+def fit(texts: list[str], y: np.ndarray, shift: float = 0.0, alpha: float = 1.0,
+        max_features: int = MAX_FEATURES) -> NBModel:
+    none = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(1, bool)
     if len(y) == 0 or y.min() == y.max():
         return NBModel(*none, bias=40.0 if len(y) and y[0] == 1 else -40.0)
     pos, neg = float(y.sum()), float(len(y) - y.sum())
@@ -108,7 +109,7 @@ def fit(texts: list[str], y: np.ndarray, shift: float = 0.0, alpha: float = 1.0)
     p, q = p[seen].astype(float), q[seen].astype(float)
     tell = np.abs(_ratio(p, q, pos, neg, alpha)) / np.sqrt(1 / (p + alpha) + 1 / (q + alpha))
     wanted = np.zeros(1 << FIT_BITS, bool)
-    wanted[seen[np.argsort(-tell, kind="stable")[:MAX_FEATURES]]] = True
+    wanted[seen[np.argsort(-tell, kind="stable")[:max_features]]] = True
     # pass 2: the n-grams in those slots; pass 3: every text as indexes of them
     keys, pool, size = np.zeros(0, np.uint64), [], 0
     for k in _rows_keys(texts, wanted):
@@ -130,16 +131,15 @@ def fit(texts: list[str], y: np.ndarray, shift: float = 0.0, alpha: float = 1.0)
     del per_row
     w, b = learn.sparse_logreg(ptr, idx, r.astype(np.float32)[idx], y, len(keys), l2=1e-4, rate=0.02, epochs=10)
     v = w * r
-    top = np.sort(np.argsort(-np.abs(v), kind="stable")[:MAX_KEYS])
-    top = top[v[top] != 0]
-    return _model(keys[top], v[top], b + shift)
+    some = v != 0
+    return _model(keys[some], v[some], b + shift)
 
 
 def _model(keys: np.ndarray, v: np.ndarray, bias: float) -> NBModel:
-    lut = np.zeros(1 << LUT_BITS, np.uint16)
-    order = np.argsort(np.abs(v), kind="stable")  # the stronger feature keeps a shared slot
-    lut[_slot(keys[order])] = (order + 1).astype(np.uint16)
-    return NBModel(keys, v.astype(np.float32), lut, float(bias))
+    """``keys`` are distinct and in order."""
+    slots = np.zeros(1 << LUT_BITS, bool)
+    slots[_slot(keys)] = True
+    return NBModel(keys, v.astype(np.float32), slots, float(bias))
 
 
 def margins(m: NBModel, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -151,9 +151,9 @@ def margins(m: NBModel, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     d = _clean(data)
     for o in ORDERS:
         key, row = ngram_keys(d, off, o)
-        at = m.lut[_slot(key)]
-        hit = np.flatnonzero(at)
-        at, key, row = at[hit].astype(np.int64) - 1, key[hit], row[hit]
+        hit = np.flatnonzero(m.slots[_slot(key)])
+        key, row = key[hit], row[hit]
+        at = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
         ok = m.keys[at] == key
         u = np.unique(row[ok] * np.int64(len(m.keys)) + at[ok])
         z += np.bincount(u // len(m.keys), m.weights[u % len(m.keys)].astype(np.float64), n)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import textwrap
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from hazeframe.llm import licenses, quality, queries, secrets, toxicity
+from hazeframe.llm import learn, licenses, quality, queries, secrets, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -68,6 +72,85 @@ def test_licenses(docs_of, awkward):
     assert licenses.scan(docs_of({})).count() == 0
 
 
+@pytest.fixture(scope="module")
+def license_model(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()
+    texts = [(r.text or "").split("\n") for r in rows]
+    return licenses.fit(sorted("\n".join(t[i % len(t):][:3])[:400] for i, t in enumerate(texts)))
+
+
+def found(m, text, **how):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return licenses.paragraphs(m, raw, np.array([0, len(raw)]), **how)
+
+
+@pytest.mark.parametrize("mark", ["#", " *", "//", ""])
+def test_wrapped_notices_are_named_once(license_model, mark):
+    for family, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            header = "\n".join(f"{mark} {x}" for x in textwrap.wrap(t, 50))
+            got = found(license_model, f"intro of a file\n\n{header}\n\nimport os")
+            assert [x[3] for x in got if x[6]] == [family], t
+
+
+def test_whole_headers(license_model):
+    lgpl = (licenses.PARAGRAPHS["LGPL"][0] + " This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+            "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.")
+    texts = {"LGPL": " * " + "\n * ".join(textwrap.wrap(lgpl, 60)), "MIT": "\n".join(textwrap.wrap(licenses.PARAGRAPHS["MIT"][2], 70)),
+             "Apache-2.0": "\n".join(f"# {x}" for x in textwrap.wrap(licenses.PARAGRAPHS["Apache-2.0"][0], 60))}
+    for family, text in texts.items():
+        assert [x[3] for x in found(license_model, text) if x[6]] == [family]
+
+
+def test_other_licenses_are_unknown(license_model):
+    """Licences that neither the families nor the unknown class hold."""
+    names = ("Eclipse Public License, version 2.0", "Common Public Attribution License Version 1.0", "Sleepycat License", "Ruby License",
+             "Open Government Licence v3.0", "Intel Open Source License", "Creative Commons Sampling Plus 1.0 License")
+    for t in licenses.NOTICES:
+        for n in names:
+            assert not [x for x in found(license_model, t.format(n)) if x[6]], n
+
+
+def test_license_screen_loses_nothing(spark, license_model):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(150).collect()]
+    texts += ["x " * 50 + "\n".join(textwrap.wrap(t, 40)) for own in licenses.TEMPLATES.values() for t in own[-2:]]
+    assert all(found(license_model, t) == found(license_model, t, screened=False) for t in texts)
+
+
+def test_license_rows(docs_of):
+    """Repeated rows, a very long line, clashing columns, no id."""
+    long_line = "one two three " * 50_000 + "Licensed under the Apache License, Version 2.0. " + "four five six " * 50_000
+    d = docs_of([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, long_line), (None, "Released under the ISC License."),
+                 (3, "dup " * 400), (4, None)], extra=True).withColumn("family", F.lit("x")).withColumn("probability", F.lit("y"))
+    out = licenses.scan(d)
+    got = sorted((str(r.doc_id), r.family) for r in out.where("confirmed").collect())
+    assert got == [("1", "MIT"), ("1", "MIT"), ("2", "Apache-2.0"), ("None", "ISC")]
+    assert out.columns == ["doc_id", "start", "length", "family", "probability", "similarity", "confirmed"]
+
+
+def test_toxicity_margins_meet_every_feature():
+    """Features that share a slot of the lookup all count: compared with a dictionary."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc d") for _ in range(300)) for _ in range(20)] + ["", "ab"]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    data, off = np.concatenate(raw), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    per = [set().union(*(toxicity.ngram_keys(r, np.array([0, len(r)]), o)[0].tolist() for o in toxicity.ORDERS)) for r in raw]
+    # keys whose upper bits fall together as well
+    keys = np.unique(np.array(sorted(set().union(*per)) + [k ^ 1 for k in per[0]], np.uint64))
+    v = np.array([rng.uniform(-1, 1) for _ in keys])
+    m = toxicity._model(keys, v, 0.25)
+    value = dict(zip(keys.tolist(), m.weights.tolist(), strict=True))
+    assert toxicity.margins(m, data, off) == pytest.approx([0.25 + sum(value.get(k, 0.0) for k in ks) for ks in per])
+
+
+def test_labelled_sample_is_bounded(spark, docs_of):
+    d = docs_of([(i, "b" * 50 if i == 7 else f"text {i}") for i in range(40)] + [(7, "a" * 50)] * 500)
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(7, None)], "doc_id long, toxic int")
+    texts, y, _ = learn.labelled_sample(d, lab, "toxic", 5, 0, max_chars=20)
+    kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert texts == ["a" * 20 if i == 7 else f"text {i}" for i in kept] and y.tolist() == [i % 2 for i in kept]
+
+
 HEX = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
 
 
