@@ -299,13 +299,15 @@ def fit(lines: list[str], seed: int = 3, times: int = 150) -> LicenseModel:
     sub_ptr = np.concatenate(([0], np.cumsum(np.array(size)[rows])))
     take = np.concatenate([np.arange(ptr[r], ptr[r + 1]) for r in rows])
     w, b = learn.sparse_logreg(sub_ptr, flat[take], val[take], np.eye(k)[y[rows]], 1 << BITS, l2=1e-5, epochs=8, rate=0.5)
-    z = np.add.reduceat(w[flat] * val[:, None], ptr[:-1]) + b
+    w = w.astype(np.float32)
+    held = np.flatnonzero(hold)
+    z = np.stack([val[ptr[r]] * w[flat[ptr[r]:ptr[r + 1]]].sum(0) + b for r in held])
 
     # temperature of least log loss on the held-out rows
     def loss(t):
-        s = z[hold] * t
+        s = z * t
         s = s - s.max(1, keepdims=True)
-        return float((np.log(np.exp(s).sum(1)) - s[np.arange(hold.sum()), y[hold]]).mean())
+        return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(held)), y[held]]).mean())
     temp = min(np.geomspace(0.1, 10, 60), key=loss)
     return LicenseModel(w, b, float(temp), w[:, :-1].max(1) - w[:, -1])
 
@@ -351,7 +353,7 @@ def _accepted(m: LicenseModel, grams: list[np.ndarray], first: np.ndarray, last:
     """(first word, last word, family, probability) of the windows that the classifier accepts."""
     hits = np.arange(len(first))
     # probability p against unknown needs log-odds of at least log(p / (1 - p))
-    least = math.log(accept / (1 - accept)) / m.temperature - (m.b[:-1].max() - m.b[-1]) - 1e-6
+    least = math.log(accept / (1 - accept)) / m.temperature - (m.b[:-1].max() - m.b[-1]) - 1e-4
     if screened and least > 0:
         # an n-gram that may repeat counts if it helps, and not in the length: a bound from above
         total, count = np.zeros(len(first)), np.zeros(len(first))
