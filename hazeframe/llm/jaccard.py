@@ -290,6 +290,31 @@ def named_members(sid: list[int], comp: list[int], weight: list[int], size: list
     return out
 
 
+def partnered(group: np.ndarray, n: np.ndarray, cap: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Which postings have a partner of another component in their group: sizes n that neither's cap excludes.
+    Postings lie in the order of group and n."""
+    if not len(n):
+        return np.zeros(0, bool)
+    new = np.concatenate(([True], group[1:] != group[:-1]))
+    start = np.flatnonzero(new)[np.cumsum(new) - 1]
+    most = int(np.diff(np.append(np.flatnonzero(new), len(n))).max())
+    # by doubling steps: of a posting and all before it in its group, the largest cap, its component, the largest of the others
+    top, own, rest = cap.copy(), comp.copy(), np.full(len(n), -1, cap.dtype)
+    step = 1
+    while step < most:
+        i = np.flatnonzero(np.arange(len(n)) - step >= start)
+        j = i - step
+        left = top[j] > top[i]
+        hi, lo = np.where(left, j, i), np.where(left, i, j)
+        second = np.maximum(rest[hi], np.where(own[lo] != own[hi], top[lo], rest[lo]))
+        top[i], own[i], rest[i] = top[hi], own[hi], second
+        step *= 2
+    place, wide = np.cumsum(new), int(max(n.max(), cap.max())) + 1
+    end = np.searchsorted(place * wide + n, place * wide + cap, side="right")  # those of at most cap tokens
+    last = np.maximum(end - 1, 0)
+    return (end > start) & (np.where(own[last] == comp, rest[last], top[last]) >= n)
+
+
 def linked_with(sets: list[np.ndarray], others: Iterator[np.ndarray]) -> Iterator[int]:
     """For each of ``others`` the place of a set it links with, or -1; exact overlaps by one lookup
     of all its tokens in the sets' tokens."""
@@ -524,8 +549,21 @@ def _with_comp(df: DataFrame, comps: DataFrame, rows: int) -> DataFrame:
     return df.join(_held(c, rows), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, bytes of one significance together: small numbers compress."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
 def _mixed_tokens(prefixes: DataFrame, comps: DataFrame, n_comps: int) -> DataFrame:
-    """(tok, size): prefix tokens that touch at least two components, with their number of sets.
+    """(tok, size, sids): prefix tokens with the sets that may link there with a set of another component.
+
+    The first token that two linked sets share leaves either enough tokens: a set of n tokens with i of its
+    prefix before it has a partner of at most (4 n - 7 i) / 3 tokens there. A set without such a partner in a
+    token's group is left out of it, as it meets all its links at other tokens.
 
     Tokens with the same sets (a passage shared by some documents gives many) would ask for the same
     pairs; one token stays for each distinct group of sets. Postings travel as packed arrays, one
@@ -535,79 +573,87 @@ def _mixed_tokens(prefixes: DataFrame, comps: DataFrame, n_comps: int) -> DataFr
     shards = max(64, int(total // SHARD_POSTINGS))
 
     def packed(batches):
-        toks, sids, comp, size = [], [], [], 0
+        held, size = [], 0
 
         def flush():
-            nonlocal toks, sids, comp, size
-            t, i, c = np.concatenate(toks), np.concatenate(sids), np.concatenate(comp)
-            toks, sids, comp, size = [], [], [], 0
+            nonlocal held, size
+            t, i, c, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
             s = (t % np.uint64(shards)).astype(np.int64)
             o = np.argsort(s, kind="stable")
-            t, i, c, s = t[o], i[o], c[o], s[o]
+            t, i, c, n, at, s = t[o], i[o], c[o], n[o], at[o], s[o]
             cut = np.searchsorted(s, np.arange(shards + 1))
 
             def row(k):
                 a, b = cut[k], cut[k + 1]
                 own = np.flatnonzero(i[a:b] != c[a:b])
-                return k, t[a:b].tobytes(), i[a:b].tobytes(), own.astype(np.int32).tobytes(), c[a:b][own].tobytes()
+                return (k, t[a:b].tobytes(), i[a:b].tobytes(), _planes(n[a:b]), _planes(at[a:b]),
+                        own.astype(np.int32).tobytes(), c[a:b][own].tobytes())
 
-            for at in range(0, shards, 64):
-                rows = [row(k) for k in range(at, min(at + 64, shards)) if cut[k + 1] > cut[k]]
+            for k0 in range(0, shards, 64):
+                rows = [row(k) for k in range(k0, min(k0 + 64, shards)) if cut[k + 1] > cut[k]]
                 if rows:
                     x = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int32()), *(pa.array(v, pa.binary()) for v in x[1:])],
-                                                     names=["shard", "t", "s", "at", "c"])
+                                                     names=["shard", "t", "s", "n", "i", "at", "c"])
 
         for rb in batches:
             if not rb.num_rows:
                 continue
             p = rb.column(0)
-            n = np.diff(np.asarray(p.offsets))
-            toks.append(p.flatten().to_numpy(zero_copy_only=False).astype(np.uint64))
-            sids.append(np.repeat(rb.column(1).to_numpy(zero_copy_only=False), n))
-            comp.append(np.repeat(rb.column(2).to_numpy(zero_copy_only=False), n))
-            size += len(toks[-1])
+            k = np.diff(np.asarray(p.offsets))
+            sid, comp, n = (np.repeat(rb.column(x).to_numpy(zero_copy_only=False), k) for x in (1, 2, 3))
+            held.append((p.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), sid, comp, n,
+                         np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)))
+            size += len(sid)
             if size >= CHUNK_POSTINGS:
                 yield from flush()
         if size:
             yield from flush()
 
     def mixed(batches):
-        now, ts, ss, cs = None, [], [], []
+        now, held = None, []
 
         def flush():
-            t, i, c = np.concatenate(ts), np.concatenate(ss), np.concatenate(cs)
-            o = np.lexsort((i, c, t))
-            t, i, c = t[o], i[o], c[o]
-            new = np.ones(len(t), bool)  # copies of a set count once
-            new[1:] = (t[1:] != t[:-1]) | (i[1:] != i[:-1])
-            t, i, c = t[new], i[new], c[new]
-            a = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1))
-            b = np.concatenate((a[1:], [len(t)]))
-            k = c[a] != c[b - 1]
-            group = np.add.reduceat(X.mix(i.astype(np.uint64)), a)
-            return pa.RecordBatch.from_arrays([pa.array(t[a[k]].astype(np.int64)), pa.array((b - a)[k].astype(np.int64)),
-                                               pa.array(group[k].astype(np.int64))], names=["tok", "size", "members"])
+            t, i, c, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            o = np.lexsort((i, n, t))
+            o = o[np.concatenate(([True], (t[o][1:] != t[o][:-1]) | (i[o][1:] != i[o][:-1])))]  # copies of a set count once
+            a = np.concatenate(([0], np.flatnonzero(t[o][1:] != t[o][:-1]) + 1))
+            more = np.minimum.reduceat(c[o], a) != np.maximum.reduceat(c[o], a)
+            o = o[np.repeat(more, np.diff(np.append(a, len(o))))]
+            o = o[partnered(t[o], n[o], (4 * n[o] - 7 * at[o]) // 3, c[o])]
+            t, i = t[o], i[o]
+            o = np.lexsort((i, t))
+            t, i = t[o], i[o]
+            a = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
+            k = np.diff(np.append(a, len(t)))
+            group = np.add.reduceat(X.mix(i.astype(np.uint64)), a) if len(a) else t
+            _, one = np.unique(np.stack((group, k.astype(np.uint64))), axis=1, return_index=True)  # the least token first
+            one.sort()
+            for at in range(0, len(one), 10_000):
+                u = one[at:at + 10_000]
+                take = np.repeat(a[u] - np.cumsum(k[u]) + k[u], k[u]) + np.arange(k[u].sum())
+                sids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k[u]))), pa.int32()), pa.array(i[take], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(t[a[u]].astype(np.int64)), pa.array(k[u], pa.int64()),
+                                                  pa.array(group[u].astype(np.int64)), sids], names=["tok", "size", "members", "sids"])
 
         for rb in batches:
-            for shard, t, s, at, c in zip(*(x.to_pylist() for x in rb.columns), strict=True):
+            for shard, t, s, n, i, at, c in zip(*(x.to_pylist() for x in rb.columns), strict=True):
                 if shard != now:
                     if now is not None:
-                        yield flush()
-                    now, ts, ss, cs = shard, [], [], []
+                        yield from flush()
+                    now, held = shard, []
                 s = np.frombuffer(s, np.int64)
                 full = s.copy()
                 full[np.frombuffer(at, np.int32)] = np.frombuffer(c, np.int64)
-                ts.append(np.frombuffer(t, np.uint64))
-                ss.append(s)
-                cs.append(full)
+                held.append((np.frombuffer(t, np.uint64), s, full, _from_planes(n), _from_planes(i)))
         if now is not None:
-            yield flush()
+            yield from flush()
 
-    rows = _with_comp(prefixes, comps, n_comps).select("prefix", "sid", "comp").mapInArrow(
-        packed, "shard int, t binary, s binary, at binary, c binary")
-    found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(mixed, "tok long, size long, members long")
-    return found.groupBy("members", "size").agg(F.min("tok").alias("tok")).select("tok", "size")
+    rows = _with_comp(prefixes, comps, n_comps).select("prefix", "sid", "comp", "n").mapInArrow(
+        packed, "shard int, t binary, s binary, n binary, i binary, at binary, c binary")
+    found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(mixed, "tok long, size long, members long, sids array<long>")
+    return found.groupBy("members", "size").agg(F.min(F.struct("tok", "sids")).alias("m")).select("m.tok", "size", "m.sids")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -633,10 +679,10 @@ def classes(docs: DataFrame) -> DataFrame:
     # prefixes: tokens that still touch two components
     n_comps = comps.count()
     mixed = pin(_mixed_tokens(pre, comps, n_comps), "tokens")
-    n_mixed = mixed.count()
-    if n_mixed:
-        tokens = pre.select("sid", "n", "sig", F.explode("prefix").alias("key")).join(
-            _held(mixed.withColumnRenamed("tok", "key"), n_mixed), "key")
+    n_met = mixed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if n_met:
+        met = mixed.select(F.col("tok").alias("key"), "size", F.explode("sids").alias("sid"))
+        tokens = pre.select("sid", "n", "sig").join(_held(met, n_met), "sid")
         weight = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
         weighed = comps.join(weight, "comp").withColumnRenamed("node", "sid")
         live = tokens.join(_held(weighed, n_comps), "sid", "left").withColumns(

@@ -102,6 +102,31 @@ def test_tree_bounds_lose_nothing():
         assert (i >= 0) == any((k, j) in linked for k in range(50)) and (i < 0 or (i, j) in linked)
 
 
+def test_partnered_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        k = int(rng.integers(1, 60))
+        g, n = rng.integers(0, 4, k), rng.integers(1, 40, k)
+        o = np.lexsort((n, g))
+        g, n = g[o], n[o]
+        cap = (4 * n - 7 * rng.integers(0, n // 4 + 1)) // 3
+        comp = rng.integers(0, 6, k)
+        want = [any(g[x] == g[y] and comp[x] != comp[y] and n[y] <= cap[x] and n[x] <= cap[y] for y in range(k)) for x in range(k)]
+        assert jaccard.partnered(g, n, cap, comp).tolist() == want
+    none = np.zeros(0, np.int64)
+    assert len(jaccard.partnered(none, none, none, none)) == 0
+
+
+def test_sets_that_cannot_link_at_a_token_are_not_dealt(spark):
+    """Ten sets share only the last token of their prefixes: no pair can first meet there. Two sets that share their first can."""
+    rows = [(s, 40, [*(1000 * s + j for j in range(10)), 7]) for s in range(1, 11)]
+    rows += [(s, 40, [5, *(1000 * s + j for j in range(10))]) for s in (20, 21)]
+    pre = spark.createDataFrame(rows, "sid long, n int, prefix array<long>")
+    comps = spark.createDataFrame([], "node long, comp long")
+    got = {r["tok"]: (r["size"], sorted(r["sids"])) for r in jaccard._mixed_tokens(pre, comps, 0).collect()}
+    assert got == {5: (2, [20, 21])}
+
+
 def test_no_documents(docs_of):
     assert jaccard.near_duplicates(docs_of({})).count() == 0
     only = jaccard.near_duplicates(docs_of({4: None, 5: ""})).collect()
