@@ -22,7 +22,8 @@ Rounds:
 
 * Keys: groups by the eight smallest token hashes; few rows, merges nearly all copies. Candidates
   that could unite a group's components are verified on the exact sets and united.
-* Prefixes: all prefix tokens that still touch two components, found by a shuffle of packed arrays.
+* Prefixes: all prefix tokens that still touch two components, found by a shuffle of packed arrays,
+  with the sets whose sizes and places of the token let it be the first one they share.
   The traversal looks for every pair of different components that passes the bound and names, for
   each, the larger component and the other set that may link with it: (component, set), never the
   pair. The members of every named component then meet its named sets in blocks and are compared
