@@ -7,12 +7,15 @@ import collections
 import hashlib
 import heapq
 import math
+import os
 import random
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hazeframe.llm import decontaminate, jaccard, lm, packing, warc
 from hazeframe.llm.store import scratch
@@ -432,3 +435,48 @@ def test_table_draws_follow_the_exact_conditional():
         assert (t == k).mean() == pytest.approx(w[k - 1] / sum(w), abs=0.01)
     # four customers: seatings by hand, discount d
     assert math.exp(table[3, 2]) == pytest.approx(3 * (1 - d)) and math.exp(table[3, 1]) == pytest.approx((1 - d) * (2 - d))
+
+
+def test_language_model_keeps_few_bytes_a_token(docs_of, monkeypatch):
+    rng, sizes, pin = random.Random(6), [], lm.pin
+
+    def weighed(*a):
+        d = pin(*a)
+        sizes.append(sum(os.path.getsize(urllib.parse.urlparse(f).path) for f in d.inputFiles()))
+        return d
+
+    monkeypatch.setattr(lm, "pin", weighed)
+    pairs = [(i, " ".join(words(rng, 600, 30_000))) for i in range(500)]
+    assert lm.score(docs_of(pairs)).count() == 500
+    assert sum(sizes) < 20 * 601 * 500  # all tables together, of four sweeps
+
+
+def test_language_model_parts_change_nothing(spark, docs_of):
+    rng = random.Random(7)
+    docs = docs_of([(i, " ".join(words(rng, rng.randrange(80), 40))) for i in range(300)])
+    other = docs.orderBy(F.udf(random.random, "double").asNondeterministic()())  # another order at each reading
+    got = [sorted(lm.score(d, parts=k).collect()) for d, k in ((docs, 1), (docs, 3), (other, 2))]
+    for rows in got[1:]:
+        assert [r[:5] for r in rows] == [r[:5] for r in got[0]]
+        assert [r.score for r in rows] == pytest.approx([r.score for r in got[0]], rel=1e-9)
+        assert [r.base_score for r in rows] == pytest.approx([r.base_score for r in got[0]], rel=1e-9)
+
+
+def test_triples_without_customers_score_as_unseen_ones():
+    rng = np.random.default_rng(3)
+    w, u = rng.integers(0, 30, 300), rng.integers(0, 6, 300) * lm.PER_U1 + rng.integers(0, 3, 300)
+    (w, u), c = np.unique(np.stack([w, u]), axis=1, return_counts=True)
+    c = c * (u // lm.PER_U1 < 4) * (rng.random(len(c)) < 0.7)
+    x, some = np.arange(30, dtype=np.uint64), c > 0
+    every, seen = lm.Seats(x, w, u, c, 0), lm.Seats(x, w[some], u[some], c[some], 0)
+    m = lm.Model(int(c.sum()), int((seen.count > 0).sum()), (0.5, 0.6, 0.7))
+    for i in range(3):
+        m.totals.append(seen.vector())
+        assert (every.vector() == seen.vector()).all()
+        every.sweep(m.totals[-1], m, i)
+        seen.sweep(m.totals[-1], m, i)
+    tot = seen.vector()
+    sc = lm.Scorer(None, m)
+    sc.seats, sc.samples = seen, [(lm._totals(tot), seen.probabilities(tot, m))]
+    want = [sc.token_scores(x[a:a + 1], np.ones(1, int), np.array([b]))[0][0] for a, b in zip(w, u, strict=True)]
+    assert np.log10(every.probabilities(tot, m)[2]) == pytest.approx(np.array(want))
