@@ -470,8 +470,9 @@ def _blocks(members: DataFrame, pairs: bool) -> DataFrame:
 def _sets(wanted: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(sid, s): the exact token sets of the distinct ``sid`` of wanted, from one document each."""
     wanted = pin(wanted, "wanted")
-    rep = pin(ids.join(_held(wanted, wanted.count()), "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "reps")
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_held(rep, rep.count()), "doc_id")
+    n = wanted.count()  # and at most as many documents
+    rep = pin(ids.join(_held(wanted, n), "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "reps")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_held(rep, n), "doc_id")
 
     def run(batches):
         for rb, got in token_sets(batches):

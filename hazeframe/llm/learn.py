@@ -55,10 +55,11 @@ def logistic(z: np.ndarray) -> np.ndarray:
 
 def sparse_logreg(ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, n_features: int,
                   l2: float = 1e-5, epochs: int = 12, rate: float = 0.3, batch: int = 64,
-                  seed: int = 7) -> tuple[np.ndarray, float]:
+                  seed: int = 7, by_feature: bool = False) -> tuple[np.ndarray, float]:
     """L2 logistic regression by mini-batch Adagrad over CSR rows, weights averaged over the last half.
 
     ``y`` may be (n,) or (n, classes); one-vs-rest for several classes, where no row may be empty.
+    ``by_feature``: ``val`` holds one value a feature, the same in all rows, instead of one an entry.
     """
     many = y.ndim == 2
     yy = y if many else y[:, None]
@@ -73,7 +74,7 @@ def sparse_logreg(ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarr
             rows = order[at:at + batch]
             ln = (ptr[rows + 1] - ptr[rows])
             take = np.repeat(ptr[rows] - np.concatenate(([0], np.cumsum(ln)[:-1])), ln) + np.arange(ln.sum())
-            j, v, r = idx[take], val[take], np.repeat(np.arange(len(rows)), ln)
+            j, v, r = idx[take], val[idx[take] if by_feature else take], np.repeat(np.arange(len(rows)), ln)
             if many:  # every row has features: sums over runs of rows, then over runs of features
                 z = np.add.reduceat(w[j] * v[:, None], np.cumsum(ln) - ln)
             else:

@@ -110,26 +110,35 @@ def fit(texts: list[str], y: np.ndarray, shift: float = 0.0, alpha: float = 1.0,
     tell = np.abs(_ratio(p, q, pos, neg, alpha)) / np.sqrt(1 / (p + alpha) + 1 / (q + alpha))
     wanted = np.zeros(1 << FIT_BITS, bool)
     wanted[seen[np.argsort(-tell, kind="stable")[:max_features]]] = True
-    # pass 2: the n-grams in those slots; pass 3: every text as indexes of them
+    del cnt, p, q, seen, tell
+    # pass 2: the n-grams in those slots; pass 3: every text as indexes of them, laid one after the other in one array
     keys, pool, size = np.zeros(0, np.uint64), [], 0
-    for k in _rows_keys(texts, wanted):
+    ptr = np.zeros(len(y) + 1, np.int64)
+    for row, k in enumerate(_rows_keys(texts, wanted)):
+        ptr[row + 1] = ptr[row] + len(k)
         pool.append(k)
         size += len(k)
         if size > 1_000_000:
             keys, pool, size = np.unique(np.concatenate((keys, *pool))), [], 0
     keys = np.unique(np.concatenate((keys, *pool)))
-    per_row = [np.searchsorted(keys, k).astype(np.int32) for k in _rows_keys(texts, wanted)]
-    p, df = np.zeros(len(keys)), np.zeros(len(keys))
-    for i, label in zip(per_row, y, strict=True):
+    del pool
+    idx, p, df = np.empty(ptr[-1], np.int32), np.zeros(len(keys)), np.zeros(len(keys))
+    for row, k in enumerate(_rows_keys(texts, wanted)):
+        i = idx[ptr[row]:ptr[row + 1]]
+        i[:] = np.searchsorted(keys, k)
         df[i] += 1
-        p[i] += label
+        p[i] += y[row]
     r = _ratio(p, df - p, pos, neg, alpha)
     r[df < MIN_DF] = 0.0
-    per_row = [i[r[i] != 0] for i in per_row]
-    ptr = np.concatenate(([0], np.cumsum([len(i) for i in per_row])))
-    idx = np.concatenate(per_row)
-    del per_row
-    w, b = learn.sparse_logreg(ptr, idx, r.astype(np.float32)[idx], y, len(keys), l2=1e-4, rate=0.02, epochs=10)
+    end = 0
+    for row in range(len(y)):  # n-grams without weight go, in place
+        i = idx[ptr[row]:ptr[row + 1]]
+        i = i[r[i] != 0]
+        ptr[row] = end
+        idx[end:end + len(i)] = i
+        end += len(i)
+    ptr[-1] = end
+    w, b = learn.sparse_logreg(ptr, idx[:end], r.astype(np.float32), y, len(keys), l2=1e-4, rate=0.02, epochs=10, by_feature=True)
     v = w * r
     some = v != 0
     return _model(keys[some], v[some], b + shift)

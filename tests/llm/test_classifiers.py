@@ -143,6 +143,31 @@ def test_toxicity_margins_meet_every_feature():
     assert toxicity.margins(m, data, off) == pytest.approx([0.25 + sum(value.get(k, 0.0) for k in ks) for ks in per])
 
 
+def test_fit_holds_one_array_of_indexes(monkeypatch):
+    """The driver holds the sample's n-grams once, as indexes; values are one a feature, not one an entry."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["calm", "kind", "warm"] if i % 2 else ["vile", "grim", "foul"]) + f"{rng.randrange(9)}" for _ in range(30)) for i in range(60)]
+    y = np.array([i % 2 for i in range(60)], float)
+    seen = []
+
+    def noted(ptr, idx, val, y, n, **kw):
+        seen.append((ptr.copy(), idx, val, n, kw))
+        return real(ptr, idx, val, y, n, **kw)
+
+    real = learn.sparse_logreg
+    monkeypatch.setattr(learn, "sparse_logreg", noted)
+    m = toxicity.fit(texts, y)
+    (ptr, idx, val, n, kw), = seen
+    assert idx.dtype == np.int32 and len(idx) == ptr[-1] and len(val) == n < len(idx) and (val[idx] != 0).all()
+    assert all(len(np.unique(idx[a:b])) == b - a for a, b in zip(ptr, ptr[1:]))
+    w, b = real(ptr, idx, val[idx], y, n, **{**kw, "by_feature": False})
+    w2, b2 = real(ptr, idx, val, y, n, **kw)
+    assert b == b2 == m.bias and (w == w2).all()
+    data = [t.encode() for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(t) for t in data])))
+    assert ((toxicity.margins(m, np.frombuffer(b"".join(data), np.uint8), off) > 0) == (y == 1)).all()
+
+
 def test_labelled_sample_is_bounded(spark, docs_of):
     d = docs_of([(i, "b" * 50 if i == 7 else f"text {i}") for i in range(40)] + [(7, "a" * 50)] * 500)
     lab = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(7, None)], "doc_id long, toxic int")

@@ -17,7 +17,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazeframe.llm import decontaminate, jaccard, lm, packing, warc
+from hazeframe.llm import components, decontaminate, jaccard, lm, packing, warc
 from hazeframe.llm.store import scratch
 from tests.llm.conftest import words
 from tests.llm.test_text_and_sketches import shingle_set
@@ -53,6 +53,47 @@ def near_copies(rng, groups=12, most=14):
     return out
 
 
+def test_component_passes(spark, monkeypatch):
+    """Chains, stars, rings and random edges, repeated, reversed and with null ends; small plans without copies through
+    the driver, and no pass over components that are stars already."""
+    rng = random.Random(3)
+    pairs = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 230)] + [(300, 301), (301, 302), (302, 300), (9, 9)]
+    pairs += [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)] + [(-7, 3), (3, 2**62)]
+    up = {x: x for p in pairs if p[0] != p[1] for x in p}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    written = []
+
+    def noted(df, name):
+        out = pin(df, name)
+        written.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    pin = components.pin
+    monkeypatch.setattr(components, "pin", noted)
+    rows = [*pairs, *((b, a) for a, b in pairs[::3]), *pairs[::4], (None, 5), (5, None)]
+    got = components.connected_components(spark.createDataFrame(rows, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in up)
+    assert len(written) > 2
+    for plan in written[1:]:
+        start = plan.split("Initial Plan")[-1]
+        assert "Broadcast" not in plan and start.count("FileScan parquet") <= 4
+    written.clear()
+    stars = spark.createDataFrame([(1, i) for i in range(2, 9)] + [(20, i) for i in range(21, 29)], "a long, b long")
+    assert {tuple(r) for r in components.connected_components(stars).collect()} == {
+        (i, 1) for i in range(1, 9)} | {(i, 20) for i in range(20, 29)}
+    assert len(written) == 1
+    assert components.connected_components(stars.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(docs_of, awkward, seed, monkeypatch):
     rng = random.Random(seed)
