@@ -7,12 +7,14 @@ then advances A, B or both; finished lanes are compacted away. A lane is a docum
 a run of ``LANE_TOKENS`` A tokens: it starts at the B token under its first byte, which is where the merge
 of the whole document arrives, so a long text costs more lanes and not more steps.
 
-Corpus-wide counts of id pairs: a batch of documents (``CHUNK_BYTES`` of text) is one row with the pair
-numbers of its documents' links, delta-coded, and its distinct pairs with counts. Spark sums the
+Corpus-wide counts of id pairs: a batch of documents (``CHUNK_BYTES`` of text) numbers its distinct pairs and
+packs each document's pair numbers, delta-coded, with how often it has them. Spark sums the
 pairs of all batches, finds each B id's highest count, and joins both back to the batches, a row per
 (batch, distinct pair). So texts are encoded once, and what is shuffled are distinct pairs of batches, which
-hold no hot key: a pair stands at most once in a batch. Packed rows are bounded by the batch's text (a
-longer text is a batch of its own).
+hold no hot key: a pair stands at most once in a batch. The rows of a batch meet in order and are streamed.
+No row holds a whole batch: a packed row has the documents of a slice (``SLICE_BYTES`` of text, or one longer
+text) or ``PAIRS_A_ROW`` pairs, and a row group some of them, so the memory of a reader, a sort or a shuffle does
+not depend on the batch or the input.
 
 Ids of A come from the rank encoder over the vocabulary of ``byte_bpe_50k.json`` (tested equal to that
 tokenizer with ``encode_special_tokens``) with a space before the text, ids of B from ``piece_bpe_32k.model``,
@@ -42,6 +44,10 @@ B_VOCABULARY = "piece_bpe_32k.model"
 LANE_TOKENS = 256
 SLICE_BYTES = 1 << 20
 CHUNK_BYTES = 4 << 20
+PAIRS_A_ROW = 1 << 15
+GROUP_BYTES = 2 << 20
+DOC_BYTES = 128  # of a document's figures, beside its text
+FIRST_DOCS = 1 << 40  # documents lie after the pairs of their batch
 _LOADED: dict[tuple[str, str], Tokens] = {}
 
 
@@ -170,69 +176,96 @@ def group_digests(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray,
     return n, [hashlib.sha256(whole[s:e - 1]).hexdigest() if e > s else "" for s, e in zip(begin[:-1], begin[1:])]
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """The numbers (none below 0) in the fewest bytes each that hold the largest."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)).tobytes()
+
+
+def wide(x: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``narrow``."""
+    return np.frombuffer(x, f"u{len(x) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 class Batch:
-    """Collects the aligned documents of one chunk and gives its packed row."""
+    """Collects the aligned documents of one chunk, a piece for each slice, and gives its packed rows."""
 
-    def __init__(self, number: int):
-        self.number, self.bytes = number, 0
-        self.docs: list[dict] = []
-        self.pairs: list[np.ndarray] = []
+    def __init__(self, t: Tokens, number: int):
+        self.t, self.number, self.bytes = t, number, 0
+        self.pieces: list[tuple] = []
 
-    def add(self, t: Tokens, ids: list, texts: list, n_bytes: int) -> None:
+    def add(self, ids: pa.Array, texts: list, n_bytes: int) -> None:
+        t = self.t
         got = [t.encode(x or "") for x in texts]
         a, b = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
         a_off = np.concatenate(([0], np.cumsum([len(x[0]) for x in got])))
         b_off = np.concatenate(([0], np.cumsum([len(x[1]) for x in got])))
+        del got
         la, lb, cut = lockstep(np.cumsum(t.a_len[a]), np.cumsum(t.b_len[b]), a_off)
         n_groups, shas = group_digests(a, b, la, lb, cut, a_off, b_off)
-        l_off = np.searchsorted(la, a_off)
-        self.pairs.append(a[la] << 32 | b[lb])
-        self.bytes += n_bytes
-        for k, doc_id in enumerate(ids):
-            self.docs.append({"doc_id": doc_id, "n_a": int(a_off[k + 1] - a_off[k]), "n_b": int(b_off[k + 1] - b_off[k]),
-                              "n_groups": int(n_groups[k]), "n_links": int(l_off[k + 1] - l_off[k]), "groups_sha256": shas[k]})
-
-    def row(self) -> pa.RecordBatch:
-        pair, inv, n = np.unique(np.concatenate(self.pairs), return_inverse=True, return_counts=True)
-        docs = pa.array(self.docs, DOCS)
-        # Links of a document as sorted pair numbers, each less the one before (within the document).
-        size = np.array([d["n_links"] for d in self.docs], np.int64)
-        doc = np.repeat(np.arange(len(size)), size)
-        inv = np.sort(doc * max(len(pair), 1) + inv) - doc * max(len(pair), 1)  # doc is ascending already
-        step = np.diff(inv, prepend=0)
-        starts = np.concatenate(([0], np.cumsum(size)))[:-1][size > 0]
-        step[starts] = inv[starts]
-        one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+        n_links = np.diff(np.searchsorted(la, a_off))
+        # Of each document its distinct pairs, ascending, and how often it has them.
+        m = len(t.a_len) * len(t.b_len)
+        seen, times = np.unique(np.repeat(np.arange(len(ids)), n_links) * m + a[la] * len(t.b_len) + b[lb], return_counts=True)
+        n_pairs = np.bincount(seen // m, minlength=len(ids))
+        docs = pa.StructArray.from_arrays(
+            [ids, *(pa.array(x, pa.int64()) for x in (np.diff(a_off), np.diff(b_off), n_groups, n_links)), pa.array(shas, pa.string()),
+             pa.array(n_pairs, pa.int64())], fields=list(DOCS))
+        self.pieces.append((docs, n_pairs, seen % m, times))
+        self.bytes += n_bytes + DOC_BYTES * len(ids)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        pair, places = np.unique(np.concatenate([x[2] for x in self.pieces]), return_inverse=True)
+        n = np.bincount(places, np.concatenate([x[3] for x in self.pieces]), len(pair)).astype(np.int64)
+        pair = pair // len(self.t.b_len) << 32 | pair % len(self.t.b_len)
+        ends = np.cumsum([len(x[2]) for x in self.pieces])
+        for nth, ((docs, n_pairs, _, times), place) in enumerate(zip(self.pieces, np.split(places, ends[:-1]))):
+            # Pair numbers, each less the one before within the document.
+            gap = np.diff(place, prepend=0)
+            starts = (np.cumsum(n_pairs) - n_pairs)[n_pairs > 0]
+            gap[starts] = place[starts]
+            yield self.row(nth, docs=docs, gaps=narrow(gap), times=narrow(times))
+        for k in range(0, len(pair), PAIRS_A_ROW):
+            yield self.row(k, pairs=pair[k:k + PAIRS_A_ROW], counts=n[k:k + PAIRS_A_ROW])
+
+    def row(self, nth: int, **values) -> pa.RecordBatch:
+        def one(name: str, kind: pa.DataType) -> pa.Array:
+            x = values.get(name)
+            if x is None or not pa.types.is_list(kind):
+                return pa.array([x], kind)
+            return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind.value_type))
+
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
-             one(step.astype(np.int32), pa.int32()), one(pair, pa.int64()), one(n.astype(np.int64), pa.int64())],
-            names=["batch_no", "docs", "steps", "pairs", "counts"])
+            [pa.array([self.number], pa.int64()), pa.array([nth], pa.int64()), one("docs", pa.list_(DOCS)), one("gaps", pa.binary()),
+             one("times", pa.binary()), one("pairs", pa.list_(pa.int64())), one("counts", pa.list_(pa.int64()))],
+            names=["batch_no", "nth", "docs", "gaps", "times", "pairs", "counts"])
 
 
 DOCS = pa.struct([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
-                  ("groups_sha256", pa.string())])
+                  ("groups_sha256", pa.string()), ("n_pairs", pa.int64())])
 _DOCS_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-PACKED = f"batch_no long, docs array<struct<{_DOCS_DDL.replace(' ', ':').replace(',:', ', ')}>>, steps array<int>, pairs array<long>, counts array<long>"
+_DOCS_TYPE = f"array<struct<{_DOCS_DDL.replace(' ', ':').replace(',:', ', ')}, n_pairs:long>>"
+PACKED = f"batch_no long, nth long, docs {_DOCS_TYPE}, gaps binary, times binary, pairs array<long>, counts array<long>"
 OUT = f"{_DOCS_DDL}, n_best long, count_sum long"
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A packed row per batch of documents: the documents' figures, their links as pair numbers, distinct pairs, counts."""
+    """Packed rows of batches of documents: ``docs`` with their figures, the pair numbers of their links (``gaps``) and
+    how often they have them (``times``), by slice; the batch's distinct ``pairs`` and ``counts`` from the ``nth`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         t = tokens(a_path, b_path)
         number = TaskContext.get().partitionId() << 32
-        batch = Batch(number)
+        batch = Batch(t, number)
         for rb, _, off in slices(batches, "text", SLICE_BYTES):
-            batch.add(t, rb.column(0).to_pylist(), rb.column(1).to_pylist(), int(off[-1]))
+            batch.add(rb.column(0), rb.column(1).to_pylist(), int(off[-1]))
             if batch.bytes >= chunk_bytes:
-                yield batch.row()
+                yield from batch.rows()
                 number += 1
-                batch = Batch(number)
-        if batch.docs:
-            yield batch.row()
+                batch = Batch(t, number)
+        if batch.pieces:
+            yield from batch.rows()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PACKED)
 
@@ -249,32 +282,44 @@ def pair_counts(packed: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 per document."""
-    packed = pin(aligned(docs, a_path or vocabulary_path(A_VOCABULARY), b_path or vocabulary_path(B_VOCABULARY), chunk_bytes), "align-docs")
+    packed = pin(aligned(docs, a_path or vocabulary_path(A_VOCABULARY), b_path or vocabulary_path(B_VOCABULARY), chunk_bytes), "align-docs",
+                 GROUP_BYTES)
     counts = pair_counts(packed).select(F.shiftleft("a_id", 32).bitwiseOR(F.col("b_id")).alias("pair"),
                                         F.when(F.col("best"), -F.col("n")).otherwise(F.col("n")).alias("signed"))  # negative: best
-    asked = packed.select("batch_no", F.posexplode("pairs").alias("at", "pair"))
-    # Back to the batches: the corpus-wide counts of a batch's distinct pairs, in their order.
-    told = asked.join(counts, "pair").groupBy("batch_no").agg(
-        F.array_sort(F.collect_list(F.struct("at", "signed"))).alias("told"))  # at most the batch's pairs
-    ready = packed.select("batch_no", "docs", "steps").join(
-        told.select("batch_no", F.col("told.signed").alias("signed")), "batch_no", "left").select("docs", "steps", "signed")
+    asked = packed.select("batch_no", "nth", F.posexplode("pairs").alias("pos", "pair"))
+    # Back to the batches: the corpus-wide counts of a batch's distinct pairs in their order, then its documents.
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("docs", _DOCS_TYPE), ("gaps", "binary"), ("times", "binary"))]
+    told = asked.join(counts, "pair").select("batch_no", (F.col("nth") + F.col("pos")).alias("at"), "signed", *none)
+    held = packed.where("docs is not null").select("batch_no", (F.col("nth") + F.lit(FIRST_DOCS)).alias("at"),
+                                                   F.lit(None).cast("long").alias("signed"), "docs", "gaps", "times")
+    laid = told.union(held).repartition("batch_no").sortWithinPartitions("batch_no", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, counted, fresh = None, np.zeros(0, np.int64), []
         for rb in batches:
-            for k in range(rb.num_rows):
-                docs = pa.RecordBatch.from_struct_array(rb.column(0).slice(k, 1).flatten())
-                step = rb.column(1).slice(k, 1).flatten().to_numpy()
-                signed = rb.column(2).slice(k, 1).flatten().to_numpy()
-                off = np.concatenate(([0], np.cumsum(docs.column("n_links").to_numpy())))
-                inner = np.cumsum(step.astype(np.int64))
+            begin, signed = 0, rb.column(2)
+            for k in np.flatnonzero(rb.column(1).to_numpy() >= FIRST_DOCS).tolist():
+                if k > begin:
+                    fresh.append(signed.slice(begin, k - begin).to_numpy())
+                begin = k + 1
+                if rb.column(0)[k].as_py() != number:
+                    number, counted, fresh = rb.column(0)[k].as_py(), np.concatenate([np.zeros(0, np.int64), *fresh]), []
+                docs = pa.RecordBatch.from_struct_array(rb.column(3).slice(k, 1).flatten())
+                size = docs.column("n_pairs").to_numpy()
+                off = np.concatenate(([0], np.cumsum(size)))
+                inner = np.cumsum(wide(rb.column(4)[k].as_py(), int(off[-1])))
+                times = wide(rb.column(5)[k].as_py(), int(off[-1]))
                 base = np.concatenate(([0], inner))[off[:-1]]  # sums of the documents before
-                mine = signed[inner - np.repeat(base, np.diff(off))] if len(step) else np.zeros(0, np.int64)
-                best = np.concatenate(([0], np.cumsum(mine < 0)))
-                total = np.concatenate(([0], np.cumsum(np.abs(mine))))
+                mine = counted[inner - np.repeat(base, size)]
+                best = np.concatenate(([0], np.cumsum(np.where(mine < 0, times, 0))))
+                total = np.concatenate(([0], np.cumsum(np.abs(mine) * times)))
                 more = [pa.array(best[off[1:]] - best[off[:-1]], pa.int64()), pa.array(total[off[1:]] - total[off[:-1]], pa.int64())]
+                docs = docs.drop_columns(["n_pairs"])
                 yield pa.RecordBatch.from_arrays([*docs.columns, *more], names=[*docs.schema.names, "n_best", "count_sum"])
+            if begin < rb.num_rows:
+                fresh.append(np.array(signed.slice(begin).to_numpy()))
 
-    return ready.mapInArrow(run, OUT).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return laid.mapInArrow(run, OUT).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def links(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:

@@ -242,6 +242,42 @@ def test_alignment_links_and_empty_tables(spark, docs_of):
     assert [tuple(r)[1:] for r in none] == [(0, 0, 0, 0, 0, 0, "")] * 2
 
 
+def test_alignment_packs_bounded_rows(spark, docs_of, json_tokenizer, monkeypatch):
+    import pyarrow.parquet as pq
+    import public_tokenizers
+    import sentencepiece
+
+    rng = random.Random(12)
+    pairs = [(i, "".join(rng.choices("abcdefghij klmno  pqrstuvwxyz", k=3000))) for i in range(2000)]  # more than one batch
+    kept = []
+    monkeypatch.setattr(AL, "pin", lambda df, *a, f=AL.pin: kept.append(f(df, *a)) or kept[-1])
+    got = {r.doc_id: tuple(r) for r in AL.align(docs_of(pairs).coalesce(1)).collect()}
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in kept[0].inputFiles()]
+    groups = [f.read_row_group(k) for f in files for k in range(f.num_row_groups)]
+    assert max(g.nbytes for g in groups) < 12 << 20  # what a reader holds at once
+    assert max(g.slice(k, 1).nbytes for g in groups for k in range(g.num_rows)) < 4 << 20
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert len(got) == len(pairs)
+    for want in plain_rows(json_tokenizer, pieces, pairs[:5]):  # what does not depend on the other documents
+        assert got[want[0]][:5] == want[:5] and got[want[0]][7] == want[7]
+
+
+def test_alignment_streams_pairs_of_many_batches(spark, docs_of, json_tokenizer, monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    rng = random.Random(13)
+    pairs = [(i, None if i % 7 == 0 else " ".join(words(rng, rng.randrange(1, 80)))) for i in range(300)]
+    monkeypatch.setattr(AL, "PAIRS_A_ROW", 5, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)  # pairs and documents of a batch come in several
+    try:
+        got = sorted(tuple(r) for r in AL.align(docs_of(pairs).repartition(3), chunk_bytes=3000).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert got == sorted(plain_rows(json_tokenizer, pieces, pairs))
+
+
 # ---- trie -------------------------------------------------------------------------------------
 
 def plain_trie(rows):
