@@ -11,7 +11,7 @@ Corpus-wide counts of id pairs: a batch of documents (``CHUNK_BYTES`` of text) n
 packs each document's pair numbers, delta-coded, with how often it has them. Spark sums the
 pairs of all batches, finds each B id's highest count, and joins both back to the batches, a row per
 (batch, distinct pair). So texts are encoded once, and what is shuffled are distinct pairs of batches, which
-hold no hot key: a pair stands at most once in a batch. The rows of a batch meet in order and are streamed.
+hold no hot key: a pair stands at most once in a batch. The rows of a batch meet, its documents last, and are streamed.
 No row holds a whole batch: a packed row has the documents of a slice (``SLICE_BYTES`` of text, or one longer
 text) or ``PAIRS_A_ROW`` pairs, and a row group some of them, so the memory of a reader, a sort or a shuffle does
 not depend on the batch or the input.
@@ -47,7 +47,6 @@ CHUNK_BYTES = 4 << 20
 PAIRS_A_ROW = 1 << 15
 GROUP_BYTES = 2 << 20
 DOC_BYTES = 128  # of a document's figures, beside its text
-FIRST_DOCS = 1 << 40  # documents lie after the pairs of their batch
 _LOADED: dict[tuple[str, str], Tokens] = {}
 
 
@@ -186,6 +185,20 @@ def wide(x: bytes, n: int) -> np.ndarray:
     return np.frombuffer(x, f"u{len(x) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
+def folded(docs: pa.StructArray, gap: np.ndarray, times: np.ndarray) -> bytes:
+    """A piece in one value: rows of many columns are slow to hand to Python."""
+    parts = [pa.RecordBatch.from_struct_array(docs).serialize().to_pybytes(), narrow(gap), narrow(times)]
+    return b"".join([np.array([len(x) for x in parts], np.int64).tobytes(), *parts])
+
+
+def unfolded(x: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    ends = np.cumsum([24, *np.frombuffer(x, np.int64, 3)]).tolist()
+    docs, gap, times = (x[i:j] for i, j in zip(ends[:-1], ends[1:]))
+    docs = pa.ipc.read_record_batch(pa.py_buffer(docs), pa.schema(list(DOCS)))
+    n = int(docs.column("n_pairs").to_numpy().sum())
+    return docs, wide(gap, n), wide(times, n)
+
+
 class Batch:
     """Collects the aligned documents of one chunk, a piece for each slice, and gives its packed rows."""
 
@@ -223,34 +236,26 @@ class Batch:
             gap = np.diff(place, prepend=0)
             starts = (np.cumsum(n_pairs) - n_pairs)[n_pairs > 0]
             gap[starts] = place[starts]
-            yield self.row(nth, docs=docs, gaps=narrow(gap), times=narrow(times))
+            yield self.row(nth, docs=folded(docs, gap, times))
         for k in range(0, len(pair), PAIRS_A_ROW):
             yield self.row(k, pairs=pair[k:k + PAIRS_A_ROW], counts=n[k:k + PAIRS_A_ROW])
 
-    def row(self, nth: int, **values) -> pa.RecordBatch:
-        def one(name: str, kind: pa.DataType) -> pa.Array:
-            x = values.get(name)
-            if x is None or not pa.types.is_list(kind):
-                return pa.array([x], kind)
-            return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind.value_type))
-
+    def row(self, nth: int, docs: bytes | None = None, **lists: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.number], pa.int64()), pa.array([nth], pa.int64()), one("docs", pa.list_(DOCS)), one("gaps", pa.binary()),
-             one("times", pa.binary()), one("pairs", pa.list_(pa.int64())), one("counts", pa.list_(pa.int64()))],
-            names=["batch_no", "nth", "docs", "gaps", "times", "pairs", "counts"])
+            [pa.array([self.number], pa.int64()), pa.array([nth], pa.int64()), pa.array([docs], pa.binary()),
+             *(pa.array([lists.get(c)], pa.list_(pa.int64())) for c in ("pairs", "counts"))], names=["batch_no", "nth", "docs", "pairs", "counts"])
 
 
 DOCS = pa.struct([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
                   ("groups_sha256", pa.string()), ("n_pairs", pa.int64())])
 _DOCS_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-_DOCS_TYPE = f"array<struct<{_DOCS_DDL.replace(' ', ':').replace(',:', ', ')}, n_pairs:long>>"
-PACKED = f"batch_no long, nth long, docs {_DOCS_TYPE}, gaps binary, times binary, pairs array<long>, counts array<long>"
+PACKED = "batch_no long, nth long, docs binary, pairs array<long>, counts array<long>"
 OUT = f"{_DOCS_DDL}, n_best long, count_sum long"
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Packed rows of batches of documents: ``docs`` with their figures, the pair numbers of their links (``gaps``) and
-    how often they have them (``times``), by slice; the batch's distinct ``pairs`` and ``counts`` from the ``nth`` on."""
+    """Packed rows of batches of documents: ``docs`` of a slice with their figures, pair numbers and how often they have
+    them (``folded``), or the batch's distinct ``pairs`` and their ``counts`` from the ``nth`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -287,28 +292,30 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     counts = pair_counts(packed).select(F.shiftleft("a_id", 32).bitwiseOR(F.col("b_id")).alias("pair"),
                                         F.when(F.col("best"), -F.col("n")).otherwise(F.col("n")).alias("signed"))  # negative: best
     asked = packed.select("batch_no", "nth", F.posexplode("pairs").alias("pos", "pair"))
-    # Back to the batches: the corpus-wide counts of a batch's distinct pairs in their order, then its documents.
-    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("docs", _DOCS_TYPE), ("gaps", "binary"), ("times", "binary"))]
-    told = asked.join(counts, "pair").select("batch_no", (F.col("nth") + F.col("pos")).alias("at"), "signed", *none)
-    held = packed.where("docs is not null").select("batch_no", (F.col("nth") + F.lit(FIRST_DOCS)).alias("at"),
-                                                   F.lit(None).cast("long").alias("signed"), "docs", "gaps", "times")
-    laid = told.union(held).repartition("batch_no").sortWithinPartitions("batch_no", "at")
+    # Back to the batches: the corpus-wide counts of a batch's distinct pairs, then its documents. One number sorts them: rows are many.
+    turn = F.shiftleft("batch_no", 1)
+    told = asked.join(counts, "pair").select(turn.alias("turn"), (F.col("nth") + F.col("pos")).alias("at"), "signed",
+                                             F.lit(None).cast("binary").alias("docs"))
+    held = packed.where("docs is not null").select((turn + 1).alias("turn"), "nth", F.lit(None).cast("long").alias("signed"), "docs")
+    laid = told.union(held).repartition(F.shiftright("turn", 1)).sortWithinPartitions("turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, counted, fresh = None, np.zeros(0, np.int64), []
         for rb in batches:
-            begin, signed = 0, rb.column(2)
-            for k in np.flatnonzero(rb.column(1).to_numpy() >= FIRST_DOCS).tolist():
+            begin, turns, at, signed = 0, rb.column(0).to_numpy(), rb.column(1).to_numpy(), rb.column(2)
+            for k in np.flatnonzero(turns & 1).tolist():
                 if k > begin:
-                    fresh.append(signed.slice(begin, k - begin).to_numpy())
+                    fresh.append((at[begin:k], signed.slice(begin, k - begin).to_numpy()))
                 begin = k + 1
-                if rb.column(0)[k].as_py() != number:
-                    number, counted, fresh = rb.column(0)[k].as_py(), np.concatenate([np.zeros(0, np.int64), *fresh]), []
-                docs = pa.RecordBatch.from_struct_array(rb.column(3).slice(k, 1).flatten())
+                if turns[k] != number:
+                    number, counted = turns[k], np.zeros(sum(len(x) for x, _ in fresh), np.int64)
+                    while fresh:
+                        place, n = fresh.pop()
+                        counted[place] = n
+                docs, gap, times = unfolded(rb.column(3)[k].as_py())
                 size = docs.column("n_pairs").to_numpy()
                 off = np.concatenate(([0], np.cumsum(size)))
-                inner = np.cumsum(wide(rb.column(4)[k].as_py(), int(off[-1])))
-                times = wide(rb.column(5)[k].as_py(), int(off[-1]))
+                inner = np.cumsum(gap)
                 base = np.concatenate(([0], inner))[off[:-1]]  # sums of the documents before
                 mine = counted[inner - np.repeat(base, size)]
                 best = np.concatenate(([0], np.cumsum(np.where(mine < 0, times, 0))))
@@ -317,7 +324,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
                 docs = docs.drop_columns(["n_pairs"])
                 yield pa.RecordBatch.from_arrays([*docs.columns, *more], names=[*docs.schema.names, "n_best", "count_sum"])
             if begin < rb.num_rows:
-                fresh.append(np.array(signed.slice(begin).to_numpy()))
+                fresh.append((at[begin:].copy(), signed.slice(begin).to_numpy().copy()))
 
     return laid.mapInArrow(run, OUT).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
